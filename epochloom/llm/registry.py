@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, pieces, quality_rules, secrets, simhash, sql
+from . import decontaminate, html_text, pieces, quality_rules, secrets, simhash, sql, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_simhash": simhash.op4_simhash,
+    "op5_suffix_array": suffix.op5_suffix_array,
+    "op6_html_extraction": html_text.op6_html_extraction,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "pipeline": corpus_pipeline.run,
