@@ -57,10 +57,28 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+class _Parts(dict):
+    """Encoded parts, made when first asked for. Two generations: when the
+    young one is full it becomes the old one, so parts in use stay."""
+
+    def __init__(self, make, room: int, longest: int):
+        super().__init__()
+        self.make, self.room, self.longest, self.old = make, room // 2, longest, {}
+
+    def __missing__(self, part: str) -> tuple[int, bytes, str]:
+        out = self.old.get(part) or self.make(part)
+        if len(part) <= self.longest:
+            if len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
+            self[part] = out
+        return out
+
+
 class PieceModel:
     """Vocabulary and rules of a BPE model file, with encode and decode."""
 
-    def __init__(self, data: bytes, remember: int = 500_000, longest_remembered: int = 64):
+    def __init__(self, data: bytes, remember: int = 900_000, longest_remembered: int = 64):
         import struct
 
         self.pieces: list[str] = []
@@ -102,9 +120,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self._fits: dict[tuple[str, str], bool] = {}
         self._usable: dict[str, int] = {}
-        self._young: dict[str, tuple[int, bytes, str]] = {}
-        self._old: dict[str, tuple[int, bytes, str]] = {}
-        self._room, self._width = remember // 2, longest_remembered
+        self._parts = _Parts(self._part_of, remember, longest_remembered)
         self._unknown = re.compile("[^" + "".join(map(re.escape, sorted(self.known))) + "]", re.S)
         self._surface = [p.replace(MARK, " ") if k == _NORMAL else " ⁇ " if k == _UNKNOWN else "" for p, k in zip(self.pieces, self.kinds)]
         self._byte_ids = frozenset(self.bytes.values())
@@ -157,6 +173,21 @@ class PieceModel:
         only_piece = self.usable(text)
         if only_piece >= 0:
             return [only_piece]
+        # leftmost-longest matches first: often they are compatible throughout
+        known, known_fits, fits, usable = self._usable.get, self._fits.get, self.fits, self.usable
+        ids: list[int] = []
+        left, at = "", 0
+        for end, size in self.automaton.iter_long(text):
+            p = text[at : end + 1]
+            i = known(p)
+            if i is None:
+                i = usable(p)
+            if i < 0 or left and not (ok if (ok := known_fits((left, p))) is not None else fits(left, p)):
+                break
+            ids.append(i)
+            left, at = p, end + 1
+        else:
+            return ids
         n = len(text)
         longest = [1] * n
         for end, size in self.automaton.iter(text):
@@ -164,9 +195,8 @@ class PieceModel:
             if size > longest[start]:
                 longest[start] = size
         pieces: list[str] = []
-        ids: list[int] = []
+        ids = []
         failed, any_failed = bytearray((n >> 3) + 1), False
-        usable, known, fits, known_fits = self.usable, self._usable.get, self.fits, self._fits.get
         at, size, left = 0, longest[0], ""
         while at < n:
             while size:  # from the longest piece to the shortest
@@ -202,26 +232,16 @@ class PieceModel:
 
     def _part_of(self, part: str) -> tuple[int, bytes, str]:
         """Number of ids of a part, the ids as text, and the decoded part."""
-        out = self._young.get(part)
-        if out is not None:
-            return out
-        out = self._old.get(part)
-        if out is None:
-            ids: list[int] = []
-            at = 0
-            for m in self._unknown.finditer(part):
-                if m.start() > at:
-                    ids += self.split(part[at : m.start()])
-                ids += self._fallback(m[0])
-                at = m.end()
-            if at < len(part):
-                ids += self.split(part[at:])
-            out = len(ids), ",".join(map(str, ids)).encode(), self.text_of(ids)
-        if len(part) <= self._width:
-            if len(self._young) >= self._room:  # parts not met again lately are forgotten
-                self._old, self._young = self._young, {}
-            self._young[part] = out
-        return out
+        ids: list[int] = []
+        at = 0
+        for m in self._unknown.finditer(part):
+            if m.start() > at:
+                ids += self.split(part[at : m.start()])
+            ids += self._fallback(m[0])
+            at = m.end()
+        if at < len(part):
+            ids += self.split(part[at:])
+        return len(ids), ",".join(map(str, ids)).encode(), self.text_of(ids)
 
     def _fallback(self, char: str) -> list[int]:
         if not self.byte_fallback:
@@ -235,7 +255,7 @@ class PieceModel:
             text = " " + text
         if self.escape:
             text = text.replace(" ", MARK)
-        return [self._part_of(p) for p in self._part.findall(text)]
+        return list(map(self._parts.__getitem__, self._part.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.parts(text or "") for i in ids.split(b",")]
@@ -325,15 +345,15 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, id_col: str
         for batch in batches:
             n, a, b, ids, texts = [], [], [], [], []
             for cell in batch.column(1):
-                parts = model.parts(cell.as_py() or "")
-                text = "".join([p[2] for p in parts])
-                if parts and model.dummy_prefix and text[:1] == " ":
+                counts, lists, pieces = zip(*model.parts(cell.as_py() or "")) if cell.as_py() else ((), (), ())
+                text = "".join(pieces)
+                if pieces and model.dummy_prefix and text[:1] == " ":
                     text = text[1:]
-                n.append(sum([p[0] for p in parts]))
-                a.append(hashlib.sha256(b",".join([p[1] for p in parts])).hexdigest())
+                n.append(sum(counts))
+                a.append(hashlib.sha256(b",".join(lists)).hexdigest())
                 b.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
-                    ids.append([int(i) for p in parts for i in p[1].split(b",")])
+                    ids.append([int(i) for x in lists for i in x.split(b",")])
                     texts.append(text)
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *more], names)
