@@ -5,16 +5,20 @@ hash among its ``GRAM``-byte substrings. Equal strings have equal minimisers,
 so a suffix sort of what a task holds brings all of them together. Stretches of
 a text whose strings share a minimiser travel as one piece.
 
-1. Minimisers of every stretch are sent, packed, to tasks by hash; those that
-   occur in one document alone can't be in a repeat and are let go.
-2. Of the stretches left, equal ones are reduced to one with the smallest id
-   (before the shuffle, so that a text with many copies is no hot spot).
-3. Each task sorts the suffixes of its stretches by a difference cover modulo
+1. Texts are cut into segments at places that their bytes decide. Equal
+   segments (each with the bytes that its last strings run on into) have equal
+   strings; one with the smallest id stands for all, and the others, being
+   copies of an earlier document's bytes, are removed without further work.
+2. Minimisers of the segments left are sent, packed, to tasks by hash; those
+   that occur under one id alone can't be in a repeat and are let go.
+3. Of the stretches left, equal ones are reduced to one with the smallest id
+   (before the shuffle, so that a much repeated text is no hot spot).
+4. Each task sorts the suffixes of its stretches by a difference cover modulo
    three: sampled triples are sorted and named, the names are sorted the same
    way until they cover ``width`` bytes, the remaining suffixes are merged in,
    and neighbours are compared on ``width`` bytes. A run of equal prefixes gets
    the smallest id in it.
-4. Stretches look up these ids; bytes of strings that also start in a document
+5. Stretches look up these ids; bytes of strings that also start in a document
    with a smaller id are removed.
 """
 
@@ -24,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from .common import only, partitions, read
 
 WIDTH = 50
 GRAM = 20
+#: A segment begins where the low bits of a hash are 0: every 128 bytes or so.
+CUT_MASK = np.uint64(127)
 #: Bytes of text worked on at once; longer texts are taken in overlapping parts.
 CHUNK = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -71,59 +78,79 @@ def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def stretches(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of strings, minimiser) of every stretch of strings of
-    ``width`` bytes with one minimiser that lies inside one of the texts
-    ``data[bounds[i]:bounds[i + 1]]``."""
-    n = len(data) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    least = sliding_min(gram_hashes(data, gram), width - gram + 1)
-    valid = np.ones(n, bool)
-    breaks = np.zeros(n + 1, bool)
-    for b in bounds[1:].tolist():  # no string runs over the end of a text
-        valid[max(0, b - width + 1) : b] = False
-        if b <= n:
-            breaks[b] = True
-    breaks[0] = True
-    breaks[1:n] |= (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
-    start = np.flatnonzero(breaks[:n])
-    size = np.diff(np.append(start, n))
-    good = valid[start]
-    return start[good], size[good], least[start[good]]
-
-
-def _chunks(texts: list[bytes]):
-    """(first row, bytes, bounds, offset in the first text) of parts of about
-    CHUNK bytes; texts longer than that come in parts that overlap by
-    WIDTH - 1 bytes, so that each string is in one part."""
+class Part:
+    """Some texts of a batch in one array: ``data[bounds[i]:bounds[i + 1]]`` is
+    (from offset ``at`` on) the text of row ``first + i``."""
+
+    def __init__(self, first: int, held: list[bytes], at: int):
+        self.first, self.at = first, at
+        self.raw = b"".join(held)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.bounds = np.concatenate(([0], np.cumsum([len(t) for t in held])))
+        self.hashes = gram_hashes(self.data) if len(self.data) >= GRAM else np.empty(0, np.uint64)
+
+    def _inside(self, n: int, size: int) -> np.ndarray:
+        """Positions whose ``size`` bytes stay inside one text."""
+        out = np.ones(n, bool)
+        for b in self.bounds[1:].tolist():
+            out[max(0, b - size + 1) : b] = False
+        return out
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first byte, end of the positions where strings start, end of
+        the last string) of every segment that has a string."""
+        starts = np.zeros(len(self.data) + 1, bool)
+        n = len(self.hashes)
+        starts[:n] = ((self.hashes & CUT_MASK) == 0) & self._inside(n, GRAM)
+        starts[self.bounds] = True
+        begin = np.flatnonzero(starts)
+        begin, stop = begin[:-1], begin[1:]
+        row = np.searchsorted(self.bounds, begin, side="right") - 1
+        text_end = self.bounds[row + 1]
+        last = np.minimum(stop, text_end - WIDTH + 1)
+        good = last > begin
+        return row[good], begin[good], last[good], np.minimum(stop + WIDTH - 1, text_end)[good]
+
+    def stretches(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first byte, number of strings, minimiser) of every stretch of
+        strings with one minimiser inside one text. wanted: positions where
+        strings count."""
+        n = len(self.data) - WIDTH + 1
+        if n <= 0:
+            return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64))
+        least = sliding_min(self.hashes, WIDTH - GRAM + 1)
+        valid = self._inside(n, WIDTH)
+        if wanted is not None:
+            valid &= wanted[:n]
+        breaks = np.zeros(n + 1, bool)
+        breaks[self.bounds[self.bounds <= n]] = True
+        breaks[1:n] |= (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
+        start = np.flatnonzero(breaks[:n])
+        size = np.diff(np.append(start, n))
+        good = valid[start]
+        start, size = start[good], size[good]
+        return np.searchsorted(self.bounds, start, side="right") - 1, start, size, least[start]
+
+
+def parts_of(texts: list[bytes]):
+    """Parts of about CHUNK bytes; texts longer than that come in parts that
+    overlap by WIDTH - 1 bytes, so that each string is in one part."""
     row, held, size = 0, [], 0
     for i, t in enumerate(texts):
         if len(t) > CHUNK:
             if held:
-                yield row, held, 0
+                yield Part(row, held, 0)
             for at in range(0, len(t) - WIDTH + 1, CHUNK):
-                yield i, [t[at : at + CHUNK + WIDTH - 1]], at
+                yield Part(i, [t[at : at + CHUNK + WIDTH - 1]], at)
             row, held, size = i + 1, [], 0
             continue
         held.append(t)
         size += len(t)
         if size >= CHUNK:
-            yield row, held, 0
+            yield Part(row, held, 0)
             row, held, size = i + 1, [], 0
     if held:
-        yield row, held, 0
-
-
-def located(texts: list[bytes]):
-    """(row, position in the text, number of strings, minimiser, data, start in
-    data) of the stretches of many texts, part by part."""
-    for first, held, at in _chunks(texts):
-        data = np.frombuffer(b"".join(held), np.uint8)
-        bounds = np.concatenate(([0], np.cumsum([len(t) for t in held])))
-        start, size, least = stretches(data, bounds)
-        row = np.searchsorted(bounds, start, side="right") - 1
-        yield first + row, start - bounds[row] + at, size, least, data, start
+        yield Part(row, held, 0)
 
 
 # -- suffix sort by a difference cover
@@ -131,7 +158,7 @@ def located(texts: list[bytes]):
 
 def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of the rows of columns, equal for equal rows; and their number."""
-    order = np.lexsort(columns[::-1])
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
     new = np.zeros(len(order), bool)
     for c in columns:
         s = c[order]
@@ -167,17 +194,19 @@ def suffix_ranks(s: np.ndarray, need: int) -> np.ndarray:
     zero = np.arange(0, n, 3)
     big = n + 5
     by_one = padded[zero] * big + rank[zero + 1]
-    zero = zero[np.argsort(by_one, kind="stable")]
-    by_one = padded[zero] * big + rank[zero + 1]
+    order = np.argsort(by_one)
+    zero, by_one = zero[order], by_one[order]
     wide = padded[: n + 2] * top + padded[1 : n + 3]  # two symbols as one
     wide = _names(wide)[0] if top * top * big > 1 << 62 else wide
     by_two = wide[zero] * big + rank[zero + 2]
     by_two.sort()  # ties and orders within `need` agree with by_one
-    # merge: how many of the remaining come before each sampled suffix
+    # merge: how many of the remaining come before each sampled suffix; asked in their order
+    order = np.argsort(names)
     before = np.empty(len(sample), np.int64)
-    before[: len(one)] = np.searchsorted(by_one, padded[one] * big + rank[one + 1], side="left")
-    before[len(one) :] = np.searchsorted(by_two, wide[two] * big + rank[two + 2], side="left")
-    order = np.argsort(names, kind="stable")
+    i = order[order < len(one)]
+    before[i] = np.searchsorted(by_one, padded[sample[i]] * big + rank[sample[i] + 1], side="left")
+    i = order[order >= len(one)]
+    before[i] = np.searchsorted(by_two, wide[sample[i]] * big + rank[sample[i] + 2], side="left")
     before[order] = np.maximum.accumulate(before[order])  # where only ties beyond `need` disagree
     out = np.empty(n, np.int64)
     place = np.empty(len(sample), np.int64)
@@ -190,10 +219,11 @@ def suffix_ranks(s: np.ndarray, need: int) -> np.ndarray:
     return out
 
 
-def smallest_holder(pieces: list[bytes], first: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each piece the smallest ``first`` of all pieces that hold the string
-    of ``width`` bytes at each position: suffix sort, then neighbours compared."""
-    sizes = np.array([len(p) for p in pieces], np.int64)
+def smallest_holder(pieces: list[bytes], first: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """For the strings of ``width`` bytes of all pieces, one after the other,
+    the smallest ``first`` of the pieces that hold the same string: suffix
+    sort, then neighbours compared."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes + 1)
     data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     symbols = data.astype(np.int64) + 2
@@ -202,7 +232,8 @@ def smallest_holder(pieces: list[bytes], first: np.ndarray, width: int = WIDTH)
     order = np.empty(len(rank), np.int64)
     order[rank] = np.arange(len(rank))
     piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    order = order[ends[piece[order]] - 1 - order >= width]  # whole strings alone
+    whole = np.arange(len(data)) + width < ends[piece]  # whole strings alone
+    order = order[whole[order]]
     words = np.zeros(len(data), np.uint64)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     for k in range(8):
@@ -217,8 +248,7 @@ def smallest_holder(pieces: list[bytes], first: np.ndarray, width: int = WIDTH)
     if len(order):
         least = np.minimum.reduceat(first[piece[order]], starts)
         out[order] = np.repeat(least, np.diff(np.append(starts, len(order))))
-    begins = ends - 1 - sizes
-    return [out[b : b + n - width + 1] for b, n in zip(begins.tolist(), sizes.tolist())]
+    return out[whole]
 
 
 # -- the distributed steps
@@ -230,15 +260,138 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     return ids, [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
 
 
-def _send_minimisers(buckets: int):
-    """(id, text) to (bucket, packed ids, counts and hashes)."""
+def _send_segments(buckets: int):
+    """(id, text) to (bucket, packed segments)."""
+    kind = np.dtype([("hash", "V12"), ("id", "<i8"), ("row_key", "<i4"), ("start", "<i4"), ("size", "<i4")])
 
     def run(batches):
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids, texts = _rows(batch)
             held, size = [], 0
-            for row, _, _, least, _, _ in located(texts):
-                held.append((ids[row], least))
+            for part in parts_of(texts):
+                row, begin, _, end = part.segments()
+                raw = part.raw
+                out = np.empty(len(row), kind)
+                out["hash"] = np.frombuffer(b"".join([digest(raw[x:y])[:12] for x, y in zip(begin.tolist(), end.tolist())]), "V12")
+                at = part.first + row
+                out["id"] = ids[at]
+                keys = {r: _row_key(texts[r]) for r in np.unique(at).tolist()}
+                out["row_key"] = [keys[r] for r in at.tolist()]
+                out["start"] = begin - part.bounds[row] + part.at
+                out["size"] = end - begin
+                held.append(out)
+                size += len(out)
+                if size > 500_000:
+                    yield from _dealt(np.concatenate(held), buckets)
+                    held, size = [], 0
+            if held:
+                yield from _dealt(np.concatenate(held), buckets)
+
+    return run
+
+
+def _dealt(rows: np.ndarray, buckets: int):
+    """Rows packed by bucket of their hash."""
+    bucket = (np.ascontiguousarray(rows["hash"]).view(np.uint32).reshape(-1, 3)[:, 0] % buckets).astype(np.int32) if len(rows) else np.empty(0, np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    cuts = _cuts(bucket)
+    names = bucket[cuts[:-1]]
+    loads = [rows[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(loads, pa.binary())], ["bucket", "load"])
+
+
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns change, with both ends."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.ones(n + 1, bool)
+    new[1:n] = False
+    for c in columns:
+        new[1:n] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _copied_segments(batches):
+    """(bucket, load) to (id, row key, starts, sizes) of segments that a
+    smaller id has, too."""
+    loads = [load for batch in batches for load in batch.column(1).to_pylist()]
+    if not loads:
+        return
+    words = np.frombuffer(b"".join(loads), np.uint32).reshape(-1, 8)
+    del loads
+    ids = np.ascontiguousarray(words[:, 3:5]).view(np.int64).ravel()
+    order = np.lexsort((ids, words[:, 2], words[:, 1], words[:, 0]))
+    words, ids = words[order], ids[order]
+    cuts = _cuts(words[:, 0], words[:, 1], words[:, 2])
+    copied = ids > np.repeat(ids[cuts[:-1]], np.diff(cuts))  # the first of each run has the smallest id
+    words, ids = words[copied], ids[copied]
+    row_key, start, size = (np.ascontiguousarray(words[:, k]).view(np.int32) for k in (5, 6, 7))
+    order = np.lexsort((start, row_key, ids))
+    ids, row_key, start, size = ids[order], row_key[order], start[order], size[order]
+    cuts = _cuts(ids, row_key)
+    for at in range(0, len(cuts) - 1, 50_000):
+        part = cuts[at : at + 50_001]
+        spans = list(zip(part[:-1].tolist(), part[1:].tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[part[:-1]]), pa.array(row_key[part[:-1]]), pa.array([start[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([size[a:b].tobytes() for a, b in spans], pa.binary())],
+            ["id", "row_key", "starts", "sizes"],
+        )
+
+
+class Told:
+    """What is known about each row of a batch: (id, text, list of (row key,
+    starts, sizes), list of (bucket, hashes, hot))."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.ids, self.texts = _rows(batch)
+        self.copied = [self._starts(i, c) for i, c in enumerate(batch.column(2).to_pylist())]
+        shared = batch.column(3).to_pylist() if batch.num_columns > 3 else []
+        self.shared = [self._keys(c, "hashes") for c in shared]
+        self.hot = [self._keys(c, "hot") for c in shared]
+
+    def _starts(self, i: int, held) -> np.ndarray:
+        if not held:
+            return np.empty(0, np.int64)
+        key = _row_key(self.texts[i])
+        mine = [np.frombuffer(x["starts"], np.int32) for x in held if x["row_key"] == key]
+        return np.sort(np.concatenate(mine)).astype(np.int64) if mine else np.empty(0, np.int64)
+
+    @staticmethod
+    def _keys(held, name: str) -> np.ndarray:
+        held = [x for x in held or () if x[name]]
+        if not held:
+            return np.empty(0, np.uint64)
+        return np.sort(np.concatenate([(np.uint64(x["bucket"]) << np.uint64(32)) | np.frombuffer(x[name], np.uint32).astype(np.uint64) for x in held]))
+
+    def left(self, part: Part) -> np.ndarray:
+        """Positions of a part whose segment isn't a copy."""
+        row, begin, last, _ = part.segments()
+        out = np.zeros(len(part.data), bool)
+        where = begin - part.bounds[row] + part.at
+        for a, b in zip((c := _cuts(row))[:-1].tolist(), c[1:].tolist()):
+            gone = self.copied[part.first + row[a]]
+            if len(gone):
+                at = np.minimum(np.searchsorted(gone, where[a:b]), len(gone) - 1)
+                for x, y in zip(begin[a:b][gone[at] != where[a:b]].tolist(), last[a:b][gone[at] != where[a:b]].tolist()):
+                    out[x:y] = True
+            else:
+                out[begin[a] : last[b - 1]] = True
+        return out
+
+
+def _send_minimisers(buckets: int):
+    """(id, text, copied segments) to (bucket, packed ids, counts and hashes)."""
+
+    def run(batches):
+        for batch in batches:
+            told = Told(batch)
+            held, size = [], 0
+            for part in parts_of(told.texts):
+                row, _, _, least = part.stretches(told.left(part))
+                held.append((told.ids[part.first + row], least))
                 size += len(row)
                 if size > 1_000_000:
                     yield from _packed(held, buckets)
@@ -254,19 +407,19 @@ def _packed(held, buckets: int):
     bucket = ((least >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, ids, low = bucket[order], ids[order], least[order].astype(np.uint32)
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, int)
+    cuts = _cuts(bucket)
     names, loads = [], []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         i = ids[a:b]
-        runs = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-        counts = np.diff(np.append(runs, len(i))).astype(np.int32)
+        runs = _cuts(i)
         names.append(int(bucket[a]))
-        loads.append(np.int32(len(runs)).tobytes() + i[runs].tobytes() + counts.tobytes() + low[a:b].tobytes())
+        loads.append(np.int32(len(runs) - 1).tobytes() + i[runs[:-1]].tobytes() + np.diff(runs).astype(np.int32).tobytes() + low[a:b].tobytes())
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(loads, pa.binary())], ["bucket", "load"])
 
 
 def _shared_minimisers(batches):
-    """(bucket, load) to (id, bucket, hashes): those met under two ids."""
+    """(bucket, load) to (id, bucket, hashes, hot): those met under two ids, and
+    of them those of very many documents."""
     keys, owners = [], []
     for batch in batches:
         for bucket, load in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -282,121 +435,182 @@ def _shared_minimisers(batches):
     del keys, owners
     order = np.argsort(key)
     key, owner = key[order], owner[order]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    starts = _cuts(key)[:-1]
     shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
-    mask = np.repeat(shared, np.diff(np.append(starts, len(key))))
-    key, owner = key[mask], owner[mask]
+    counts = np.diff(np.append(starts, len(key)))
+    mask = np.repeat(shared, counts)
+    many = np.repeat(counts > HOT_OWNERS, counts)
+    key, owner, many = key[mask], owner[mask], many[mask]
     order = np.lexsort((key, owner))
-    key, owner = key[order], owner[order]
+    key, owner, many = key[order], owner[order], many[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[fresh], owner[fresh]
+    key, owner, many = key[fresh], owner[fresh], many[fresh]
     bucket, low = (key >> np.uint64(32)).astype(np.int32), key.astype(np.uint32)
-    cuts = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1]), [True]))) if len(key) else np.zeros(1, int)
+    cuts = _cuts(owner, bucket)
     for at in range(0, len(cuts) - 1, 50_000):
         part = cuts[at : at + 50_001]
-        loads = [low[a:b].tobytes() for a, b in zip(part[:-1].tolist(), part[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[part[:-1]]), pa.array(bucket[part[:-1]]), pa.array(loads, pa.binary())], ["id", "bucket", "hashes"])
-
-
-def _suspects(batch: pa.RecordBatch, buckets: int):
-    """(row, position, minimiser, piece) lists of the stretches whose minimiser
-    is shared. batch: id, text, list of (bucket, hashes)."""
-    ids, texts = _rows(batch)
-    lists = batch.column(2)
-    offsets = lists.offsets.to_numpy()
-    inner = lists.values
-    bucket = inner.field(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-    loads = inner.field(1).to_pylist()
-    wanted = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        k = [(bucket[i] << np.uint64(32)) | np.frombuffer(loads[i], np.uint32).astype(np.uint64) for i in range(a, b)]
-        wanted.append(np.sort(np.concatenate(k)) if k else np.empty(0, np.uint64))
-    for row, pos, size, least, data, start in located(texts):
-        key = (((least >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (least & np.uint64(0xFFFFFFFF))
-        cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.zeros(1, int)
-        mask = np.zeros(len(row), bool)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            want = wanted[row[a]]
-            if len(want):
-                at = np.minimum(np.searchsorted(want, key[a:b]), len(want) - 1)
-                mask[a:b] = want[at] == key[a:b]
-        raw = data.tobytes()
-        start, size = start[mask].tolist(), size[mask].tolist()
-        pieces = [raw[s : s + n + WIDTH - 1] for s, n in zip(start, size)]
-        yield ids, row[mask], pos[mask], least[mask], pieces, texts
-
-
-def _send_pieces(buckets: int):
-    """(id, text, shared hashes) to (mini, piece, first, last): equal pieces of a task are one row."""
+        spans = list(zip(part[:-1].tolist(), part[1:].tolist()))
+        loads = [low[a:b].tobytes() for a, b in spans]
+        hot = [low[a:b][many[a:b]].tobytes() for a, b in spans] if many.any() else [b""] * len(spans)
+        yield pa.RecordBatch.from_arrays([pa.array(owner[part[:-1]]), pa.array(bucket[part[:-1]]), pa.array(loads, pa.binary()), pa.array(hot, pa.binary())], ["id", "bucket", "hashes", "hot"])
+
+
+def _among(key: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(key), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, key), len(sorted_) - 1)] == key
 
-    def run(batches):
-        seen: dict[tuple[int, bytes], list[int]] = {}
 
-        def out():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
-                ["mini", "piece", "first", "last"],
-            )
-            seen.clear()
+#: Owners of a minimiser from which on its stretches are spread over tasks before they are sorted.
+HOT_OWNERS = 50_000
+#: Bytes of stretches that are sorted at once in a task; a cut never parts equal minimisers.
+SORTED_AT_ONCE = 1_200_000
 
+
+def _send_places(buckets: int, spread: int):
+    """(id, text, copied segments, shared hashes) to (mini, salt, piece, id, row
+    key, position): the stretches left whose minimiser is shared. salt: 0, or
+    the share of a hot minimiser's documents."""
+
+    def run(batches):
         for batch in batches:
-            for ids, row, _, least, pieces, _ in _suspects(batch, buckets):
-                for key, i in zip(zip(least.view(np.int64).tolist(), pieces), ids[row].tolist()):
-                    v = seen.get(key)
-                    if v is None:
-                        seen[key] = [i, i]
-                    elif i < v[0]:
-                        v[0] = i
-                    elif i > v[1]:
-                        v[1] = i
-                if len(seen) > 200_000:
-                    yield from out()
-        if seen:
-            yield from out()
+            told = Told(batch)
+            row_keys: dict[int, int] = {}
+            for part in parts_of(told.texts):
+                if not any(map(len, told.shared[part.first : part.first + len(part.bounds) - 1])):
+                    continue
+                row, start, size, least = part.stretches(told.left(part))
+                key = (((least >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (least & np.uint64(0xFFFFFFFF))
+                mask, hot = np.zeros(len(row), bool), np.zeros(len(row), bool)
+                for a, b in zip((c := _cuts(row))[:-1].tolist(), c[1:].tolist()):
+                    mask[a:b] = _among(key[a:b], told.shared[part.first + row[a]])
+                    hot[a:b] = _among(key[a:b], told.hot[part.first + row[a]])
+                row, start, size, least, hot = row[mask], start[mask], size[mask], least[mask], hot[mask]
+                raw, at, pos = part.raw, part.first + row, start - part.bounds[row] + part.at
+                pieces = [raw[x : x + n + WIDTH - 1] for x, n in zip(start.tolist(), size.tolist())]
+                for r in np.unique(at).tolist():
+                    if r not in row_keys:
+                        row_keys[r] = _row_key(told.texts[r])
+                ids = told.ids[at]
+                salt = np.where(hot, 1 + (ids.astype(np.uint64) * _BASE >> np.uint64(40)).astype(np.int64) % spread, 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(least.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(pieces, pa.binary()), pa.array(ids), pa.array([row_keys[r] for r in at.tolist()], pa.int32()), pa.array(pos.astype(np.int32))],
+                    ["mini", "salt", "piece", "id", "row_key", "pos"],
+                )
 
     return run
 
 
-def _piece_key(piece: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+def holders_of(minis: np.ndarray, pieces: list[bytes], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, holders): for the strings of each of some distinct pieces the
+    smallest id that has them. Where all stretches of a minimiser are equal, or
+    all of one document, there is nothing to sort."""
+    strings = np.fromiter(map(len, pieces), np.int64, len(pieces)) - WIDTH + 1
+    offsets = np.concatenate(([0], np.cumsum(strings)))
+    out = np.repeat(first, strings)
+    order = np.argsort(minis, kind="stable")
+    cuts = _cuts(minis[order])
+    low = np.minimum.reduceat(first[order], cuts[:-1]) if len(order) else np.empty(0, np.int64)
+    high = np.maximum.reduceat(last[order], cuts[:-1]) if len(order) else np.empty(0, np.int64)
+    need = (np.diff(cuts) > 1) & (low != high)
+    held: list[int] = []
+    size = 0
+
+    def sort() -> None:
+        found = smallest_holder([pieces[i] for i in held], first[held])
+        at = 0
+        for i in held:
+            n = int(strings[i])
+            out[offsets[i] : offsets[i] + n] = found[at : at + n]
+            at += n
+
+    for g in np.flatnonzero(need).tolist():
+        mine = order[cuts[g] : cuts[g + 1]].tolist()
+        held += mine
+        size += sum(len(pieces[i]) for i in mine)
+        if size >= SORTED_AT_ONCE:
+            sort()
+            held, size = [], 0
+    if held:
+        sort()
+    return offsets, out
 
 
-#: Bytes of pieces that are sorted at once in a task; a cut never parts equal minimisers.
-SORTED_AT_ONCE = 1_500_000
+def _distinct(pieces: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pieces, each row's among them, smallest and largest id of each."""
+    known: dict[bytes, int] = {}
+    of = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))
+    first = np.full(len(known), np.iinfo(np.int64).max)
+    last = np.full(len(known), np.iinfo(np.int64).min)
+    np.minimum.at(first, of, ids)
+    np.maximum.at(last, of, ids)
+    return list(known), of, first, last
 
 
-def _sort_pieces(batches):
-    """(mini, piece, first, last) to (mini, key, runs of smallest holders)."""
-    seen: dict[tuple[int, bytes], list[int]] = {}
+def _sort_places(batches):
+    """(mini, piece, id, row key, position) to (id, row key, s, e): bytes to remove."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    del held
+    minis, ids, row_key, pos = (table.column(k).to_numpy() for k in (0, 2, 3, 4))
+    pieces, of, first, last = _distinct(table.column(1).to_pylist(), ids)
+    del table
+    mini = np.empty(len(pieces), np.int64)
+    mini[of] = minis
+    offsets, holders = holders_of(mini, pieces, first, last)
+    for at in range(0, len(of), 200_000):
+        k = of[at : at + 200_000]
+        n = offsets[k + 1] - offsets[k]
+        ends = np.cumsum(n)
+        within = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        gone = holders[np.repeat(offsets[k], n) + within] < np.repeat(ids[at : at + 200_000], n)
+        change = np.ones(len(gone) + 1, bool)
+        change[1:-1] = gone[1:] != gone[:-1]
+        change[ends] = True
+        change[ends - n] = True
+        runs = np.flatnonzero(change)
+        begin, stop = runs[:-1][gone[runs[:-1]]], runs[1:][gone[runs[:-1]]]
+        row = np.searchsorted(ends, begin, side="right")
+        s = pos[at + row] + within[begin]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[at + row]), pa.array(row_key[at + row]), pa.array(s.astype(np.int32)), pa.array((s + (stop - begin) + WIDTH - 1).astype(np.int32))], ["id", "row_key", "s", "e"]
+        )
+
+
+def _distinct_pieces(batches):
+    """(mini, piece, id, ...) to (mini, piece, first, last) of a task's hot stretches."""
     for batch in batches:
-        minis, pieces, first, last = (c.to_pylist() for c in batch.columns)
-        for m, p, a, b in zip(minis, pieces, first, last):
-            v = seen.setdefault((m, p), [a, b])
-            v[0] = min(v[0], a)
-            v[1] = max(v[1], b)
-    by_mini = sorted(seen, key=lambda k: k[0])
-    at = 0
-    while at < len(by_mini):
-        end, size = at, 0
-        while end < len(by_mini) and (size < SORTED_AT_ONCE or by_mini[end][0] == by_mini[end - 1][0]):
-            size += len(by_mini[end][1])
-            end += 1
-        keys = by_mini[at:end]
-        at = end
-        pieces = [k[1] for k in keys]
-        first = np.array([seen[k][0] for k in keys], np.int64)
-        minis, names, runs = [], [], []
-        for k, f, holder in zip(keys, first.tolist(), smallest_holder(pieces, first)):
-            cuts = np.flatnonzero(np.concatenate(([True], holder[1:] != holder[:-1])))
-            if len(cuts) == 1 and holder[0] == f == seen[k][1]:
-                continue  # in one document alone, and nothing of it anywhere before
-            sizes = np.diff(np.append(cuts, len(holder)))
-            minis.append(k[0])
-            names.append(_piece_key(k[1]))
-            runs.append([{"o": o, "n": n, "m": m} for o, n, m in zip(cuts.tolist(), sizes.tolist(), holder[cuts].tolist())])
-        kind = pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("m", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(minis, pa.int64()), pa.array(names, pa.int64()), pa.array(runs, kind)], ["mini", "key", "runs"])
+        if batch.num_rows:
+            ids = batch.column(2).to_numpy(zero_copy_only=False)
+            pieces, of, first, last = _distinct(batch.column(1).to_pylist(), ids)
+            mini = np.empty(len(pieces), np.int64)
+            mini[of] = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(pieces, pa.binary()), pa.array(first), pa.array(last)], ["mini", "piece", "first", "last"])
+
+
+def _sort_pieces(batches):
+    """(mini, piece, first, last) to (mini, piece, runs of smallest holders)."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    low, high = table.column(2).to_numpy(), table.column(3).to_numpy()
+    pieces, of, first, _ = _distinct(table.column(1).to_pylist(), low)
+    last = np.full(len(pieces), np.iinfo(np.int64).min)
+    np.maximum.at(last, of, high)
+    mini = np.empty(len(pieces), np.int64)
+    mini[of] = table.column(0).to_numpy()
+    offsets, holders = holders_of(mini, pieces, first, last)
+    runs = []
+    for i in range(len(pieces)):
+        h = holders[offsets[i] : offsets[i + 1]]
+        cuts = _cuts(h)
+        runs.append([{"o": o, "n": n, "m": m} for o, n, m in zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), h[cuts[:-1]].tolist())])
+    kind = pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("m", pa.int64())]))
+    yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(pieces, pa.binary()), pa.array(runs, kind)], ["mini", "piece", "runs"])
 
 
 def _row_key(text: bytes) -> int:
@@ -404,42 +618,30 @@ def _row_key(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little", signed=True)
 
 
-def _send_places(buckets: int):
-    """(id, text, shared hashes) to (mini, key, id, row key, position)."""
-
-    def run(batches):
-        for batch in batches:
-            for ids, row, pos, least, pieces, texts in _suspects(batch, buckets):
-                row_keys = {r: _row_key(texts[r]) for r in np.unique(row).tolist()}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(least.view(np.int64)), pa.array([_piece_key(p) for p in pieces], pa.int64()), pa.array(ids[row]), pa.array([row_keys[r] for r in row.tolist()], pa.int32()), pa.array(pos.astype(np.int32))],
-                    ["mini", "key", "id", "row_key", "pos"],
-                )
-
-    return run
-
-
 def _cut_out(with_text: bool, id_col: str):
-    """(id, text, list of (row key, s, e)) to the result row."""
+    """(id, text, copied segments, list of (row key, s, e)) to the result row."""
 
     def run(batches):
         for batch in batches:
             texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            lists = batch.column(2)
+            copied = batch.column(2).to_pylist()
+            lists = batch.column(3)
             offsets, inner = lists.offsets.to_numpy(), lists.values
-            own, s, e = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            present = lists.is_valid().to_pylist()
+            own, s, e = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
             removed, spans, digests, kept_all = [], [], [], []
             for k, text in enumerate(texts):
                 merged: list[tuple[int, int]] = []
-                if present[k]:
+                if copied[k] or offsets[k + 1] > offsets[k]:
+                    key = _row_key(text)
                     a, b = offsets[k], offsets[k + 1]
-                    mine = own[a:b] == _row_key(text)
-                    begin, end = s[a:b][mine], e[a:b][mine]
+                    mine = own[a:b] == key
+                    held = [x for x in copied[k] or () if x["row_key"] == key]
+                    starts = [np.frombuffer(x["starts"], np.int32).astype(np.int64) for x in held]
+                    begin = np.concatenate([s[a:b][mine], *starts])
+                    end = np.concatenate([e[a:b][mine], *(x + np.frombuffer(h["sizes"], np.int32) for x, h in zip(starts, held))])
                     order = np.argsort(begin, kind="stable")
                     begin, end = begin[order], np.maximum.accumulate(end[order]) if len(end) else end
-                    fresh = np.concatenate(([True], begin[1:] > end[:-1])) if len(begin) else np.zeros(0, bool)
-                    at = np.flatnonzero(fresh)
+                    at = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1]))) if len(begin) else np.zeros(0, np.int64)
                     merged = list(zip(begin[at].tolist(), end[np.append(at[1:], len(begin)) - 1].tolist())) if len(at) else []
                 if merged:
                     edges = [0, *(x for r in merged for x in r), len(text)]
@@ -470,24 +672,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty. A row with a null id has no order, so nothing is
     removed from it and it is no source. Rows of one id don't remove from each
     other, whether their texts are equal or not. Other columns aren't read.
-    Texts go through one shuffle, used three times.
+    Texts go through one shuffle, used by every later step.
     """
     n = partitions(docs.sparkSession)
     buckets = 2 * n
     src = only(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     dealt = src.repartition(n, "id")
     named = dealt.filter("id IS NOT NULL")
-    loads = src.filter("id IS NOT NULL").mapInArrow(_send_minimisers(buckets), "bucket int, load binary")
-    shared = loads.repartition(n, "bucket").mapInArrow(_shared_minimisers, "id long, bucket int, hashes binary")
-    per_doc = shared.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared"))
-    suspects = named.join(per_doc.hint("shuffle_hash"), "id").select("id", "text", "shared")
-    pieces = suspects.mapInArrow(_send_pieces(buckets), "mini long, piece binary, first long, last long")
-    holders = pieces.repartition(n, "mini").mapInArrow(_sort_pieces, "mini long, key long, runs array<struct<o:int,n:int,m:long>>")
-    places = suspects.mapInArrow(_send_places(buckets), "mini long, key long, id long, row_key int, pos int")
-    met = places.join(holders, ["mini", "key"]).select("id", "row_key", "pos", F.explode("runs").alias("r")).filter("r.m < id")
-    cut = met.select("id", F.struct("row_key", (F.col("pos") + F.col("r.o")).alias("s"), (F.col("pos") + F.col("r.o") + F.col("r.n") + (WIDTH - 1)).alias("e")).alias("x"))
-    per_doc_cut = cut.groupBy("id").agg(F.collect_list("x").alias("cut"))
-    rows = dealt.join(per_doc_cut.hint("shuffle_hash"), "id", "left").select("id", "text", "cut")
+    segments = src.filter("id IS NOT NULL").mapInArrow(_send_segments(buckets), "bucket int, load binary").repartition(n, "bucket")
+    copied = segments.mapInArrow(_copied_segments, "id long, row_key int, starts binary, sizes binary")
+    copied = copied.groupBy("id").agg(F.collect_list(F.struct("row_key", "starts", "sizes")).alias("copied"))  # no more than a text's segments
+    known = named.join(copied.hint("shuffle_hash"), "id", "left").select("id", "text", "copied")
+    loads = known.mapInArrow(_send_minimisers(buckets), "bucket int, load binary")
+    shared = loads.repartition(n, "bucket").mapInArrow(_shared_minimisers, "id long, bucket int, hashes binary, hot binary")
+    shared = shared.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes", "hot")).alias("shared"))
+    suspects = known.join(shared.hint("shuffle_hash"), "id").select("id", "text", "copied", "shared")
+    # one exchange: stretches of a minimiser together, those of hot ones spread by document
+    places = suspects.mapInArrow(_send_places(buckets, n), "mini long, salt int, piece binary, id long, row_key int, pos int").repartition(n, "mini", "salt")
+    columns = ["mini", "piece", "id", "row_key", "pos"]
+    cut = places.filter("salt = 0").select(columns).mapInArrow(_sort_places, "id long, row_key int, s int, e int")
+    hot = places.filter("salt > 0").select(columns)
+    pieces = hot.mapInArrow(_distinct_pieces, "mini long, piece binary, first long, last long")
+    holders = pieces.repartition(n, "mini").mapInArrow(_sort_pieces, "mini long, piece binary, runs array<struct<o:int,n:int,m:long>>")
+    met = hot.join(holders, ["mini", "piece"]).select("id", "row_key", "pos", F.explode("runs").alias("r")).filter("r.m < id")
+    more_cut = met.select("id", "row_key", (F.col("pos") + F.col("r.o")).alias("s"), (F.col("pos") + F.col("r.o") + F.col("r.n") + (WIDTH - 1)).alias("e"))
+    cut = cut.unionByName(more_cut).groupBy("id").agg(F.collect_list(F.struct("row_key", "s", "e")).alias("cut"))
+    rows = dealt.join(copied.hint("shuffle_hash"), "id", "left").join(cut.hint("shuffle_hash"), "id", "left").select("id", "text", "copied", F.coalesce("cut", F.array().cast("array<struct<row_key:int,s:int,e:int>>")).alias("cut"))
     more = ", spans array<struct<s:int,e:int>>, kept binary" if with_text else ""
     return rows.mapInArrow(_cut_out(with_text, id_col), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
 
