@@ -38,6 +38,8 @@ WIDTH = 50
 GRAM = 20
 #: A segment begins where the low bits of a hash are 0: every 128 bytes or so.
 CUT_MASK = np.uint64(127)
+#: Owners of a minimiser from which on its stretches are spread over tasks before they are sorted.
+HOT_OWNERS = 50_000
 #: Bytes of text worked on at once; longer texts are taken in overlapping parts.
 CHUNK = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -417,7 +419,7 @@ def _packed(held, buckets: int):
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(loads, pa.binary())], ["bucket", "load"])
 
 
-def _shared_minimisers(batches):
+def _shared_minimisers(batches, hot_owners: int):
     """(bucket, load) to (id, bucket, hashes, hot): those met under two ids, and
     of them those of very many documents."""
     keys, owners = [], []
@@ -439,7 +441,7 @@ def _shared_minimisers(batches):
     shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
     counts = np.diff(np.append(starts, len(key)))
     mask = np.repeat(shared, counts)
-    many = np.repeat(counts > HOT_OWNERS, counts)
+    many = np.repeat(counts > hot_owners, counts)
     key, owner, many = key[mask], owner[mask], many[mask]
     order = np.lexsort((key, owner))
     key, owner, many = key[order], owner[order], many[order]
@@ -462,8 +464,6 @@ def _among(key: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, key), len(sorted_) - 1)] == key
 
 
-#: Owners of a minimiser from which on its stretches are spread over tasks before they are sorted.
-HOT_OWNERS = 50_000
 #: Bytes of stretches that are sorted at once in a task; a cut never parts equal minimisers.
 SORTED_AT_ONCE = 1_200_000
 
@@ -549,14 +549,15 @@ def _distinct(pieces: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.nda
 
 
 def _sort_places(batches):
-    """(mini, piece, id, row key, position) to (id, row key, s, e): bytes to remove."""
-    held = [b for b in batches if b.num_rows]
+    """(mini, salt, piece, id, row key, position) to (id, row key, s, e): bytes
+    to remove; stretches of hot minimisers are left to others."""
+    held = [b for b in map(_of_hot(False), batches) if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
     del held
-    minis, ids, row_key, pos = (table.column(k).to_numpy() for k in (0, 2, 3, 4))
-    pieces, of, first, last = _distinct(table.column(1).to_pylist(), ids)
+    minis, ids, row_key, pos = (table.column(k).to_numpy() for k in (0, 3, 4, 5))
+    pieces, of, first, last = _distinct(table.column(2).to_pylist(), ids)
     del table
     mini = np.empty(len(pieces), np.int64)
     mini[of] = minis
@@ -580,12 +581,27 @@ def _sort_places(batches):
         )
 
 
+def _of_hot(hot: bool):
+    """The rows of a batch that are (not) salted. Not a filter of the plan: that
+    would be pushed below the exchange, which then couldn't be shared."""
+
+    def run(batch):
+        salted = batch.column(1).to_numpy(zero_copy_only=False) > 0
+        return batch if (salted == hot).all() else batch.filter(pa.array(salted == hot))
+
+    return run
+
+
+def _hot_places(batches):
+    yield from (b for b in map(_of_hot(True), batches) if b.num_rows)
+
+
 def _distinct_pieces(batches):
-    """(mini, piece, id, ...) to (mini, piece, first, last) of a task's hot stretches."""
-    for batch in batches:
+    """(mini, salt, piece, id, ...) to (mini, piece, first, last) of a task's hot stretches."""
+    for batch in map(_of_hot(True), batches):
         if batch.num_rows:
-            ids = batch.column(2).to_numpy(zero_copy_only=False)
-            pieces, of, first, last = _distinct(batch.column(1).to_pylist(), ids)
+            ids = batch.column(3).to_numpy(zero_copy_only=False)
+            pieces, of, first, last = _distinct(batch.column(2).to_pylist(), ids)
             mini = np.empty(len(pieces), np.int64)
             mini[of] = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(pieces, pa.binary()), pa.array(first), pa.array(last)], ["mini", "piece", "first", "last"])
@@ -664,7 +680,7 @@ def _cut_out(with_text: bool, id_col: str):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot_owners: int = HOT_OWNERS) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans
     (byte offsets of what is removed) and kept (the bytes left): one row per
     row of ``docs``.
@@ -684,15 +700,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = copied.groupBy("id").agg(F.collect_list(F.struct("row_key", "starts", "sizes")).alias("copied"))  # no more than a text's segments
     known = named.join(copied.hint("shuffle_hash"), "id", "left").select("id", "text", "copied")
     loads = known.mapInArrow(_send_minimisers(buckets), "bucket int, load binary")
-    shared = loads.repartition(n, "bucket").mapInArrow(_shared_minimisers, "id long, bucket int, hashes binary, hot binary")
+    shared = loads.repartition(n, "bucket").mapInArrow(lambda batches: _shared_minimisers(batches, hot_owners), "id long, bucket int, hashes binary, hot binary")
     shared = shared.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes", "hot")).alias("shared"))
     suspects = known.join(shared.hint("shuffle_hash"), "id").select("id", "text", "copied", "shared")
     # one exchange: stretches of a minimiser together, those of hot ones spread by document
     places = suspects.mapInArrow(_send_places(buckets, n), "mini long, salt int, piece binary, id long, row_key int, pos int").repartition(n, "mini", "salt")
-    columns = ["mini", "piece", "id", "row_key", "pos"]
-    cut = places.filter("salt = 0").select(columns).mapInArrow(_sort_places, "id long, row_key int, s int, e int")
-    hot = places.filter("salt > 0").select(columns)
-    pieces = hot.mapInArrow(_distinct_pieces, "mini long, piece binary, first long, last long")
+    cut = places.mapInArrow(_sort_places, "id long, row_key int, s int, e int")
+    hot = places.mapInArrow(_hot_places, places.schema)
+    pieces = places.mapInArrow(_distinct_pieces, "mini long, piece binary, first long, last long")
     holders = pieces.repartition(n, "mini").mapInArrow(_sort_pieces, "mini long, piece binary, runs array<struct<o:int,n:int,m:long>>")
     met = hot.join(holders, ["mini", "piece"]).select("id", "row_key", "pos", F.explode("runs").alias("r")).filter("r.m < id")
     more_cut = met.select("id", "row_key", (F.col("pos") + F.col("r.o")).alias("s"), (F.col("pos") + F.col("r.o") + F.col("r.n") + (WIDTH - 1)).alias("e"))
