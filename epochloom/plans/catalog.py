@@ -1,10 +1,694 @@
-"""Named queries over the standard tables, with their SQL twins."""
+"""Named queries over the standard tables, with their SQL twins.
+
+``events`` stands for event tables (user = recording, type = label, value =
+duration), ``embeddings`` for feature vectors (label, id) and, cut into four
+channels of sixteen samples at 100 Hz, for epochs: the first four samples of a
+channel are the baseline phase, the other twelve the onset phase.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import decisions, expr
+from ..operators import checks, epochs, preprocess, reliability, similarity, spectral
+from ..sources import events as event_source
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+RATE = 100.0
+TOTAL = 2_592_000 * 100
+WINDOWS = epochs.Windows(60.0, 30.0, 20.0, 60.0, None, epochs.Baseline(-45.0, -5.0))
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c, name: str):
+    """Rounded to six places, so that the order of summing doesn't show."""
+    return F.round(c, 6).alias(name)
+
+
+# -- stand-ins
+
+
+def _onset(ts: str = "ts"):
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', {ts})") / F.lit(1e6)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.col("user_id").alias("recording_id"), _onset().alias("onset_seconds"), F.col("value").alias("duration_seconds"), F.col("event_type").alias("target_label"))
+
+
+_EVENTS = "ev AS (SELECT event_id, user_id AS recording_id, datediff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 AS onset_seconds, value AS duration_seconds, event_type AS target_label FROM events)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+_VECTORS = "v AS (SELECT label, vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings)"
+#: Vectors centred and divided by their norm.
+_UNITS = (
+    _VECTORS + ", c AS (SELECT label, id, x, list_transform(x, lambda e: e - list_avg(x)) AS d FROM v), "
+    "u AS (SELECT label, id, x, CASE WHEN list_dot_product(d, d) > 0 THEN list_transform(d, lambda e: e / sqrt(list_dot_product(d, d))) ELSE list_transform(d, lambda e: 0.0::DOUBLE) END AS u FROM c)"
+)
+_SUMS = (
+    _UNITS + ", p AS (SELECT label, id, unnest(u) AS v, generate_subscripts(u, 1) AS pos FROM u), ps AS (SELECT label, pos, sum(v) AS s FROM p GROUP BY ALL), "
+    "n AS (SELECT label, count(*) AS n, sum(list_dot_product(u, u)) AS q FROM u GROUP BY label), "
+    "wi AS (SELECT label, n, (sum(s * s) - any_value(q)) / (n * (n - 1)) AS within FROM ps JOIN n USING (label) GROUP BY label, n), "
+    "bt AS (SELECT a.label, b.label AS other_label, sum(a.s * b.s) / (any_value(na.n) * any_value(nb.n)) AS similarity FROM ps a JOIN ps b ON a.pos = b.pos AND a.label <> b.label "
+    "JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY a.label, b.label)"
+)
+
+
+def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, phase, channel_idx, channel, samples, sampling_rate_hz."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), "embedding")
+    rows = e.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("channel_idx"), "embedding")
+    cut = lambda a, n: F.slice("embedding", F.col("channel_idx") * 16 + 1 + a, n)
+    phases = F.inline(F.array(F.struct(F.lit("baseline").alias("phase"), cut(0, 4).alias("samples")), F.struct(F.lit("onset").alias("phase"), cut(4, 12).alias("samples"))))
+    return rows.select("event_id", "channel_idx", F.concat(F.lit("c"), F.col("channel_idx")).alias("channel"), phases).withColumn("sampling_rate_hz", F.lit(RATE))
+
+
+_EPOCHS = (
+    "ep AS (SELECT vec_id AS event_id, ch AS channel_idx, 'c' || ch AS channel, phase, CASE phase WHEN 'baseline' THEN embedding[ch * 16 + 1 : ch * 16 + 4] ELSE embedding[ch * 16 + 5 : ch * 16 + 16] END AS samples "
+    "FROM embeddings, (SELECT unnest(range(4)) AS ch), (SELECT unnest(['baseline', 'onset']) AS phase))"
+)
+_LONG = _EPOCHS + ", lg AS (SELECT event_id, channel_idx, phase, unnest(samples) AS v, generate_subscripts(samples, 1) - 1 AS pos FROM ep)"
+
+
+def _exploded(df: DataFrame) -> DataFrame:
+    """event_id, channel_idx, phase, pos, value: one row per sample."""
+    return df.select("event_id", F.col("channel_idx").cast("int").alias("channel_idx"), "phase", F.posexplode("samples").alias("pos", "v")).select(
+        "event_id", "channel_idx", "phase", F.col("pos").cast("int").alias("pos"), F.round(F.nanvl(F.col("v").cast("double"), F.lit(-999.0)), 5).alias("value")
+    )
+
+
+# -- events and epochs
+
+
+@query(
+    """WITH raw AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '  ' ELSE 'e' || event_id END AS given, 'rec_' || user_id AS recording_id, value, event_type, ts FROM events)
+    SELECT CASE WHEN trim(given) = '' THEN recording_id || '_event_' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) AS VARCHAR), 4, '0') ELSE given END AS event_id,
+    recording_id, round(value, 6) AS onset_seconds, 0.0::DOUBLE AS duration_seconds, 'stream' AS event_family, event_type AS target_label, '' AS event_subtype, 'ns' AS label_namespace FROM raw"""
+)
+def event_normalise(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    raw = e.select(
+        F.when(F.col("event_id") % 10 == 0, "  ").otherwise(F.concat(F.lit("e"), F.col("event_id"))).alias("event_id"), F.concat(F.lit("rec_"), F.col("user_id")).alias("recording_id"),
+        F.col("value").cast("string").alias("onset"), F.lit("stream").alias("family"), F.concat(F.lit(" "), F.col("event_type")).alias("label"), F.col("ts").alias("_ts"), F.col("event_id").alias("_n"),
+    )
+    out = event_source.normalise(raw, ["_ts", "_n"], label_namespace="ns").drop("metadata", "obs_idx")
+    return out.withColumn("onset_seconds", F.round("onset_seconds", 6))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 = 0 GROUP BY event_type")
+def label_filter(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view") & (F.col("user_id") % 3 == 0))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+_REQUESTS = f"""rq AS (SELECT event_id, phase, a AS requested_start, b AS requested_end FROM (
+    SELECT event_id, unnest(['pre_event', 'onset', 'sustained', 'offset', 'post_event', 'baseline']) AS phase, unnest([o - 60, o, ss, os, e, o - 45]) AS a, unnest([o, oe, greatest(ss, os), e, e + 60, o - 5]) AS b FROM (
+    SELECT *, least(oe, e) AS ss FROM (SELECT event_id, onset_seconds AS o, onset_seconds + duration_seconds AS e,
+    CASE WHEN duration_seconds > 0 THEN least(onset_seconds + duration_seconds, onset_seconds + 30) ELSE onset_seconds + 30 END AS oe,
+    CASE WHEN duration_seconds > 0 THEN greatest(onset_seconds, onset_seconds + duration_seconds - 20) ELSE onset_seconds + duration_seconds - 20 END AS os FROM ev))))"""
+
+
+@query(f"WITH {_EVENTS}, {_REQUESTS} SELECT event_id, phase, round(requested_start, 6) AS requested_start, round(requested_end, 6) AS requested_end FROM rq")
+def phase_requests(spark, sf_dir):
+    r = epochs.phase_requests(_events(spark, sf_dir), WINDOWS)
+    return r.select("event_id", "phase", r6("requested_start", "requested_start"), r6("requested_end", "requested_end"))
+
+
+@query(
+    f"""WITH {_EVENTS}, {_REQUESTS}, g AS (SELECT *, greatest(0.0, requested_start) AS s, greatest(greatest(0.0, requested_start), CASE WHEN requested_end < requested_start THEN requested_start ELSE requested_end END) AS t FROM rq),
+    h AS (SELECT *, greatest(0, least({TOTAL}, CAST(floor(s * 100.0::DOUBLE) AS BIGINT))) AS i, CASE WHEN requested_end < requested_start THEN requested_start ELSE requested_end END AS re FROM g),
+    k AS (SELECT *, greatest(i, least({TOTAL}, CAST(ceil(t * 100.0::DOUBLE) AS BIGINT))) AS j FROM h)
+    SELECT event_id, phase, CAST(i AS BIGINT) AS start_sample, CAST(j AS BIGINT) AS end_sample, CAST(j - i AS BIGINT) AS derived_samples,
+    (requested_end < requested_start OR s <> requested_start OR t <> re OR (j = {TOTAL} AND re > {TOTAL} / 100.0)) AS clipped,
+    CASE WHEN requested_end < requested_start THEN phase || ' requested end preceded start; collapsed to zero-length' WHEN s <> requested_start OR t <> re THEN phase || ' window was clipped to the recording bounds'
+    WHEN j = {TOTAL} AND re > {TOTAL} / 100.0 THEN phase || ' window exceeded the recording duration and was clipped' ELSE '' END AS warning FROM k"""
+)
+def phase_clamp(spark, sf_dir):
+    r = epochs.sample_range(epochs.phase_requests(_events(spark, sf_dir), WINDOWS), F.lit(RATE), F.lit(TOTAL))
+    return r.select("event_id", "phase", "start_sample", "end_sample", "derived_samples", "clipped", "warning")
+
+
+@query(
+    f"""WITH {_EVENTS} SELECT a.event_id, count(*) AS n, round(avg(p.duration_seconds), 6) AS mean_value FROM ev a JOIN ev p ON a.recording_id = p.recording_id
+    AND p.onset_seconds >= a.onset_seconds - 86400 AND p.onset_seconds < a.onset_seconds + 86400 WHERE a.target_label = 'purchase' GROUP BY a.event_id"""
+)
+def epoch_interval_join(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    anchors = e.filter("target_label = 'purchase'").select(F.col("event_id").alias("anchor"), "recording_id", (F.col("onset_seconds") - 86400).alias("s"), (F.col("onset_seconds") + 86400).alias("e"))
+    met = epochs.interval_join(e.select("recording_id", "onset_seconds", "duration_seconds"), anchors, "recording_id", "onset_seconds", "s", "e", 172800.0)
+    return met.groupBy(F.col("anchor").alias("event_id")).agg(F.count("*").alias("n"), r6(F.avg("duration_seconds"), "mean_value"))
+
+
+@query(
+    """WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+    SELECT vec_id AS event_id, phase, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 5) AS total FROM x JOIN (SELECT unnest(['a', 'b', 'c']) AS phase, unnest([0, 10, 30]) AS s, unnest([20, 40, 64]) AS e) r ON x.i >= r.s AND x.i < r.e GROUP BY ALL"""
+)
+def epoch_slices(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    chunk = 16  # channels come in chunks; ranges go over their edges
+    signals = v.select(F.col("vec_id").alias("recording_id"), F.lit(0).alias("channel_idx"), F.lit("c").alias("channel"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * chunk + 1, chunk))).alias("chunk_id", "samples"))
+    signals = signals.withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    ranges = v.select(F.col("vec_id").alias("recording_id"), F.inline(F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(a).cast("long").alias("start_sample"), F.lit(b).cast("long").alias("end_sample")) for p, a, b in (("a", 0, 20), ("b", 10, 40), ("c", 30, 64))])))
+    out = epochs.epochs(signals, ranges, chunk)
+    return out.select(F.col("recording_id").alias("event_id"), "phase", F.size("samples").cast("long").alias("n"), F.round(expr.array_sum(F.transform("samples", lambda s: s.cast("double"))), 5).alias("total"))
+
+
+# -- preprocessing
+
+
+def _branch(spark, sf_dir, **options):
+    return preprocess.preprocess(_epochs(spark, sf_dir), preprocess.Branch("branch", **options), ["event_id"])
+
+
+@query(
+    f"WITH {_LONG}, b AS (SELECT event_id, channel_idx, avg(CAST(v AS DOUBLE)) AS m FROM lg WHERE phase = 'baseline' GROUP BY ALL) "
+    "SELECT event_id, CAST(channel_idx AS INT) AS channel_idx, phase, CAST(pos AS INT) AS pos, round(CAST(CAST(v - m AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS value FROM lg JOIN b USING (event_id, channel_idx)"
+)
+def baseline_subtract(spark, sf_dir):
+    return _exploded(_branch(spark, sf_dir, baseline="subtract_mean"))
+
+
+@query(
+    f"WITH {_LONG}, t AS (SELECT unnest(['c2', 'c9', 'c0']) AS channel, unnest([0, 1, 2]) AS k), w AS (SELECT DISTINCT event_id, phase, pos FROM lg) "
+    "SELECT w.event_id, CAST(k AS INT) AS channel_idx, w.phase, CAST(w.pos AS INT) AS pos, round(coalesce(CAST(v AS DOUBLE), -999.0), 5) + 0.0::DOUBLE AS value FROM w CROSS JOIN t "
+    "LEFT JOIN lg ON lg.event_id = w.event_id AND lg.phase = w.phase AND lg.pos = w.pos AND 'c' || lg.channel_idx = t.channel"
+)
+def channel_align(spark, sf_dir):
+    return _exploded(_branch(spark, sf_dir, align_channels=("c2", "c9", "c0")))
+
+
+@query(
+    f"WITH {_EPOCHS}, c AS (SELECT event_id, list_sort(list(DISTINCT channel)) AS ch FROM ep WHERE channel_idx < 2 + event_id % 3 GROUP BY event_id) "
+    "SELECT event_id, array_to_string(list_filter(['c0', 'c2', 'c9', 'c2'], lambda x: NOT list_contains(ch, x)), ',') AS missing, array_to_string(list_filter(ch, lambda x: NOT list_contains(['c0', 'c2', 'c9'], x)), ',') AS dropped, 'c2' AS reused FROM c".replace(
+        "list_filter(['c0', 'c2', 'c9', 'c2'], lambda x:", "list_filter(['c0', 'c2', 'c9'], lambda x:"
+    )
+)
+def channel_remap_report(spark, sf_dir):
+    held = _epochs(spark, sf_dir).filter("channel_idx < 2 + event_id % 3").groupBy("event_id").agg(F.array_sort(F.collect_set("channel")).alias("ch"))
+    report = preprocess.remap_report(F.col("ch"), F.array(*map(F.lit, ("c0", "c2", "c9", "c2"))))
+    return held.select("event_id", report.alias("r")).select("event_id", *[F.array_join(f"r.{k}", ",").alias(k) for k in ("missing", "dropped", "reused")])
+
+
+@query(
+    f"WITH {_LONG}, m AS (SELECT event_id, phase, pos, avg(CAST(v AS DOUBLE)) AS m FROM lg GROUP BY ALL) "
+    "SELECT event_id, CAST(channel_idx AS INT) AS channel_idx, phase, CAST(pos AS INT) AS pos, round(CAST(CAST(v - m AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS value FROM lg JOIN m USING (event_id, phase, pos)"
+)
+def average_reference(spark, sf_dir):
+    return _exploded(_branch(spark, sf_dir, rereference="average"))
+
+
+@query(
+    f"WITH {_LONG}, m AS (SELECT event_id, phase, pos, avg(CAST(v AS DOUBLE)) AS m FROM lg WHERE channel_idx IN (1, 3) GROUP BY ALL) "
+    "SELECT event_id, CAST(channel_idx AS INT) AS channel_idx, phase, CAST(pos AS INT) AS pos, round(CAST(CAST(v - m AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS value FROM lg JOIN m USING (event_id, phase, pos)"
+)
+def channel_reference(spark, sf_dir):
+    return _exploded(_branch(spark, sf_dir, rereference="channels", reference_channels=("c1", "c3", "c7")))
+
+
+@query(f"WITH {_LONG} SELECT event_id, CAST(channel_idx AS INT) AS channel_idx, phase, CAST(pos AS INT) AS pos, round(CAST(CAST(v * 2.5::DOUBLE AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS value FROM lg")
+def scale_signal(spark, sf_dir):
+    return _exploded(_branch(spark, sf_dir, scale=2.5))
+
+
+@query(
+    f"WITH {_EPOCHS}, g AS (SELECT *, len(samples) AS n, CAST(round_even(len(samples) / 100.0::DOUBLE * 80.0, 0) AS INT) AS m FROM ep), k AS (SELECT event_id, channel_idx, phase, samples, n, unnest(range(m)) AS k, m FROM g), "
+    "f AS (SELECT *, least(k * n / m::DOUBLE, n - 1) AS t FROM k), h AS (SELECT *, CAST(floor(t) AS INT) AS lo FROM f) SELECT event_id, CAST(channel_idx AS INT) AS channel_idx, phase, CAST(k AS INT) AS pos, "
+    "round(CAST(CAST(samples[lo + 1] + CAST(samples[least(lo + 1, n - 1) + 1] - samples[lo + 1] AS DOUBLE) * (t - lo) AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS value FROM h"
+)
+def resample_linear(spark, sf_dir):
+    return _exploded(_branch(spark, sf_dir, resample_hz=80.0))
+
+
+@query(
+    "WITH k AS (SELECT vec_id AS id, embedding AS s, unnest(range(100)) AS k FROM embeddings), f AS (SELECT *, k * 63.0::DOUBLE / 99.0 AS t0 FROM k), f2 AS (SELECT *, least(k * (63.0::DOUBLE / 99.0), 63.0) AS t FROM f), "
+    "h AS (SELECT *, CAST(floor(t) AS INT) AS lo FROM f2) SELECT id, CAST(k AS INT) AS pos, round(CAST(CAST(s[lo + 1] + CAST(s[least(lo + 1, 63) + 1] - s[lo + 1] AS DOUBLE) * (t - lo) AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS value FROM h"
+)
+def resample_inclusive(spark, sf_dir):
+    out = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(expr.resample_inclusive("embedding", 100)).alias("pos", "v"))
+    return out.select("id", F.col("pos").cast("int").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
+@query(
+    # 12 samples at 100 Hz: bins of 8 1/3 Hz; the notch at 17 Hz takes bin 2. The rest is x minus that bin's part.
+    f"WITH {_LONG}, o AS (SELECT event_id, channel_idx, pos, CAST(v AS DOUBLE) AS v FROM lg WHERE phase = 'onset'), "
+    "d AS (SELECT event_id, channel_idx, sum(v * cos(2 * pi() * 2 * pos / 12)) AS re, sum(v * sin(2 * pi() * 2 * pos / 12)) AS im FROM o GROUP BY ALL) "
+    "SELECT CAST(channel_idx AS INT) AS channel_idx, CAST(pos AS INT) AS pos, round(avg(v - 2.0 / 12 * (re * cos(2 * pi() * 2 * pos / 12) + im * sin(2 * pi() * 2 * pos / 12))), 4) + 0.0::DOUBLE AS value FROM o JOIN d USING (event_id, channel_idx) GROUP BY ALL"
+)
+def notch_filter(spark, sf_dir):
+    out = _branch(spark, sf_dir, notch_hz=(17.0,)).filter("phase = 'onset'").select(F.col("channel_idx").cast("int").alias("channel_idx"), F.posexplode("samples").alias("pos", "v"))
+    return out.groupBy("channel_idx", F.col("pos").cast("int").alias("pos")).agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("value"))
+
+
+# -- prototypes and spectra
+
+
+@query(
+    "WITH x AS (SELECT label, vec_id % 3 AS subject, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(subject AS BIGINT) AS subject, CAST(pos AS INT) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS value FROM x GROUP BY ALL"
+)
+def subject_prototype(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).alias("subject"), F.posexplode("embedding").alias("pos", "v"))
+    return v.groupBy("label", "subject", F.col("pos").cast("int").alias("pos")).agg(r6(F.avg(F.col("v").cast("double")), "value"))
+
+
+@query(
+    "WITH x AS (SELECT label, vec_id % 3 AS subject, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), s AS (SELECT label, subject, pos, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY ALL) "
+    "SELECT label, CAST(pos AS INT) AS pos, round(avg(m), 6) AS value FROM s GROUP BY ALL"
+)
+def group_prototype(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).alias("subject"), F.posexplode("embedding").alias("pos", "v"))
+    s = v.groupBy("label", "subject", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return s.groupBy("label", F.col("pos").cast("int").alias("pos")).agg(r6(F.avg("m"), "value"))
+
+
+_DFT = (
+    "b AS (SELECT unnest(range(33)) AS k), bn AS (SELECT k, name FROM b JOIN (SELECT unnest(['delta', 'theta', 'alpha', 'beta', 'gamma']) AS name, unnest([1.0, 4, 8, 13, 30]) AS lo, unnest([4.0, 8, 13, 30, 45]) AS hi) z ON k * 100.0 / 64 >= lo AND k * 100.0 / 64 < hi), "
+    "x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), "
+    "d AS (SELECT vec_id, label, name, k, sum(v * cos(2 * pi() * k * i / 64)) AS re, sum(v * sin(2 * pi() * k * i / 64)) AS im FROM x CROSS JOIN bn GROUP BY ALL), "
+    "bp AS (SELECT vec_id AS id, label, name AS band, avg(re * re + im * im) AS power FROM d GROUP BY ALL)"
+)
+
+
+@query(f"WITH {_DFT} SELECT id, band, round(power, 5) AS power FROM bp")
+def bandpower(spark, sf_dir):
+    """By FFT in Arrow batches; the twin is a relational transform."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), spectral.band_power(F.col("embedding"), F.lit(RATE)).alias("b"))
+    return v.select("id", F.inline("b")).select("id", "band", F.round("power", 5).alias("power"))
+
+
+@query(f"WITH {_DFT} SELECT id, band, round(power, 5) AS power FROM bp")
+def bandpower_relational(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return spectral.relational_band_power(v, "id", "embedding", RATE, 64).select("id", "band", F.round("power", 5).alias("power"))
+
+
+def _band_rows(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), spectral.band_power(F.col("embedding"), F.lit(RATE)).alias("b"))
+    return v.select("label", "id", F.inline("b"))
+
+
+@query(f"WITH {_DFT} SELECT label, band, round(avg(power), 5) AS power FROM bp GROUP BY ALL")
+def profile_matrix(spark, sf_dir):
+    return _band_rows(spark, sf_dir).groupBy("label", "band").agg(F.round(F.avg("power"), 5).alias("power"))
+
+
+@query(
+    f"WITH {_DFT}, m AS (SELECT label, band, avg(power) AS power FROM bp GROUP BY ALL), t AS (SELECT a.label, a.band, any_value(a.power) - avg(b.power) AS score FROM m a JOIN m b ON a.band = b.band AND a.label <> b.label GROUP BY a.label, a.band) "
+    "SELECT label, band, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, band DESC) AS rank FROM t) WHERE rank <= 3"
+)
+def dominant_bands(spark, sf_dir):
+    means = _band_rows(spark, sf_dir).groupBy("label", "band").agg(F.avg("power").alias("power"))
+    # the mean of the other labels from the band's total: no join of labels with labels
+    over = Window.partitionBy("band")
+    rest = (F.sum("power").over(over) - F.col("power")) / (F.count("*").over(over) - 1)
+    scores = means.select("label", F.lit("band").alias("axis"), F.col("band").alias("name"), (F.col("power") - rest).alias("score"))
+    out = spectral.dominant(scores, ["label"], "name")
+    return out.select("label", F.col("name").alias("band"), F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    "SELECT axis, name, round(score, 6) AS score FROM (SELECT CASE WHEN grouping(event_type) = 0 THEN 'band' WHEN grouping(ch) = 0 THEN 'channel' ELSE 'phase' END AS axis, coalesce(event_type, ch, ph) AS name, avg(value) AS score "
+    "FROM (SELECT event_type, 'c' || user_id % 4 AS ch, 'p' || event_id % 3 AS ph, value FROM events) GROUP BY GROUPING SETS ((event_type), (ch), (ph)))"
+)
+def marginal_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("band"), F.concat(F.lit("c"), F.col("user_id") % 4).alias("channel"), F.concat(F.lit("p"), F.col("event_id") % 3).alias("phase"), F.col("value").alias("difference"))
+    return spectral.marginals(e, []).select("axis", "name", r6("score", "score"))
+
+
+# -- similarity
+
+
+@query(
+    f"WITH {_UNITS} SELECT a.label, a.id AS a, b.id AS b, round(list_dot_product(a.u, b.u), 6) AS similarity FROM u a JOIN u b ON a.label = b.label AND a.id < b.id WHERE a.id % 4 = 0 AND b.id % 4 = 0"
+)
+def safe_corr_pairs(spark, sf_dir):
+    v = _vectors(spark, sf_dir).filter("id % 4 = 0")
+    return similarity.pairwise(v, ["label"], "id", "x").select("label", "a", "b", r6("similarity", "similarity"))
+
+
+@query(
+    f"WITH {_UNITS} SELECT a.label, a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 1.0 ELSE round(list_dot_product(a.u, b.u), 6) END AS similarity FROM u a JOIN u b ON a.label = b.label WHERE a.id % 8 = 0 AND b.id % 8 = 0"
+)
+def similarity_matrix(spark, sf_dir):
+    v = _vectors(spark, sf_dir).filter("id % 8 = 0")
+    pairs = similarity.pairwise(v, ["label"], "id", "x")
+    return similarity.similarity_matrix(pairs, v, ["label"], "id").select("label", "a", "b", r6("similarity", "similarity"))
+
+
+def _sums(spark, sf_dir):
+    return similarity.unit_sums(similarity.unit_vectors(_vectors(spark, sf_dir), ["label"], "id", "x"), ["label"])
+
+
+@query(f"WITH {_SUMS} SELECT label, n, round(within, 6) AS within FROM wi")
+def within_label_similarity(spark, sf_dir):
+    return similarity.within(_sums(spark, sf_dir), ["label"]).select("label", "n", r6("within", "within"))
+
+
+@query(f"WITH {_SUMS} SELECT label, other_label, round(similarity, 6) AS similarity FROM bt")
+def cross_label_similarity(spark, sf_dir):
+    return similarity.between(_sums(spark, sf_dir), [], "label").select("label", "other_label", r6("similarity", "similarity"))
+
+
+def _margins(spark, sf_dir):
+    s = _sums(spark, sf_dir)
+    return similarity.control_margin(similarity.within(s, ["label"]), similarity.between(s, [], "label"), [], "label")
+
+
+_MARGINS = _SUMS + ", mg AS (SELECT label, n, within, avg(similarity) AS rest, max(similarity) AS strongest, arg_max(other_label, similarity) AS strongest_label, within - avg(similarity) AS margin FROM wi JOIN bt USING (label) GROUP BY label, n, within)"
+
+
+@query(f"WITH {_MARGINS} SELECT label, n, round(within, 6) AS within, round(rest, 6) AS rest, round(margin, 6) AS margin FROM mg")
+def control_margin(spark, sf_dir):
+    return _margins(spark, sf_dir).select("label", "n", r6("within", "within"), r6("rest", "rest"), r6("margin", "margin"))
+
+
+@query(f"WITH {_MARGINS} SELECT label, strongest_label, round(strongest, 6) AS strongest FROM mg")
+def strongest_control(spark, sf_dir):
+    return _margins(spark, sf_dir).select("label", "strongest_label", r6("strongest", "strongest"))
+
+
+#: corr(x, y) over lists in DuckDB.
+_CORR = "list_dot_product(list_transform({a}, lambda e: e - list_avg({a})), list_transform({b}, lambda e: e - list_avg({b}))) / sqrt(list_dot_product(list_transform({a}, lambda e: e - list_avg({a})), list_transform({a}, lambda e: e - list_avg({a}))) * list_dot_product(list_transform({b}, lambda e: e - list_avg({b})), list_transform({b}, lambda e: e - list_avg({b}))))"
+_CENTROIDS = _VECTORS + ", xp AS (SELECT label, id, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM v), ct AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(e) AS m FROM xp GROUP BY ALL) GROUP BY label)"
+
+
+@query(f"WITH {_CENTROIDS} SELECT label, round(avg({_CORR.format(a='x', b='c')}), 6) AS consistency FROM v JOIN ct USING (label) GROUP BY label")
+def subject_consistency(spark, sf_dir):
+    return similarity.consistency(_vectors(spark, sf_dir), ["label"], "x").select("label", r6("consistency", "consistency"))
+
+
+@query(
+    f"WITH {_CENTROIDS}, s AS (SELECT label, id, id % 5 AS subject, round({_CORR.format(a='x', b='c')}, 9) AS sim FROM v JOIN ct USING (label)), b AS (SELECT *, row_number() OVER (PARTITION BY label, subject ORDER BY sim DESC, id) = 1 AS best FROM s), "
+    "p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY best DESC, CASE WHEN best THEN subject END, CASE WHEN NOT best THEN sim END DESC, id) AS rank FROM b) SELECT label, id, CAST(rank AS INT) AS rank FROM p WHERE rank <= 6"
+)
+def exemplar_selection(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    met = v.join(similarity.centroids(v, ["label"], "x"), "label").select("label", "id", (F.col("id") % 5).alias("subject"), F.round(expr.safe_corr("x", "centroid"), 9).alias("sim"))
+    return similarity.exemplars(met, ["label"], "subject", "id", "sim", 6).select("label", "id", F.col("rank").cast("int").alias("rank"))
+
+
+# -- reliability
+
+_LOSO = (
+    _CENTROIDS + ", sm AS (SELECT label, list(s ORDER BY pos) AS s, any_value(n) AS n FROM (SELECT label, pos, sum(e) AS s, count(*) AS n FROM xp GROUP BY ALL) GROUP BY label), "
+    "r AS (SELECT v.label, v.id, x, n, list_transform(list_zip(s, x), lambda z: (z[1] - z[2]) / (n - 1)) AS rest FROM v JOIN sm USING (label)), "
+    f"o AS (SELECT v.label, v.id, max({_CORR.format(a='v.x', b='ct.c')}) AS other FROM v JOIN ct ON v.label <> ct.label GROUP BY v.label, v.id), "
+    f"lo AS (SELECT r.label, r.id, {_CORR.format(a='r.x', b='r.rest')} - o.other AS margin FROM r JOIN o USING (label, id) WHERE n >= 2)"
+)
+
+
+def _loso(spark, sf_dir):
+    return reliability.leave_one_out(_vectors(spark, sf_dir), [], "label", "id")
+
+
+@query(f"WITH {_LOSO} SELECT label, count(*) AS n, round(avg(margin), 6) AS mean_margin, round(min(margin), 6) AS min_margin, round(avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM lo GROUP BY label")
+def loso_holdout(spark, sf_dir):
+    s = reliability.holdout_summary(_loso(spark, sf_dir), ["label"])
+    return s.select("label", "n", *[r6(c, c) for c in ("mean_margin", "min_margin", "success_rate")])
+
+
+def _held_groups(spark, sf_dir, k: int):
+    v = _vectors(spark, sf_dir).withColumn("grp", F.concat(F.lit("g"), F.col("id") % k))
+    return reliability.grouped_holdout(v, [], "label", "grp").select("label", "grp", r6("margin", "margin"))
+
+
+def _held_sql(k: int) -> str:
+    return (
+        f"WITH {_CENTROIDS}, vg AS (SELECT *, 'g' || id % {k} AS grp FROM v), "
+        "sm AS (SELECT label, list(s ORDER BY pos) AS s, any_value(n) AS n FROM (SELECT label, pos, sum(e) AS s, count(*) AS n FROM xp GROUP BY ALL) GROUP BY label), "
+        f"xg AS (SELECT label, 'g' || id % {k} AS grp, pos, e FROM xp), sg AS (SELECT label, grp, list(s ORDER BY pos) AS p, any_value(m) AS m FROM (SELECT label, grp, pos, sum(e) AS s, count(*) AS m FROM xg GROUP BY ALL) GROUP BY ALL), "
+        "rs AS (SELECT label, grp, list_transform(list_zip(s, p), lambda z: (z[1] - z[2]) / (n - m)) AS rest FROM sm JOIN sg USING (label) WHERE n > m), "
+        f"ow AS (SELECT vg.label, vg.grp, avg({_CORR.format(a='x', b='rest')}) AS own FROM vg JOIN rs ON vg.label = rs.label AND vg.grp = rs.grp GROUP BY ALL), "
+        f"ot AS (SELECT vg.label, vg.grp, max({_CORR.format(a='x', b='c')}) AS other FROM vg JOIN ct ON vg.label <> ct.label GROUP BY ALL) "
+        "SELECT label, grp, round(own - other, 6) AS margin FROM ow JOIN ot USING (label, grp)"
+    )
+
+
+@query(_held_sql(2))
+def session_holdout(spark, sf_dir):
+    return _held_groups(spark, sf_dir, 2)
+
+
+@query(_held_sql(3))
+def cohort_holdout(spark, sf_dir):
+    return _held_groups(spark, sf_dir, 3)
+
+
+_NULL = (
+    _MARGINS + ", it AS (SELECT unnest(range(1, 9)) AS iteration), rk AS (SELECT iteration, id, row_number() OVER (PARTITION BY iteration ORDER BY md5('0_' || iteration || '_' || id), id) AS rank FROM u CROSS JOIN it), "
+    "sz AS (SELECT DISTINCT n AS k FROM n), al AS (SELECT pos, sum(v) AS a FROM p GROUP BY pos), tot AS (SELECT count(*) AS total FROM u), "
+    "sk AS (SELECT iteration, k, pos, sum(v) AS s, sum(v * v) AS q FROM rk JOIN p USING (id) JOIN sz ON rk.rank <= sz.k GROUP BY ALL), "
+    "nl AS (SELECT iteration, k, (sum(s * s) - sum(q)) / (k * (k - 1)) - sum(s * (a - s)) / (k * (any_value(total) - k)) AS nul FROM sk JOIN al USING (pos) CROSS JOIN tot GROUP BY iteration, k HAVING k >= 2)"
+)
+
+
+def _null(spark, sf_dir):
+    return reliability.label_shuffle_null(_vectors(spark, sf_dir), _margins(spark, sf_dir).select("label", "margin"), "label", "id", iterations=8)
+
+
+@query(
+    f"WITH {_NULL} SELECT label, count(*) AS iterations, round(avg(nul), 6) AS null_mean, round(stddev_pop(nul), 6) AS null_std, round(quantile_cont(nul, 0.95), 6) AS null_p95, "
+    "round((1 + count(*) FILTER (WHERE nul >= margin)) / (1.0 + count(*)), 6) AS p_value FROM mg JOIN nl ON nl.k = mg.n GROUP BY label"
+)
+def label_shuffle_null(spark, sf_dir):
+    return _null(spark, sf_dir).select("label", "iterations", *[r6(c, c) for c in ("null_mean", "null_std", "null_p95", "p_value")])
+
+
+@query(
+    f"WITH {_CENTROIDS}, nn AS (SELECT label, count(*) AS n FROM v GROUP BY label), it AS (SELECT unnest(range(1, 9)) AS iteration), "
+    "rk AS (SELECT label, iteration, id, n, row_number() OVER (PARTITION BY label, iteration ORDER BY md5('1009_' || iteration || '_' || id), id) AS rank FROM v JOIN nn USING (label) CROSS JOIN it), "
+    "pt AS (SELECT label, iteration, list(s ORDER BY pos) AS s FROM (SELECT label, iteration, pos, sum(e) AS s FROM rk JOIN xp USING (label, id) WHERE rank <= greatest(2, ceil(n * 0.75::DOUBLE)) AND n >= 3 GROUP BY ALL) GROUP BY ALL) "
+    f"SELECT label, round(avg({_CORR.format(a='s', b='c')}), 6) AS mean_similarity, round(min({_CORR.format(a='s', b='c')}), 6) AS min_similarity, count(*) AS iterations FROM pt JOIN ct USING (label) GROUP BY label"
+)
+def subsample_stability(spark, sf_dir):
+    s = reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id", iterations=8)
+    return s.select("label", r6("mean_similarity", "mean_similarity"), r6("min_similarity", "min_similarity"), "iterations")
+
+
+def _assessed(spark, sf_dir):
+    """Margin, holdout and subsample figures of each label with flags, robustness and tier."""
+    margin = _margins(spark, sf_dir).select("label", "n", "margin")
+    loso = reliability.holdout_summary(_loso(spark, sf_dir), ["label"]).select("label", F.col("success_rate").alias("loso"))
+    sub = reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id", iterations=8).drop("iterations")
+    met = margin.join(loso, "label", "left").join(sub, "label", "left")
+    none = F.lit(None).cast("double")
+    met = met.withColumn("flags", decisions.reliability_flags(F.col("n"), F.col("n"), F.col("margin"), F.col("loso"), none, none, F.lit(None).cast("string"), none, F.col("min_similarity")))
+    met = met.withColumn("robustness", decisions.robustness(F.lit("none"), F.col("margin"), F.col("loso"), none, none, none, F.col("mean_similarity")))
+    return met.withColumn("tier", decisions.tier(F.col("n"), F.col("n"), F.col("flags"), F.col("loso"), F.col("robustness"), F.col("margin")))
+
+
+_SUB = ORACLES["subsample_stability"].removeprefix(f"WITH {_CENTROIDS}, ").replace("round(avg(", "(avg(").replace("), 6) AS mean", ")) AS mean").replace("round(min(", "(min(").replace("), 6) AS min", ")) AS min")
+_SUB_CTES, _SUB_SELECT = _SUB.rsplit(" SELECT label, (avg", 1)
+_ASSESSED = (
+    _MARGINS + ", " + _LOSO.removeprefix(_VECTORS + ", ") + ", " + _SUB_CTES + ", ss AS (SELECT label, (avg" + _SUB_SELECT + "), "
+    "lz AS (SELECT label, avg(CASE WHEN margin > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS loso FROM lo GROUP BY label), "
+    "fa AS (SELECT mg.label, mg.n, margin, loso, mean_similarity, min_similarity, list_filter([CASE WHEN mg.n < 3 OR mg.n < 4 THEN 'low-support' END, CASE WHEN NOT coalesce(margin > 0.05, false) THEN 'control-weak' END, CASE WHEN loso < 0.67 THEN 'holdout-weak' END, "
+    "CASE WHEN min_similarity < 0.5 THEN 'unstable' END], lambda x: x IS NOT NULL) AS flags, (0.5 + least(1.0, greatest(0.0, (coalesce(margin, 0.0) + 0.2) / 0.4)) + coalesce(loso, 0.0) + 0.5 + 0.5 + 0.5 + coalesce(least(1.0, greatest(0.0, mean_similarity)), 0.5)) / 7 AS robustness "
+    "FROM mg LEFT JOIN lz USING (label) LEFT JOIN ss USING (label)), "
+    "ti AS (SELECT *, CASE WHEN n < 2 THEN 'insufficient' WHEN list_contains(flags, 'unstable') OR coalesce(loso < 0.5, false) THEN 'unstable' WHEN len(flags) = 0 AND robustness >= 0.78 THEN 'strong' WHEN coalesce(margin > 0.08, false) AND robustness >= 0.58 THEN 'moderate' ELSE 'exploratory' END AS tier FROM fa)"
+)
+
+
+@query(f"WITH {_ASSESSED} SELECT label, array_to_string(flags, ',') AS flags, round(robustness, 6) AS robustness, tier FROM ti")
+def reliability_tier(spark, sf_dir):
+    return _assessed(spark, sf_dir).select("label", F.array_join("flags", ",").alias("flags"), r6("robustness", "robustness"), "tier")
+
+
+#: Branches made of the vectors: as they are, shrunk with an offset, and every third component lost.
+_BRANCHES = "br AS (SELECT label, id, b AS branch, CASE b WHEN 'raw_preserving' THEN x WHEN 'light_clean' THEN list_transform(x, lambda e: e * 0.5 + 1.0) ELSE list_transform(x, lambda e, i: CASE WHEN i % 3 = 1 THEN 0.0::DOUBLE ELSE e END) END AS x FROM v CROSS JOIN (SELECT unnest(['raw_preserving', 'light_clean', 'comparison_safe']) AS b))"
+
+
+def _branch_vectors(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    made = F.array(
+        F.struct(F.lit("raw_preserving").alias("branch"), F.col("x").alias("y")), F.struct(F.lit("light_clean").alias("branch"), F.transform("x", lambda e: e * 0.5 + 1.0).alias("y")),
+        F.struct(F.lit("comparison_safe").alias("branch"), F.transform("x", lambda e, i: F.when(i % 3 == 0, 0.0).otherwise(e)).alias("y")),
+    )
+    return v.select("label", "id", F.inline(made)).withColumnRenamed("y", "x")
+
+
+@query(
+    f"WITH {_VECTORS}, {_BRANCHES}, c AS (SELECT *, list_transform(x, lambda e: e - list_avg(x)) AS d FROM br), uu AS (SELECT label, id, branch, list_transform(d, lambda e: e / sqrt(list_dot_product(d, d))) AS u FROM c), "
+    "pp AS (SELECT label, branch, id, unnest(u) AS v, generate_subscripts(u, 1) AS pos FROM uu), ps AS (SELECT label, branch, pos, sum(v) AS s FROM pp GROUP BY ALL), nn AS (SELECT label, branch, count(*) AS n FROM uu GROUP BY ALL), "
+    "wi AS (SELECT label, branch, n, (sum(s * s) - n) / (n * (n - 1)) AS within FROM ps JOIN nn USING (label, branch) GROUP BY ALL), "
+    "bt AS (SELECT a.label, a.branch, b.label AS ol, sum(a.s * b.s) / (any_value(na.n) * any_value(nb.n)) AS sim FROM ps a JOIN ps b ON a.branch = b.branch AND a.pos = b.pos AND a.label <> b.label JOIN nn na ON na.label = a.label AND na.branch = a.branch JOIN nn nb ON nb.label = b.label AND nb.branch = b.branch GROUP BY a.label, a.branch, b.label), "
+    "mg AS (SELECT label, branch, within - avg(sim) AS margin FROM wi JOIN bt USING (label, branch) GROUP BY label, branch, within), "
+    "xp AS (SELECT label, branch, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM br), ct AS (SELECT label, branch, list(m ORDER BY pos) AS c FROM (SELECT label, branch, pos, avg(e) AS m FROM xp GROUP BY ALL) GROUP BY ALL), "
+    f"j AS (SELECT a.label, a.branch, {_CORR.format(a='a.c', b='r.c')} AS similarity, m.margin, mr.margin AS rm FROM ct a JOIN ct r ON r.label = a.label AND r.branch = 'raw_preserving' JOIN mg m ON m.label = a.label AND m.branch = a.branch JOIN mg mr ON mr.label = a.label AND mr.branch = 'raw_preserving'), "
+    "k AS (SELECT *, CASE WHEN rm IS NULL OR rm = 0 THEN 1.0 WHEN margin IS NULL THEN 0.0 ELSE margin / rm END AS ratio FROM j) "
+    "SELECT label, branch, round(similarity, 6) AS similarity, round(margin, 6) AS margin, CASE WHEN branch = 'raw_preserving' THEN 'preserved' WHEN similarity >= 0.8 AND ratio >= 0.8 THEN 'preserved' WHEN similarity >= 0.55 AND ratio >= 0.45 THEN 'weakened' WHEN similarity >= 0.35 AND ratio > 0.2 THEN 'shifted' ELSE 'branch-sensitive' END AS status FROM k"
+)
+def branch_agreement(spark, sf_dir):
+    from ..operators.discovery import branch_agreement as agree
+
+    v = _branch_vectors(spark, sf_dir)
+    sums = similarity.unit_sums(similarity.unit_vectors(v, ["branch", "label"], "id", "x"), ["branch", "label"])
+    margins = similarity.control_margin(similarity.within(sums, ["branch", "label"]), similarity.between(sums, ["branch"], "label"), ["branch"], "label")
+    profiles = similarity.centroids(v, ["branch", "label"], "x").join(margins.select("branch", "label", "margin"), ["branch", "label"])
+    return agree(profiles, ["label"], "branch", "centroid").select("label", "branch", r6("similarity", "similarity"), r6("margin", "margin"), "status")
+
+
+# -- model evidence
+
+#: Two stand-in models: means and deviations of eight parts, and the first half.
+_MODELS = (
+    "em AS (SELECT label, id, 'pool' AS model, list_transform(range(8), lambda k: list_avg(x[k * 8 + 1 : k * 8 + 8])) AS x FROM v UNION ALL SELECT label, id, 'head' AS model, x[1:32] AS x FROM v), "
+    "c AS (SELECT *, list_transform(x, lambda e: e - list_avg(x)) AS d FROM em), mu AS (SELECT label, id, model, CASE WHEN list_dot_product(d, d) > 0 THEN list_transform(d, lambda e: e / sqrt(list_dot_product(d, d))) ELSE list_transform(d, lambda e: 0.0::DOUBLE) END AS u FROM mc), "
+    "mp AS (SELECT label, model, unnest(u) AS v, generate_subscripts(u, 1) AS pos FROM mu), mps AS (SELECT label, model, pos, sum(v) AS s FROM mp GROUP BY ALL), mn AS (SELECT label, model, count(*) AS n, sum(list_dot_product(u, u)) AS q FROM mu GROUP BY ALL), "
+    "mwi AS (SELECT label, model, n, (sum(s * s) - any_value(q)) / (n * (n - 1)) AS within FROM mps JOIN mn USING (label, model) GROUP BY label, model, n), "
+    "mbt AS (SELECT a.label, a.model, b.label AS ol, sum(a.s * b.s) / (any_value(na.n) * any_value(nb.n)) AS sim FROM mps a JOIN mps b ON a.model = b.model AND a.pos = b.pos AND a.label <> b.label JOIN mn na ON na.label = a.label AND na.model = a.model JOIN mn nb ON nb.label = b.label AND nb.model = b.model GROUP BY a.label, a.model, b.label), "
+    "ev AS (SELECT label, model, within - avg(sim) AS margin FROM mwi JOIN mbt USING (label, model) GROUP BY label, model, within), "
+    "cs AS (SELECT label, count(*) AS n_used, count(*) FILTER (WHERE margin > 0) AS n_positive, avg(margin) AS mean_margin FROM ev GROUP BY label), "
+    "cn AS (SELECT *, CASE WHEN n_used = 0 THEN 'insufficient' WHEN n_used >= 2 AND n_positive = n_used THEN 'strong_agreement' WHEN n_positive > 0 THEN 'partial_agreement' ELSE 'weak_agreement' END AS status FROM cs)"
+)
+
+
+def _evidence(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    pool = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: expr.array_sum(F.slice("x", k * 8 + 1, 8)) / 8)
+    made = F.inline(F.array(F.struct(F.lit("pool").alias("model"), pool.alias("y")), F.struct(F.lit("head").alias("model"), F.slice("x", 1, 32).alias("y"))))
+    em = v.select("label", "id", made).withColumnRenamed("y", "x")
+    sums = similarity.unit_sums(similarity.unit_vectors(em, ["model", "label"], "id", "x"), ["model", "label"])
+    return similarity.control_margin(similarity.within(sums, ["model", "label"]), similarity.between(sums, ["model"], "label"), ["model"], "label").select("label", "model", "margin")
+
+
+@query(f"WITH {_VECTORS}, {_MODELS} SELECT label, n_used, n_positive, round(mean_margin, 6) AS mean_margin, status FROM cn")
+def backbone_consensus(spark, sf_dir):
+    from ..operators.backbone import consensus
+
+    out = consensus(_evidence(spark, sf_dir).withColumn("status", F.lit("used")), ["label"])
+    return out.select("label", "n_used", "n_positive", r6("mean_margin", "mean_margin"), F.col("consensus").alias("status"))
+
+
+@query(
+    f"WITH {_ASSESSED}, {_MODELS} "
+    "SELECT ti.label, CASE WHEN cn.status = 'strong_agreement' AND tier = 'moderate' AND NOT list_has_any(flags, ['unstable', 'holdout-weak', 'session-holdout-weak', 'cohort-holdout-weak', 'control-weak']) THEN 'strong' WHEN cn.status IN ('weak_agreement', 'insufficient') AND tier = 'strong' THEN 'moderate' WHEN cn.status IN ('weak_agreement', 'insufficient') AND tier = 'moderate' THEN 'exploratory' ELSE tier END AS tier, "
+    "round(1 - (robustness + CASE cn.status WHEN 'strong_agreement' THEN 1.0 WHEN 'partial_agreement' THEN 0.72 WHEN 'weak_agreement' THEN 0.38 ELSE 0.18 END) / 2, 6) AS fragility FROM ti JOIN cn USING (label)"
+)
+def tier_update(spark, sf_dir):
+    from ..operators.backbone import consensus
+
+    seen = consensus(_evidence(spark, sf_dir).withColumn("status", F.lit("used")), ["label"])
+    met = _assessed(spark, sf_dir).join(seen, "label")
+    return met.select(
+        "label", decisions.tier_update(F.col("tier"), F.col("flags"), F.col("consensus"), F.col("n_used")).alias("tier"),
+        r6(decisions.updated_fragility(F.col("robustness"), F.col("consensus"), F.col("n_used")), "fragility"),
+    )
+
+
+# -- checks
+
+
+@query(
+    f"WITH {_EVENTS}, o AS (SELECT recording_id, event_id, onset_seconds + duration_seconds AS e, lead(event_id) OVER w AS nx, lead(onset_seconds) OVER w AS ns FROM ev WINDOW w AS (PARTITION BY recording_id ORDER BY onset_seconds, onset_seconds + duration_seconds, event_id)) "
+    'SELECT recording_id, event_id AS "left", nx AS "right" FROM o WHERE nx IS NOT NULL AND ns < e'
+)
+def event_overlap(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("_end", F.col("onset_seconds") + F.col("duration_seconds"))
+    return checks.overlaps(e, "recording_id", "onset_seconds", "_end", "event_id")
+
+
+@query("WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 5 = 0 GROUP BY ALL) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS labels FROM c HAVING max(n) >= 3.0 * min(n)")
+def class_imbalance(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P' OR o_orderkey % 5 = 0")
+    return checks.imbalance(o, ["o_orderpriority", "o_orderstatus"])
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return checks.duplicates(table(spark, sf_dir, "events"), ["user_id", "event_type"])
+
+
+@query(
+    "WITH l AS (SELECT DISTINCT o_orderpriority AS label, o_custkey FROM orders), p AS (SELECT a.label AS l, b.label AS r FROM l a JOIN l b ON a.o_custkey = b.o_custkey AND a.label < b.label) SELECT l AS left_label, min(r) AS right_label FROM p GROUP BY l"
+)
+def subject_leakage(spark, sf_dir):
+    return checks.leakage(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey")
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT user_id % 7 AS branch, user_id AS collection, event_type AS channel FROM events WHERE event_id % 3 = 0), t AS (SELECT branch, count(DISTINCT collection) AS total FROM d GROUP BY branch), "
+    "s AS (SELECT branch, channel, count(*) AS n FROM d GROUP BY ALL) SELECT branch, count(*) FILTER (WHERE n = total) AS in_all, count(*) AS in_any FROM s JOIN t USING (branch) GROUP BY branch HAVING count(*) FILTER (WHERE n = total) < count(*)"
+)
+def montage_consistency(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 7).alias("branch"), F.col("user_id").alias("collection"), F.col("event_type").alias("channel"))
+    return checks.inconsistent_montage(e, "branch", "collection", "channel")
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(DISTINCT c_custkey) AS n FROM customer GROUP BY ALL HAVING count(DISTINCT c_custkey) < 12")
+def too_few_subjects(spark, sf_dir):
+    return checks.few(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey", 12)
+
+
+@query("SELECT p_brand, count(DISTINCT p_size) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY p_brand HAVING count(DISTINCT p_size) > 1")
+def rate_mismatch(spark, sf_dir):
+    return checks.mixed(table(spark, sf_dir, "part").filter("p_partkey % 3 = 0"), ["p_brand"], "p_size")
+
+
+@query(
+    "WITH ob AS (SELECT 'col_' || user_id % 40 AS collection_id, 'r' || user_id % 40 AS recording_id, 's' || user_id % 20 AS subject_id, 'f' || event_id % 2 AS fam, event_type AS label, 'b' || user_id % 2 AS branch, 100.0 + CASE WHEN user_id % 13 = 0 THEN 10 ELSE 0 END AS rate, 'p' || user_id % 80 AS path, event_id FROM events WHERE event_type <> 'error' OR event_id % 20 = 0) "
+    "SELECT 'error' AS level, 'study.recording_collision' AS code, count(*) AS n FROM (SELECT recording_id FROM ob GROUP BY 1 HAVING count(DISTINCT path) > 1) UNION ALL "
+    "SELECT 'error', 'study.sample_rate_mismatch', count(*) FROM (SELECT fam, label, branch FROM ob GROUP BY ALL HAVING count(DISTINCT rate) > 1) UNION ALL "
+    "SELECT 'error', 'study.too_few_subjects', count(*) FROM (SELECT fam, label, branch FROM ob GROUP BY ALL HAVING count(DISTINCT subject_id) < 10) UNION ALL "
+    "SELECT 'warning', 'study.class_imbalance', count(*) FROM (SELECT 1 FROM (SELECT count(*) AS n FROM ob GROUP BY fam, label, branch) HAVING max(n) >= 3 * min(n)) UNION ALL "
+    "SELECT 'warning', 'study.subject_leakage_risk', count(*) FROM (SELECT DISTINCT a.label FROM ob a JOIN ob b ON a.subject_id = b.subject_id AND a.label < b.label) "
+)
+def study_validation_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type <> 'error' OR event_id % 20 = 0")
+    tag = lambda p, k: F.concat(F.lit(p), F.col("user_id") % k)
+    ob = e.select(
+        tag("col_", 40).alias("collection_id"), tag("r", 40).alias("recording_id"), tag("s", 20).alias("subject_id"), F.lit("ns").alias("label_namespace"), F.concat(F.lit("f"), F.col("event_id") % 2).alias("event_family"),
+        F.col("event_type").alias("target_label"), tag("b", 2).alias("branch_name"), "event_id", (F.lit(100.0) + F.when(F.col("user_id") % 13 == 0, 10).otherwise(0)).alias("sampling_rate_hz"),
+        tag("p", 80).alias("source_path"), F.array(F.lit("c0"), F.lit("c1")).alias("channels"),
+    )
+    found = checks.study_report(ob, min_subjects=10)
+    codes = spark.createDataFrame([("error", f"study.{c}") for c in ("recording_collision", "sample_rate_mismatch", "too_few_subjects")] + [("warning", f"study.{c}") for c in ("class_imbalance", "subject_leakage_risk")], "level string, code string")
+    counts = found.groupBy("level", "code").agg(F.count("*").alias("n"))
+    return F.broadcast(codes).join(counts, ["level", "code"], "left").select("level", "code", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query(
+    "SELECT n_nationkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(r_name || ' -- ' || n_name)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug FROM nation JOIN region ON n_regionkey = r_regionkey"
+)
+def slugify_partition_path(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    met = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    return met.select("n_nationkey", expr.slugify(F.concat_ws(" -- ", "r_name", "n_name")).alias("slug"))
+
+
+_EDGES = "ed AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'r' || r_regionkey, 'root' FROM region)"
+
+
+@query(
+    f"WITH RECURSIVE {_EDGES}, up(child, ancestor, depth) AS (SELECT child, parent, 1 FROM ed UNION ALL SELECT up.child, ed.parent, up.depth + 1 FROM up JOIN ed ON up.ancestor = ed.child) SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY ALL"
+)
+def lineage_closure(spark, sf_dir):
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c))
+    n = table(spark, sf_dir, "nation").select(tag("n", "n_nationkey").alias("child"), tag("r", "n_regionkey").alias("parent"))
+    s = table(spark, sf_dir, "supplier").select(tag("s", "s_suppkey").alias("child"), tag("n", "s_nationkey").alias("parent"))
+    r = table(spark, sf_dir, "region").select(tag("r", "r_regionkey").alias("child"), F.lit("root").alias("parent"))
+    return checks.lineage_closure(n.unionByName(s).unionByName(r))
