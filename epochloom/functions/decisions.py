@@ -40,7 +40,7 @@ def reliability_flags(n_subjects: Column, n_events: Column, margin: Column, loso
 
 def robustness(branch: Column, margin: Column, loso: Column, session: Column, cohort: Column, p_value: Column, subsample_mean: Column) -> Column:
     """Mean of seven terms, each from 0 to 1."""
-    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    clip = lambda x: F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))  # noqa: E731  (least and greatest skip nulls)
     branch_term = F.lit(0.5)
     for name, value in BRANCH_SCORE.items():
         branch_term = F.when(branch == name, F.lit(value)).otherwise(branch_term)

@@ -534,7 +534,7 @@ def _branch_vectors(spark, sf_dir):
 @query(
     f"WITH {_VECTORS}, {_BRANCHES}, c AS (SELECT *, list_transform(x, lambda e: e - list_avg(x)) AS d FROM br), uu AS (SELECT label, id, branch, list_transform(d, lambda e: e / sqrt(list_dot_product(d, d))) AS u FROM c), "
     "pp AS (SELECT label, branch, id, unnest(u) AS v, generate_subscripts(u, 1) AS pos FROM uu), ps AS (SELECT label, branch, pos, sum(v) AS s FROM pp GROUP BY ALL), nn AS (SELECT label, branch, count(*) AS n FROM uu GROUP BY ALL), "
-    "wi AS (SELECT label, branch, n, (sum(s * s) - n) / (n * (n - 1)) AS within FROM ps JOIN nn USING (label, branch) GROUP BY ALL), "
+    "wi AS (SELECT label, branch, n, (sum(s * s) - n) / (n * (n - 1)) AS within FROM ps JOIN nn USING (label, branch) GROUP BY label, branch, n), "
     "bt AS (SELECT a.label, a.branch, b.label AS ol, sum(a.s * b.s) / (any_value(na.n) * any_value(nb.n)) AS sim FROM ps a JOIN ps b ON a.branch = b.branch AND a.pos = b.pos AND a.label <> b.label JOIN nn na ON na.label = a.label AND na.branch = a.branch JOIN nn nb ON nb.label = b.label AND nb.branch = b.branch GROUP BY a.label, a.branch, b.label), "
     "mg AS (SELECT label, branch, within - avg(sim) AS margin FROM wi JOIN bt USING (label, branch) GROUP BY label, branch, within), "
     "xp AS (SELECT label, branch, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM br), ct AS (SELECT label, branch, list(m ORDER BY pos) AS c FROM (SELECT label, branch, pos, avg(e) AS m FROM xp GROUP BY ALL) GROUP BY ALL), "
@@ -557,7 +557,7 @@ def branch_agreement(spark, sf_dir):
 #: Two stand-in models: means and deviations of eight parts, and the first half.
 _MODELS = (
     "em AS (SELECT label, id, 'pool' AS model, list_transform(range(8), lambda k: list_avg(x[k * 8 + 1 : k * 8 + 8])) AS x FROM v UNION ALL SELECT label, id, 'head' AS model, x[1:32] AS x FROM v), "
-    "c AS (SELECT *, list_transform(x, lambda e: e - list_avg(x)) AS d FROM em), mu AS (SELECT label, id, model, CASE WHEN list_dot_product(d, d) > 0 THEN list_transform(d, lambda e: e / sqrt(list_dot_product(d, d))) ELSE list_transform(d, lambda e: 0.0::DOUBLE) END AS u FROM mc), "
+    "mc AS (SELECT *, list_transform(x, lambda e: e - list_avg(x)) AS d FROM em), mu AS (SELECT label, id, model, CASE WHEN list_dot_product(d, d) > 0 THEN list_transform(d, lambda e: e / sqrt(list_dot_product(d, d))) ELSE list_transform(d, lambda e: 0.0::DOUBLE) END AS u FROM mc), "
     "mp AS (SELECT label, model, unnest(u) AS v, generate_subscripts(u, 1) AS pos FROM mu), mps AS (SELECT label, model, pos, sum(v) AS s FROM mp GROUP BY ALL), mn AS (SELECT label, model, count(*) AS n, sum(list_dot_product(u, u)) AS q FROM mu GROUP BY ALL), "
     "mwi AS (SELECT label, model, n, (sum(s * s) - any_value(q)) / (n * (n - 1)) AS within FROM mps JOIN mn USING (label, model) GROUP BY label, model, n), "
     "mbt AS (SELECT a.label, a.model, b.label AS ol, sum(a.s * b.s) / (any_value(na.n) * any_value(nb.n)) AS sim FROM mps a JOIN mps b ON a.model = b.model AND a.pos = b.pos AND a.label <> b.label JOIN mn na ON na.label = a.label AND na.model = a.model JOIN mn nb ON nb.label = b.label AND nb.model = b.model GROUP BY a.label, a.model, b.label), "
