@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,30 +88,33 @@ def sensor_position(name: Column) -> Column:
     return F.when(y.isNotNull() & x.isNotNull(), F.struct((x * scale).alias("x"), (y * scale).alias("y"), z.alias("z")))
 
 
+def _embedder(embed: Callable[[np.ndarray], np.ndarray], keys: list[str]):
+    def one(channels) -> tuple[np.ndarray | None, str | None]:
+        try:
+            return np.asarray(embed(np.stack([np.asarray(c, np.float32) for c in channels])), np.float64).ravel(), None
+        except Exception as fault:  # a row's fault is evidence, kept in the status table
+            return None, f"{type(fault).__name__}: {fault}"
+
+    def run(batches):
+        for b in batches:
+            out = b[keys].copy()
+            out["x"], out["message"] = zip(*map(one, b["data"])) if len(b) else ((), ())
+            yield out
+
+    return run
+
+
 def embeddings(matrix: DataFrame, models: list[Model], keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(keys, model_id, x; keys, model_id, status, message). A model that fails
     on a row gives a status row, not a failed task."""
-    x, status = None, None
+    done = None
     for model in models:
-        rows = prepared(matrix, model)
-
-        @F.pandas_udf("struct<x:array<double>,message:string>")
-        def run(data: pd.Series, embed=model.embed) -> pd.DataFrame:
-            out, said = [], []
-            for channels in data:
-                try:
-                    out.append(np.asarray(embed(np.stack([np.asarray(c, np.float32) for c in channels])), np.float64).ravel())
-                    said.append(None)
-                except Exception as fault:  # a row's fault is evidence, kept in the status table
-                    out.append(None)
-                    said.append(f"{type(fault).__name__}: {fault}")
-            return pd.DataFrame({"x": out, "message": said})
-
-        done = rows.select(*keys, "model_id", run("data").alias("_r"))
-        own = done.filter("_r.x IS NOT NULL").select(*keys, "model_id", "_r.x")
-        said = done.select(*keys, "model_id", F.when(F.col("_r.x").isNull(), "failed").otherwise("used").alias("status"), F.col("_r.message").alias("message"))
-        x, status = (own, said) if x is None else (x.unionByName(own), status.unionByName(said))
-    return x, status
+        rows = prepared(matrix, model).select(*keys, "model_id", "data")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "data") + ", x array<double>, message string"
+        got = rows.mapInPandas(_embedder(model.embed, [*keys, "model_id"]), schema)
+        done = got if done is None else done.unionByName(got)
+    x = done.filter("x IS NOT NULL").select(*keys, "model_id", "x")
+    return x, done.select(*keys, "model_id", F.when(F.col("x").isNull(), "failed").otherwise("used").alias("status"), "message")
 
 
 def consensus(evidence: DataFrame, keys: list[str]) -> DataFrame:
