@@ -241,6 +241,7 @@ def resolve(captures: DataFrame, id_col: str) -> DataFrame:
         F.regexp_replace(_header("etag"), "^W/", "").alias("etag"), _header("last-modified").alias("modified"), "digest",
         F.transform("headers", lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value"))).alias("headers"),
     )
+    rows = materialise(rows, "parsed")  # ranges are found in one pass and dealt in another
     # by (URL, date) over many tasks; at one date revisits come before responses
     ordered = materialise(rows.repartitionByRange(partitions(spark), "url", "date", "role", "id").withColumn("task", F.spark_partition_id()), "captures")
     source = F.when((F.col("role") == 1) & F.col("url").isNotNull() & F.col("date").isNotNull(), F.struct("id", "date", "etag", "modified", "digest", "headers"))
