@@ -78,7 +78,7 @@ class _Parts(dict):
 class PieceModel:
     """Vocabulary and rules of a BPE model file, with encode and decode."""
 
-    def __init__(self, data: bytes, remember: int = 900_000, longest_remembered: int = 64):
+    def __init__(self, data: bytes, remember: int = 600_000, longest_remembered: int = 64):
         import struct
 
         self.pieces: list[str] = []
