@@ -36,6 +36,8 @@ from .common import only, partitions, read
 
 WIDTH = 50
 GRAM = 20
+#: Stands for a null id inside the operator; ids are smaller.
+NO_ID = 2**63 - 1
 #: A segment begins where the low bits of a hash are 0: every 128 bytes or so.
 CUT_MASK = np.uint64(127)
 #: Owners of a minimiser from which on its stretches are spread over tasks before they are sorted.
@@ -257,9 +259,11 @@ def smallest_holder(pieces: list[bytes], first: np.ndarray, width: int = WIDTH)
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    """ids and UTF-8 texts of a batch of (id, text)."""
+    """ids and UTF-8 texts of a batch of (id, text); rows without an id, which
+    neither remove nor are removed from, come as empty texts."""
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
+    texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
+    return ids, [b"" if i == NO_ID else t for i, t in zip(ids.tolist(), texts)] if (ids == NO_ID).any() else texts
 
 
 def _send_segments(buckets: int):
@@ -692,13 +696,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     n = partitions(docs.sparkSession)
     buckets = 2 * n
-    src = only(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
+    # null ids as a number, and no filter on ids: one below the exchange of texts would make it another exchange
+    src = only(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
     dealt = src.repartition(n, "id")
-    named = dealt.filter("id IS NOT NULL")
-    segments = src.filter("id IS NOT NULL").mapInArrow(_send_segments(buckets), "bucket int, load binary").repartition(n, "bucket")
+    segments = src.mapInArrow(_send_segments(buckets), "bucket int, load binary").repartition(n, "bucket")
     copied = segments.mapInArrow(_copied_segments, "id long, row_key int, starts binary, sizes binary")
     copied = copied.groupBy("id").agg(F.collect_list(F.struct("row_key", "starts", "sizes")).alias("copied"))  # no more than a text's segments
-    known = named.join(copied.hint("shuffle_hash"), "id", "left").select("id", "text", "copied")
+    known = dealt.join(copied.hint("shuffle_hash"), "id", "left").select("id", "text", "copied")
     loads = known.mapInArrow(_send_minimisers(buckets), "bucket int, load binary")
     shared = loads.repartition(n, "bucket").mapInArrow(lambda batches: _shared_minimisers(batches, hot_owners), "id long, bucket int, hashes binary, hot binary")
     shared = shared.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes", "hot")).alias("shared"))
@@ -714,7 +718,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = cut.unionByName(more_cut).groupBy("id").agg(F.collect_list(F.struct("row_key", "s", "e")).alias("cut"))
     rows = dealt.join(copied.hint("shuffle_hash"), "id", "left").join(cut.hint("shuffle_hash"), "id", "left").select("id", "text", "copied", F.coalesce("cut", F.array().cast("array<struct<row_key:int,s:int,e:int>>")).alias("cut"))
     more = ", spans array<struct<s:int,e:int>>, kept binary" if with_text else ""
-    return rows.mapInArrow(_cut_out(with_text, id_col), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
+    out = rows.mapInArrow(_cut_out(with_text, id_col), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
+    return out.withColumn(id_col, F.when(F.col(f"`{id_col}`") != NO_ID, F.col(f"`{id_col}`")))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
