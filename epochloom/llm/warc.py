@@ -136,50 +136,48 @@ CAPTURE = (
 _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
+#: Rows of bytes that are worked on at once, so that a batch of long ones stays small.
+SLICE = 256
+
+
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _captures(keys: pa.Array, data: Iterable[bytes | None], id_col: str, with_payload: bool) -> pa.RecordBatch:
+    """Rows of all records in some byte strings."""
+    ids, rows = [], []
+    for key, d in zip(keys.to_pylist(), data):
+        for r in records_in(d or b""):
+            ids.append(key)
+            rows.append((r, {k.lower(): v for k, v in r.fields.items()}))
+    cols = [
+        pa.array(ids, keys.type),
+        pa.array([r.kind for r, _ in rows], pa.string()),
+        pa.array([f.get("warc-target-uri", "").strip("<>") or None for _, f in rows], pa.string()),
+        pa.array([_date(f.get("warc-date")) for _, f in rows], pa.timestamp("us", "UTC")),
+        pa.array([f.get("warc-profile") for _, f in rows], pa.string()),
+        pa.array([r.http_status for r, _ in rows], pa.int32()),
+        pa.array([[{"name": k, "value": v} for k, v in r.headers] for r, _ in rows], _HEADERS),
+        pa.array([f.get("warc-payload-digest") or (payload_digest(r.payload) if r.kind == "response" else None) for r, f in rows], pa.string()),
+    ]
+    if with_payload:
+        cols.append(pa.array([r.payload for r, _ in rows], pa.binary()))
+    return pa.RecordBatch.from_arrays(cols, [id_col, "kind", "uri", "date", "profile", "http_status", "headers", "digest"] + ["payload"] * with_payload)
+
+
 def parse(packed: DataFrame, id_col: str, data_col: str, with_payload: bool = True) -> DataFrame:
     """One row per record of the WARC bytes in ``data_col``: id, the capture's
     columns and, if asked for, payload. Null bytes hold no record."""
     src = only(packed, id_col, data_col)
-    names = [id_col, "kind", "uri", "date", "profile", "http_status", "headers", "digest"] + ["payload"] * with_payload
 
     def run(batches):
-        for batch in batches:
-            for key, cell in zip(batch.column(0), batch.column(1)):
-                rows = [(r, {k.lower(): v for k, v in r.fields.items()}) for r in records_in(cell.as_py() or b"")]
-                if not rows:
-                    continue
-                cols = [
-                    pa.array([key.as_py()] * len(rows), batch.column(0).type),
-                    pa.array([r.kind for r, _ in rows], pa.string()),
-                    pa.array([f.get("warc-target-uri", "").strip("<>") or None for _, f in rows], pa.string()),
-                    pa.array([_date(f.get("warc-date")) for _, f in rows], pa.timestamp("us", "UTC")),
-                    pa.array([f.get("warc-profile") for _, f in rows], pa.string()),
-                    pa.array([r.http_status for r, _ in rows], pa.int32()),
-                    pa.array([[{"name": k, "value": v} for k, v in r.headers] for r, _ in rows], _HEADERS),
-                    pa.array([f.get("warc-payload-digest") or (payload_digest(r.payload) if r.kind == "response" else None) for r, f in rows], pa.string()),
-                ]
-                if with_payload:
-                    cols.append(pa.array([r.payload for r, _ in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    return _in_batches(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, {CAPTURE}" + ", payload binary" * with_payload)
-
-
-def _in_batches(src: DataFrame, run, schema: str, rows: int = 4096) -> DataFrame:
-    """mapInArrow whose small batches are put together."""
-
-    def joined(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows or sum(x.nbytes for x in held[-1:]) > 1 << 22:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return src.mapInArrow(joined, schema)
+        for batch in _slices(batches):
+            yield _captures(batch.column(0), batch.column(1).to_pylist(), id_col, with_payload)
+
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, {CAPTURE}" + ", payload binary" * with_payload)
 
 
 def _date(text: str | None):
@@ -301,21 +299,36 @@ def page_captures(page_id: int, url: str | None, html: str | None) -> Iterable[R
     )
 
 
+def _page_bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [b"".join(map(to_bytes, page_captures(*row))) for row in zip(*(c.to_pylist() for c in batch.columns))]
+
+
 def archive(pages: DataFrame) -> DataFrame:
-    """(page_id, data): each page's captures as WARC bytes. Pages without an id are left out of the archive's numbering and so have none."""
+    """(page_id, data): each page's captures as WARC bytes. The captures' dates
+    come from the ids, so pages without an id have none."""
     src = only(pages, "page_id", "url", "html").filter("page_id IS NOT NULL")
 
     def run(batches):
-        for batch in batches:
-            ids, urls, pages_ = (c.to_pylist() for c in batch.columns)
-            data = [b"".join(map(to_bytes, page_captures(*row))) for row in zip(ids, urls, pages_)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["page_id", "data"])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_page_bytes(batch), pa.binary())], ["page_id", "data"])
 
     return src.mapInArrow(run, "page_id long, data binary")
 
 
+def archived_captures(pages: DataFrame) -> DataFrame:
+    """parse(archive(pages)) without payloads, the bytes made and read again in
+    one task instead of travelling between two."""
+    src = only(pages, "page_id", "url", "html").filter("page_id IS NOT NULL")
+
+    def run(batches):
+        for batch in _slices(batches):
+            yield _captures(batch.column(0), _page_bytes(batch), "page_id", False)
+
+    return src.mapInArrow(run, f"page_id long, {CAPTURE}")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = parse(archive(read(spark, sf_dir, "pages")), "page_id", "data", with_payload=False)
+    captures = archived_captures(read(spark, sf_dir, "pages"))
     out = resolve(captures, "page_id")
     return out.select(
         "page_id", "kind", "url", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), "status", "source_id",
