@@ -12,6 +12,12 @@ def _col(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value made once: inside a lambda an expression is
+    evaluated again for every element, a lambda's variable isn't."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or(x: ColumnLike, *others: ColumnLike) -> Column:
     """Trimmed text; a blank one counts as absent and the next one is taken."""
     return F.coalesce(*[F.nullif(F.trim(_col(c)), F.lit("")) for c in (x, *others)], F.lit(""))
@@ -41,47 +47,42 @@ def centred_unit(x: ColumnLike) -> Column:
     """A vector minus its mean, divided by its norm; zeros if the norm is 0."""
     v = F.transform(_col(x), lambda e: e.cast("double"))
 
-    def centred(w: Column) -> Column:
-        mean = array_sum(w) / F.size(w)
-        return F.transform(w, lambda e: e - mean)
+    def scaled(d: Column) -> Column:
+        norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, e: s + e * e))
+        return let(norm, lambda n: F.transform(d, lambda e: F.when(n > 0, e / n).otherwise(F.lit(0.0))))
 
-    def scaled(w: Column) -> Column:
-        norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, e: s + e * e))
-        return F.transform(w, lambda e: F.when(norm > 0, e / norm).otherwise(F.lit(0.0)))
+    def centred(w: Column) -> Column:
+        return let(array_sum(w) / F.size(w), lambda m: let(F.transform(w, lambda e: e - m), scaled))
 
-    # each step is a lambda over a one-element array: its value is made once
-    once = F.element_at(F.transform(F.transform(F.array(v), centred), scaled), 1)
-    return F.when(F.size(v) > 0, once).otherwise(v)
+    return F.when(F.size(_col(x)) > 0, let(v, centred)).otherwise(v)
 
 
 def safe_corr(a: ColumnLike, b: ColumnLike) -> Column:
     """Pearson correlation over the positions where neither side is NaN or
     null; 0 with fewer than two of them or without variance."""
-    pairs = F.filter(
+    both = F.filter(
         F.zip_with(_col(a), _col(b), lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))),
         lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]),
     )
     zero = F.lit(0.0)
-    sums = F.aggregate(
-        pairs,
-        F.struct(zero.alias("n"), zero.alias("x"), zero.alias("y")),
-        lambda s, p: F.struct((s["n"] + 1).alias("n"), (s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")),
-    )
 
-    def score(s: Column) -> Column:
-        mx, my = F.try_divide(s["x"], s["n"]), F.try_divide(s["y"], s["n"])
-        products = F.aggregate(
-            pairs,
-            F.struct(zero.alias("xy"), zero.alias("xx"), zero.alias("yy")),
-            lambda t, p: F.struct(
-                (t["xy"] + (p["x"] - mx) * (p["y"] - my)).alias("xy"), (t["xx"] + (p["x"] - mx) * (p["x"] - mx)).alias("xx"), (t["yy"] + (p["y"] - my) * (p["y"] - my)).alias("yy")
-            ),
-            lambda t: F.when((t["xx"] > 0) & (t["yy"] > 0), t["xy"] / (F.sqrt(t["xx"]) * F.sqrt(t["yy"]))).otherwise(zero),
-        )
-        return F.when(s["n"] >= 2, products).otherwise(zero)
-
-    # a lambda's parameter names the sums once, so that they aren't computed twice
-    return F.element_at(F.transform(F.array(sums), score), 1)
+    def score(pairs: Column) -> Column:
+        sums = F.aggregate(pairs, F.struct(zero.alias("x"), zero.alias("y")), lambda s, p: F.struct((s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")))
+        means = F.transform(F.array(sums), lambda s: F.struct((s["x"] / F.size(pairs)).alias("x"), (s["y"] / F.size(pairs)).alias("y")))
+
+        def products(m: Column) -> Column:
+            return F.aggregate(
+                pairs,
+                F.struct(zero.alias("xy"), zero.alias("xx"), zero.alias("yy")),
+                lambda t, p: F.struct(
+                    (t["xy"] + (p["x"] - m["x"]) * (p["y"] - m["y"])).alias("xy"), (t["xx"] + (p["x"] - m["x"]) * (p["x"] - m["x"])).alias("xx"), (t["yy"] + (p["y"] - m["y"]) * (p["y"] - m["y"])).alias("yy")
+                ),
+                lambda t: F.when((t["xx"] > 0) & (t["yy"] > 0), t["xy"] / (F.sqrt(t["xx"]) * F.sqrt(t["yy"]))).otherwise(zero),
+            )
+
+        return F.when(F.size(pairs) >= 2, F.element_at(F.transform(means, products), 1)).otherwise(zero)
+
+    return let(both, score)
 
 
 def unit_interval(x: ColumnLike) -> Column:

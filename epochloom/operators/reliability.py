@@ -19,8 +19,7 @@ def _minus(a: Column, b: Column) -> Column:
 
 
 def _over(a: Column, n: Column) -> Column:
-    return F.transform(a, lambda x: x / n)
-
+    return F.transform(a, lambda x: x / n)  # n: a column, not an expression to be made again
 
 def vector_sums(df: DataFrame, keys: list[str], vector: str = "x", name: str = "total") -> DataFrame:
     """keys, n, total: position-wise sums."""

@@ -21,14 +21,13 @@ def unit_vectors(df: DataFrame, group: list[str], item: str, vector: str) -> Dat
 
 def unit_sums(units: DataFrame, group: list[str]) -> DataFrame:
     """group, n, q, s: the sum vector S in order, aggregated position by
-    position so that a large group is no single task's work."""
+    position so that a large group is no single task's work. Counts and squared
+    norms come out of the same pass."""
     at = units.select(*group, F.posexplode("u").alias("pos", "v"))
-    sums = at.groupBy(*group, "pos").agg(F.sum("v").alias("v"))
+    sums = at.groupBy(*group, "pos").agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("w"), F.count("*").alias("n"))
     # as many rows for a group as the vector is long
-    vectors = sums.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    norm = F.aggregate("u", F.lit(0.0), lambda a, v: a + v * v)
-    counts = units.groupBy(*group).agg(F.count("*").alias("n"), F.sum(norm).alias("q"))
-    return vectors.join(counts, group).select(*group, "n", "q", F.transform("s", lambda p: p["v"]).alias("s"))
+    held = sums.groupBy(*group).agg(F.max("n").alias("n"), F.sum("w").alias("q"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
+    return held.select(*group, "n", "q", F.transform("s", lambda p: p["v"]).alias("s"))
 
 
 def _dot(a: Column, b: Column) -> Column:
