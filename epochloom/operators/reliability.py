@@ -32,9 +32,12 @@ def vector_sums(df: DataFrame, keys: list[str], vector: str = "x", name: str = "
 def best_other(vectors: DataFrame, sums: DataFrame, context: list[str], label: str, keep: list[str]) -> DataFrame:
     """For every row the best correlation with another label's centroid, 0 if
     there is no other label. As many partners as the context has labels."""
-    cents = sums.select(*context, F.col(label).alias("_other"), _over(F.col("total"), F.col("n")).alias("_c"))
-    held = cents.groupBy(*context).agg(F.collect_list(F.struct("_other", "_c")).alias("_cs")) if context else cents.agg(F.collect_list(F.struct("_other", "_c")).alias("_cs"))
-    met = vectors.join(F.broadcast(held), context) if context else vectors.crossJoin(F.broadcast(held))  # a row for each context, centroids of its labels
+    keys = context or ["_all"]
+    if not context:
+        sums, vectors = sums.withColumn("_all", F.lit(0)), vectors.withColumn("_all", F.lit(0))
+    cents = sums.select(*keys, F.struct(F.col(label).alias("_other"), _over(F.col("total"), F.col("n")).alias("_c")).alias("_e"))
+    held = cents.groupBy(*keys).agg(F.collect_list("_e").alias("_cs"))  # a row for each context: its labels' centroids
+    met = vectors.join(held, keys)
     others = F.filter("_cs", lambda c: c["_other"] != F.col(label))
     scores = F.transform(others, lambda c: safe_corr(F.col("x"), c["_c"]))
     return met.select(*keep, F.coalesce(F.array_max(scores), F.lit(0.0)).alias("other"))
@@ -97,10 +100,12 @@ def label_shuffle_null(vectors: DataFrame, margins: DataFrame, label: str, item:
     running = Window.partitionBy(*context, "iteration", "pos").orderBy("rank")
     totals = long.groupBy(*context, "iteration", "pos").agg(F.sum("v").alias("all"))
     at = long.withColumn("s", F.sum("v").over(running)).withColumn("q", F.sum(F.col("v") * F.col("v")).over(running))
-    cut = at.join(F.broadcast(counts.select(*context, "k").distinct()), [*context], "inner") if context else at.crossJoin(F.broadcast(counts.select("k").distinct()))
-    cut = cut.filter(F.col("rank") == F.col("k")).join(totals, [*context, "iteration", "pos"])
+    keys = context or ["_all"]
+    ks = (counts if context else counts.withColumn("_all", F.lit(0))).select(*keys, "k").distinct()
+    cut = (at if context else at.withColumn("_all", F.lit(0))).join(ks.withColumn("rank", F.col("k").cast("int")), [*keys, "rank"])
+    cut = cut.join(totals, [*context, "iteration", "pos"])
     sums = cut.groupBy(*context, "iteration", "k").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq"), F.sum(F.col("s") * (F.col("all") - F.col("s"))).alias("cross"))
-    sums = sums.join(sizes, context) if context else sums.crossJoin(sizes)
+    sums = sums.join(sizes, context) if context else sums.withColumn("_all", F.lit(0)).join(sizes.withColumn("_all", F.lit(0)), "_all")
     sums = sums.filter("k >= 2 AND total > k")
     null = sums.select(*context, "k", "iteration", ((F.col("ss") - F.col("qq")) / (F.col("k") * (F.col("k") - 1)) - F.col("cross") / (F.col("k") * (F.col("total") - F.col("k")))).alias("null"))
     met = counts.join(margins, [*context, label]).filter("margin IS NOT NULL").join(null, [*context, "k"])

@@ -43,8 +43,10 @@ def within(sums: DataFrame, group: list[str]) -> DataFrame:
 def between(sums: DataFrame, context: list[str], label: str) -> DataFrame:
     """context, label, other_label, similarity: mean over cross pairs. A join of
     groups, of which there are as many as labels."""
-    other = sums.select(*context, F.col(label).alias("other_label"), F.col("n").alias("m"), F.col("s").alias("t"))
-    pairs = (sums.join(other, context) if context else sums.crossJoin(F.broadcast(other))).filter(F.col(label) != F.col("other_label"))
+    keys = context or ["_all"]
+    sums = sums if context else sums.withColumn("_all", F.lit(0))
+    other = sums.select(*keys, F.col(label).alias("other_label"), F.col("n").alias("m"), F.col("s").alias("t"))
+    pairs = sums.join(other, keys).filter(F.col(label) != F.col("other_label"))
     return pairs.select(*context, label, "other_label", (_dot(F.col("s"), F.col("t")) / (F.col("n") * F.col("m"))).alias("similarity"))
 
 

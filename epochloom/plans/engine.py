@@ -214,7 +214,7 @@ class Engine:
         ids = mine("candidates").select(*discovery.GROUP, "pattern_id")
         routes = {"prototypes": "signals/processed", "subject_prototypes": "signals/processed", "exemplars": "derived", "subject_bandpower": "derived", "difference": "derived", "similarity": "derived", "controls": "derived", "branch_agreement": "support", "reliability": "support"}
         for table, place in routes.items():
-            mine(table).join(F.broadcast(ids), discovery.GROUP).write.mode("overwrite").partitionBy("pattern_id").parquet(f"{target}/{place}/{table}")
+            mine(table).join(ids, discovery.GROUP).write.mode("overwrite").partitionBy("pattern_id").parquet(f"{target}/{place}/{table}")
         report = ids.join(mine("candidates").drop("pattern_id"), discovery.GROUP).select(
             "pattern_id", F.concat_ws("\n", F.concat(F.lit("# "), F.col("pattern_id")), "signature", F.format_string("subjects: %d", "n_subjects"), F.format_string("margin: %s", F.col("margin").cast("string")), F.concat(F.lit("tier: "), F.col("tier"))).alias("value")
         )
