@@ -55,6 +55,14 @@ def encode(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into small ones, so that what is made of a batch of
+    long texts stays small in a worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

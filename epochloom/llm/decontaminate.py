@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode, only, read
+from .common import encode, only, read, slices
 
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; all
 #: else is a gap. The same words as the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -103,7 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     def run(batches):
         index = WindowIndex(shared.value, width)
-        for batch in batches:
+        for batch in slices(batches):
             n, hit, ids, at = [], [], [], []
             for cell in batch.column(1):
                 text = cell.as_py() or ""

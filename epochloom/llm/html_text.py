@@ -19,7 +19,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, read
+from .common import only, read, slices
 
 #: Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,7 +242,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != html_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p.as_py()) for p in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, *keep, "text", "n_chars"])
 

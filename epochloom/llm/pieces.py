@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, read
+from .common import only, read, slices
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
@@ -65,7 +65,7 @@ class _Parts(dict):
         super().__init__()
         self.make, self.room, self.longest, self.old = make, room // 2, longest, {}
 
-    def __missing__(self, part: str) -> tuple[int, bytes, str]:
+    def __missing__(self, part: str) -> tuple[bytes, str]:
         out = self.old.get(part) or self.make(part)
         if len(part) <= self.longest:
             if len(self) >= self.room:
@@ -78,7 +78,7 @@ class _Parts(dict):
 class PieceModel:
     """Vocabulary and rules of a BPE model file, with encode and decode."""
 
-    def __init__(self, data: bytes, remember: int = 600_000, longest_remembered: int = 64):
+    def __init__(self, data: bytes, remember: int = 500_000, longest_remembered: int = 64):
         import struct
 
         self.pieces: list[str] = []
@@ -113,7 +113,7 @@ class PieceModel:
         self.known = {c for p in self.ids for c in p if c in self.ids}
         # parts can be cut before a run of marks only if no piece has a mark inside
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self._part = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.cuts else "(?s:.+)", re.S)
+        self._part = re.compile((f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+" if self.escape else f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.cuts else ".+", re.S)
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             self.automaton.add_word(p, len(p))
@@ -230,35 +230,36 @@ class PieceModel:
                 size -= 1
         return ids
 
-    def _part_of(self, part: str) -> tuple[int, bytes, str]:
-        """Number of ids of a part, the ids as text, and the decoded part."""
+    def _part_of(self, part: str) -> tuple[bytes, str]:
+        """The ids of a part as text, and the decoded part."""
         ids: list[int] = []
         at = 0
-        for m in self._unknown.finditer(part):
+        marked = part.replace(" ", MARK) if self.escape else part
+        for m in self._unknown.finditer(marked):
             if m.start() > at:
-                ids += self.split(part[at : m.start()])
+                ids += self.split(marked[at : m.start()])
             ids += self._fallback(m[0])
             at = m.end()
-        if at < len(part):
-            ids += self.split(part[at:])
-        return len(ids), ",".join(map(str, ids)).encode(), self.text_of(ids)
+        if at < len(marked):
+            ids += self.split(marked[at:])
+        text = self.text_of(ids)
+        return ",".join(map(str, ids)).encode(), part if text == part else text  # mostly one object for both
 
     def _fallback(self, char: str) -> list[int]:
         if not self.byte_fallback:
             return [self.unknown]
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def parts(self, text: str) -> list[tuple[int, bytes, str]]:
+    def parts(self, text: str) -> list[tuple[bytes, str]]:
+        """(ids as text, decoded) of each part of a text with its first mark."""
         if not text:
             return []
         if self.dummy_prefix:
             text = " " + text
-        if self.escape:
-            text = text.replace(" ", MARK)
         return list(map(self._parts.__getitem__, self._part.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text or "") for i in ids.split(b",")]
+        return [int(i) for ids, _ in self.parts(text or "") for i in ids.split(b",")]
 
     # -- decoding
 
@@ -342,18 +343,20 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, id_col: str
 
     def run(batches):
         model = load(data)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, ids, texts = [], [], [], [], []
             for cell in batch.column(1):
-                counts, lists, pieces = zip(*model.parts(cell.as_py() or "")) if cell.as_py() else ((), (), ())
+                text = cell.as_py()
+                lists, pieces = zip(*model.parts(text)) if text else ((), ())
+                joined = b",".join(lists)
                 text = "".join(pieces)
                 if pieces and model.dummy_prefix and text[:1] == " ":
                     text = text[1:]
-                n.append(sum(counts))
-                a.append(hashlib.sha256(b",".join(lists)).hexdigest())
+                n.append(joined.count(b",") + 1 if joined else 0)
+                a.append(hashlib.sha256(joined).hexdigest())
                 b.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
-                    ids.append([int(i) for x in lists for i in x.split(b",")])
+                    ids.append([int(i) for i in joined.split(b",")] if joined else [])
                     texts.append(text)
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *more], names)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-from .common import WHITE, encode, only, read
+from .common import WHITE, encode, only, read, slices
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -139,7 +139,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["clean_text"] * with_text
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [judge(t.as_py(), rules) for t in batch.column(1)]
             cols = [pa.array([r[k] for r in rows], pa.string() if k == "clean_text" else pa.bool_() if k in ("kept", "base_failed") else pa.int64()) for k in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [id_col, *names])
@@ -157,7 +157,7 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     src = only(docs, *schema.names)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [judge(t.as_py(), rules) for t in batch.column(1)]
             text = [r["clean_text"] for r in rows]
             out = pa.RecordBatch.from_arrays(

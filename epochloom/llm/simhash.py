@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode, materialise, only, partitions, read
+from .common import encode, materialise, only, partitions, read, slices
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of the six blocks: 64 = 4 * 11 + 2 * 10.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = only(docs, id_col, text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], [id_col, "fp"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, read
+from .common import only, read, slices
 
 #: Symbols of the character model: 0 is a gap, 1-26 are a-z, 27 any other letter.
 SYMBOLS = 28
@@ -82,7 +82,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         total = np.zeros(N_GRAMS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for cell in batch.column(0):
                 text = cell.as_py()
                 if text:
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     def found(batches):
         """For each sampled row its label and distinct features."""
         reader = WordReader(Decoder(costs, settings), settings)
-        for batch in batches:
+        for batch in slices(batches):
             lists = []
             for cell in batch.column(1):
                 seen: set[int] = set()
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
 
     def judged(batches):
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             e = [scorer.evidence(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([int(v.as_py() != 0) for v in batch.column(0)], pa.int32()), pa.array([v[0] for v in e], pa.float64()), pa.array([v[1] for v in e], pa.float64())], ["y", "a", "b"])
 
@@ -343,7 +343,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batches):
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t.as_py()) for t in batch.column(1)], pa.float64())], [id_col, "score"])
 
     out = src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, only, partitions, read
+from .common import materialise, only, partitions, read, slices
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Fields of a 304 answer that replace the stored ones.
@@ -136,16 +136,6 @@ CAPTURE = (
 _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
-#: Rows of bytes that are worked on at once, so that a batch of long ones stays small.
-SLICE = 256
-
-
-def _slices(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def _captures(keys: pa.Array, data: Iterable[bytes | None], id_col: str, with_payload: bool) -> pa.RecordBatch:
     """Rows of all records in some byte strings."""
     ids, rows = [], []
@@ -174,7 +164,7 @@ def parse(packed: DataFrame, id_col: str, data_col: str, with_payload: bool = Tr
     src = only(packed, id_col, data_col)
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches, 256):
             yield _captures(batch.column(0), batch.column(1).to_pylist(), id_col, with_payload)
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, {CAPTURE}" + ", payload binary" * with_payload)
@@ -309,7 +299,7 @@ def archive(pages: DataFrame) -> DataFrame:
     src = only(pages, "page_id", "url", "html").filter("page_id IS NOT NULL")
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches, 256):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_page_bytes(batch), pa.binary())], ["page_id", "data"])
 
     return src.mapInArrow(run, "page_id long, data binary")
@@ -321,7 +311,7 @@ def archived_captures(pages: DataFrame) -> DataFrame:
     src = only(pages, "page_id", "url", "html").filter("page_id IS NOT NULL")
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches, 256):
             yield _captures(batch.column(0), _page_bytes(batch), "page_id", False)
 
     return src.mapInArrow(run, f"page_id long, {CAPTURE}")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, read
+from .common import only, read, slices
 
 _ENDED = (".", "!", "?", "…", ":", ";", "\"", "'", "”", "»", ")", "。")
 _SYMBOLS = "#*$%&|<>"
@@ -34,9 +34,9 @@ class Settings:
     """sample_rows: the most documents the scorer is fitted on, those with the
     smallest hash of id and text; votes and scores cover all."""
 
-    sample_rows: int = 20_000
+    sample_rows: int = 10_000
     bits: int = 12
-    rounds: int = 200
+    rounds: int = 120
     threshold: float = 0.5
 
 
@@ -233,7 +233,7 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             seen.update(pattern(votes(t.as_py())) for t in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
 
     def run(batches):
         reader = ShapeReader(settings.bits)
-        for batch in batches:
+        for batch in slices(batches):
             f = [reader.features(t.as_py()) for t in batch.column(1)]
             y = [accuracies.posterior.get(pattern(votes(t.as_py())), 0.5) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0].tolist() for x in f], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32).tolist() for x in f], pa.list_(pa.float32())), pa.array(y, pa.float64())], ["h", "idx", "val", "y"])
@@ -273,7 +273,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         reader = ShapeReader(model.settings.bits)
-        for batch in batches:
+        for batch in slices(batches):
             post, score = [], []
             for cell in batch.column(1):
                 text = cell.as_py()
