@@ -10,11 +10,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decisions
-from ..functions.expr import resample_inclusive
-
-#: Montages of the models that have one.
-MONTAGE_18 = ("FP1", "FP2", "F7", "F3", "FZ", "F4", "F8", "T3", "C3", "CZ", "C4", "T4", "T5", "P3", "PZ", "P4", "T6", "O1")
-ALIASES = {"T3": "T7", "T4": "T8", "T5": "P7", "T6": "P8"}
+from ..functions.expr import let, resample_inclusive
+
+#: The montage of eighteen older names.
+MONTAGE_18 = (
+    "FP1", "FP2", "F7", "F3", "FZ", "F4", "F8",
+    "T3", "C3", "CZ", "C4", "T4",
+    "T5", "P3", "P4", "T6", "O1", "O2",
+)
+#: The montage of fifty-eight newer names.
+MONTAGE_58 = (
+    "FP1", "FPZ", "FP2",
+    "AF3", "AF4",
+    "F7", "F5", "F3", "F1", "FZ", "F2", "F4", "F6", "F8",
+    "FT7", "FC5", "FC3", "FC1", "FCZ", "FC2", "FC4", "FC6", "FT8",
+    "T7", "C5", "C3", "C1", "CZ", "C2", "C4", "C6", "T8",
+    "TP7", "CP5", "CP3", "CP1", "CPZ", "CP2", "CP4", "CP6", "TP8",
+    "P7", "P5", "P3", "P1", "PZ", "P2", "P4", "P6", "P8",
+    "PO7", "PO3", "POZ", "PO4", "PO8",
+    "O1", "OZ", "O2",
+)
+#: Older electrode names and the newer ones.
+ALIASES = {"T3": "T7", "T4": "T8", "T5": "P7", "T6": "P8", "M1": "A1", "M2": "A2"}
+#: Height (front to back) of an electrode's row.
+ROW_HEIGHT = {
+    "FP": 0.92, "AF": 0.78, "F": 0.58, "FT": 0.38, "FC": 0.32, "T": 0.02, "C": 0.0,
+    "TP": -0.34, "CP": -0.30, "P": -0.56, "PO": -0.78, "O": -0.92, "A": -0.10,
+}
+#: Distance from the middle by an electrode's number.
+LATERAL = {0: 0.0, 1: 0.18, 2: 0.18, 3: 0.34, 4: 0.34, 5: 0.50, 6: 0.50, 7: 0.74, 8: 0.74, 9: 0.88, 10: 0.88}
+#: Rows whose height above the plane is lowered to 0.8 of it; place of the ear electrodes.
+LOWERED = ("P", "PO", "O", "A", "TP")
+EARS = {"A1": (-0.96, -0.12, 0.0), "A2": (0.96, -0.12, 0.0)}
 
 
 @dataclass(frozen=True)
@@ -66,26 +93,76 @@ def patches(samples: Column, n: int, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.slice(samples, k * width + 1, width))
 
 
-#: Height (front to back) of an electrode row by the letters of its name.
-ROWS = {"FP": 0.95, "AF": 0.8, "FC": 0.3, "FT": 0.3, "CP": -0.3, "TP": -0.3, "PO": -0.8, "F": 0.55, "C": 0.0, "T": 0.0, "P": -0.55, "O": -0.95}
-
-
 def sensor_position(name: Column) -> Column:
-    """struct<x, y, z> of a standard electrode on the unit sphere, or null:
-    letters give the row, an odd digit left, an even one right, z the middle."""
+    """struct<x, y, z> of a standard electrode on the unit sphere, or null for
+    any other name: letters give the row, an odd number left, an even one right."""
     n = canonical_name(name)
-    letters, digit = F.regexp_extract(n, "^([A-Z]+?)(Z|[0-9]+)$", 1), F.regexp_extract(n, "^([A-Z]+?)(Z|[0-9]+)$", 2)
-    y = F.lit(None).cast("double")
-    for prefix, height in ROWS.items():
-        y = F.when(letters == prefix, F.lit(height)).otherwise(y)
-    number = digit.try_cast("int")
-    side = F.when(number % 2 == 1, -1.0).otherwise(1.0)
-    reach = F.least(F.lit(1.0), F.ceil(number / 2.0) * 0.25)
-    x = F.when(digit == "Z", 0.0).otherwise(side * reach)
-    flat = x * x + y * y
-    scale = F.when(flat > 1, 1 / F.sqrt(flat)).otherwise(1.0)
-    z = F.sqrt(F.greatest(F.lit(0.0), 1 - flat * scale * scale)) * F.when(y < -0.5, 0.8).otherwise(1.0)
-    return F.when(y.isNotNull() & x.isNotNull(), F.struct((x * scale).alias("x"), (y * scale).alias("y"), z.alias("z")))
+    shape = "^([A-Z]+?)(Z|[0-9]{1,2})$"
+    row, place = F.regexp_extract(n, shape, 1), F.regexp_extract(n, shape, 2)
+    number = place.try_cast("int")
+    y = F.try_element_at(F.create_map(*[F.lit(v) for p in ROW_HEIGHT.items() for v in p]), row)
+    reach = F.try_element_at(F.create_map(*[F.lit(v) for p in LATERAL.items() for v in p]), number)
+    x = F.when(place == "Z", F.lit(0.0)).when(number % 2 == 1, -reach).otherwise(reach)
+    flat = F.least(F.lit(0.995 * 0.995), x * x + y * y)
+    z = F.sqrt(1.0 - flat) * F.when(row.isin(*LOWERED), 0.8).otherwise(1.0)
+    out = F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
+    for ear, at in EARS.items():
+        out = F.when(n == ear, F.struct(*[F.lit(v).alias(k) for k, v in zip("xyz", at)])).otherwise(out)
+    return out
+
+
+def sensor_layout(channels: Column) -> Column:
+    """array<struct<channel, idx, x, y, z>> of the channels with a position:
+    centred, and divided by the root of three times the mean squared distance."""
+    rows = F.filter(F.transform(channels, lambda c, i: F.struct(c.alias("channel"), i.alias("idx"), sensor_position(c).alias("p"))), lambda r: r["p"].isNotNull())
+
+    def centred(held: Column) -> Column:
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in "xyz"])
+        total = F.aggregate(held, zero, lambda s, r: F.struct(*[(s[k] + r["p"][k]).alias(k) for k in "xyz"]))
+        return let(total, lambda t: F.transform(held, lambda r: F.struct(r["channel"].alias("channel"), r["idx"].alias("idx"), *[(r["p"][k] - F.try_divide(t[k], F.size(held))).alias(k) for k in "xyz"])))
+
+    def scaled(held: Column) -> Column:
+        squares = F.aggregate(held, F.lit(0.0), lambda s, r: s + r["x"] * r["x"] + r["y"] * r["y"] + r["z"] * r["z"])
+        size = F.sqrt(3.0 * F.try_divide(squares, F.size(held)))
+        return let(size, lambda n: F.transform(held, lambda r: F.struct(r["channel"].alias("channel"), r["idx"].alias("idx"), *[F.when(n > 0, r[k] / n).otherwise(r[k]).alias(k) for k in "xyz"])))
+
+    return let(let(rows, centred), scaled)
+
+
+#: Fewest channels with a position that a model of sensor positions takes.
+LEAST_POSITIONED = 4
+
+
+def positioned(matrix: DataFrame) -> DataFrame:
+    """``matrix`` on its channels with a position, with ``layout``; rows with
+    too few of them have status failed and no data."""
+    out = matrix.withColumn("layout", sensor_layout(F.col("channels")))
+    good = F.size("layout") >= LEAST_POSITIONED
+    kept = F.transform("layout", lambda r: F.get("data", r["idx"]))
+    out = out.withColumn("excluded", F.array_except("channels", F.transform("layout", lambda r: r["channel"])))
+    out = out.withColumn("data", F.when(good, kept)).withColumn("channels", F.transform("layout", lambda r: r["channel"]))
+    return out.withColumn("status", F.when(good, "used").otherwise("failed"))
+
+
+def patched(matrix: DataFrame, length: int = 2000, n: int = 10) -> DataFrame:
+    """Channels resampled to ``length`` and cut into ``n`` patches."""
+    return matrix.withColumn("data", F.transform("data", lambda s: patches(resample_inclusive(s, length), n, length // n)))
+
+
+def model_input(matrix: DataFrame, model_id: str, alias: bool = False) -> DataFrame:
+    """``matrix`` as one of the known models takes it: biot 18 x 2000, eegpt
+    58 x 512, cbramod C x 10 x 200, brainomni the positioned channels as they
+    are, with their layout."""
+    as_is = lambda x: x
+    if model_id == "biot":
+        return prepared(matrix, Model(model_id, as_is, MONTAGE_18, 2000, alias))
+    if model_id == "eegpt":
+        return prepared(matrix, Model(model_id, as_is, MONTAGE_58, 512, alias))
+    if model_id == "cbramod":
+        return patched(matrix).withColumn("model_id", F.lit(model_id))
+    if model_id == "brainomni":
+        return positioned(matrix).withColumn("model_id", F.lit(model_id))
+    raise KeyError(f"no input is known for model {model_id!r}")
 
 
 def _embedder(embed: Callable[[np.ndarray], np.ndarray], keys: list[str]):

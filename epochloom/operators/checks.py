@@ -137,3 +137,49 @@ def lineage_closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
             UNION ALL SELECT up.child, e.parent, up.depth + 1 FROM up JOIN _lineage_edges e ON up.ancestor = e.child)
         SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY child, ancestor"""
     )
+
+
+def bids_path(path: Column) -> Column:
+    """Whether a path looks like a BIDS EEG file: a sub- name with _eeg below a sub- folder or of that name."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    return name.startswith("sub-") & name.contains("_eeg") & F.exists(F.split(F.lower(path), "/"), lambda p: p.startswith("sub-"))
+
+
+def bids_sidecars(path: Column) -> Column:
+    """array<string>: the JSON, channels and events files beside a BIDS recording."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    at = F.when(F.size(parts) > 1, F.concat(folder, F.lit("/"))).otherwise("")
+    stem = F.regexp_replace(name, r"\..*$", "")
+    base = F.regexp_replace(stem, "_eeg$", "")
+    return F.array(F.concat(at, stem, F.lit(".json")), F.concat(at, base, F.lit("_channels.tsv")), F.concat(at, base, F.lit("_events.tsv")))
+
+
+def recording_report(recordings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings of a recordings table; files: path, every file that exists."""
+    where = F.col("recording_id")
+    bad = recordings.select("recording_id", F.explode(channel_faults(F.col("channel_names"))).alias("m")).select(*finding("error", "recording.channels", where, F.col("m")))
+    lost = recordings.filter("message IS NOT NULL").select(*finding("error", "recording.invalid", where, F.col("message")))
+    gone = recordings.join(files.select(F.col("path").alias("source_path")), "source_path", "left_anti").select(*finding("error", "recording.source_missing", where, F.col("source_path")))
+    wanted = recordings.filter(bids_path(F.col("source_path"))).select("recording_id", F.explode(bids_sidecars(F.col("source_path"))).alias("path"))
+    beside = wanted.join(files.select("path"), "path", "left_anti").select(*finding("warning", "recording.bids_sidecar_missing", where, F.col("path")))
+    return bad.unionByName(lost).unionByName(gone).unionByName(beside)
+
+
+def rate_close(a: Column, b: Column) -> Column:
+    """Equal within 1e-8 plus 1e-5 of the second."""
+    return F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
+
+
+def branch_findings(branch) -> list[tuple[str, str, str, str]]:
+    """(level, code, location, message) of a branch configuration."""
+    out = [("error", "preprocess.invalid", branch.name, m) for m in branch.check()]
+    if branch.rereference == "channels" and not branch.reference_channels:
+        out.append(("error", "preprocess.reference_missing", branch.name, "reference channels are required"))
+    if len(set(branch.align_channels)) < len(branch.align_channels):
+        out.append(("error", "preprocess.align_duplicate", branch.name, "target channels repeat"))
+    changed = branch.notch_hz or branch.resample_hz is not None or branch.align_channels or branch.rereference != "none" or branch.scale is not None
+    if branch.name == "raw_preserving" and changed:
+        out.append(("warning", "preprocess.raw_branch_modified", branch.name, "raw_preserving branch carries transforms"))
+    return out

@@ -105,6 +105,47 @@ def test_model_inputs(spark):
 
 
 def test_sensor_positions(spark):
-    df = spark.createDataFrame([("C3",), ("C4",), ("Cz",), ("T3",), ("EKG",)], "c string")
+    df = spark.createDataFrame([("C3",), ("c4",), ("Cz",), ("T3",), ("FT10",), ("M2",), ("EKG",), ("C11",)], "c string")
     got = [r[0] for r in df.select(backbone.sensor_position(F.col("c"))).collect()]
-    assert got[0].x < 0 < got[1].x and got[2].x == 0 and got[3] is not None and got[4] is None
+    assert [tuple(g)[:2] if g else None for g in got] == [(-0.34, 0.0), (0.34, 0.0), (0.0, 0.0), (-0.74, 0.02), (0.88, 0.38), (0.96, -0.12), None, None]
+    assert got[2].z == 1.0 and all(g.x**2 + g.y**2 + g.z**2 <= 1.0001 for g in got if g)
+    names = ["Fp1", "O2", "EKG", "C3", "Pz", "T8"]
+    layout = spark.createDataFrame([(names,), ([],)], "c array<string>").select(backbone.sensor_layout(F.col("c")).alias("l")).collect()
+    p = np.array([[r.x, r.y, r.z] for r in layout[0].l])
+    assert [r.idx for r in layout[0].l] == [0, 1, 3, 4, 5] and not layout[1].l
+    assert np.allclose(p.mean(0), 0) and np.sqrt(3 * (p**2).sum(1).mean()) == pytest.approx(1)
+
+
+def test_positioned_and_patched(spark):
+    rows = [(["C3", "C4", "F3", "F4", "X1"], [[float(k)] * 5 for k in range(5)]), (["C3", "X"], [[1.0], [2.0]])]
+    df = spark.createDataFrame(rows, "channels array<string>, data array<array<float>>")
+    got = backbone.positioned(df).collect()
+    assert got[0].status == "used" and got[0].excluded == ["X1"] and len(got[0].data) == 4
+    assert got[1].status == "failed" and got[1].data is None
+    cut = backbone.patched(df, 20, 4).first().data
+    assert len(cut) == 5 and len(cut[0]) == 4 and len(cut[0][0]) == 5
+
+
+def test_model_shapes(spark):
+    names = ["FP1", "C3", "C4", "T3", "O2"]
+    df = spark.createDataFrame([(names, [[float(k)] * 300 for k in range(5)])], "channels array<string>, data array<array<float>>")
+    shape = lambda m: np.array(backbone.model_input(df, m).first().data).shape
+    assert [shape(m) for m in ("biot", "eegpt", "cbramod", "brainomni")] == [(18, 2000), (58, 512), (5, 10, 200), (5, 300)]
+    assert len(set(backbone.MONTAGE_58)) == 58 and "T7" in backbone.model_input(df, "eegpt").first().missing
+    assert "T7" not in backbone.model_input(df, "eegpt", alias=True).first().missing
+    with pytest.raises(KeyError):
+        backbone.model_input(df, "none")
+
+
+def test_bids(spark):
+    df = spark.createDataFrame([("/d/sub-1/eeg/sub-1_task-x_eeg.edf",), ("/d/rec.edf",)], "p string")
+    got = df.select(checks.bids_path(F.col("p")), checks.bids_sidecars(F.col("p"))).collect()
+    assert [g[0] for g in got] == [True, False]
+    assert got[0][1] == ["/d/sub-1/eeg/sub-1_task-x_eeg.json", "/d/sub-1/eeg/sub-1_task-x_channels.tsv", "/d/sub-1/eeg/sub-1_task-x_events.tsv"]
+
+
+def test_branch_findings():
+    codes = lambda b: [c for _, c, _, _ in checks.branch_findings(b)]
+    assert codes(preprocess.Branch("raw_preserving", scale=2.0)) == ["preprocess.raw_branch_modified"]
+    assert codes(preprocess.Branch("x", align_channels=("a", "a"))) == ["preprocess.align_duplicate"]
+    assert codes(preprocess.Branch("x")) == []
