@@ -7,8 +7,9 @@ again gives just these two), else try the next shorter one, else step back and
 mark the position as failed in a bit field. A text has exactly one sequence in
 which all neighbours are compatible, and it is what merging gives.
 
-Texts are cut before each run of word marks and around characters that the
-vocabulary lacks, which no merge can cross; encoded parts are remembered in a
+Texts are cut where no merge can cross: before each run of word marks, between
+letters and others if no piece holds both, around characters that the vocabulary
+lacks; encoded parts are remembered in a
 table of bounded size.
 """
 
@@ -113,7 +114,7 @@ class PieceModel:
         self.known = {c for p in self.ids for c in p if c in self.ids}
         # parts can be cut before a run of marks only if no piece has a mark inside
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self._part = re.compile((f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+" if self.escape else f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.cuts else ".+", re.S)
+        self._part = self._cutter()
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             self.automaton.add_word(p, len(p))
@@ -125,6 +126,27 @@ class PieceModel:
         self._surface = [p.replace(MARK, " ") if k == _NORMAL else " ⁇ " if k == _UNKNOWN else "" for p, k in zip(self.pieces, self.kinds)]
         self._byte_ids = frozenset(self.bytes.values())
 
+    def _cutter(self) -> re.Pattern:
+        """Finds the parts of a text: a run of marks with the run of letters or
+        of other characters after it. Parts end where no piece goes on: before
+        marks, and between letters and others, if no piece holds both (letters
+        that some piece joins with others count as others)."""
+        mark = f" {MARK}" if self.escape else MARK
+        if not self.cuts:
+            return re.compile(".+", re.S)
+        letter, others = re.compile(r"[^\W\d_]"), set()
+        bare = [p.lstrip(MARK) for p in self.ids]
+        while True:
+            kinds = [[c for c in p if letter.match(c) and c not in others] for p in bare]
+            more = {c for p, k in zip(bare, kinds) if 0 < len(k) < len(p) for c in k}
+            if not more:
+                break
+            others |= more
+        if len(others) > 1000:  # a vocabulary whose pieces join letters with others as a rule
+            return re.compile(f"[{mark}]+[^{mark}]*|[^{mark}]+")
+        letters = r"\W\d_" + "".join(map(re.escape, sorted(others)))
+        return re.compile(f"[{mark}]*(?:[^{letters}]+|(?:(?![^{letters}])[^{mark}])+)|[{mark}]+")
+
     # -- merging, on two pieces at a time
 
     def merged(self, text: str) -> list[str]:

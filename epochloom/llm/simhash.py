@@ -242,7 +242,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """A documents table with one document of each component: its smallest id."""
+    """A documents table with one document of each component: its smallest id.
+    Of rows that share an id one stays; rows without an id go, as they can't
+    stand for a component."""
     groups = near_duplicates(docs)
     keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
