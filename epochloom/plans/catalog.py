@@ -600,6 +600,45 @@ def tier_update(spark, sf_dir):
     )
 
 
+def _pooled(x):
+    """Mean and deviation of each channel."""
+    import numpy as np
+
+    x = x.astype(np.float64)
+    return np.concatenate([x.mean(axis=1), x.std(axis=1)])
+
+
+@query(
+    "WITH m AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings) "
+    "SELECT id, CAST(c AS INT) AS channel, round(list_avg(x[c * 16 + 1 : c * 16 + 16]), 5) AS mean, round(list_aggregate(x[c * 16 + 1 : c * 16 + 16], 'stddev_pop'), 5) AS std FROM m, (SELECT unnest(range(4)) AS c)"
+)
+def embedding_udf(spark, sf_dir):
+    """A model as a function in Arrow batches: channels pooled to mean and deviation."""
+    from ..operators.backbone import Model, embeddings
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, 16)).alias("data"))
+    x, _ = embeddings(rows.withColumn("channels", F.array(*[F.lit(f"C{k}") for k in range(4)])), [Model("pool", _pooled)], ["id"])
+    each = x.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("channel"))
+    return each.select("id", "channel", F.round(F.get("x", F.col("channel")), 5).alias("mean"), F.round(F.get("x", F.col("channel") + 4), 5).alias("std"))
+
+
+@query(
+    "WITH w AS (SELECT unnest(['FP1', 'C9', 'C1']) AS channel, unnest([0, 1, 2]) AS k) SELECT vec_id AS id, CAST(k AS INT) AS channel_idx, CAST(p AS INT) AS patch, "
+    "round(CASE channel WHEN 'FP1' THEN list_sum(list_transform(embedding[p * 8 + 1 : p * 8 + 8], lambda e: CAST(e AS DOUBLE))) WHEN 'C1' THEN list_sum(list_transform(embedding[32 + p * 8 + 1 : 32 + p * 8 + 8], lambda e: CAST(e AS DOUBLE))) ELSE 0.0 END, 5) + 0.0::DOUBLE AS total "
+    "FROM embeddings, w, (SELECT unnest(range(4)) AS p)"
+)
+def model_input_patches(spark, sf_dir):
+    """Channels matched by plain names, lost ones zero, cut into patches."""
+    from ..operators.backbone import Model, patches, prepared
+
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.array(F.lit("Fp-1"), F.lit("c 1")).alias("channels"), F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("data")
+    )
+    made = prepared(rows, Model("m", _pooled, montage=("FP1", "C9", "C1")))
+    each = made.select("id", F.posexplode("data").alias("channel_idx", "s")).select("id", "channel_idx", F.posexplode(patches(F.col("s"), 4, 8)).alias("patch", "v"))
+    return each.select("id", F.col("channel_idx").cast("int").alias("channel_idx"), F.col("patch").cast("int").alias("patch"), F.round(expr.array_sum(F.transform("v", lambda e: e.cast("double"))), 5).alias("total"))
+
+
 # -- checks
 
 
