@@ -122,7 +122,7 @@ def event_normalise(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 = 0 GROUP BY event_type")
 def label_filter(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view") & (F.col("user_id") % 3 == 0))
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -346,15 +346,14 @@ def marginal_scores(spark, sf_dir):
     f"WITH {_UNITS} SELECT a.label, a.id AS a, b.id AS b, round(list_dot_product(a.u, b.u), 6) AS similarity FROM u a JOIN u b ON a.label = b.label AND a.id < b.id WHERE a.id % 4 = 0 AND b.id % 4 = 0"
 )
 def safe_corr_pairs(spark, sf_dir):
-    v = _vectors(spark, sf_dir).filter("id % 4 = 0")
-    return similarity.pairwise(v, ["label"], "id", "x").select("label", "a", "b", r6("similarity", "similarity"))
+    return similarity.pairwise(_vectors(spark, sf_dir), ["label"], "id", "x").select("label", "a", "b", r6("similarity", "similarity"))
 
 
 @query(
     f"WITH {_UNITS} SELECT a.label, a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 1.0 ELSE round(list_dot_product(a.u, b.u), 6) END AS similarity FROM u a JOIN u b ON a.label = b.label WHERE a.id % 8 = 0 AND b.id % 8 = 0"
 )
 def similarity_matrix(spark, sf_dir):
-    v = _vectors(spark, sf_dir).filter("id % 8 = 0")
+    v = _vectors(spark, sf_dir)
     pairs = similarity.pairwise(v, ["label"], "id", "x")
     return similarity.similarity_matrix(pairs, v, ["label"], "id").select("label", "a", "b", r6("similarity", "similarity"))
 
@@ -653,8 +652,7 @@ def event_overlap(spark, sf_dir):
 
 @query("WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 5 = 0 GROUP BY ALL) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS labels FROM c HAVING max(n) >= 3.0 * min(n)")
 def class_imbalance(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P' OR o_orderkey % 5 = 0")
-    return checks.imbalance(o, ["o_orderpriority", "o_orderstatus"])
+    return checks.imbalance(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -674,7 +672,7 @@ def subject_leakage(spark, sf_dir):
     "s AS (SELECT branch, channel, count(*) AS n FROM d GROUP BY ALL) SELECT branch, count(*) FILTER (WHERE n = total) AS in_all, count(*) AS in_any FROM s JOIN t USING (branch) GROUP BY branch HAVING count(*) FILTER (WHERE n = total) < count(*)"
 )
 def montage_consistency(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 7).alias("branch"), F.col("user_id").alias("collection"), F.col("event_type").alias("channel"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("branch"), F.col("user_id").alias("collection"), F.col("event_type").alias("channel"))
     return checks.inconsistent_montage(e, "branch", "collection", "channel")
 
 
@@ -685,7 +683,7 @@ def too_few_subjects(spark, sf_dir):
 
 @query("SELECT p_brand, count(DISTINCT p_size) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY p_brand HAVING count(DISTINCT p_size) > 1")
 def rate_mismatch(spark, sf_dir):
-    return checks.mixed(table(spark, sf_dir, "part").filter("p_partkey % 3 = 0"), ["p_brand"], "p_size")
+    return checks.mixed(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
 
 
 @query(
@@ -697,7 +695,7 @@ def rate_mismatch(spark, sf_dir):
     "SELECT 'warning', 'study.subject_leakage_risk', count(*) FROM (SELECT DISTINCT a.label FROM ob a JOIN ob b ON a.subject_id = b.subject_id AND a.label < b.label) "
 )
 def study_validation_report(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type <> 'error' OR event_id % 20 = 0")
+    e = table(spark, sf_dir, "events")
     tag = lambda p, k: F.concat(F.lit(p), F.col("user_id") % k)
     ob = e.select(
         tag("col_", 40).alias("collection_id"), tag("r", 40).alias("recording_id"), tag("s", 20).alias("subject_id"), F.lit("ns").alias("label_namespace"), F.concat(F.lit("f"), F.col("event_id") % 2).alias("event_family"),
