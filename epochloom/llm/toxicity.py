@@ -39,7 +39,6 @@ _STRIP = ".,;:!?\"'()[]{}<>«»“”‘’…%&#*|$"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){3,}[^\W_](?!\S)")
 #: A word is looked at if a sign stands beside a letter inside it, or a letter comes three times.
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*#.\-_'~^]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2}|([^\W\d_])\1\1")
-_LONGEST = 48
 
 
 @dataclass(frozen=True)
@@ -154,10 +153,10 @@ class Decoder:
 
 
 def restore(word: str, decoder: Decoder) -> str | None:
-    """The reading of a disguised word (lower case), or None if it isn't one.
-    Very long words are no disguise of a word and stay as they are."""
+    """The reading of a disguised word (lower case) of any length, or None if
+    it isn't one."""
     core = word.strip(_STRIP) if not word[:1] in "@$!|+(€£¡" else word.rstrip(_STRIP)
-    if not 3 <= len(core) <= _LONGEST or not _ODD.search(core):
+    if len(core) < 3 or not _ODD.search(core):
         return None
     return decoder.decode(core)
 
