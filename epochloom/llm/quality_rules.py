@@ -4,7 +4,10 @@ Every line is judged by itself (symbols, navigation, shouting, boilerplate,
 punctuation); failing lines are removed, and a document is rejected if a base
 figure is out of bounds or if the lines removed hold too much of its text.
 Boilerplate is taken away but doesn't count as lost text: a clean document
-with a licence line stays.
+with a licence line stays. As it doesn't count, only short stretches may go as
+boilerplate: of a long line (a paragraph, a text without line ends) the short
+sentences with a phrase, never the line. A document with no word left once
+boilerplate is out is rejected, not passed on empty.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BOILERPLATE = (
     "©",
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
+#: Between sentences; the white space stays with the one before.
+_SENTENCE = re.compile(r"(?<=[.!?…][ \t])(?=[^ \t])|(?<=[。！？])")
 
 
 @dataclass(frozen=True)
@@ -46,6 +51,7 @@ class LineRules:
     shout_words: int = 4
     unended_words: int = 8
     max_lost_share: float = 0.5
+    boilerplate_words: int = 20
 
 
 def _line_fault(line: str, n_words: int, rules: LineRules, symbols: bool, phrases: bool) -> str | None:
@@ -64,6 +70,15 @@ def _line_fault(line: str, n_words: int, rules: LineRules, symbols: bool, phrase
     return None
 
 
+def _without_boilerplate(line: str, k: int, rules: LineRules) -> str | None:
+    """What stays of a line of k words with a boilerplate phrase: nothing of a
+    short one, of a long one all but its short sentences with a phrase."""
+    if k < rules.boilerplate_words:
+        return None
+    parts = [x for x in _SENTENCE.split(line) if not _BOILERPLATE.search(x) or len(encode(x).split()) >= rules.boilerplate_words]
+    return "".join(parts) if any(x.strip(WHITE) for x in parts) else None
+
+
 def _repeat_words(words: list[bytes], width: int) -> int:
     """Words inside windows of ``width`` words that occur twice or more."""
     grams = list(zip(*(words[i:] for i in range(width))))
@@ -84,7 +99,7 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> dict:
     words = data.split()
     n = len(words)
     seen: set[str] = set()
-    dup = lost = 0
+    dup = lost = gone = cut = 0
     n_symbols = sum(map(text.count, SYMBOLS))
     lower = text.lower()
     phrases = any(p in lower for p in BOILERPLATE)
@@ -101,8 +116,17 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> dict:
             kept_lines.append(line)
         else:
             faults[fault] += 1
-            lost += 0 if fault == "boilerplate" else k
+            gone += k
+            if fault != "boilerplate":
+                lost += k
+                continue
+            cut += 1
+            rest = _without_boilerplate(line, k, rules)
+            if rest is not None:
+                kept_lines.append(rest)
+                gone -= len(encode(rest).split())
     repeat = _repeat_words(words, rules.repeat_window)
+    bare = cut > 0 and gone == n
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
     return {
         "n_words": n,
@@ -113,7 +137,7 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> dict:
         "base_failed": failed,
         "n_lines_removed": sum(faults.values()),
         "n_words_lost": lost,
-        "kept": not failed and lost <= rules.max_lost_share * n,
+        "kept": not failed and not bare and lost <= rules.max_lost_share * n,
         "clean_text": "\n".join(kept_lines) if faults else text,
     }
 
