@@ -242,10 +242,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """A documents table with one document of each component: its smallest id.
-    Of rows that share an id one stays; rows without an id go, as they can't
-    stand for a component."""
-    groups = near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return rows.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """A documents table with one row of each component: the one with the
+    smallest id, rows without an id last, then by hashes of the text. Rows that
+    are nobody's copy all stay, whatever their id; of rows equal in id and text
+    one stays."""
+    none = F.col("doc_id").isNull()
+    key = F.struct(none.alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_row", key)
+    groups = near_duplicates(rows, "_row")
+    keep = groups.filter(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
