@@ -4,8 +4,8 @@ Base kinds are patterns. The method adds spans of kind ``entropy``: inside
 candidate strings (long runs of one character class) a window of fixed width
 slides along, its character counts are updated by the one character that
 enters and the one that leaves, and windows whose Shannon entropy reaches the
-class's threshold are merged into a span, unless an allow-list pattern or a
-base span covers it.
+class's threshold are merged into a span, unless an allow-list pattern or the
+base spans together cover it.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A row alone is looked at: no shuffle, no Python. Null texts count as
     empty (no spans); null ids, repeated rows, empty tables and other columns
-    pass unharmed: only the named columns are read. Entropy spans that touch a
-    base span are left out, base spans always stay.
+    pass unharmed: only the named columns are read. Entropy spans that base
+    spans cover are left out, others stay whole; base spans always stay.
     """
     df = only(docs, id_col, text_col, *keep).select(F.col(id_col), text_or_empty(text_col).alias("_text"), *[F.col(c) for c in keep])
     text = F.col("_text")
@@ -147,11 +147,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = df.withColumn("_base", F.array_sort(F.concat(*parts)))
     more = [_class_spans(F.col(f"_p_c{i}"), c, width, allow) for i, c in enumerate(classes)]
     df = df.withColumn("_more", F.array_sort(F.array_distinct(F.concat(*more))))
-    free = F.filter(F.col("_more"), lambda x: ~F.exists(F.col("_base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    free = F.filter(F.col("_more"), lambda x: _covered_to(x, F.col("_base")) < x["e"])
     extra = F.transform(free, _labelled(len(base), "entropy"))
     return df.select(id_col, "_text", *keep, "_base", F.array_sort(F.concat("_base", extra)).alias("spans"))
 
 
+def _covered_to(x: Column, base: Column) -> Column:
+    """Where the cover of span x from its start by sorted base spans ends."""
+    return F.aggregate(base, x["s"], lambda at, b: F.when(b["s"] <= at, F.greatest(at, b["e"])).otherwise(at))
+
+
 def _labelled(rank: int, kind: str):
     return lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"))
 
