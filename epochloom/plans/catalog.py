@@ -466,7 +466,7 @@ _NULL = (
 
 
 def _null(spark, sf_dir):
-    return reliability.label_shuffle_null(_vectors(spark, sf_dir), _margins(spark, sf_dir).select("label", "margin"), "label", "id", iterations=8)
+    return reliability.label_shuffle_null(_vectors(spark, sf_dir), _margins(spark, sf_dir).select("label", "margin"), "label", "id")
 
 
 @query(
@@ -484,7 +484,7 @@ def label_shuffle_null(spark, sf_dir):
     f"SELECT label, round(avg({_CORR.format(a='s', b='c')}), 6) AS mean_similarity, round(min({_CORR.format(a='s', b='c')}), 6) AS min_similarity, count(*) AS iterations FROM pt JOIN ct USING (label) GROUP BY label"
 )
 def subsample_stability(spark, sf_dir):
-    s = reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id", iterations=8)
+    s = reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id")
     return s.select("label", r6("mean_similarity", "mean_similarity"), r6("min_similarity", "min_similarity"), "iterations")
 
 
@@ -492,7 +492,7 @@ def _assessed(spark, sf_dir):
     """Margin, holdout and subsample figures of each label with flags, robustness and tier."""
     margin = _margins(spark, sf_dir).select("label", "n", "margin")
     loso = reliability.holdout_summary(_loso(spark, sf_dir), ["label"]).select("label", F.col("success_rate").alias("loso"))
-    sub = reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id", iterations=8).drop("iterations")
+    sub = reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id").drop("iterations")
     met = margin.join(loso, "label", "left").join(sub, "label", "left")
     none = F.lit(None).cast("double")
     met = met.withColumn("flags", decisions.reliability_flags(F.col("n"), F.col("n"), F.col("margin"), F.col("loso"), none, none, F.lit(None).cast("string"), none, F.col("min_similarity")))

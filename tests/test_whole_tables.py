@@ -55,3 +55,14 @@ def test_pairs_and_matrix_by_brute_force(spark, tmp_path):
     matrix = {(p.a, p.b): p.similarity for p in catalog.QUERIES["similarity_matrix"](spark, str(tmp_path)).collect()}
     assert set(matrix) == {(a, b) for a in range(13) for b in range(13) if label[a] == label[b]}
     assert all(abs(v - r[k]) < 2e-6 for k, v in matrix.items())
+
+
+@pytest.mark.parametrize(("name", "draws"), [("label_shuffle_null", 64), ("subsample_stability", 32), ("reliability_tier", 32), ("tier_update", 32)])
+def test_all_draws(spark, duck, name, draws):
+    """As many shuffles and subsamples as the operators' defaults; the registered SQL has eight."""
+    got = catalog.QUERIES[name](spark, DATA).toPandas()
+    assert catalog.ORACLES[name].count("range(1, 9)") == 1
+    want = duck.sql(catalog.ORACLES[name].replace("range(1, 9)", f"range(1, {draws + 1})")).df()
+    cols = sorted(got.columns)
+    assert "iterations" not in cols or set(got.iterations) == {draws}
+    assert cols == sorted(want.columns) and rows(got, cols) == rows(want, cols)
