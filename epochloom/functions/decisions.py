@@ -12,28 +12,36 @@ CONSENSUS_SCORE = {"strong_agreement": 1.0, "partial_agreement": 0.72, "weak_agr
 SERIOUS = ("unstable", "holdout-weak", "session-holdout-weak", "cohort-holdout-weak", "control-weak")
 
 
+#: Least similarity and share of the reference's margin of a status.
+STATUS_RULES = (("preserved", 0.8, 0.8), ("weakened", 0.55, 0.45))
+SHIFTED = (0.35, 0.2)
+#: Support, margin, success and draw limits of the flags.
+FEW_SUBJECTS, FEW_EVENTS, WEAK_MARGIN, WEAK_SUCCESS, CHANCE_P, UNSTABLE_SIMILARITY = 3, 4, 0.05, 0.67, 0.2, 0.5
+#: Limits of the tiers.
+UNSTABLE_SUCCESS, STRONG_ROBUSTNESS, MODERATE_MARGIN, MODERATE_ROBUSTNESS = 0.5, 0.78, 0.08, 0.58
+
+
 def branch_status(is_reference: Column, similarity: Column, margin: Column, reference_margin: Column) -> Column:
     """preserved, weakened, shifted or branch-sensitive."""
     ratio = (
         F.when(reference_margin.isNull() | (reference_margin == 0), F.lit(1.0)).when(margin.isNull(), F.lit(0.0)).otherwise(F.try_divide(margin, reference_margin))
     )
-    return (
-        F.when(is_reference, "preserved").when(similarity.isNull(), "branch-sensitive")
-        .when((similarity >= 0.8) & (ratio >= 0.8), "preserved").when((similarity >= 0.55) & (ratio >= 0.45), "weakened")
-        .when((similarity >= 0.35) & (ratio > 0.2), "shifted").otherwise("branch-sensitive")
-    )
+    out = F.when(is_reference, "preserved").when(similarity.isNull(), "branch-sensitive")
+    for name, least, share in STATUS_RULES:
+        out = out.when((similarity >= least) & (ratio >= share), name)
+    return out.when((similarity >= SHIFTED[0]) & (ratio > SHIFTED[1]), "shifted").otherwise("branch-sensitive")
 
 
 def reliability_flags(n_subjects: Column, n_events: Column, margin: Column, loso: Column, session: Column, cohort: Column, branch: Column, p_value: Column, subsample_min: Column) -> Column:
     """array<string> of what speaks against a pattern."""
     found = [
-        ("low-support", (n_subjects < 3) | (n_events < 4)),
-        ("control-weak", ~F.coalesce(margin > 0.05, F.lit(False))),
-        ("holdout-weak", loso < 0.67),
-        ("session-holdout-weak", session < 0.67),
-        ("cohort-holdout-weak", cohort < 0.67),
+        ("low-support", (n_subjects < FEW_SUBJECTS) | (n_events < FEW_EVENTS)),
+        ("control-weak", ~F.coalesce(margin > WEAK_MARGIN, F.lit(False))),
+        ("holdout-weak", loso < WEAK_SUCCESS),
+        ("session-holdout-weak", session < WEAK_SUCCESS),
+        ("cohort-holdout-weak", cohort < WEAK_SUCCESS),
         ("branch-sensitive", branch.isin("shifted", "branch-sensitive")),
-        ("unstable", (p_value >= 0.2) | (subsample_min < 0.5)),
+        ("unstable", (p_value >= CHANCE_P) | (subsample_min < UNSTABLE_SIMILARITY)),
     ]
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in found]), lambda x: x.isNotNull())
 
@@ -59,9 +67,9 @@ def tier(n_subjects: Column, n_events: Column, flags: Column, loso: Column, robu
     """Confidence tier; the first rule that holds."""
     return (
         F.when((n_subjects < 2) | (n_events < 2), "insufficient")
-        .when(F.array_contains(flags, "unstable") | F.coalesce(loso < 0.5, F.lit(False)), "unstable")
-        .when((F.size(flags) == 0) & (robust >= 0.78), "strong")
-        .when(F.coalesce(margin > 0.08, F.lit(False)) & (robust >= 0.58), "moderate")
+        .when(F.array_contains(flags, "unstable") | F.coalesce(loso < UNSTABLE_SUCCESS, F.lit(False)), "unstable")
+        .when((F.size(flags) == 0) & (robust >= STRONG_ROBUSTNESS), "strong")
+        .when(F.coalesce(margin > MODERATE_MARGIN, F.lit(False)) & (robust >= MODERATE_ROBUSTNESS), "moderate")
         .otherwise("exploratory")
     )
 

@@ -43,18 +43,31 @@ def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
-def centred_unit(x: ColumnLike) -> Column:
-    """A vector minus its mean, divided by its norm; zeros if the norm is 0."""
+def lost(x: ColumnLike) -> Column:
+    """array<int>: 0-based positions of a vector that are NaN or null."""
+    c = _col(x)
+    return F.filter(F.transform(c, lambda v, i: F.when(v.isNull() | F.isnan(v), i)), lambda i: i.isNotNull())
+
+
+def centred_unit(x: ColumnLike, without: Column | None = None) -> Column:
+    """A vector minus its mean, divided by its norm; zeros if the norm is 0.
+    Positions ``without`` (0-based) have no part in it and are 0."""
     v = F.transform(_col(x), lambda e: e.cast("double"))
+    if without is not None:
+        v = let(without, lambda out: F.transform(v, lambda e, i: F.when(~F.array_contains(out, i), e)))
 
     def scaled(d: Column) -> Column:
         norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, e: s + e * e))
         return let(norm, lambda n: F.transform(d, lambda e: F.when(n > 0, e / n).otherwise(F.lit(0.0))))
 
     def centred(w: Column) -> Column:
-        return let(array_sum(w) / F.size(w), lambda m: let(F.transform(w, lambda e: e - m), scaled))
+        if without is None:
+            return let(array_sum(w) / F.size(w), lambda m: let(F.transform(w, lambda e: e - m), scaled))
+        held = F.filter(w, lambda e: e.isNotNull())
+        mean = let(held, lambda h: F.try_divide(array_sum(h), F.size(h)))
+        return let(mean, lambda m: let(F.transform(w, lambda e: F.coalesce(e - m, F.lit(0.0))), scaled))
 
-    return F.when(F.size(_col(x)) > 0, let(v, centred)).otherwise(v)
+    return F.when(F.size(_col(x)) > 0, let(v, centred)).otherwise(F.transform(_col(x), lambda e: e.cast("double")))
 
 
 def safe_corr(a: ColumnLike, b: ColumnLike) -> Column:

@@ -41,20 +41,31 @@ ROW_HEIGHT = {
 LATERAL = {0: 0.0, 1: 0.18, 2: 0.18, 3: 0.34, 4: 0.34, 5: 0.50, 6: 0.50, 7: 0.74, 8: 0.74, 9: 0.88, 10: 0.88}
 #: Rows whose height above the plane is lowered to 0.8 of it; place of the ear electrodes.
 LOWERED = ("P", "PO", "O", "A", "TP")
+LOWERING = 0.8
+#: Farthest from the middle that a flat position counts.
+RIM = 0.995
 EARS = {"A1": (-0.96, -0.12, 0.0), "A2": (0.96, -0.12, 0.0)}
 
 
 @dataclass(frozen=True)
 class Model:
     """A model by its id: how its input is made, and a function from an array
-    [channels, samples] to a vector. Functions run in Arrow batches on the
-    executors and load what they need there, once per worker."""
+    [channels, samples] to a vector or, if ``batched``, from an array [rows,
+    channels, samples] to one vector for each row. Functions run in Arrow
+    batches on the executors and load what they need there, once per worker.
+
+    input: the id of a known model whose input this one takes (``model_input``);
+    of "brainomni", embed gets (data, positions [.., channels, 6]) and data of
+    "cbramod" has patches as its last but one axis. Otherwise montage and
+    length say what is asked for."""
 
     model_id: str
-    embed: Callable[[np.ndarray], np.ndarray]
+    embed: Callable[..., np.ndarray]
     montage: tuple[str, ...] = ()
     length: int | None = None
     alias: bool = False
+    batched: bool = False
+    input: str = ""
 
 
 def normal_name(c: Column) -> Column:
@@ -103,8 +114,8 @@ def sensor_position(name: Column) -> Column:
     y = F.try_element_at(F.create_map(*[F.lit(v) for p in ROW_HEIGHT.items() for v in p]), row)
     reach = F.try_element_at(F.create_map(*[F.lit(v) for p in LATERAL.items() for v in p]), number)
     x = F.when(place == "Z", F.lit(0.0)).when(number % 2 == 1, -reach).otherwise(reach)
-    flat = F.least(F.lit(0.995 * 0.995), x * x + y * y)
-    z = F.sqrt(1.0 - flat) * F.when(row.isin(*LOWERED), 0.8).otherwise(1.0)
+    flat = F.least(F.lit(RIM * RIM), x * x + y * y)
+    z = F.sqrt(1.0 - flat) * F.when(row.isin(*LOWERED), LOWERING).otherwise(1.0)
     out = F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
     for ear, at in EARS.items():
         out = F.when(n == ear, F.struct(*[F.lit(v).alias(k) for k, v in zip("xyz", at)])).otherwise(out)
@@ -129,7 +140,7 @@ def sensor_layout(channels: Column) -> Column:
     return let(let(rows, centred), scaled)
 
 
-#: Fewest channels with a position that a model of sensor positions takes.
+#: Fewest channels with a position that a model of sensor positions takes.
 LEAST_POSITIONED = 4
 
 
@@ -165,31 +176,79 @@ def model_input(matrix: DataFrame, model_id: str, alias: bool = False) -> DataFr
     raise KeyError(f"no input is known for model {model_id!r}")
 
 
-def _embedder(embed: Callable[[np.ndarray], np.ndarray], keys: list[str]):
-    def one(channels) -> tuple[np.ndarray | None, str | None]:
-        try:
-            return np.asarray(embed(np.stack([np.asarray(c, np.float32) for c in channels])), np.float64).ravel(), None
-        except Exception as fault:  # a row's fault is evidence, kept in the status table
-            return None, f"{type(fault).__name__}: {fault}"
+def taken(matrix: DataFrame, model: Model) -> DataFrame:
+    """``matrix`` with data as the model takes it (null if it can't be made),
+    its channels, notes on what is missing, and positions for a model that
+    wants them."""
+    if not model.input:
+        out = prepared(matrix, model)
+        return out.withColumn("positions", F.lit(None).cast("array<array<double>>")).withColumn("status", F.lit("used")).withColumn("excluded", F.array().cast("array<string>"))
+    out = model_input(matrix, model.input, model.alias).withColumn("model_id", F.lit(model.model_id))
+    empty = F.array().cast("array<string>")
+    has = set(out.columns)
+    zero = F.lit(0.0)
+    positions = F.transform("layout", lambda r: F.array(r["x"], r["y"], r["z"], zero, zero, zero)) if "layout" in has else F.lit(None).cast("array<array<double>>")
+    for name, value in (("positions", positions), ("missing", empty), ("excluded", empty), ("status", F.lit("used"))):
+        if name not in has:
+            out = out.withColumn(name, value)
+    return out.drop("layout")
+
+
+def _embedder(model: Model, keys: list[str]):
+    def called(rows: list[np.ndarray], places: list[np.ndarray | None]) -> list[np.ndarray]:
+        """One vector for each row, rows of one shape together."""
+        with_places = places[0] is not None
+        if model.batched:
+            out = model.embed(np.stack(rows), np.stack(places)) if with_places else model.embed(np.stack(rows))
+            return [np.asarray(v, np.float64).ravel() for v in out]
+        return [np.asarray(model.embed(x, p) if with_places else model.embed(x), np.float64).ravel() for x, p in zip(rows, places)]
+
+    def array(cell) -> np.ndarray:
+        return np.stack([array(c) for c in cell]) if len(cell) and isinstance(cell[0], (np.ndarray, list)) else np.asarray(cell, np.float32)
 
     def run(batches):
         for b in batches:
+            found: dict[int, tuple[np.ndarray | None, str | None]] = {}
+            same: dict[tuple, list[int]] = {}
+            data: dict[int, np.ndarray] = {}
+            where: dict[int, np.ndarray | None] = {}
+            for i, (cell, place) in enumerate(zip(b["data"], b["positions"])):
+                if cell is None:
+                    found[i] = None, "too few channels with a position"
+                    continue
+                data[i], where[i] = array(cell), None if place is None else array(place)
+                same.setdefault((data[i].shape, place is None), []).append(i)
+            for rows in same.values():
+                try:
+                    found |= {i: (x, None) for i, x in zip(rows, called([data[i] for i in rows], [where[i] for i in rows]), strict=True)}
+                except Exception:  # one row may be at fault: each by itself
+                    for i in rows:
+                        try:
+                            found[i] = called([data[i]], [where[i]])[0], None
+                        except Exception as fault:  # a row's fault is evidence, kept in the status table
+                            found[i] = None, f"{type(fault).__name__}: {fault}"
             out = b[keys].copy()
-            out["x"], out["message"] = zip(*map(one, b["data"])) if len(b) else ((), ())
+            out["x"], out["message"] = [found[i][0] for i in range(len(b))], [found[i][1] for i in range(len(b))]
             yield out
 
     return run
 
 
-def embeddings(matrix: DataFrame, models: list[Model], keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(keys, model_id, x; keys, model_id, status, message). A model that fails
-    on a row gives a status row, not a failed task."""
+def embedded(matrix: DataFrame, models: list[Model], keys: list[str]) -> DataFrame:
+    """keys, model_id, x, message: a row for each row and model, x null where
+    the model failed on it (message says why), not a failed task."""
     done = None
     for model in models:
-        rows = prepared(matrix, model).select(*keys, "model_id", "data")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "data") + ", x array<double>, message string"
-        got = rows.mapInPandas(_embedder(model.embed, [*keys, "model_id"]), schema)
+        rows = taken(matrix, model).select(*keys, "model_id", "data", "positions")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("data", "positions")) + ", x array<double>, message string"
+        got = rows.mapInPandas(_embedder(model, [*keys, "model_id"]), schema)
         done = got if done is None else done.unionByName(got)
+    return done
+
+
+def embeddings(matrix: DataFrame, models: list[Model], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, model_id, x; keys, model_id, status, message)."""
+    done = embedded(matrix, models, keys)
     x = done.filter("x IS NOT NULL").select(*keys, "model_id", "x")
     return x, done.select(*keys, "model_id", F.when(F.col("x").isNull(), "failed").otherwise("used").alias("status"), "message")
 

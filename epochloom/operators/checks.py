@@ -77,7 +77,7 @@ def event_report(events: DataFrame, duration: DataFrame | None = None) -> DataFr
 
     ends = events.withColumn("_end", F.col("onset_seconds") + F.col("duration_seconds"))
     allow = F.lower(F.coalesce(F.get(F.map_values(F.map_filter("metadata", lambda k, v: k == "allow_overlap")), F.lit(0)), F.lit(""))).isin("true", "1", "yes")
-    empty = events.agg(F.count("*").alias("n")).filter("n = 0").select(*finding("error", "events.empty", F.lit(""), F.lit("event table contains no events")))
+    empty = events.agg(F.count("*").alias("n")).filter("n = 0").select(*finding("error", "events.empty", F.lit(""), F.lit("no events")))
     parts = [
         empty,
         duplicates(events, ["recording_id", "event_id"]).select(*finding("error", "events.duplicate_id", F.col("event_id"), F.concat(F.lit("event id comes "), F.col("n"), F.lit(" times")))),
@@ -87,7 +87,7 @@ def event_report(events: DataFrame, duration: DataFrame | None = None) -> DataFr
     ]
     if duration is not None:
         known = ends.join(duration, "recording_id")
-        parts.append(known.filter("_end > seconds").select(*finding("error", "events.out_of_bounds", F.col("event_id"), F.lit("event extends beyond recording duration"))))
+        parts.append(known.filter("_end > seconds").select(*finding("error", "events.out_of_bounds", F.col("event_id"), F.lit("ends after its recording"))))
         lost = events.join(duration, "recording_id", "left_anti")
         parts.append(lost.select(*finding("error", "events.recording_mismatch", F.col("event_id"), F.concat(F.lit("no recording "), F.col("recording_id")))))
     out = parts[0]
@@ -107,11 +107,11 @@ def study_report(observations: DataFrame, min_subjects: int = 2, min_trials: int
     contexts = observations.groupBy("label_namespace", "event_family", "branch_name").agg(F.count_distinct("target_label").alias("n")).filter("n < 2")
     ids = observations.select("collection_id", "recording_id", "branch_name").distinct()
     channels = observations.select("branch_name", "collection_id", F.explode("channels").alias("channel"))
-    empty = observations.agg(F.count("*").alias("n")).filter("n = 0").select(*finding("error", "study.empty", F.lit(""), F.lit("no collections were provided")))
+    empty = observations.agg(F.count("*").alias("n")).filter("n = 0").select(*finding("error", "study.empty", F.lit(""), F.lit("nothing to check")))
     parts = [
         empty,
         duplicates(ids, ["collection_id"]).select(*finding("warning", "study.duplicate_collection_id", F.col("collection_id"), F.lit("collection id comes more than once"))),
-        mixed(observations, ["recording_id"], "source_path").select(*finding("error", "study.recording_collision", F.col("recording_id"), F.lit("recording maps to several source files"))),
+        mixed(observations, ["recording_id"], "source_path").select(*finding("error", "study.recording_collision", F.col("recording_id"), F.lit("several source files have this id"))),
         mixed(observations, key, "sampling_rate_hz").select(*finding("error", "study.sample_rate_mismatch", where, F.lit("mixed sampling rates"))),
         few(subject, key, "subject_id", min_subjects).select(*finding("error", "study.too_few_subjects", where, F.concat(F.lit("subjects: "), F.col("n")))),
         trials.filter(F.col("n") < min_trials).select(*finding("warning", "study.too_few_trials", where, F.concat(F.lit("trials: "), F.col("n")))),

@@ -27,14 +27,23 @@ def phase_order():
 
 def usable(observations: DataFrame, min_subjects: int) -> tuple[DataFrame, DataFrame]:
     """(observations of groups that can be compared, issues of the others):
-    enough subjects, and one sampling rate."""
-    full = observations.filter((F.size("samples") > 0) & F.col("phase").isin(*PHASES))
+    enough subjects, and one sampling rate. An event without a sample in any
+    phase has no part and is an issue of its own."""
+    known = observations.filter(F.col("phase").isin(*PHASES))
+    full = known.filter(F.size("samples") > 0)
     groups = full.groupBy(*GROUP).agg(F.count_distinct("subject_id").alias("subjects"), F.count_distinct("sampling_rate_hz").alias("rates"))
     good = groups.filter((F.col("subjects") >= min_subjects) & (F.col("rates") == 1)).select(*GROUP)
     where = F.concat_ws("/", *GROUP)
-    issues = groups.filter(F.col("subjects") < min_subjects).select(F.lit("warning").alias("severity"), F.lit("discovery.too_few_subjects").alias("code"), where.alias("location")).unionByName(
-        groups.filter((F.col("subjects") >= min_subjects) & (F.col("rates") > 1)).select(F.lit("error").alias("severity"), F.lit("discovery.mixed_sampling_rates").alias("code"), where.alias("location"))
-    )
+    held = observations.groupBy(*GROUP, *_EVENT).agg(F.max(F.when(F.col("phase").isin(*PHASES), F.size("samples"))).alias("_most"))
+    parts = [
+        (held.filter(F.coalesce("_most", F.lit(0)) <= 0), "warning", "discovery.empty_epoch", F.concat_ws("/", *GROUP, *_EVENT), F.lit("no samples in any phase")),
+        (groups.filter(F.col("subjects") < min_subjects), "warning", "discovery.too_few_subjects", where, F.concat(F.lit("subjects: "), F.col("subjects"))),
+        (groups.filter((F.col("subjects") >= min_subjects) & (F.col("rates") > 1)), "error", "discovery.mixed_sampling_rates", where, F.concat(F.lit("sampling rates: "), F.col("rates"))),
+    ]
+    issues = None
+    for rows, severity_, code, at, message in parts:
+        one = rows.select(F.lit(severity_).alias("severity"), F.lit(code).alias("code"), at.alias("location"), message.alias("message"))
+        issues = one if issues is None else issues.unionByName(one)
     return full.join(good, GROUP), issues
 
 
@@ -75,31 +84,35 @@ def _band_order():
     return F.array_position(F.array(*[F.lit(b[0]) for b in spectral.BANDS]), F.col("band"))
 
 
+def on_all_axes(bands: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, phase, channel, band, power, ch_pos: ``bands`` on every axis that
+    any label of its context has, NaN on those its own label lacks, so that
+    correlations skip what a pair of labels doesn't share. ch_pos is the
+    context's place of the channel. keys: GROUP and more."""
+    axis = ["phase", "channel", "band"]
+    axes = bands.groupBy(*CONTEXT, *axis).agg(F.min("ch_pos").alias("ch_pos"))
+    own = bands.select(*GROUP, *axis).distinct()
+    lacking = own.select(*GROUP).distinct().join(axes.drop("ch_pos"), CONTEXT).join(own, [*GROUP, *axis], "left_anti")
+    blank = bands.select(*keys).distinct().join(lacking, GROUP).select(*keys, *axis, F.lit(float("nan")).alias("power"))
+    return bands.select(*keys, *axis, "power").unionByName(blank).join(axes, [*CONTEXT, *axis])
+
+
 def vectors(bands: DataFrame, keys: list[str], logged: bool, name: str = "x") -> DataFrame:
-    """keys and the power vector in (phase, channel, band) order."""
+    """keys and the power vector in (phase, channel, band) order, on all axes
+    of the context. keys: GROUP and more."""
     value = F.log1p("power").cast("float").cast("double") if logged else F.col("power")
-    held = bands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(phase_order().alias("p"), F.col("ch_pos").alias("c"), F.col("channel").alias("cn"), _band_order().alias("b"), value.alias("v")))).alias("_v"))
+    held = on_all_axes(bands, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(phase_order().alias("p"), F.col("ch_pos").alias("c"), F.col("channel").alias("cn"), _band_order().alias("b"), value.alias("v")))).alias("_v"))
     return held.select(*keys, F.transform("_v", lambda e: e["v"]).alias(name))
 
 
-def common_axes(bands: DataFrame) -> DataFrame:
-    """Rows on axes that all labels of a context have, so that vectors of
-    different labels can be compared component by component."""
-    labels = bands.groupBy(*CONTEXT).agg(F.count_distinct("target_label").alias("_labels"))
-    axes = bands.groupBy(*CONTEXT, "phase", "channel", "band").agg(F.count_distinct("target_label").alias("_n"), F.min("ch_pos").alias("_pos"))
-    shared = axes.join(labels, CONTEXT).filter("_n = _labels").select(*CONTEXT, "phase", "channel", "band", "_pos")
-    return bands.join(shared, [*CONTEXT, "phase", "channel", "band"]).withColumn("ch_pos", F.col("_pos")).drop("_pos")
-
-
 def control_scores(subject_bands: DataFrame) -> DataFrame:
     """GROUP with n_subjects, within (on log powers), rest, strongest,
-    strongest_label, margin (between labels on raw powers)."""
-    inside = vectors(subject_bands, [*GROUP, "subject_id"], logged=True)
-    s = similarity.unit_sums(similarity.unit_vectors(inside, GROUP, "subject_id", "x"), GROUP)
-    within = similarity.within(s, GROUP).withColumnRenamed("n", "n_subjects")
-    across = vectors(common_axes(subject_bands), [*GROUP, "subject_id"], logged=False)
-    c = similarity.unit_sums(similarity.unit_vectors(across, GROUP, "subject_id", "x"), GROUP)
-    return similarity.control_margin(within, similarity.between(c, CONTEXT, "target_label"), CONTEXT, "target_label")
+    strongest_label, margin (between labels on raw powers, on the axes that
+    both have)."""
+    keys = [*GROUP, "subject_id"]
+    inside, across = (similarity.unit_sums(similarity.unit_vectors(vectors(subject_bands, keys, logged), GROUP, "subject_id", "x"), GROUP) for logged in (True, False))
+    within = similarity.within(inside, GROUP).withColumnRenamed("n", "n_subjects")
+    return similarity.control_margin(within, similarity.between(across, CONTEXT, "target_label"), CONTEXT, "target_label")
 
 
 def difference_map(subject_bands: DataFrame) -> DataFrame:
@@ -130,13 +143,16 @@ def dominant_axes(difference: DataFrame) -> DataFrame:
     return held.groupBy(*GROUP).agg(pick("band").alias("dominant_bands"), pick("channel").alias("dominant_channels"), pick("phase").alias("strongest_phases"))
 
 
+#: The sentence of a candidate; of each list so many names are
+#: said, and if it is empty the words after that.
+SIGNATURE = "shared %s structure centered on %s across %s during %s"
+SIGNATURE_PARTS = (("dominant_bands", 2, "unspecified bands"), ("dominant_channels", 4, "unspecified channels"), ("strongest_phases", 2, "unspecified phases"))
+
+
 def signature():
     """The sentence of a candidate."""
-    part = lambda c, n, none: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.array_join(F.slice(c, 1, n), ", ")).otherwise(none)
-    return F.format_string(
-        "shared %s structure centered on %s across %s during %s", "target_label", part(F.col("dominant_bands"), 2, F.lit("unspecified bands")),
-        part(F.col("dominant_channels"), 4, F.lit("unspecified channels")), part(F.col("strongest_phases"), 2, F.lit("unspecified phases")),
-    )
+    said = [F.coalesce(F.nullif(F.array_join(F.slice(name, 1, most), ", "), F.lit("")), F.lit(none)) for name, most, none in SIGNATURE_PARTS]
+    return F.format_string(SIGNATURE, "target_label", *said)
 
 
 def _flat(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -170,17 +186,34 @@ def branch_agreement(profiles: DataFrame, label: list[str], branch: str, vector:
     return met.withColumn("overall", worst).select(*label, branch, "reference", "similarity", "margin", "status", "overall")
 
 
+def phase_band_means(subject_bands: DataFrame) -> DataFrame:
+    """GROUP, phase, band, power: means over subjects, then channels."""
+    means = subject_bands.groupBy(*GROUP, "phase", "channel", "band").agg(F.avg("power").alias("power"))
+    return means.groupBy(*GROUP, "phase", "band").agg(F.avg("power").alias("power"))
+
+
 def branch_profiles(subject_bands: DataFrame, margins: DataFrame) -> DataFrame:
-    """GROUP, profile (phase x band means on the axes that all branches of a
-    label have), margin."""
+    """GROUP, profile (phase x band means on the axes that any branch of a
+    label has, NaN where its own lacks one), margin."""
     label = ["label_namespace", "event_family", "target_label"]
-    means = subject_bands.groupBy(*GROUP, "phase", "band").agg(F.avg("power").alias("power"))
-    branches = means.groupBy(*label).agg(F.count_distinct("branch_name").alias("_b"))
-    shared = means.groupBy(*label, "phase", "band").agg(F.count_distinct("branch_name").alias("_n")).join(branches, label).filter("_n = _b").select(*label, "phase", "band")
-    held = means.join(shared, [*label, "phase", "band"]).groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct(phase_order().alias("p"), _band_order().alias("b"), F.col("power").alias("v")))).alias("_v"))
+    means = phase_band_means(subject_bands)
+    axes = means.select(*label, "phase", "band").distinct()
+    full = means.select(*GROUP).distinct().join(axes, label).join(means, [*GROUP, "phase", "band"], "left")
+    held = full.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct(phase_order().alias("p"), _band_order().alias("b"), F.coalesce("power", F.lit(float("nan"))).alias("v")))).alias("_v"))
     return held.select(*GROUP, F.transform("_v", lambda e: e["v"]).alias("profile")).join(margins.select(*GROUP, "margin"), GROUP)
 
 
+def topography(subject_bands: DataFrame, difference: DataFrame) -> DataFrame:
+    """GROUP, phase, channel, band, mean, rest, difference, channel_mean (over
+    bands), band_mean (over channels), NaN skipped."""
+    good = F.when(~F.isnan("power"), F.col("power"))
+    rows = difference.select(*GROUP, "phase", "channel", "ch_pos", "band", "power", "rest", "difference")
+    return rows.select(
+        *GROUP, "phase", "channel", "ch_pos", "band", F.col("power").alias("mean"), "rest", "difference",
+        F.avg(good).over(Window.partitionBy(*GROUP, "phase", "channel")).alias("channel_mean"), F.avg(good).over(Window.partitionBy(*GROUP, "phase", "band")).alias("band_mean"),
+    )
+
+
 def assess(observations: DataFrame, subject_bands: DataFrame, margins: DataFrame, agreement: DataFrame, seed: int = 0, null_iterations: int = 64, subsample_iterations: int = 32) -> DataFrame:
     """GROUP with holdout, null and subsample figures, flags, robustness,
     fragility and tier."""
@@ -189,10 +222,10 @@ def assess(observations: DataFrame, subject_bands: DataFrame, margins: DataFrame
         F.max_by(F.nullif("cohort_label", F.lit("")), F.when(F.nullif("cohort_label", F.lit("")).isNotNull(), F.col("obs_idx"))).alias("cohort_label"),
     )
     events = observations.groupBy(*GROUP).agg(F.count_distinct(*_EVENT).alias("n_events"))
-    x = vectors(common_axes(subject_bands), [*GROUP, "subject_id"], logged=True).join(held, [*GROUP, "subject_id"])
+    x = vectors(subject_bands, [*GROUP, "subject_id"], logged=True).join(held, [*GROUP, "subject_id"])
     loso = reliability.holdout_summary(reliability.leave_one_out(x, CONTEXT, "target_label", "subject_id"), GROUP).select(*GROUP, F.col("mean_margin").alias("loso_margin"), F.col("success_rate").alias("loso"))
     rate = lambda g, n: reliability.holdout_summary(reliability.grouped_holdout(x, CONTEXT, "target_label", g), GROUP).select(*GROUP, F.col("success_rate").alias(n), F.col("n").alias(f"{n}_groups"))
-    null = reliability.label_shuffle_null(x, margins.select(*GROUP, "margin"), "target_label", "subject_id", null_iterations, seed, CONTEXT)
+    null = reliability.label_shuffle_null(x, margins.select(*GROUP, "margin"), "target_label", ["target_label", "subject_id"], null_iterations, seed, CONTEXT)
     sub = reliability.subsample_stability(x, GROUP, "subject_id", subsample_iterations, seed=seed + 1009).drop("iterations")
     overall = agreement.select(*GROUP, F.col("overall").alias("branch_status"))
     met = margins.select(*GROUP, "n_subjects", "margin").join(events, GROUP)

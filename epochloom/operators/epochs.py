@@ -71,6 +71,12 @@ def phase_requests(events: DataFrame, windows: Windows, onset: str = "onset_seco
     return events.select("*", F.inline(F.array(*structs)))
 
 
+#: What is said of a phase that can't be had as asked.
+REVERSED = " requested end preceded start; collapsed to zero-length"
+CLIPPED = " window was clipped to the recording bounds"
+EXCEEDED = " window exceeded the recording duration and was clipped"
+
+
 def sample_range(requests: DataFrame, rate: Column, total: Column) -> DataFrame:
     """Requested seconds as half-open sample ranges inside the recording, with
     what was cut off: start_sample, end_sample, actual_start, actual_end,
@@ -85,9 +91,9 @@ def sample_range(requests: DataFrame, rate: Column, total: Column) -> DataFrame:
     last = F.greatest(first, F.least(total, F.ceil(t * rate))).cast("long")
     beyond = (last == total) & (end > total / rate)
     warning = (
-        F.when(reversed_, F.concat(phase, F.lit(" requested end preceded start; collapsed to zero-length")))
-        .when(moved, F.concat(phase, F.lit(" window was clipped to the recording bounds")))
-        .when(beyond, F.concat(phase, F.lit(" window exceeded the recording duration and was clipped")))
+        F.when(reversed_, F.concat(phase, F.lit(REVERSED)))
+        .when(moved, F.concat(phase, F.lit(CLIPPED)))
+        .when(beyond, F.concat(phase, F.lit(EXCEEDED)))
         .otherwise("")
     )
     return requests.withColumns(

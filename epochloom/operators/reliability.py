@@ -2,31 +2,35 @@
 
 Every statistic is built from sums of vectors, so a label's rows are read a
 fixed number of times and never paired. vectors: context columns, label, id,
-x (array<double> without NaN), and for grouped holdouts a group column.
+x (array<double>), and for grouped holdouts a group column. A position of a
+centroid is NaN if any of its vectors lacks it, and correlations skip it; in
+the null test vectors are told apart by their masks, as in ``similarity``.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import centred_unit, safe_corr
+from ..functions.expr import safe_corr
+from .similarity import unit_vectors
 
+_NAN = float("nan")
 
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
 
+def _centroid(total: str, lost: str, n: Column) -> Column:
+    """Means from sums; NaN where any vector was."""
+    return F.zip_with(total, lost, lambda t, k: F.when(k > 0, F.lit(_NAN)).otherwise(t / n))  # n: a column, not an expression to be made again
 
-def _over(a: Column, n: Column) -> Column:
-    return F.transform(a, lambda x: x / n)  # n: a column, not an expression to be made again
 
 def vector_sums(df: DataFrame, keys: list[str], vector: str = "x", name: str = "total") -> DataFrame:
-    """keys, n, total: position-wise sums."""
+    """keys, n, total, total_lost: position-wise sums without NaN, and how
+    many vectors were NaN there."""
     long = df.select(*keys, F.posexplode(vector).alias("pos", "v"))
-    at = long.groupBy(*keys, "pos").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
-    held = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_t"), F.max("n").alias("n"))
-    return held.select(*keys, "n", F.transform("_t", lambda p: p["v"]).alias(name))
+    bad = F.col("v").isNull() | F.isnan("v")
+    at = long.groupBy(*keys, "pos").agg(F.sum(F.when(~bad, F.col("v")).otherwise(F.lit(0.0))).alias("v"), F.count_if(bad).alias("k"), F.count("*").alias("n"))
+    held = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v", "k"))).alias("_t"), F.max("n").alias("n"))
+    return held.select(*keys, "n", F.transform("_t", lambda p: p["v"]).alias(name), F.transform("_t", lambda p: p["k"]).alias(f"{name}_lost"))
 
 
 def best_other(vectors: DataFrame, sums: DataFrame, context: list[str], label: str, keep: list[str]) -> DataFrame:
@@ -35,7 +39,7 @@ def best_other(vectors: DataFrame, sums: DataFrame, context: list[str], label: s
     keys = context or ["_all"]
     if not context:
         sums, vectors = sums.withColumn("_all", F.lit(0)), vectors.withColumn("_all", F.lit(0))
-    cents = sums.select(*keys, F.struct(F.col(label).alias("_other"), _over(F.col("total"), F.col("n")).alias("_c")).alias("_e"))
+    cents = sums.select(*keys, F.struct(F.col(label).alias("_other"), _centroid("total", "total_lost", F.col("n")).alias("_c")).alias("_e"))
     held = cents.groupBy(*keys).agg(F.collect_list("_e").alias("_cs"))  # a row for each context: its labels' centroids
     met = vectors.join(held, keys)
     others = F.filter("_cs", lambda c: c["_other"] != F.col(label))
@@ -46,10 +50,13 @@ def best_other(vectors: DataFrame, sums: DataFrame, context: list[str], label: s
 def leave_one_out(vectors: DataFrame, context: list[str], label: str, item: str) -> DataFrame:
     """context, label, item, margin: correlation with the mean of the others of
     its label minus the best with another label's centroid."""
-    sums = vector_sums(vectors, [*context, label])
     keys = [*context, label]
+    sums = vector_sums(vectors, keys)
     met = best_other(vectors, sums, context, label, [*keys, item, "x"]).join(sums.filter("n >= 2"), keys)
-    rest = _over(_minus(F.col("total"), F.col("x")), F.col("n") - 1)
+    # where x is NaN the position is skipped anyway, so all that are lost are lost by others
+    left = F.zip_with("total", "x", lambda t, x: t - x)
+    rest = _centroid("_rest", "total_lost", F.col("_n"))
+    met = met.withColumn("_rest", left).withColumn("_n", F.col("n") - 1)
     return met.select(*keys, item, (safe_corr(F.col("x"), rest) - F.col("other")).alias("margin"))
 
 
@@ -63,66 +70,83 @@ def holdout_summary(margins: DataFrame, keys: list[str]) -> DataFrame:
 def grouped_holdout(vectors: DataFrame, context: list[str], label: str, group: str) -> DataFrame:
     """context, label, group, margin: rows of a group against the mean of all
     rows outside it. Blank groups are never held out but stay in the means; a
-    group that is all of a label gives no row."""
+    label with fewer than two groups gives no row."""
     keys = [*context, label]
     sums = vector_sums(vectors, keys)
-    own = vectors.filter(F.col(group).isNotNull() & (F.col(group) != ""))
+    own = vectors.filter(F.trim(F.coalesce(F.col(group), F.lit(""))) != "").withColumn(group, F.trim(group))
     parts = vector_sums(own, [*keys, group], name="part").withColumnRenamed("n", "m")
+    enough = parts.groupBy(*keys).agg(F.count("*").alias("_groups")).filter("_groups >= 2").select(*keys)
+    parts = parts.join(enough, keys)
     met = best_other(own, sums, context, label, [*keys, group, "x"]).join(sums, keys).join(parts, [*keys, group]).filter("n > m")
-    rest = _over(_minus(F.col("total"), F.col("part")), F.col("n") - F.col("m"))
-    scored = met.select(*keys, group, safe_corr(F.col("x"), rest).alias("own"), "other")
+    met = met.withColumn("_rest", F.zip_with("total", "part", lambda t, p: t - p)).withColumn("_lost", F.zip_with("total_lost", "part_lost", lambda t, p: t - p)).withColumn("_n", F.col("n") - F.col("m"))
+    scored = met.select(*keys, group, safe_corr(F.col("x"), _centroid("_rest", "_lost", F.col("_n"))).alias("own"), "other")
     return scored.groupBy(*keys, group).agg((F.avg("own") - F.max("other")).alias("margin"))
 
 
-def _draw(seed: int, it: Column, item: Column) -> Column:
-    """A fixed pseudo-random text for an iteration and an item."""
-    return F.md5(F.concat_ws("_", F.lit(str(seed)), it.cast("string"), item.cast("string")))
-
-
-def _shuffles(rows: DataFrame, iterations: int) -> DataFrame:
-    return rows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-
-
-def label_shuffle_null(vectors: DataFrame, margins: DataFrame, label: str, item: str, iterations: int = 64, seed: int = 0, context: list[str] | None = None) -> DataFrame:
-    """context, label, null_mean, null_std, null_p95, p_value: what the margin
-    would be if labels meant nothing. In each iteration the pooled rows get a
-    new order and the first as many as the label has are its rows. margins:
-    context, label, margin."""
+def draw(rows: DataFrame, keys: list[str], items: list[str], iterations: int, seed: int) -> DataFrame:
+    """keys, items, iteration, rank: a fixed pseudo-random order of the rows of
+    each key for each iteration, by MD5 of (seed, iteration, items), which any
+    engine can repeat. The order is dealt to ranges of the hash, so that no
+    task ranks all rows of a key."""
+    hashed = rows.select(*keys, *items, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration"))
+    hashed = hashed.withColumn("_o", F.md5(F.concat_ws("_", F.lit(str(seed)), F.col("iteration").cast("string"), *[F.col(i).cast("string") for i in items])))
+    hashed = hashed.withColumn("_range", F.substring("_o", 1, 3))  # 4,096 even ranges
+    by = [*keys, "iteration"]
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_o", *items))
+    ranked = hashed.withColumn("_place", place).join(sizes.select(*by, "_range", "_before"), [*by, "_range"])
+    return ranked.select(*keys, *items, "iteration", (F.col("_before") + F.col("_place")).alias("rank"))
+
+
+def label_shuffle_null(vectors: DataFrame, margins: DataFrame, label: str, items: list[str], iterations: int = 64, seed: int = 0, context: list[str] | None = None) -> DataFrame:
+    """context, label, iterations, null_mean, null_std, null_p95, p_value: what
+    the margin would be if labels meant nothing. In each iteration the pooled
+    rows get a new order and the first as many as the label has are its rows.
+    margins: context, label, margin; items: what tells the pooled rows apart.
+
+    Only rows that are among the first of some label are summed; sums are made
+    once for each distinct number of rows, not for each label.
+    """
     context = context or []
-    units = vectors.select(*context, label, item, centred_unit("x").alias("u"))
-    counts = units.groupBy(*context, label).agg(F.count("*").alias("k"))
-    sizes = units.groupBy(*context).agg(F.count("*").alias("total")) if context else units.agg(F.count("*").alias("total"))
-    drawn = _shuffles(units.drop(label), iterations).withColumn("_o", _draw(seed, F.col("iteration"), F.col(item)))
-    order = Window.partitionBy(*context, "iteration").orderBy("_o", item)
-    ranked = drawn.withColumn("rank", F.row_number().over(order)).drop("_o")
-    # rows belong to a label's target if their rank is at most its size: one sum for each distinct size
-    long = ranked.select(*context, "iteration", "rank", F.posexplode("u").alias("pos", "v"))
-    running = Window.partitionBy(*context, "iteration", "pos").orderBy("rank")
-    totals = long.groupBy(*context, "iteration", "pos").agg(F.sum("v").alias("all"))
-    at = long.withColumn("s", F.sum("v").over(running)).withColumn("q", F.sum(F.col("v") * F.col("v")).over(running))
+    if not context:
+        vectors, margins = vectors.withColumn("_all", F.lit(0)), margins.withColumn("_all", F.lit(0))
     keys = context or ["_all"]
-    ks = (counts if context else counts.withColumn("_all", F.lit(0))).select(*keys, "k").distinct()
-    cut = (at if context else at.withColumn("_all", F.lit(0))).join(ks.withColumn("rank", F.col("k").cast("int")), [*keys, "rank"])
-    cut = cut.join(totals, [*context, "iteration", "pos"])
-    sums = cut.groupBy(*context, "iteration", "k").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq"), F.sum(F.col("s") * (F.col("all") - F.col("s"))).alias("cross"))
-    sums = sums.join(sizes, context) if context else sums.withColumn("_all", F.lit(0)).join(sizes.withColumn("_all", F.lit(0)), "_all")
-    sums = sums.filter("k >= 2 AND total > k")
-    null = sums.select(*context, "k", "iteration", ((F.col("ss") - F.col("qq")) / (F.col("k") * (F.col("k") - 1)) - F.col("cross") / (F.col("k") * (F.col("total") - F.col("k")))).alias("null"))
-    met = counts.join(margins, [*context, label]).filter("margin IS NOT NULL").join(null, [*context, "k"])
-    return met.groupBy(*context, label).agg(
+    names = [f"_i{k}" for k in range(len(items))]
+    rows = vectors.select(*keys, F.col(label).alias("_label"), *[F.col(i).alias(n) for i, n in zip(items, names)], "x")
+    counts = rows.groupBy(*keys, "_label").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy(*keys).agg(F.array_sort(F.collect_set("k")).alias("_ks"), F.sum("k").alias("total"))  # a row for each context
+    first = F.element_at(F.filter("_ks", lambda k: k >= F.col("rank")), 1)  # the smallest label that the row is drawn for
+    drawn = draw(rows, keys, names, iterations, seed).join(sizes, keys).filter(F.col("rank") <= F.array_max("_ks")).select(*keys, *names, "iteration", first.alias("_cut"))
+    units = unit_vectors(rows.withColumn("_one", F.lit(0)), [*keys, *names], "_one", "x", keys).drop("_one")
+    masks = ["mask", "other"]
+    all_ = units.select(*keys, *masks, F.posexplode("u").alias("pos", "v")).groupBy(*keys, *masks, "pos").agg(F.sum("v").alias("all"))
+    long = drawn.join(units, [*keys, *names]).select(*keys, "iteration", "_cut", *masks, F.posexplode("u").alias("pos", "v"))
+    parts = long.groupBy(*keys, "iteration", "_cut", *masks, "pos").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    each = parts.join(sizes, keys).withColumn("k", F.explode(F.filter("_ks", lambda k: k >= F.col("_cut"))))
+    at = each.groupBy(*keys, "iteration", "k", *masks, "pos").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    turn = lambda df, *more: df.select(*keys, F.col("mask").alias("other"), F.col("other").alias("mask"), "pos", *more)
+    inside = at.join(turn(at, "iteration", "k", F.col("s").alias("t")), [*keys, "iteration", "k", *masks, "pos"])
+    same = F.col("mask") == F.col("other")
+    inside = inside.groupBy(*keys, "iteration", "k").agg(F.sum(F.col("s") * F.col("t")).alias("ss"), F.sum(F.when(same, F.col("q"))).alias("qq"))
+    whole = at.join(turn(all_, F.col("all").alias("a")), [*keys, *masks, "pos"]).groupBy(*keys, "iteration", "k").agg(F.sum(F.col("s") * F.col("a")).alias("sa"))
+    sums = inside.join(whole, [*keys, "iteration", "k"]).join(sizes.select(*keys, "total"), keys).filter("k >= 2 AND total > k")
+    null = (F.col("ss") - F.col("qq")) / (F.col("k") * (F.col("k") - 1)) - (F.col("sa") - F.col("ss")) / (F.col("k") * (F.col("total") - F.col("k")))
+    met = counts.withColumnRenamed("_label", label).join(margins, [*keys, label]).filter("margin IS NOT NULL").join(sums.select(*keys, "k", null.alias("null")), [*keys, "k"])
+    out = met.groupBy(*keys, label).agg(
         F.count("*").alias("iterations"), F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_std"), F.percentile("null", F.lit(0.95)).alias("null_p95"),
         ((1 + F.count_if(F.col("null") >= F.col("margin"))) / (1 + F.count("*"))).alias("p_value"),
     )
+    return out if context else out.drop("_all")
 
 
 def subsample_stability(vectors: DataFrame, keys: list[str], item: str, iterations: int = 32, fraction: float = 0.75, seed: int = 1009) -> DataFrame:
-    """keys, mean_similarity, min_similarity: centroids of random parts against
-    the whole's; three rows at least."""
+    """keys, mean_similarity, min_similarity, iterations: centroids of random
+    parts against the whole's; three rows at least."""
     sums = vector_sums(vectors, keys).filter("n >= 3")
     most = F.greatest(F.lit(2), F.ceil(F.col("n") * fraction).cast("int"))
-    drawn = _shuffles(vectors.select(*keys, item, "x"), iterations).withColumn("_o", _draw(seed, F.col("iteration"), F.col(item)))
-    order = Window.partitionBy(*keys, "iteration").orderBy("_o", item)
-    kept = drawn.withColumn("rank", F.row_number().over(order)).join(sums.select(*keys, most.alias("_most")), keys).filter("rank <= _most")
+    ranked = draw(vectors, keys, [item], iterations, seed).join(sums.select(*keys, most.alias("_most")), keys).filter("rank <= _most")
+    kept = ranked.select(*keys, item, "iteration").join(vectors.select(*keys, item, "x"), [*keys, item])
     parts = vector_sums(kept, [*keys, "iteration"], name="part").withColumnRenamed("n", "m")
-    met = parts.join(sums, keys).withColumn("similarity", safe_corr("part", "total"))
+    met = parts.join(sums, keys).withColumn("similarity", safe_corr(_centroid("part", "part_lost", F.col("m")), _centroid("total", "total_lost", F.col("n"))))
     return met.groupBy(*keys).agg(F.avg("similarity").alias("mean_similarity"), F.min("similarity").alias("min_similarity"), F.count("*").alias("iterations"))

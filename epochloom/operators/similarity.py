@@ -1,9 +1,16 @@
 """Similarity of vectors within and between groups.
 
-Where vectors have no NaN, sums of unit vectors give mean correlations in one
-pass: the mean over pairs of a group of n is (|S|^2 - Q) / (n (n - 1)), that
-between two groups S_a . S_b / (n_a n_b), S being the sum of the group's
-centred unit vectors and Q the sum of their squared norms. Nothing is paired.
+Sums of unit vectors give mean correlations in one pass: the mean over pairs of
+a group of n is (|S|^2 - Q) / (n (n - 1)), that between two groups
+S_a . S_b / (n_a n_b), S being the sum of the group's centred unit vectors and Q
+the sum of their squared norms. Nothing is paired.
+
+A correlation skips the positions where either side is NaN. Vectors are
+therefore told apart by their mask (the positions they lack): for every mask of
+its context a vector is centred and scaled on what both have, and S is kept for
+each (own mask, other mask). S of (a, b) times S of (b, a) is then the sum over
+all pairs of a vector of mask a and one of mask b, exactly. Without NaN there is
+one mask; otherwise there are as many as montages.
 """
 
 from __future__ import annotations
@@ -11,61 +18,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import centred_unit, safe_corr
+from ..functions.expr import centred_unit, lost, safe_corr
 
 
-def unit_vectors(df: DataFrame, group: list[str], item: str, vector: str) -> DataFrame:
-    """group, item, u (centred unit vector)."""
-    return df.select(*group, item, centred_unit(vector).alias("u"))
+def unit_vectors(df: DataFrame, group: list[str], item: str, vector: str, context: list[str] | None = None) -> DataFrame:
+    """group, item, mask, other, u: a row for each mask of the context (the
+    group without its last column, if not given), u the centred unit vector
+    on the positions that both masks have."""
+    context = group[:-1] if context is None else context
+    x = df.select(*group, item, F.col(vector).alias("_x"), lost(vector).alias("mask"))
+    masks = x.groupBy(*context).agg(F.collect_set("mask").alias("_masks"))  # a row for each context
+    met = x.join(masks, context) if context else x.withColumn("_all", F.lit(0)).join(masks.withColumn("_all", F.lit(0)), "_all")
+    each = met.select(*group, item, "_x", "mask", F.explode("_masks").alias("other"))
+    return each.select(*group, item, "mask", "other", centred_unit("_x", F.array_union("mask", "other")).alias("u"))
 
 
 def unit_sums(units: DataFrame, group: list[str]) -> DataFrame:
-    """group, n, q, s: the sum vector S in order, aggregated position by
-    position so that a large group is no single task's work. Counts and squared
-    norms come out of the same pass."""
-    at = units.select(*group, F.posexplode("u").alias("pos", "v"))
-    sums = at.groupBy(*group, "pos").agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("w"), F.count("*").alias("n"))
+    """group, mask, other, n, q, s: the sum vector S in order, aggregated
+    position by position so that a large group is no single task's work. Counts
+    and squared norms come out of the same pass."""
+    keys = [*group, "mask", "other"]
+    at = units.select(*keys, F.posexplode("u").alias("pos", "v"))
+    sums = at.groupBy(*keys, "pos").agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("w"), F.count("*").alias("n"))
     # as many rows for a group as the vector is long
-    held = sums.groupBy(*group).agg(F.max("n").alias("n"), F.sum("w").alias("q"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    return held.select(*group, "n", "q", F.transform("s", lambda p: p["v"]).alias("s"))
+    held = sums.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("w").alias("q"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
+    return held.select(*keys, "n", "q", F.transform("s", lambda p: p["v"]).alias("s"))
 
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _turned(sums: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The partners of ``sums``: their masks the other way round."""
+    return sums.select(*keys, F.col("mask").alias("other"), F.col("other").alias("mask"), F.col("n").alias("m"), F.col("s").alias("t"), *more)
+
+
 def within(sums: DataFrame, group: list[str]) -> DataFrame:
     """group, n, within: mean over pairs, null with fewer than two items."""
-    mean = F.when(F.col("n") >= 2, (_dot(F.col("s"), F.col("s")) - F.col("q")) / (F.col("n") * (F.col("n") - 1)))
-    return sums.select(*group, "n", mean.alias("within"))
+    same = F.col("mask") == F.col("other")
+    pairs = sums.join(_turned(sums, group), [*group, "mask", "other"])
+    total = pairs.groupBy(*group).agg(
+        F.sum(F.when(same, F.col("n"))).alias("n"), F.sum(_dot(F.col("s"), F.col("t")) - F.when(same, F.col("q")).otherwise(F.lit(0.0))).alias("_sum")
+    )
+    return total.select(*group, "n", F.when(F.col("n") >= 2, F.col("_sum") / (F.col("n") * (F.col("n") - 1))).alias("within"))
 
 
 def between(sums: DataFrame, context: list[str], label: str) -> DataFrame:
     """context, label, other_label, similarity: mean over cross pairs. A join of
     groups, of which there are as many as labels."""
-    keys = context or ["_all"]
-    sums = sums if context else sums.withColumn("_all", F.lit(0))
-    other = sums.select(*keys, F.col(label).alias("other_label"), F.col("n").alias("m"), F.col("s").alias("t"))
-    pairs = sums.join(other, keys).filter(F.col(label) != F.col("other_label"))
-    return pairs.select(*context, label, "other_label", (_dot(F.col("s"), F.col("t")) / (F.col("n") * F.col("m"))).alias("similarity"))
+    pairs = sums.join(_turned(sums, context, F.col(label).alias("other_label")), [*context, "mask", "other"]).filter(F.col(label) != F.col("other_label"))
+    mean = F.sum(_dot(F.col("s"), F.col("t"))) / F.sum(F.col("n") * F.col("m"))
+    return pairs.groupBy(*context, label, "other_label").agg(mean.alias("similarity"))
 
 
 def control_margin(within_: DataFrame, between_: DataFrame, context: list[str], label: str) -> DataFrame:
-    """within, mean over the other labels, the strongest of them, and margin."""
+    """within, mean over the other labels, the strongest of them (of equal ones
+    the first by name), and margin."""
     rest = between_.groupBy(*context, label).agg(
         F.avg("similarity").alias("rest"), F.max("similarity").alias("strongest"),
-        F.max_by("other_label", F.struct(F.col("similarity"), (-F.xxhash64(F.col("other_label"))).alias("t"))).alias("strongest_label"), F.count("*").alias("n_controls"),
+        F.min_by("other_label", F.struct(-F.col("similarity"), F.col("other_label"))).alias("strongest_label"), F.count("*").alias("n_controls"),
     )
     return within_.join(rest, [*context, label], "left").withColumn("margin", F.col("within") - F.col("rest"))
 
 
-def pairwise(df: DataFrame, group: list[str], item: str, vector: str) -> DataFrame:
+#: The most items of a group on either side of a tile of pairs.
+TILE = 1024
+
+
+def pairwise(df: DataFrame, group: list[str], item: str, vector: str, tile: int = TILE) -> DataFrame:
     """group, a, b, similarity of all pairs a < b of a group, with NaN-aware
-    correlation. Grows with the square of a group: for groups of bounded size
-    (subjects of a label), or vectors with NaN."""
-    left = df.select(*group, F.col(item).alias("a"), F.col(vector).alias("_x"))
-    right = df.select(*group, F.col(item).alias("b"), F.col(vector).alias("_y"))
-    return left.join(right, group).filter("a < b").select(*group, "a", "b", safe_corr("_x", "_y").alias("similarity"))
+    correlation. Grows with the square of a group, so it is for groups of
+    bounded size (subjects of a label). The pairs of a large group are dealt
+    to tiles, so that no key holds them all."""
+    tiles = df.groupBy(*group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    dealt = df.select(*group, F.col(item).alias("_i"), F.col(vector).alias("_v")).join(tiles, group).withColumn("_at", F.pmod(F.xxhash64("_i"), F.col("_tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    left = dealt.select(*group, F.col("_i").alias("a"), F.col("_v").alias("_x"), F.col("_at").alias("_p"), every.alias("_q"))
+    right = dealt.select(*group, F.col("_i").alias("b"), F.col("_v").alias("_y"), every.alias("_p"), F.col("_at").alias("_q"))
+    return left.join(right, [*group, "_p", "_q"]).filter("a < b").select(*group, "a", "b", safe_corr("_x", "_y").alias("similarity"))
 
 
 def similarity_matrix(pairs: DataFrame, items: DataFrame, group: list[str], item: str) -> DataFrame:

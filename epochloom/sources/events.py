@@ -34,8 +34,10 @@ def normalise(raw: DataFrame, order: list[str], recording_id: str = "", label_na
     target_label, event_subtype, label_namespace, metadata, obs_idx.
 
     An alias counts by being a column, not by its value. Absent numbers are 0,
-    absent ids are made from the recording and the row's place in ``order``
-    within it; columns without a meaning go to ``metadata``.
+    texts that are no number give null (a fault); absent ids are made from the
+    recording and the row's place in ``order`` within it; columns without a
+    meaning go to ``metadata``. obs_idx is an event's place in its recording
+    by onset, then id.
     """
     has = set(raw.columns)
 
@@ -47,8 +49,9 @@ def normalise(raw: DataFrame, order: list[str], recording_id: str = "", label_na
         return text_or(c.cast("string") if c is not None else F.lit(""), *other)
 
     def number(name: str) -> Column:
+        """0 if the column or its value is absent, null if it isn't a number."""
         c = named(name)
-        return F.lit(0.0) if c is None else F.coalesce(c.try_cast("double"), F.lit(0.0))
+        return F.lit(0.0) if c is None else F.when(F.coalesce(c.cast("string"), F.lit("")) == "", F.lit(0.0)).otherwise(c.cast("string").try_cast("double"))
 
     known = {a for names in ALIASES.values() for a in names} | {"_row"} | set(order)
     rest = [c for c in raw.columns if c not in known]
@@ -60,9 +63,10 @@ def normalise(raw: DataFrame, order: list[str], recording_id: str = "", label_na
         metadata.alias("metadata"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
     )
     place = Window.partitionBy("recording_id").orderBy(*[f"_o{i}" for i in range(len(order))])
-    rows = rows.withColumn("obs_idx", F.row_number().over(place).cast("long"))
-    made = F.format_string("%s_event_%04d", text_or("recording_id", F.lit("recording")), F.col("obs_idx"))
-    return rows.withColumn("event_id", text_or("_id", made)).select(
+    made = F.format_string("%s_event_%04d", text_or("recording_id", F.lit("recording")), F.col("_place"))
+    rows = rows.withColumn("_place", F.row_number().over(place)).withColumn("event_id", text_or("_id", made))
+    in_time = Window.partitionBy("recording_id").orderBy("onset_seconds", "event_id", "_place")
+    return rows.withColumn("obs_idx", F.row_number().over(in_time).cast("long")).select(
         "event_id", "recording_id", "onset_seconds", "duration_seconds", "event_family", "target_label", "event_subtype", "label_namespace", "metadata", "obs_idx"
     )
 
@@ -70,8 +74,9 @@ def normalise(raw: DataFrame, order: list[str], recording_id: str = "", label_na
 def faults(events: DataFrame) -> DataFrame:
     """event_id, recording_id, message: rows that can't be used."""
     rules = [
-        (F.col("event_id") == "", "event_id is required"), (F.col("recording_id") == "", "recording_id is required"), (F.col("onset_seconds") < 0, "onset_seconds must be non-negative"),
-        (F.col("duration_seconds") < 0, "duration_seconds must be non-negative"), (F.col("event_family") == "", "event_family is required"), (F.col("target_label") == "", "target_label is required"),
+        *[(F.col(c) == "", f"no {c}") for c in ("event_id", "recording_id", "event_family", "target_label")],
+        *[(F.col(c).isNull() | F.isnan(c), f"{c} is no number") for c in ("onset_seconds", "duration_seconds")],
+        *[(F.col(c) < 0, f"{c} is negative") for c in ("onset_seconds", "duration_seconds")],
     ]
     found = F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in rules]), lambda m: m.isNotNull())
     return events.select("event_id", "recording_id", F.explode(found).alias("message"))

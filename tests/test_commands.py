@@ -46,6 +46,14 @@ def test_event_forms(spark, tmp_path):
     assert got[0].metadata["allow_overlap"] == "false" and got[0].label_namespace == "ns"
 
 
+def test_numbers_that_are_none(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("event_id,recording_id,onset,duration,family,label\na,r,abc,,f,x\nb,r,1.5,2,f,x\nc,r,0.5,-1,f,x\n")
+    got = source.normalise(source.read_events(spark, f"{tmp_path}/e.csv"), ["_row"])
+    at = {r.event_id: r for r in got.collect()}
+    assert at["a"].onset_seconds is None and at["a"].duration_seconds == 0.0 and at["c"].obs_idx < at["b"].obs_idx
+    assert sorted((r.event_id, r.message) for r in source.faults(got).collect()) == [("a", "onset_seconds is no number"), ("c", "duration_seconds is negative")]
+
+
 def test_event_report(spark):
     rows = [("a", "r", 0.0, 5.0, "f", "x", "", "n", {}, 1), ("b", "r", 4.0, 1.0, "f", "x", "", "n", {"allow_overlap": "false"}, 2), ("b", "r", 9.0, 1.0, "", "x", "", "n", {}, 3), ("c", "q", -1.0, 1.0, "f", "y", "", "n", {}, 4)]
     ev = spark.createDataFrame(rows, "event_id string, recording_id string, onset_seconds double, duration_seconds double, event_family string, target_label string, event_subtype string, label_namespace string, metadata map<string,string>, obs_idx long")
