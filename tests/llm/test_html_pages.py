@@ -22,7 +22,7 @@ PAGES = {
     "form without article": (f"<body><form action=x><div class=menu><a>m</a></div><div id=c><h1>Head</h1>{P}</div></form>", f"Head\n{W}"),
     "reference list": (f'<body><div id=menu><ul><li><a href=a>One</a></li></ul></div><div id=content><h1>Head</h1>{P}<ul><li><a href=b>Ref one</a></li></ul></div><div class="x9"><ul><li><a>Other</a></li></ul></div>', f"Head\n{W}\nRef one"),
     "math and drawings": ("<article><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is <svg><title>no</title><text>one</text></svg> and <object>fall</object>.</p></article>", "Sum x+1 is one and fall."),
-    "no marks": (f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h1>Head</h1>{P}</div><div>All rights 2020</div>", f"Head\n{W}"),
+    "no marks": (f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h1>Head</h1>{P}{P}</div><div>All rights 2020</div>", f"Head\n{W}\n{W}"),
     "flat": (f"<body><h1>Head</h1>{P}<ul><li><a href=x>A</a></li><li><a>B</a></li></ul>", f"Head\n{W}"),
     "headline outside": (f"<body><header><h1>Site</h1></header><h1>Head</h1><div class=text>{P}</div>", f"Head\n{W}"),
     "teasers": (f"<body><div id=c><h1>Head</h1>{P}{P}</div><div class=more><article><h3><a href=x>Teaser</a></h3></article></div>", f"Head\n{W}\n{W}"),
@@ -32,7 +32,7 @@ PAGES = {
         f"Head\n{W}",
     ),
     "tables and quotes": (f"<main><h1>Head</h1>{P}<table><tr><td>a<td>b</table><pre>x\n y</pre><blockquote>q</blockquote></main>", f"Head\n{W}\na\nb\nx y\nq"),
-    "boxes": (f"<body><div id=side>Menu</div><div class=c><div class=i><h2>Part</h2>{P}</div><div class=j><section><p>Deep, too.</p></section></div></div>", f"Part\n{W}\nDeep, too."),
+    "boxes": (f"<body><div id=side>Menu</div><div class=c><div class=i><h2>Part</h2>{P}</div><div class=j><section><p>Deep, too, and with some words.</p></section></div></div>", f"Part\n{W}\nDeep, too, and with some words."),
     "camel case": (f"<body><div class=siteHeader>Top</div><div class=story><h1>Head</h1>{P}</div><div id=siteFooter><p>Bottom, of all.</p></div>", f"Head\n{W}"),
 }
 
