@@ -156,10 +156,22 @@ _CLASS = str.maketrans({**{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c:
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
+#: Longer words are read in pieces of as many characters.
+PIECE = 64
+
+
 def shape(word: str) -> str:
-    """Letters as x or X, digits as 9, runs as one; at most 12 characters count."""
-    s = word[:64].translate(_CLASS) if word.isascii() else "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return _RUN.sub(r"\1", s)[:12]
+    """Letters as x or X, digits as 9, runs as one."""
+    s = word.translate(_CLASS) if word.isascii() else "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    return _RUN.sub(r"\1", s)
+
+
+def pieces(words: list[str]) -> list[str]:
+    """The words, long ones (texts without white space) cut into pieces that
+    follow one another, so that every character is in some shape."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
 class _Remembered(dict):
@@ -187,8 +199,8 @@ class ShapeReader:
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").split()
-        shapes = list(map(self.shapes.__getitem__, words))
-        n = len(words) + 4  # a few words say little
+        shapes = list(map(self.shapes.__getitem__, pieces(words)))
+        n = len(shapes) + 4  # a few words say little
         seen: Counter = Counter(shapes)
         seen.update(zip(shapes, shapes[1:]))
         seen["=again"] = sum(map(operator.eq, words, words[1:]))
