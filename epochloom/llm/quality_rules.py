@@ -15,11 +15,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
 from .common import WHITE, encode, only, read, slices
 
 SYMBOLS = "#*$%&|<>"
@@ -33,7 +33,7 @@ BOILERPLATE = (
     "sign up for", "share this", "follow us on", "click here", "spdx-license-identifier",
     "©",
 )
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
+_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 #: Between sentences; the white space stays with the one before.
 _SENTENCE = re.compile(r"(?<=[.!?…][ \t])(?=[^ \t])|(?<=[。！？])")
 
@@ -54,16 +54,34 @@ class LineRules:
     boilerplate_words: int = 20
 
 
-def _line_fault(line: str, n_words: int, rules: LineRules, symbols: bool, phrases: bool) -> str | None:
+def _lower(text: str) -> str:
+    """Lower case, letter for letter (one capital would become two)."""
+    return text.replace("\u0130", "i").lower()
+
+
+def _says(text: str) -> bool:
+    return _BOILERPLATE.search(_lower(text)) is not None
+
+
+def _shouted(word: bytes) -> bool:
+    """A capital letter and no small one, by their Unicode categories."""
+    if word.isascii():
+        return word.isupper()
+    kinds = set(map(category, word.decode("utf-8", "surrogatepass")))
+    return "Lu" in kinds and "Ll" not in kinds
+
+
+def _line_fault(line: str, words: list[bytes], rules: LineRules, symbols: bool, phrases: bool) -> str | None:
     """The first rule that a line breaks, or None. symbols, phrases: whether
     the document has any, so that most lines need no search."""
+    n_words = len(words)
     if symbols and line.count("|") >= rules.min_bars:
         return "navigation"
     if symbols and len(_SYMBOL.findall(line)) > rules.symbols_per_word * n_words:
         return "symbols"
-    if n_words >= rules.shout_words and sum(map(str.isupper, line.split())) > rules.shout_share * n_words:
+    if n_words >= rules.shout_words and sum(map(_shouted, words)) > rules.shout_share * n_words:
         return "shouting"
-    if phrases and _BOILERPLATE.search(line):
+    if phrases and _says(line):
         return "boilerplate"
     if n_words >= rules.unended_words and not _END.search(line.rstrip(WHITE)):
         return "punctuation"
@@ -75,7 +93,7 @@ def _without_boilerplate(line: str, k: int, rules: LineRules) -> str | None:
     short one, of a long one all but its short sentences with a phrase."""
     if k < rules.boilerplate_words:
         return None
-    parts = [x for x in _SENTENCE.split(line) if not _BOILERPLATE.search(x) or len(encode(x).split()) >= rules.boilerplate_words]
+    parts = [x for x in _SENTENCE.split(line) if not _says(x) or len(encode(x).split()) >= rules.boilerplate_words]
     return "".join(parts) if any(x.strip(WHITE) for x in parts) else None
 
 
@@ -101,17 +119,17 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> dict:
     seen: set[str] = set()
     dup = lost = gone = cut = 0
     n_symbols = sum(map(text.count, SYMBOLS))
-    lower = text.lower()
-    phrases = any(p in lower for p in BOILERPLATE)
+    phrases = _says(text)
     kept_lines, faults = [], Counter()
     for line in text.split("\n"):
-        k = len(encode(line).split())
+        line_words = encode(line).split()
+        k = len(line_words)
         if not k:
             kept_lines.append(line)
             continue
         dup += line in seen
         seen.add(line)
-        fault = _line_fault(line, k, rules, n_symbols > 0, phrases)
+        fault = _line_fault(line, line_words, rules, n_symbols > 0, phrases)
         if fault is None:
             kept_lines.append(line)
         else:

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from .quality_rules import BOILERPLATE
 
-_PHRASES = " OR ".join("contains(low, '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
+_PHRASES = " OR ".join("contains({{0}}, '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
+_W = r"'[^\x20\x09-\x0D]+'"
+#: A line with a mark after each sentence; twice, as matches of one pass don't share characters.
+_MARKED = "line"
+for _ in range(2):
+    _MARKED = rf"regexp_replace({_MARKED}, '([.!?…][ \t])([^ \t])', '\1' || chr(57344) || '\2', 'g')"
+_MARKED = rf"regexp_replace({_MARKED}, '([。！？])', '\1' || chr(57344), 'g')"
 
 QUALITY_RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -19,16 +25,19 @@ lv AS (SELECT rid, line, len(w) AS n, CASE
     WHEN length(regexp_replace(line, '[^|]', '', 'g')) >= 3 THEN 'navigation'
     WHEN length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.5 * len(w) THEN 'symbols'
     WHEN len(w) >= 4 AND len(list_filter(w, lambda x: regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) > 0.6 * len(w) THEN 'shouting'
-    WHEN {_PHRASES} THEN 'boilerplate'
+    WHEN {_PHRASES.format('low')} THEN 'boilerplate'
     WHEN len(w) >= 8 AND NOT regexp_matches(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[.!?:;…。！？]["''”’»)\]]*$') THEN 'punctuation' END AS fault
     FROM lw WHERE len(w) > 0),
-ls AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count(fault) AS n_lines_removed, coalesce(sum(n) FILTER (WHERE fault <> 'boilerplate'), 0) AS n_words_lost FROM lv GROUP BY rid),
+lr AS (SELECT *, CASE WHEN fault IS NULL THEN n WHEN fault = 'boilerplate' AND n >= 20 THEN len(regexp_extract_all(array_to_string(list_filter(string_split({_MARKED}, chr(57344)),
+    lambda x: NOT ({_PHRASES.format('lower(x)')}) OR len(regexp_extract_all(x, {_W})) >= 20), ''), {_W})) ELSE 0 END AS n_left FROM lv),
+ls AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count(fault) AS n_lines_removed, coalesce(sum(n) FILTER (WHERE fault <> 'boilerplate'), 0) AS n_words_lost,
+    coalesce(bool_or(fault = 'boilerplate'), false) AND sum(n_left) = 0 AS bare FROM lr GROUP BY rid),
 f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_lost, 0) AS n_words_lost
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_lost, 0) AS n_words_lost, coalesce(bare, false) AS bare
     FROM d JOIN wl USING (rid) LEFT JOIN rp USING (rid) LEFT JOIN ls USING (rid))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(n_words_lost AS BIGINT) AS n_words_lost,
-    (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words_lost <= 0.5 * n_words) AS kept FROM f
+    (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT bare AND n_words_lost <= 0.5 * n_words) AS kept FROM f
 """
 
 SUFFIX_ARRAY = """
@@ -61,10 +70,22 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN ids USING (rid)
 
 _TRACKING = "['fbclid', 'gclid', 'ref', 'sessionid', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term']"
 
+
+
+def _percents(x: str) -> str:
+    """Needless percent-encodings undone, the others in capitals."""
+    code = "chr(try_cast('0x' || substr(s, 1, 2) AS INT))"
+    coded = f"CASE WHEN regexp_full_match({code}, '[A-Za-z0-9._~-]') THEN {code} ELSE '%' || upper(substr(s, 1, 2)) END || substr(s, 3)"
+    return f"array_to_string(list_transform(string_split({x}, '%'), lambda s, i: CASE WHEN i = 1 THEN s WHEN regexp_matches(s, '^[0-9A-Fa-f]{{2}}') THEN {coded} ELSE '%' || s END), '')"
+
+
+_PATH = "list_reduce(list_transform(string_split(" + _percents("regexp_extract(bare, '^[^/?]*([^?]*)', 1)") + ", '/'), lambda y: [y]), lambda a, y: CASE WHEN y[1] = '.' THEN a WHEN y[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, y) END)"
+
 WARC = rf"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS body, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages WHERE page_id IS NOT NULL),
-q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT list_contains({_TRACKING}, lower(regexp_extract(x, '^[^=]*', 0))))) AS pars FROM p),
-u AS (SELECT page_id, body, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), ':(80|443)$', ''), '^(www\.|m\.)', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+WITH p0 AS (SELECT page_id, coalesce(html, '') AS body, regexp_replace(trim(url), '#.*$', '') AS whole FROM pages WHERE page_id IS NOT NULL),
+p AS (SELECT page_id, body, lower(regexp_extract(whole, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(whole, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM p0),
+q AS (SELECT *, list_sort(list_transform(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT list_contains({_TRACKING}, lower(regexp_extract(x, '^[^=]*', 0)))), lambda x: {_percents("x")})) AS pars FROM p),
+u AS (SELECT page_id, body, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), CASE WHEN scheme = 'https' THEN ':443$' ELSE ':80$' END, ''), '^www\.', '') || regexp_replace(array_to_string({_PATH}, '/'), '/+$', '')
     || CASE WHEN len(pars) > 0 THEN '?' || array_to_string(pars, '&') ELSE '' END AS url, TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 MINUTE AS first FROM q),
 b AS (SELECT *, '"' || md5(body) || '"' AS tag, strftime(first - INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') AS changed, sha1(body) AS h FROM u),
 bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(h, i, 1)) - 3, 4)), '') AS z FROM b),
