@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by a pivot distance table.
+"""SimHash near-duplicates by pivot distance tables.
 
 Every distinct fingerprint gets its Hamming distances to a fixed set of
 reference fingerprints (pivots). By the triangle inequality two fingerprints
@@ -6,19 +6,22 @@ within ``radius`` differ by at most ``radius`` in every coordinate, so a pair
 whose largest coordinate difference is larger is discarded without a look at
 the fingerprints; survivors are verified.
 
-Which pairs meet at all is settled by part of the same table: among the pivots
-are zero and the 64 unit fingerprints, and d(x, unit i) - d(x, zero) is -1 or
-+1 as bit i is set or not. These differences are cut into six blocks; four
-changed bits leave at least two blocks untouched, so fingerprints that agree on
-one of the fifteen pairs of blocks are all the candidates there are. Buckets
-of a pair of blocks are split into tiles, so that no task holds a large one.
-A tile gives a spanning forest of its links instead of all pairs; links become
-components by alternating large-star and small-star steps in the shared folder.
+Which pairs meet at all: the 64 bits are cut into blocks; ``radius`` changed
+bits leave all but ``radius`` blocks untouched, so fingerprints that agree on
+one choice of so many blocks are all the candidates there are. The more
+fingerprints, the more blocks (longer keys), so that buckets stay small. A
+bucket that is too large for a tile all the same is dealt by the table: rings of
+distance around pivots, a fingerprint as host in its own ring and as guest in
+the next, for close ones are in the same ring or in neighbours. Rings that are
+still too large are split into pairs of tiles. A tile gives a spanning forest of
+its links instead of all pairs; links become components by alternating large-
+star and small-star steps in the shared folder.
 """
 
 from __future__ import annotations
 
 import itertools
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import encode, materialise, only, partitions, read, slices
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Bits of the six blocks: 64 = 4 * 11 + 2 * 10.
-BLOCKS = (11, 11, 11, 11, 10, 10)
 N_PIVOTS = 16
+#: Of them those whose rings deal full buckets.
+N_RINGS = 3
 #: The most fingerprints on either side of a tile.
 TILE = 2048
 
@@ -68,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
-    """The reference fingerprints beside zero and the units: fixed, spread."""
+    """The reference fingerprints: fixed, spread."""
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}", SEED) for i in range(n)], np.uint64)
 
 
@@ -77,24 +80,31 @@ def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ r) for r in refs], axis=1).astype(np.int8)
 
 
-def block_keys(fps: np.ndarray) -> np.ndarray:
-    """One key column for each pair of blocks, from the zero and unit pivots."""
-    zero = np.bitwise_count(fps).astype(np.int8)
-    bits = np.zeros(len(fps), np.uint64)
-    for i in range(64):  # d(x, unit) - d(x, zero) is -1 where the bit is set
-        unit = np.uint64(1 << i)
-        bits |= np.where(np.bitwise_count(fps ^ unit).astype(np.int8) < zero, unit, np.uint64(0))
-    parts, at = [], 0
-    for size in BLOCKS:
-        parts.append((bits >> np.uint64(at)) & np.uint64((1 << size) - 1))
-        at += size
-    pairs = itertools.combinations(range(len(BLOCKS)), 2)
-    return np.stack([(np.uint64(n) << np.uint64(22)) | (parts[a] << np.uint64(11)) | parts[b] for n, (a, b) in enumerate(pairs)], axis=1)
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """How many blocks make the least work for ``n`` distinct fingerprints:
+    every choice of kept blocks sends each one once, and pairs it with those of
+    its bucket (a look at a pair costs a hundredth of a row sent)."""
+    work = {k: comb(k, radius) * (1 + n / 2 ** (64 * (k - radius) / k) / 200) for k in range(radius + 2, radius + 8)}
+    return min(work, key=work.get)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, radius: int) -> np.ndarray:
+def block_keys(fps: np.ndarray, n_blocks: int, radius: int = RADIUS) -> np.ndarray:
+    """One key column for each choice of the blocks that stay untouched."""
+    edges = [64 * k // n_blocks for k in range(n_blocks + 1)]
+    columns = []
+    for number, kept in enumerate(itertools.combinations(range(n_blocks), n_blocks - radius)):
+        key = np.full(len(fps), number, np.uint64)
+        for k in kept:
+            size = edges[k + 1] - edges[k]
+            key = (key << np.uint64(size)) | ((fps >> np.uint64(edges[k])) & np.uint64((1 << size) - 1))
+        columns.append(key)
+    return np.stack(columns, axis=1)
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, radius: int, counts: list[int] | None = None) -> np.ndarray:
     """Mask of the pairs (a[i], b[i]) within ``radius``: pivot coordinates one
-    by one, then the fingerprints of what is left."""
+    by one, then the fingerprints of what is left. counts: pairs met, left by
+    the table, and within the radius are added to it."""
     left = np.arange(len(a))
     for k in range(ta.shape[1]):
         left = left[np.abs(ta[left, k] - tb[left, k]) <= radius]
@@ -102,12 +112,16 @@ def close_pairs(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, ra
             break
     out = np.zeros(len(a), bool)
     out[left] = np.bitwise_count(a[left] ^ b[left]) <= radius
+    if counts is not None:
+        for k, n in enumerate((len(a), len(left), int(out.sum()))):
+            counts[k] += n
     return out
 
 
-def tile_links(group: np.ndarray, side: np.ndarray, cross: np.ndarray, fps: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(group: np.ndarray, side: np.ndarray, cross: np.ndarray, guest: np.ndarray, fps: np.ndarray, radius: int, refs: np.ndarray, counts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) rows of spanning forests of the links inside each run of
-    equal ``group``. In tiles of two sides (``cross``) only pairs across count.
+    equal ``group``. In tiles of two sides (``cross``) only pairs across count;
+    pairs that are both guests in a ring (bits of ``guest``) meet elsewhere.
     Pairs are taken by their distance in the run, so that many small groups and
     a few large ones are both done on whole arrays."""
     table = pivot_table(fps, refs)
@@ -119,10 +133,10 @@ def tile_links(group: np.ndarray, side: np.ndarray, cross: np.ndarray, fps: np.n
         at = at[group[at] == group[at + lag]]
         if not len(at):
             break
-        i = at[~cross[at] | (side[at] != side[at + lag])]
+        i = at[(~cross[at] | (side[at] != side[at + lag])) & (guest[at] & guest[at + lag] == 0)]
         i = i[root[i] != root[i + lag]]
         j = i + lag
-        near = close_pairs(fps[i], fps[j], table[i], table[j], radius)
+        near = close_pairs(fps[i], fps[j], table[i], table[j], radius, counts)
         if near.any():
             _unite(root, i[near], j[near])
             while len(np.flatnonzero((up := root[root]) != root)):
@@ -143,35 +157,55 @@ def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[max(x, y)] = min(x, y)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _in_rings(d: str, radius: int):
+    """array<struct<cell, guest>>: the ring of a distance and the next one."""
+    ring = F.floor(F.col(d) / (radius + 1)).cast("int")
+    return F.array(F.struct(ring.alias("cell"), F.lit(0).alias("guest")), F.struct((ring + 1).alias("cell"), F.lit(1).alias("guest")))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, n_blocks: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``) that connect
     all fingerprints within ``radius``, at most one for each row of a tile."""
-    if radius > len(BLOCKS) - 2:
-        raise ValueError(f"six blocks find pairs within {len(BLOCKS) - 2} bits")
     refs = pivots()
+    n_blocks = n_blocks or blocks_for(distinct.count(), radius)
 
     def keyed(batches):
-        for batch in batches:
+        for batch in slices(batches, 1 << 14):
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = block_keys(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel().view(np.int64)), pa.array(np.tile(fps.view(np.int64), keys.shape[1]))], ["key", "fp"])
-
-    keys = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
-    full = keys.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    side = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    met = keys.join(full, "key").withColumn("side", side)
+            keys = block_keys(fps, n_blocks, radius)
+            rings = pivot_table(fps, refs[:N_RINGS])
+            many = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel().view(np.int64)), pa.array(np.tile(fps.view(np.int64), many)), *[pa.array(np.tile(rings[:, r], many)) for r in range(N_RINGS)]], ["key", "fp", *[f"d{r}" for r in range(N_RINGS)]])
+
+    keys = distinct.select("fp").mapInArrow(keyed, "key long, fp long" + "".join(f", d{r} tinyint" for r in range(N_RINGS)))
+    full = keys.groupBy("key").count().filter("count > 1")
+    met = keys.join(full, "key")
+    # a full bucket: one dimension of rings for each factor of four that it is too large
+    plain = F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("guest")))
+    for r in range(N_RINGS):
+        met = met.withColumn(f"r{r}", F.explode(F.when(F.col("count") > tile * 4**r, _in_rings(f"d{r}", radius)).otherwise(plain)))
+    cell = F.lit(0)
+    guest = F.lit(0)
+    for r in range(N_RINGS):
+        cell, guest = cell * 64 + F.col(f"r{r}.cell"), guest * 2 + F.col(f"r{r}.guest")
+    met = met.select("key", "fp", cell.cast("int").alias("cell"), guest.cast("int").alias("guest"))
+    sizes = met.groupBy("key", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("key", "cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    met = met.join(sizes, ["key", "cell"]).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = met.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fp")
-    tiles = tiles.repartition(partitions(distinct.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    tiles = met.select("key", "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "guest", "fp")
+    tiles = tiles.repartition(partitions(distinct.sparkSession), "key", "cell", "i", "j").sortWithinPartitions("key", "cell", "i", "j", "fp")
 
     def run(batches):
         rest: list[np.ndarray] | None = None
 
+        def ends(cols) -> np.ndarray:
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
+            return new
+
         def flush(cols):
             if len(cols[0]):
-                new = np.ones(len(cols[0]), bool)
-                new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
-                a, b = tile_links(np.cumsum(new), cols[3], cols[1] != cols[2], cols[4].view(np.uint64), radius, refs)
+                a, b = tile_links(np.cumsum(ends(cols)), cols[4], cols[2] != cols[3], cols[5], cols[6].view(np.uint64), radius, refs)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -180,8 +214,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
             if len(rest[0]) < 500_000:
                 continue
-            last = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]) | (rest[2] != rest[2][-1]))
-            cut = last[-1] + 1 if len(last) else 0  # the last tile may go on
+            cut = int(np.flatnonzero(ends(rest))[-1])  # the last tile may go on
             yield from flush([c[:cut] for c in rest])
             rest = [c[cut:] for c in rest]
         if rest is not None:
@@ -190,25 +223,39 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return tiles.mapInArrow(run, "a long, b long")
 
 
+#: Keys with more than a hundred-thousandth of all rows, and this many, are spread.
+HEAVY = 1000
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their key in ``lookup`` (key, n, ...; n: how
+    many of the ``total`` rows have it). Keys of very many rows are at most a
+    hundred thousand by their share, so theirs are broadcast and no task holds
+    all rows of one; the rest meet by the key."""
+    heavy = F.col("n") > max(HEAVY, total // 100_000)
+    few = lookup.filter(heavy)
+    many = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(lookup.filter(~heavy), key)
+    return many.unionByName(rows.join(F.broadcast(few), key))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node with a link; root is the component's
-    smallest node. Large-star and small-star steps until nothing changes; each
+    smallest node. Large-star and small-star steps until no edge changes; each
     round is written to the shared folder. Minima are combined before the
-    shuffle, so a node with many links is no hot spot."""
+    shuffle, and a node with very many links is spread (``spread_join``)."""
     now = materialise(_oriented(edges), "links")
-    before = None
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        total = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _oriented(both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        up = both.filter("v > u")
+        large = materialise(_oriented(spread_join(up, least, "u", 2 * total).select(F.col("v").alias("a"), F.col("m").alias("b"))), "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = spread_join(large, least, "u", total)
         small = met.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = materialise(_oriented(small), "links")
+        before, now = now, materialise(_oriented(small), "links")
+        if now.count() == total and not now.join(before, ["u", "v"], "left_anti").take(1):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -228,12 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty one; other columns aren't read.
     """
     base = materialise(fingerprints(docs, id_col, text_col).withColumnsRenamed({id_col: "id"}), "fingerprints")
-    first = materialise(base.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    first = materialise(base.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "first")
     roots = components(links(first, radius))
-    grouped = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    out = base.join(named, base["fp"] == named["_fp"])
+    grouped = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(grouped, least, "root", first.count()).select("fp", F.col("rows").alias("n"), "component_id")
+    out = spread_join(base, named, "fp", base.count())
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
