@@ -28,20 +28,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, partitions, read
+from .common import materialise, only, partitions, read
 
 WIDTH = 50
 GRAM = 20
-#: Stands for a null id inside the operator; ids are smaller.
-NO_ID = 2**63 - 1
+#: Numbers from here on stand for null ids inside the operator; ids are smaller.
+NULL_IDS = 2**62
 #: A segment begins where the low bits of a hash are 0: every 128 bytes or so.
 CUT_MASK = np.uint64(127)
 #: Owners of a minimiser from which on its stretches are spread over tasks before they are sorted.
 HOT_OWNERS = 50_000
+#: Text that one task of an exchange holds at most, on average.
+TASK_BYTES = 64 << 20
 #: Bytes of text worked on at once; longer texts are taken in overlapping parts.
 CHUNK = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -263,23 +264,29 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     neither remove nor are removed from, come as empty texts."""
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-    return ids, [b"" if i == NO_ID else t for i, t in zip(ids.tolist(), texts)] if (ids == NO_ID).any() else texts
+    return ids, [b"" if i >= NULL_IDS else t for i, t in zip(ids.tolist(), texts)] if (ids >= NULL_IDS).any() else texts
+
+
+#: A packed segment: a cryptographic digest, so that equal digests are equal bytes.
+SEGMENT = np.dtype([("hash", "V16"), ("id", "<i8"), ("row_key", "<i8"), ("start", "<i4"), ("size", "<i4")])
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _send_segments(buckets: int):
     """(id, text) to (bucket, packed segments)."""
-    kind = np.dtype([("hash", "V12"), ("id", "<i8"), ("row_key", "<i4"), ("start", "<i4"), ("size", "<i4")])
 
     def run(batches):
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids, texts = _rows(batch)
             held, size = [], 0
             for part in parts_of(texts):
                 row, begin, _, end = part.segments()
                 raw = part.raw
-                out = np.empty(len(row), kind)
-                out["hash"] = np.frombuffer(b"".join([digest(raw[x:y])[:12] for x, y in zip(begin.tolist(), end.tolist())]), "V12")
+                out = np.empty(len(row), SEGMENT)
+                out["hash"] = np.frombuffer(b"".join([_digest(raw[x:y]) for x, y in zip(begin.tolist(), end.tolist())]), "V16")
                 at = part.first + row
                 out["id"] = ids[at]
                 keys = {r: _row_key(texts[r]) for r in np.unique(at).tolist()}
@@ -299,7 +306,7 @@ def _send_segments(buckets: int):
 
 def _dealt(rows: np.ndarray, buckets: int):
     """Rows packed by bucket of their hash."""
-    bucket = (np.ascontiguousarray(rows["hash"]).view(np.uint32).reshape(-1, 3)[:, 0] % buckets).astype(np.int32) if len(rows) else np.empty(0, np.int32)
+    bucket = (np.ascontiguousarray(rows["hash"]).view(np.uint32).reshape(-1, 4)[:, 0] % buckets).astype(np.int32) if len(rows) else np.empty(0, np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], rows[order]
     cuts = _cuts(bucket)
@@ -326,15 +333,15 @@ def _copied_segments(batches):
     loads = [load for batch in batches for load in batch.column(1).to_pylist()]
     if not loads:
         return
-    words = np.frombuffer(b"".join(loads), np.uint32).reshape(-1, 8)
+    rows = np.frombuffer(b"".join(loads), SEGMENT)
     del loads
-    ids = np.ascontiguousarray(words[:, 3:5]).view(np.int64).ravel()
-    order = np.lexsort((ids, words[:, 2], words[:, 1], words[:, 0]))
-    words, ids = words[order], ids[order]
-    cuts = _cuts(words[:, 0], words[:, 1], words[:, 2])
+    high, low = np.ascontiguousarray(rows["hash"]).view(np.uint64).reshape(-1, 2).T
+    order = np.lexsort((rows["id"], low, high))
+    cuts = _cuts(high[order], low[order])
+    ids = rows["id"][order]
     copied = ids > np.repeat(ids[cuts[:-1]], np.diff(cuts))  # the first of each run has the smallest id
-    words, ids = words[copied], ids[copied]
-    row_key, start, size = (np.ascontiguousarray(words[:, k]).view(np.int32) for k in (5, 6, 7))
+    rows = rows[order[copied]]
+    ids, row_key, start, size = (np.ascontiguousarray(rows[k]) for k in ("id", "row_key", "start", "size"))
     order = np.lexsort((start, row_key, ids))
     ids, row_key, start, size = ids[order], row_key[order], start[order], size[order]
     cuts = _cuts(ids, row_key)
@@ -499,7 +506,7 @@ def _send_places(buckets: int, spread: int):
                 ids = told.ids[at]
                 salt = np.where(hot, 1 + (ids.astype(np.uint64) * _BASE >> np.uint64(40)).astype(np.int64) % spread, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(pieces, pa.binary()), pa.array(ids), pa.array([row_keys[r] for r in at.tolist()], pa.int32()), pa.array(pos.astype(np.int32))],
+                    [pa.array(least.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(pieces, pa.binary()), pa.array(ids), pa.array([row_keys[r] for r in at.tolist()], pa.int64()), pa.array(pos.astype(np.int32))],
                     ["mini", "salt", "piece", "id", "row_key", "pos"],
                 )
 
@@ -635,7 +642,7 @@ def _sort_pieces(batches):
 
 def _row_key(text: bytes) -> int:
     """Tells rows with one id but different texts apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 def _cut_out(with_text: bool, id_col: str):
@@ -684,6 +691,29 @@ def _cut_out(with_text: bool, id_col: str):
     return run
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str):
+    """((id, text) with ids as numbers in their order, tasks, a table (id,
+    given) that leads back or None).
+
+    Whole numbers stay. Other ids are numbered by a sort over ranges. Null ids
+    become numbers above all others, by their text, so that their rows are not
+    one task's.
+    """
+    spark = docs.sparkSession
+    src = only(docs, id_col, text_col).toDF("id", "text")
+    whole = src.schema[0].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    top = F.max("id").cast("long") if whole else F.lit(None).cast("long")
+    seen = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count_if(F.col("id").isNull()).alias("nulls"), top.alias("top")).first()
+    tasks = max(partitions(spark), -(-seen["n"] // TASK_BYTES))
+    back = None
+    if not whole or seen["top"] is not None and seen["top"] >= NULL_IDS:
+        ids = src.select(F.col("id").alias("given")).filter("given IS NOT NULL").distinct().repartitionByRange(tasks, "given").sortWithinPartitions("given")
+        back = materialise(ids.select(F.monotonically_increasing_id().alias("id"), "given"), "ids")  # grows with the ranges and inside them
+        src = src.join(back.withColumnRenamed("id", "_n"), F.col("id") == F.col("given"), "left").select(F.col("_n").alias("id"), "text")
+    spread = F.lit(NULL_IDS) + F.pmod(F.xxhash64("text"), F.lit(2**60)) if seen["nulls"] else F.lit(NULL_IDS)
+    return src.withColumn("id", F.coalesce(F.col("id").cast("long"), spread)), tasks, back
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot_owners: int = HOT_OWNERS) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans
     (byte offsets of what is removed) and kept (the bytes left): one row per
@@ -691,16 +721,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts are empty. A row with a null id has no order, so nothing is
     removed from it and it is no source. Rows of one id don't remove from each
-    other, whether their texts are equal or not. Other columns aren't read.
-    Texts go through one shuffle, used by every later step.
+    other, whether their texts are equal or not. Ids may be of any type with an
+    order. Other columns aren't read. Texts go through one shuffle, used by
+    every later step, in tasks of a bounded size.
     """
-    n = partitions(docs.sparkSession)
+    id_type = docs.select(id_col).schema[0].dataType
+    # no filter on ids: one below the exchange of texts would make it another exchange
+    src, n, back = _numbered(docs, id_col, text_col)
     buckets = 2 * n
-    # null ids as a number, and no filter on ids: one below the exchange of texts would make it another exchange
-    src = only(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
     dealt = src.repartition(n, "id")
     segments = src.mapInArrow(_send_segments(buckets), "bucket int, load binary").repartition(n, "bucket")
-    copied = segments.mapInArrow(_copied_segments, "id long, row_key int, starts binary, sizes binary")
+    copied = segments.mapInArrow(_copied_segments, "id long, row_key long, starts binary, sizes binary")
     copied = copied.groupBy("id").agg(F.collect_list(F.struct("row_key", "starts", "sizes")).alias("copied"))  # no more than a text's segments
     known = dealt.join(copied.hint("shuffle_hash"), "id", "left").select("id", "text", "copied")
     loads = known.mapInArrow(_send_minimisers(buckets), "bucket int, load binary")
@@ -708,18 +739,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = shared.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes", "hot")).alias("shared"))
     suspects = known.join(shared.hint("shuffle_hash"), "id").select("id", "text", "copied", "shared")
     # one exchange: stretches of a minimiser together, those of hot ones spread by document
-    places = suspects.mapInArrow(_send_places(buckets, n), "mini long, salt int, piece binary, id long, row_key int, pos int").repartition(n, "mini", "salt")
-    cut = places.mapInArrow(_sort_places, "id long, row_key int, s int, e int")
+    places = suspects.mapInArrow(_send_places(buckets, n), "mini long, salt int, piece binary, id long, row_key long, pos int").repartition(n, "mini", "salt")
+    cut = places.mapInArrow(_sort_places, "id long, row_key long, s int, e int")
     hot = places.mapInArrow(_hot_places, places.schema)
     pieces = places.mapInArrow(_distinct_pieces, "mini long, piece binary, first long, last long")
     holders = pieces.repartition(n, "mini").mapInArrow(_sort_pieces, "mini long, piece binary, runs array<struct<o:int,n:int,m:long>>")
     met = hot.join(holders, ["mini", "piece"]).select("id", "row_key", "pos", F.explode("runs").alias("r")).filter("r.m < id")
     more_cut = met.select("id", "row_key", (F.col("pos") + F.col("r.o")).alias("s"), (F.col("pos") + F.col("r.o") + F.col("r.n") + (WIDTH - 1)).alias("e"))
     cut = cut.unionByName(more_cut).groupBy("id").agg(F.collect_list(F.struct("row_key", "s", "e")).alias("cut"))
-    rows = dealt.join(copied.hint("shuffle_hash"), "id", "left").join(cut.hint("shuffle_hash"), "id", "left").select("id", "text", "copied", F.coalesce("cut", F.array().cast("array<struct<row_key:int,s:int,e:int>>")).alias("cut"))
+    rows = dealt.join(copied.hint("shuffle_hash"), "id", "left").join(cut.hint("shuffle_hash"), "id", "left").select("id", "text", "copied", F.coalesce("cut", F.array().cast("array<struct<row_key:bigint,s:int,e:int>>")).alias("cut"))
     more = ", spans array<struct<s:int,e:int>>, kept binary" if with_text else ""
     out = rows.mapInArrow(_cut_out(with_text, id_col), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
-    return out.withColumn(id_col, F.when(F.col(f"`{id_col}`") != NO_ID, F.col(f"`{id_col}`")))
+    if back is not None:
+        out = out.join(back.withColumnsRenamed({"id": id_col}), id_col, "left").withColumn(id_col, F.col("given")).drop("given")
+        return out.select(id_col, *[c for c in out.columns if c != id_col])
+    return out.withColumn(id_col, F.when(F.col(f"`{id_col}`") < NULL_IDS, F.col(f"`{id_col}`")).cast(id_type))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
