@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode, only, read, slices
+from .common import encode, materialise, only, read, sha, slices
 
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; all
 #: else is a gap. The same words as the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -24,8 +24,10 @@ _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 WIDTH = 13
-#: The most bytes of test items that are sent to every executor.
-MAX_ITEM_BYTES = 64 << 20
+#: The most bytes of test items in one automaton (some 500 bytes of memory for each byte).
+BLOCK_BYTES = 2 << 20
+#: Longer items are cut into pieces of as many bytes, a window's words over the edge.
+PIECE_BYTES = 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,50 +77,140 @@ class WindowIndex:
         return [(at[s][0], at[e - 1][1]) for s, e in ranges]
 
 
-def load_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", max_bytes: int = MAX_ITEM_BYTES) -> list[tuple[object, str | None]]:
-    """The test items on the driver. Their size is measured first; beyond
-    ``max_bytes`` the job stops rather than leave any out."""
-    src = only(items, id_col, text_col)
-    size = src.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n"), F.count("*").alias("r")).first()
-    if size["n"] + 16 * size["r"] > max_bytes:
-        raise ValueError(f"test items hold {size['n']} bytes; split them into blocks of at most {max_bytes}")
-    return [(r[0], r[1]) for r in src.collect()]
+_INDEX: dict[tuple, WindowIndex] = {}
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 5, keep: tuple[str, ...] = (), digests: bool = True) -> DataFrame:
+def _index_of(shared, tag: str, width: int) -> WindowIndex:
+    """The automaton of a block of items, kept by the worker for its next tasks."""
+    if (tag, width) not in _INDEX:
+        _INDEX.clear()  # one at a time
+        _INDEX[tag, width] = WindowIndex(shared.value, width)
+    return _INDEX[tag, width]
+
+
+def item_pieces(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH, most: int = PIECE_BYTES) -> DataFrame:
+    """id, text: the words of each item, long items in overlapping pieces that
+    have the same windows. Items without an id or without words give none."""
+    src = only(items, id_col, text_col).filter(F.col(f"`{id_col}`").isNotNull())
+
+    def run(batches):
+        for batch in slices(batches):
+            ids, texts = [], []
+            for i, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(cell.as_py())
+                start = size = 0
+                for at, word in enumerate(words):
+                    size += len(word) + 1
+                    if size >= most and at - start >= width or at == len(words) - 1:
+                        ids.append(i)
+                        texts.append(b" ".join(words[start : at + 1]).decode("utf-8", "surrogatepass"))
+                        start, size = at - width + 2, sum(map(len, words[max(0, at - width + 2) : at + 1])) + width
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(texts, pa.string())], ["id", "text"])
+
+    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, text string")
+
+
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH, most: int = BLOCK_BYTES):
+    """The items in blocks of at most ``most`` bytes, one block after another
+    on the driver: lists of (id, text). Sizes are measured first; what fits is
+    one block, else pieces are dealt by hash to more blocks until each fits."""
+    found = item_pieces(items, id_col, text_col, width, min(PIECE_BYTES, most // 4))
+    size = F.octet_length("text") + 16
+    total = found.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    if total <= most:
+        yield [(r[0], r[1]) for r in found.collect()]
+        return
+    n = -(-2 * total // most)
+    found = materialise(found, "benchmark-pieces")
+    while True:
+        dealt = found.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+        fullest = dealt.groupBy("block").agg(F.sum(size).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        if fullest <= most:
+            break
+        n *= 2
+    for k in range(n):
+        yield [(r[0], r[1]) for r in dealt.filter(F.col("block") == k).select("id", "text").collect()]
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 5, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, ``keep`` columns, n_words, n_hit, item_ids (sorted as strings),
     hits (offsets of hit ranges), contaminated: one row per row of ``docs``.
 
-    No shuffle; the automaton goes to the executors with the task (its source
-    has a checked bound). Null texts have no words; null items give no
-    window, null item ids are no items; repeated items count once; an empty table on either side gives no hit.
+    No shuffle; the automaton goes to the executors with the task. Items of
+    more than ``block_bytes`` are several automata, one pass over the texts for
+    each; between passes the rows, with the ranges and items found so far, are
+    written to the shared folder, so that memory holds one automaton at a time.
+    Null texts have no words; null items give no window, null item ids are no
+    items; repeated items count once; an empty table on either side gives no
+    hit.
     """
-    pairs = [(i, t) for i, t in load_items(items) if i is not None]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pairs)
-    src = only(docs, id_col, text_col, *keep)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != text_col or text_col in keep)
+    rest = [c for c in keep if c != text_col]
+    now = only(docs, id_col, text_col, *rest)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema if f.name != text_col or text_col in keep)
     schema = f"{head}, n_words long, n_hit long, item_ids array<string>, hits array<struct<s:int,e:int>>, contaminated boolean"
     spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-
-    def run(batches):
-        index = WindowIndex(shared.value, width)
-        for batch in slices(batches):
-            n, hit, ids, at = [], [], [], []
-            for cell in batch.column(1):
-                text = cell.as_py() or ""
-                count, ranges, items_ = index.scan(text)
-                n.append(count)
-                hit.append(sum(e - s for s, e in ranges))
-                ids.append(sorted(map(str, items_)))
-                at.append([{"s": s, "e": e} for s, e in index.offsets(text, ranges)])
-            bad = [h > 0 and 100 * h >= percent * k for h, k in zip(hit, n)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(at, spans), pa.array(bad, pa.bool_())],
-                [id_col, *keep, "n_words", "n_hit", "item_ids", "hits", "contaminated"],
-            )
-
-    return src.mapInArrow(run, schema)
+    names = now.columns
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema)
+
+    def scanned(batch, index) -> list[tuple[str, int, list, set]]:
+        """text, number of words, merged ranges, items: with what earlier passes found."""
+        out = []
+        before = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()) if batch.num_columns > len(names) else None
+        for cell in batch.column(1):
+            text = cell.as_py() or ""
+            n, ranges, found = index.scan(text)
+            found = set(map(str, found))
+            if before is not None:
+                old, ids = next(before)
+                ranges, found = _merged([*ranges, *((r["s"], r["e"]) for r in old)]), found | set(ids)
+            out.append((text, n, ranges, found))
+        return out
+
+    def part(shared, tag):
+        def run(batches):
+            index = _index_of(shared, tag, width)
+            for batch in slices(batches):
+                rows = scanned(batch, index)
+                ranges = pa.array([[{"s": s, "e": e} for s, e in r[2]] for r in rows], spans)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ranges, pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string()))], [*names, "_ranges", "_items"])
+
+        return run
+
+    def last(shared, tag):
+        def run(batches):
+            index = _index_of(shared, tag, width)
+            for batch in slices(batches):
+                rows = scanned(batch, index)
+                n, hit = [r[1] for r in rows], [sum(e - s for s, e in r[2]) for r in rows]
+                at = [[{"s": s, "e": e} for s, e in index.offsets(r[0], r[2])] for r in rows]
+                bad = [h > 0 and 100 * h >= percent * k for h, k in zip(hit, n)]
+                held = [c for c, name in zip(batch.columns, names) if name != text_col or text_col in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [*held, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string())), pa.array(at, spans), pa.array(bad, pa.bool_())],
+                    [*[name for name in names if name != text_col or text_col in keep], "n_words", "n_hit", "item_ids", "hits", "contaminated"],
+                )
+
+        return run
+
+    blocks = item_blocks(items, width=width, most=block_bytes)
+    block = next(blocks)
+    for following in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        now = materialise(now.mapInArrow(part(shared, sha(repr(block))), f"{typed}, _ranges array<struct<s:int,e:int>>, _items array<string>"), "benchmark-pass")
+        shared.destroy()
+        block = following
+    return now.mapInArrow(last(spark.sparkContext.broadcast(block), sha(repr(block))), schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +219,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of a documents table that aren't contaminated."""
-    table = docs.select("doc_id", "text", F.col("text").alias("_t"), "lang", "source", "n_chars")
-    found = decontaminate(table, items, text_col="_t", keep=("text", "lang", "source", "n_chars"))
-    return found.filter("NOT contaminated").select("doc_id", "text", "lang", "source", "n_chars")
+    """The rows of a documents table that aren't contaminated. Null and empty
+    texts have no words and stay, as do null ids and repeated rows; an empty
+    table gives an empty one."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    return decontaminate(docs, items, keep=tuple(columns[1:])).filter("NOT contaminated").select(*columns)
