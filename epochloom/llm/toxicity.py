@@ -1,14 +1,16 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-1. A character trigram model of the whole corpus: every task counts the
-   trigrams of its texts, the counts are summed by key.
-2. Words that look disguised (digits or signs among letters, letters set apart,
-   letters repeated) become lattices: each character may stand for itself, for
-   the letters it is used for, or for nothing (a separator, a repetition), at a
-   cost. Viterbi decoding finds the cheapest reading under the trigram model.
-3. Words and restored words, whole and as prefixes, are hashed features. Their
-   log odds come from a bounded sample of labelled rows; a logistic curve turns
-   a text's strongest evidence into a score.
+1. A model of four characters in a row over the whole corpus: every task counts
+   those of its texts, the counts are summed by key.
+2. Words that look disguised (digits or signs among letters, letters repeated)
+   and runs of letters set apart become lattices: each character may stand for
+   itself, for the letters it is used for, for a gap between words (a separator)
+   or for nothing (a separator, a repetition), at a cost. Viterbi decoding finds
+   the cheapest reading under the character model; the readings in their places
+   are the restored text.
+3. The words of the restored text, whole and as prefixes, are hashed features.
+   Their log odds come from a bounded sample of labelled rows; a logistic curve
+   turns a text's strongest evidence into a score.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import only, read, slices
 
 #: Symbols of the character model: 0 is a gap, 1-26 are a-z, 27 any other letter.
 SYMBOLS = 28
-N_GRAMS = SYMBOLS**3
+ORDER = 4
+N_GRAMS = SYMBOLS**ORDER
 #: What a character can stand for beside itself.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -36,7 +39,11 @@ LEET = {
 }
 SEPARATORS = " .-_*'~^"
 _STRIP = ".,;:!?\"'()[]{}<>«»“”‘’…%&#*|$"
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){3,}[^\W_](?!\S)")
+_BETWEEN = r"[\s.\-_*'~^]"
+_SINGLE = r"[^\W_]|[@$!|€£¡]"
+#: Three or more single letters or signs for letters, set apart by white space or separators.
+_SPACED = re.compile(rf"(?<!\S)(?:(?:{_SINGLE}){_BETWEEN}+){{2,}}(?:{_SINGLE})(?!\S)")
+_LETTER = re.compile(r"[^\W\d_]")
 #: A word is looked at if a sign stands beside a letter inside it, or a letter comes three times.
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*#.\-_'~^]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2}|([^\W\d_])\1\1")
 
@@ -54,6 +61,7 @@ class Settings:
     min_g: float = 24.0
     sub_cost: float = 1.0
     drop_cost: float = 0.7
+    gap_cost: float = 2.0
     keep_sign_cost: float = 6.0
     folds: int = 5
 
@@ -76,75 +84,94 @@ def symbols(text: str) -> np.ndarray:
     return _FOLD[np.minimum(points, 0x250)]
 
 
+def gram_codes(texts: list[str]) -> np.ndarray:
+    """Numbers of all runs of ORDER symbols, gaps before and behind each text."""
+    gap = np.zeros(ORDER - 1, np.uint8)
+    s = np.concatenate([x for t in texts for x in (gap, symbols(t))] + [gap[:1]]).astype(np.int64)
+    out = np.zeros(max(0, len(s) - ORDER + 1), np.int64)
+    for k in range(ORDER):
+        out = out * SYMBOLS + s[k : k + len(out)]
+    return out
+
+
 def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n): trigram counts over every text; at most SYMBOLS cubed rows."""
+    """(gram, n): counts over every text; at most SYMBOLS to the ORDER rows."""
 
     def run(batches):
         total = np.zeros(N_GRAMS, np.int64)
         for batch in slices(batches):
-            for cell in batch.column(0):
-                text = cell.as_py()
-                if text:
-                    s = np.concatenate((np.zeros(2, np.uint8), symbols(text), np.zeros(1, np.uint8))).astype(np.int32)
-                    total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=N_GRAMS)
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            if texts:
+                total += np.bincount(gram_codes(texts), minlength=N_GRAMS)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["gram", "n"])
 
     return only(docs, text_col).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def trigram_costs(counts: np.ndarray) -> np.ndarray:
-    """-log p(c | a, b), interpolated with the shorter contexts."""
-    c3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
-    c2 = c3.sum(0)
-    c1 = c2.sum(0)
-    p1 = (c1 + 1) / (c1.sum() + SYMBOLS)
-    p2 = (c2 + 4 * p1) / (c2.sum(1, keepdims=True) + 4)
-    p3 = (c3 + 4 * p2[None]) / (c3.sum(2, keepdims=True) + 4)
-    return -np.log(p3)
+def gram_costs(counts: np.ndarray) -> np.ndarray:
+    """-log p(symbol | those before it), interpolated with the shorter contexts;
+    one row for each context."""
+    levels = [counts.reshape((SYMBOLS,) * ORDER).astype(float)]
+    while levels[-1].ndim > 1:
+        levels.append(levels[-1].sum(0))
+    p = (levels[-1] + 1) / (levels[-1].sum() + SYMBOLS)
+    for c in reversed(levels[:-1]):
+        p = (c + 4 * p) / (c.sum(-1, keepdims=True) + 4)
+    return -np.log(p).reshape(-1, SYMBOLS)
 
 
 class Decoder:
-    """Viterbi decoding of character lattices under the trigram model."""
+    """Viterbi decoding of character lattices under the character model."""
 
     def __init__(self, costs: np.ndarray, settings: Settings = Settings()):
-        self.costs = costs.tolist()
+        self.costs = costs.ravel().tolist()
         self.settings = settings
 
     def options(self, text: str, i: int) -> list[tuple[str, float]]:
-        """Letters that position i may give, "" for none, each with a cost."""
+        """Letters that position i may give, a blank for a gap, "" for none,
+        each with a cost. Of several separators in a row the first may be a
+        gap, and two blanks are one for sure rather than none."""
         s, c = self.settings, text[i]
         out: list[tuple[str, float]] = []
         if c.isalpha():
             out.append((c, 0.0))
             if i and text[i - 1] == c:
                 out.append(("", s.drop_cost * 0.5))
-        else:
-            out += [(x, s.sub_cost * (1.5 if len(LEET[c]) > 2 else 1.0)) for x in LEET.get(c, "")]
-            if c in SEPARATORS or i and text[i - 1] == c:
-                out.append(("", s.drop_cost))
-            elif not out:
-                out.append(("", s.keep_sign_cost))
+            return out
+        out += [(x, s.sub_cost * (1.5 if len(LEET[c]) > 2 else 1.0)) for x in LEET.get(c, "")]
+        apart = c in SEPARATORS or c.isspace()
+        again = i > 0 and (text[i - 1] == c or apart and (text[i - 1] in SEPARATORS or text[i - 1].isspace()))
+        if apart or again:
+            out.append(("", 0.0 if again and apart else s.drop_cost))
+        if apart and not again:
+            wide = c.isspace() and text[i + 1 : i + 2].isspace()
+            out.append((" ", 0.0 if wide else s.gap_cost))
+        if not out:
+            out.append(("", s.keep_sign_cost))
         return out
 
     def decode(self, text: str) -> str:
-        """The cheapest reading; the text is one word with ends."""
-        costs = self.costs
-        # state: the last two symbols; the reading is kept as linked pairs
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        """The cheapest reading, its words apart by blanks; the text stands
+        between gaps. A state is the number of the last symbols, so that time
+        is linear in the text."""
+        costs, contexts = self.costs, N_GRAMS // SYMBOLS
+        # by state its cost and its reading, kept as linked pairs
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for i in range(len(text)):
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            after: dict[int, tuple[float, tuple | None]] = {}
             opts = [(x, int(_FOLD[min(ord(x), 0x250)]) if x else -1, cost) for x, cost in self.options(text, i)]
-            for (a, b), (so_far, said) in states.items():
-                for x, sym, cost in opts:
-                    if sym < 0:
-                        key, total, now = (a, b), so_far + cost, said
+            for state, (so_far, said) in states.items():
+                for x, symbol, cost in opts:
+                    if symbol < 0:
+                        key, total, now = state, so_far + cost, said
                     else:
-                        key, total, now = (b, sym), so_far + cost + costs[a][b][sym], (said, x)
+                        at = state * SYMBOLS + symbol
+                        key, total, now = at % contexts, so_far + cost + costs[at], (said, x)
                     if key not in after or total < after[key][0]:
                         after[key] = (total, now)
             states = after
-        best = min(((t + costs[a][b][0], said) for (a, b), (t, said) in states.items()), key=lambda v: v[0])[1]
+        best = min(((total + costs[state * SYMBOLS], said) for state, (total, said) in states.items()), key=lambda v: v[0])[1]
         out = []
         while best is not None:
             best, x = best
@@ -161,16 +188,23 @@ def restore(word: str, decoder: Decoder) -> str | None:
     return decoder.decode(core)
 
 
-def spaced_words(text: str) -> list[str]:
-    """Runs of single letters set apart by spaces."""
-    return [m[0] for m in _SPACED.finditer(text)]
+def spaced_runs(low: str) -> list[re.Match]:
+    """Runs of single letters and signs set apart, two letters among them."""
+    return [m for m in _SPACED.finditer(low) if len(_LETTER.findall(m[0])) >= 2]
+
+
+def _pieces(low: str, reading) -> list[str]:
+    """The text between the spaced runs, and the runs' readings, in order."""
+    out, at = [], 0
+    for m in spaced_runs(low):
+        out += [low[at : m.start()], f" {reading(m[0])} "]
+        at = m.end()
+    return [*out, low[at:]]
 
 
 def restored_text(text: str | None, decoder: Decoder) -> str:
-    """A text in lower case with its disguised words put right."""
-    low = (text or "").lower()
-    low = _SPACED.sub(lambda m: decoder.decode(m[0]), low)
-    return " ".join(restore(w, decoder) or w for w in low.split(" "))
+    """A text in lower case with its disguised words and spaced runs put right."""
+    return WordReader(decoder, decoder.settings).restored(text)
 
 
 def features_of(word: str, settings: Settings) -> list[int]:
@@ -182,20 +216,42 @@ def features_of(word: str, settings: Settings) -> list[int]:
 
 
 class WordReader:
-    """Bare words behind a token, remembered: as written and restored."""
+    """Restored texts and their bare words; what was made of a token or a run
+    is remembered, up to a bound."""
 
     def __init__(self, decoder: Decoder, settings: Settings, room: int = 400_000):
         self.decoder, self.settings, self.room = decoder, settings, room
         self.memory: dict[str, object] = {}
+        self.readings: dict[str, str] = {}
+
+    def reading(self, run: str) -> str:
+        """Of a run of letters set apart."""
+        out = self.readings.get(run)
+        if out is None:
+            out = self.decoder.decode(run)
+            if len(run) <= 64:
+                if len(self.readings) >= self.room // 8:
+                    self.readings.clear()
+                self.readings[run] = out
+        return out
+
+    def token(self, token: str) -> str:
+        """A token as the restored text has it."""
+        return restore(token, self.decoder) or token
+
+    def restored(self, text: str | None) -> str:
+        low = "".join(_pieces((text or "").lower(), self.reading))
+        return " ".join(map(self.token, low.split()))
 
     def bare(self, token: str) -> list[str]:
-        core = token.strip(_STRIP)
-        fixed = restore(token, self.decoder)
-        return [core] if fixed is None or fixed == core else [core, fixed]
+        """The bare words that a token of the text gives to the restored one."""
+        return [w for w in (x.strip(_STRIP) for x in self.token(token).split()) if w]
 
     def tokens(self, text: str) -> set[str]:
+        """Distinct tokens between which and the readings of spaced runs the
+        restored text is divided: words of readings need no second look."""
         low = text.lower()
-        return set(low.split()).union(x.replace(" ", ".") for x in spaced_words(low))
+        return set("".join(_pieces(low, self.reading) if _SPACED.search(low) else (low,)).split())
 
 
 @dataclass
@@ -221,7 +277,7 @@ class Scorer:
             if len(memory) >= self.reader.room:
                 memory.clear()
             get, s = self.model.weights.get, self.model.settings
-            w = memory[token] = max((get(f, 0.0) for word in self.reader.bare(token) if word for f in features_of(word, s)), default=0.0)
+            w = memory[token] = max((get(f, 0.0) for word in self.reader.bare(token) for f in features_of(word, s)), default=0.0)
         return w
 
     def evidence(self, text: str | None) -> tuple[float, float]:
@@ -278,17 +334,18 @@ def _fold(id_col: str, folds: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The model: trigrams of all texts, weights of a bounded sample of labels
-    outside the held-out fold. Ids, languages and sources are no features."""
+    """The model: characters of all texts, weights of a bounded sample of
+    labels outside the held-out fold. Ids, languages and sources are no
+    features."""
     counts = np.zeros(N_GRAMS, np.int64)
-    for r in char_counts(docs, text_col).collect():  # at most SYMBOLS cubed rows
-        counts[r["gram"]] = r["n"]
-    costs = trigram_costs(counts)
+    found = char_counts(docs, text_col).toArrow()  # at most SYMBOLS to the ORDER rows
+    counts[found.column("gram").to_numpy()] = found.column("n").to_numpy()
+    costs = gram_costs(counts)
     known = only(labels, id_col, label_col).toDF("_id", "_y").filter("_id IS NOT NULL AND _y IS NOT NULL")
     sample = known.filter(_fold("_id", settings.folds) != 0).orderBy(F.xxhash64("_id"), "_id", "_y").limit(settings.sample_rows)
     rows = only(docs, id_col, text_col).toDF("_id", "_t").join(F.broadcast(sample), "_id").select("_y", "_t")
 
-    def found(batches):
+    def features(batches):
         """For each sampled row its label and distinct features."""
         reader = WordReader(Decoder(costs, settings), settings)
         for batch in slices(batches):
@@ -297,8 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
                 seen: set[int] = set()
                 for t in reader.tokens(cell.as_py() or ""):
                     for word in reader.bare(t):
-                        if word:
-                            seen.update(features_of(word, settings))
+                        seen.update(features_of(word, settings))
                 lists.append(seen)
             y = [int(v.as_py() != 0) for v in batch.column(0)]
             size = 1 << settings.bits
@@ -312,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     size = 1 << settings.bits
     pos, neg = np.zeros(size, np.int64), np.zeros(size, np.int64)
     n_pos = n_neg = 0
-    summed = rows.mapInArrow(found, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    summed = rows.mapInArrow(features, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     for r in summed.filter(f"f < 0 OR pos >= {settings.min_documents}").collect():  # at most one row for each hash
         if r["f"] < 0:
             n_pos, n_neg = n_pos + r["pos"], n_neg + r["neg"]
