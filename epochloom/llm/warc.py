@@ -188,15 +188,46 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 # -- URLs
 
 
+#: Characters whose percent-encoding says nothing (RFC 3986).
+_UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+
+
+def _plain_percents(text: Column) -> Column:
+    """Needless percent-encodings undone, the others in capitals."""
+    codes = F.create_map(*[F.lit(x) for c in _UNRESERVED for x in (f"{ord(c):02X}", c)])
+
+    def decoded(part: Column, at: Column) -> Column:
+        pair, rest = F.upper(F.substring(part, 1, 2)), F.substring(part, 3, 1 << 30)
+        coded = F.when(pair.rlike("^[0-9A-F]{2}$"), F.coalesce(F.try_element_at(codes, pair), F.concat(F.lit("%"), pair)))
+        return F.when(at == 0, part).otherwise(F.coalesce(F.concat(coded, rest), F.concat(F.lit("%"), part)))
+
+    return F.when(F.contains(text, F.lit("%")), F.array_join(F.transform(F.split(text, "%", -1), decoded), "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """Dot segments resolved; the first segment (before the first slash) stays."""
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        return F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, x))
+
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.array_join(F.aggregate(F.split(path, "/", -1), empty, step), "/")).otherwise(path)
+
+
 def canonical(url: Column) -> Column:
-    """Host and path of a URL without scheme, www., m., default port, fragment,
-    tracking parameters and last slash; parameters sorted. Null stays null."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), ":(80|443)$", ""), r"^(www\.|m\.)", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), "/+$", "")
+    """Host and path of a URL without scheme, www., its scheme's default port,
+    fragment, tracking parameters and last slash; percent-encodings and dot
+    segments normalised, parameters sorted. Null stays null."""
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    scheme = F.lower(F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    bare = F.regexp_replace(whole, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.lower(F.regexp_extract(bare, "^[^/?]*", 0))
+    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    path = F.regexp_replace(_without_dots(_plain_percents(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1))), "/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^[^=]*", 0)).isin(*TRACKING)))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^[^=]*", 0)).isin(*TRACKING))
+    kept = F.array_sort(F.transform(kept, _plain_percents))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
 def _header(name: str) -> Column:
