@@ -186,7 +186,27 @@ def test_read_warc(spark, tmp_path):
     got = warc.read_warc(spark, str(tmp_path)).orderBy("date").collect()
     assert [r.kind for r in got] == ["response", "revisit"] and got[0].payload == b"<p>x</p>" and got[1].http_status == 304
     url = spark.createDataFrame([(got[0].uri,), (None,), ("HTTPS://m.A.com:443/b",)], "u string").select(warc.canonical(F.col("u"))).collect()
-    assert [r[0] for r in url] == ["a.com/b?q=1", None, "a.com/b"]
+    assert [r[0] for r in url] == ["a.com/b?q=1", None, "m.a.com/b"]
+
+
+def test_canonical_urls(spark):
+    """In the operator and in its SQL."""
+    import duckdb
+    import pandas as pd
+
+    from epochloom.llm import sql
+
+    urls = {
+        "http://a.com:80/x/": "a.com/x", "https://a.com:443/x": "a.com/x", "http://a.com:443/x": "a.com:443/x", "https://a.com:80/x": "a.com:80/x", "WWW.a.com": "a.com", "m.a.com/": "m.a.com",
+        "http://a.com/%7euser/%2f%c3%a9%41%zz%": "a.com/~user/%2F%C3%A9A%zz%", "http://a.com/b/./c/../d/%2e%2E/e": "a.com/b/e", "http://a.com/../..": "a.com", "http://a.com/x?b=%41&utm_source=1&a=2#f": "a.com/x?a=2&b=A",
+        "http://a.com": "a.com", "": "",
+    }
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical(F.col("u"))).collect()
+    assert [r[0] for r in got] == list(urls.values())
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(urls)), "url": list(urls), "html": ["x"] * len(urls)}))
+    rows = con.sql(sql.ORACLES["op10_warc"]).df()
+    assert rows[rows.kind == "response"].sort_values("page_id").url.tolist() == list(urls.values())
 
 
 def brute_resolution(rows):

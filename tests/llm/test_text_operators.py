@@ -128,6 +128,29 @@ def test_masking(spark):
     assert got == ["a [SECRET] b", "", "plain", "[SECRET] end"]
 
 
+def test_quality_rules_equal_their_sql():
+    """Random texts with phrases, capitals of many kinds and odd spaces."""
+    import duckdb
+    import pandas as pd
+
+    from epochloom.llm import sql
+
+    rnd = random.Random(3)
+    phrases = ["Click here.", "See the terms of use.", "This is licensed under MIT.", "© 2024 Someone.", "CLİCK HERE now."]
+    words = ["AA\xa0BB", "CC", "Word", "ÉÉ", "été", "ǅx", "ab。cd", "the", "of", "x.", "y!", "LOUD", "Σ", "1 2"]
+    texts = [None, "", " \n"]
+    for _ in range(800):
+        line = lambda: " ".join(rnd.choice(phrases) if rnd.random() < 0.4 else " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))) + rnd.choice([".", "", "! ", " . "]) for _ in range(rnd.randint(1, 5)))
+        texts.append("\n".join(line() for _ in range(rnd.randint(1, 4))))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "n_words_lost", "kept"]
+    want = con.sql(sql.ORACLES["op2_quality_rules"]).df().sort_values("doc_id")[names].values.tolist()
+    judged = [quality_rules.judge(t) for t in texts]
+    assert [[r[n] for n in names] for r in judged] == want
+    assert any(r["kept"] for r in judged) and any(not r["kept"] and not r["base_failed"] for r in judged)
+
+
 # -- simhash
 
 
@@ -174,6 +197,41 @@ def test_links_connect_all(spark, tile):
     assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
 
+@pytest.mark.parametrize(("n", "tile", "blocks"), [(5000, 8, None), (3000, 64, 8)])
+def test_links_of_many(spark, n, tile, blocks):
+    """Full buckets of fingerprints that share most bits, against all pairs."""
+    rnd = np.random.default_rng(n)
+    few = np.uint64(0x3FFF_C000_0003_FFFF)  # half the bits vary
+    fps = np.unique(rnd.integers(0, 2**63, n // 2, dtype=np.uint64) & few | np.uint64(0x0000_1234_5670_0000))
+    for _ in range(2):
+        fps = np.unique(np.concatenate((fps, fps[: n // 4] ^ (np.uint64(1) << rnd.integers(0, 64, min(len(fps), n // 4)).astype(np.uint64)))))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in simhash.components(simhash.links(df, tile=tile, n_blocks=blocks)).collect()}
+    root = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4) + i + 1
+        simhash._unite(root, np.full(len(near), i), near)
+    find = lambda x: x if root[x] == x else find(root[x])
+    want = [find(i) for i in range(len(fps))]
+    mine = [got.get(int(f), int(f)) for f in fps.view(np.int64)]
+    assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want)) < len(fps)
+
+
+def test_blocks_grow_with_the_input():
+    sizes = [simhash.blocks_for(n) for n in (0, 10**5, 10**8, 10**10, 10**12)]
+    assert sizes[0] == 6 and sizes == sorted(sizes) and sizes[-1] > 6
+    keys = simhash.block_keys(np.array([0, 2**64 - 1, 5], np.uint64), 8)
+    assert keys.shape == (3, 70) and len(set(keys[0].tolist())) == 70
+
+
+def test_node_of_many_links(spark):
+    """A star of 100,000 links, and a chain."""
+    star = spark.range(1, 100_001).selectExpr("id AS a", "0L AS b")
+    chain = spark.range(200_000, 200_300).selectExpr("id AS a", "id + 1 AS b")
+    got = simhash.components(star.union(chain)).groupBy("root").count().collect()
+    assert sorted((r.root, r["count"]) for r in got) == [(0, 100_000), (200_000, 300)]
+
+
 def test_simhash_empty_and_repeated(spark):
     empty = table(spark, ["x"]).limit(0)
     assert simhash.near_duplicates(empty).count() == 0
@@ -214,8 +272,16 @@ def test_decontaminate(spark):
     assert got[4].hits[0].s == 4
     none = decontaminate.decontaminate(table(spark, texts), it.limit(0)).agg(F.sum("n_hit")).first()[0]
     assert none == 0
-    with pytest.raises(ValueError):
-        decontaminate.load_items(it, max_bytes=10)
+    # more items than one automaton may hold: several passes, the same result
+    more = it.unionAll(spark.createDataFrame([(100 + i, " ".join(rnd.choice(words) for _ in range(25 + i))) for i in range(12)], it.schema))
+    one = decontaminate.decontaminate(table(spark, texts), more, keep=("text", "lang"))
+    assert one.columns[:3] == ["doc_id", "text", "lang"]
+    blocks = list(decontaminate.item_blocks(more, most=400))
+    assert len(blocks) > 3 and all(sum(len(t.encode()) + 16 for _, t in b) <= 400 for b in blocks)
+    several = decontaminate.decontaminate(table(spark, texts), more, keep=("text", "lang"), block_bytes=400)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, several.collect()))
+    for t, r in zip(texts, one.orderBy("doc_id").collect()):
+        assert (r.n_words, r.n_hit, r.item_ids, r.contaminated) == brute_contaminated(t, [(r.item_id, r.text) for r in more.collect()])
 
 
 # -- suffix dedup
@@ -262,6 +328,24 @@ def test_remove_repeats_odd_rows(spark):
     assert full.n_removed == len(b) and full.kept == b"" and full.spans[0].e == len(b)
 
 
+def test_ids_of_other_kinds(spark):
+    """Text ids in their order, ids beyond the numbers kept for null, and many null ids."""
+    a, b = "x1 " * 40 + "tail one", "y2 " * 40 + "tail two"
+    rows = [("b", a), ("aa", a + b), ("c", b), (None, a), (None, b), ("aa", "z")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = suffix.remove_repeats(df, with_text=False)
+    assert dict(got.dtypes)["doc_id"] == "string"
+    numbers = [({"aa": 0, "b": 1, "c": 2, None: None}[i], t) for i, t in rows]
+    key = lambda r: (r[0] is None, str(r[0]), *map(str, r[1:]))
+    mine = sorted([({"aa": 0, "b": 1, "c": 2, None: None}[r.doc_id], r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()], key=key)
+    assert mine == sorted([(i, *r) for (i, _), r in zip(numbers, brute_repeats(numbers))], key=key)
+    high = [(2**62 + 7, b), (2**62 + 5, a), (3, a + b), (None, a)]
+    got = suffix.remove_repeats(spark.createDataFrame(high, "doc_id long, text string"), with_text=False).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {2**62 + 7: len(b), 2**62 + 5: len(a), 3: 0, None: 0}
+    small = suffix.remove_repeats(spark.createDataFrame([(2, a), (1, a)], "doc_id int, text string"), with_text=False)
+    assert dict(small.dtypes)["doc_id"] == "int" and {r.doc_id: r.n_removed for r in small.collect()} == {1: 0, 2: len(a)}
+
+
 def test_long_texts_in_parts(monkeypatch):
     rnd = random.Random(9)
     text = bytes(rnd.choice(b"abcd ") for _ in range(3000))
