@@ -163,6 +163,23 @@ def _in_rings(d: str, radius: int):
     return F.array(F.struct(ring.alias("cell"), F.lit(0).alias("guest")), F.struct((ring + 1).alias("cell"), F.lit(1).alias("guest")))
 
 
+def _full_buckets(met: DataFrame, radius: int, tile: int) -> DataFrame:
+    """key, cell, i, j, side, guest, fp: buckets of more than a tile dealt to
+    rings, one dimension for each factor of four that they are too large, and
+    rings of more than a tile to pairs (i, j) of tiles."""
+    plain = F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("guest")))
+    for r in range(N_RINGS):
+        met = met.withColumn(f"r{r}", F.explode(F.when(F.col("count") > tile * 4**r, _in_rings(f"d{r}", radius)).otherwise(plain)))
+    cell, guest = F.lit(0), F.lit(0)
+    for r in range(N_RINGS):
+        cell, guest = cell * 64 + F.col(f"r{r}.cell"), guest * 2 + F.col(f"r{r}.guest")
+    met = met.select("key", "fp", cell.cast("int").alias("cell"), guest.cast("int").alias("guest"))
+    sizes = met.groupBy("key", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("key", "cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    met = met.join(sizes, ["key", "cell"]).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return met.select("key", "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "guest", "fp")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, n_blocks: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``) that connect
     all fingerprints within ``radius``, at most one for each row of a tile."""
@@ -178,21 +195,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, n_blocks:
             yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel().view(np.int64)), pa.array(np.tile(fps.view(np.int64), many)), *[pa.array(np.tile(rings[:, r], many)) for r in range(N_RINGS)]], ["key", "fp", *[f"d{r}" for r in range(N_RINGS)]])
 
     keys = distinct.select("fp").mapInArrow(keyed, "key long, fp long" + "".join(f", d{r} tinyint" for r in range(N_RINGS)))
-    full = keys.groupBy("key").count().filter("count > 1")
-    met = keys.join(full, "key")
-    # a full bucket: one dimension of rings for each factor of four that it is too large
-    plain = F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("guest")))
-    for r in range(N_RINGS):
-        met = met.withColumn(f"r{r}", F.explode(F.when(F.col("count") > tile * 4**r, _in_rings(f"d{r}", radius)).otherwise(plain)))
-    cell = F.lit(0)
-    guest = F.lit(0)
-    for r in range(N_RINGS):
-        cell, guest = cell * 64 + F.col(f"r{r}.cell"), guest * 2 + F.col(f"r{r}.guest")
-    met = met.select("key", "fp", cell.cast("int").alias("cell"), guest.cast("int").alias("guest"))
-    sizes = met.groupBy("key", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("key", "cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    met = met.join(sizes, ["key", "cell"]).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = met.select("key", "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "guest", "fp")
+    shared = keys.groupBy("key").count().filter("count > 1")
+    met = keys.join(shared, "key")
+    none = F.lit(0)
+    one_tile = met.filter(F.col("count") <= tile).select("key", none.alias("cell"), none.alias("i"), none.alias("j"), none.alias("side"), none.alias("guest"), "fp")
+    tiles = one_tile.unionByName(_full_buckets(met.filter(F.col("count") > tile), radius, tile))
     tiles = tiles.repartition(partitions(distinct.sparkSession), "key", "cell", "i", "j").sortWithinPartitions("key", "cell", "i", "j", "fp")
 
     def run(batches):
