@@ -196,7 +196,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, n_blocks:
 
     keys = distinct.select("fp").mapInArrow(keyed, "key long, fp long" + "".join(f", d{r} tinyint" for r in range(N_RINGS)))
     shared = keys.groupBy("key").count().filter("count > 1")
-    met = keys.join(shared, "key")
+    met = keys.join(shared.hint("merge"), "key")  # a small table of keys is still large unpacked: never broadcast
     none = F.lit(0)
     one_tile = met.filter(F.col("count") <= tile).select("key", none.alias("cell"), none.alias("i"), none.alias("j"), none.alias("side"), none.alias("guest"), "fp")
     tiles = one_tile.unionByName(_full_buckets(met.filter(F.col("count") > tile), radius, tile))
