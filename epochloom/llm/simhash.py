@@ -231,7 +231,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, n_blocks:
 
 
 #: Keys with more than a hundred-thousandth of all rows, and this many, are spread.
-HEAVY = 1000
+HEAVY = 200
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
