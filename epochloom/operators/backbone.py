@@ -194,14 +194,20 @@ def taken(matrix: DataFrame, model: Model) -> DataFrame:
     return out.drop("layout")
 
 
+def pooled(x) -> np.ndarray:
+    """One vector of a row's embedding: the mean over all axes (channels,
+    patches, tokens) but the last."""
+    x = np.asarray(x, np.float64)
+    return x.reshape(-1, x.shape[-1]).mean(0) if x.ndim > 1 else np.atleast_1d(x)
+
+
 def _embedder(model: Model, keys: list[str]):
     def called(rows: list[np.ndarray], places: list[np.ndarray | None]) -> list[np.ndarray]:
         """One vector for each row, rows of one shape together."""
         with_places = places[0] is not None
         if model.batched:
-            out = model.embed(np.stack(rows), np.stack(places)) if with_places else model.embed(np.stack(rows))
-            return [np.asarray(v, np.float64).ravel() for v in out]
-        return [np.asarray(model.embed(x, p) if with_places else model.embed(x), np.float64).ravel() for x, p in zip(rows, places)]
+            return list(map(pooled, model.embed(np.stack(rows), np.stack(places)) if with_places else model.embed(np.stack(rows))))
+        return [pooled(model.embed(x, p) if with_places else model.embed(x)) for x, p in zip(rows, places)]
 
     def array(cell) -> np.ndarray:
         return np.stack([array(c) for c in cell]) if len(cell) and isinstance(cell[0], (np.ndarray, list)) else np.asarray(cell, np.float32)

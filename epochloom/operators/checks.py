@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_dir
+
 FINDING = "level string, code string, location string, message string"
 
 
@@ -63,12 +67,25 @@ def inconsistent_montage(df: DataFrame, branch: str, collection: str, channel: s
 
 
 def channel_faults(channels: Column) -> Column:
-    """array<string>: empty list, repeated, blank or padded names."""
+    """array<struct<level, message>>: an empty list, repeated or blank names;
+    names with white space are a warning."""
     rules = [
-        (F.size(channels) == 0, "no channels"), (F.size(F.array_distinct(channels)) < F.size(channels), "repeated channel names"),
-        (F.exists(channels, lambda c: F.trim(c) == ""), "blank channel name"), (F.exists(channels, lambda c: c.rlike(r"\s")), "white space in a channel name"),
+        (F.size(channels) == 0, "error", "no channels"), (F.size(F.array_distinct(channels)) < F.size(channels), "error", "repeated channel names"),
+        (F.exists(channels, lambda c: F.trim(c) == ""), "error", "blank channel name"), (F.exists(channels, lambda c: c.rlike(r"\s")), "warning", "white space in a channel name"),
     ]
-    return F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in rules]), lambda m: m.isNotNull())
+    return F.filter(F.array(*[F.when(c, F.struct(F.lit(level).alias("level"), F.lit(m).alias("message"))) for c, level, m in rules]), lambda m: m.isNotNull())
+
+
+def _channel_findings(df: DataFrame, where: str, channels: str, code: str) -> DataFrame:
+    each = df.select(F.col(where).alias("_where"), F.explode(channel_faults(F.col(channels))).alias("f"))
+    return each.select(F.col("f.level").alias("level"), F.lit(code).alias("code"), F.col("_where").cast("string").alias("location"), F.col("f.message").alias("message"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def event_report(events: DataFrame, duration: DataFrame | None = None) -> DataFrame:
@@ -126,17 +143,28 @@ def study_report(observations: DataFrame, min_subjects: int = 2, min_trials: int
     return out
 
 
-def lineage_closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def lineage_closure(edges: DataFrame, shared: str | None = None) -> DataFrame:
     """child, ancestor, depth (the least) of a lineage of (child, parent)
-    edges, by a recursive query."""
+    edges, of any depth and with cycles: a frontier of pairs goes on by one
+    edge until it has no pair that wasn't seen. Each round is written to the
+    shared folder (``shared``, else spark.checkpoint.dir)."""
     spark = edges.sparkSession
-    edges.select("child", "parent").distinct().createOrReplaceTempView("_lineage_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE up(child, ancestor, depth) MAX RECURSION LEVEL {rounds} AS (
-            SELECT child, parent, 1 FROM _lineage_edges
-            UNION ALL SELECT up.child, e.parent, up.depth + 1 FROM up JOIN _lineage_edges e ON up.ancestor = e.child)
-        SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY child, ancestor"""
-    )
+    folder = f"{(shared or shared_dir(spark)).rstrip('/')}/lineage-{uuid.uuid4().hex}"
+    pairs = edges.select("child", "parent").distinct()
+    pairs.write.parquet(f"{folder}/edges")
+    pairs = spark.read.schema(pairs.schema).parquet(f"{folder}/edges")
+    found = pairs.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    found.write.parquet(f"{folder}/seen/depth_1")
+    schema, depth = found.schema, 1
+    while True:
+        front = spark.read.schema(schema).parquet(f"{folder}/seen/depth_{depth}")
+        seen = spark.read.schema(schema).parquet(*[f"{folder}/seen/depth_{k}" for k in range(1, depth + 1)])
+        step = front.join(pairs.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
+        fresh = step.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth + 1))
+        fresh.write.parquet(f"{folder}/seen/depth_{depth + 1}")
+        depth += 1
+        if not spark.read.schema(schema).parquet(f"{folder}/seen/depth_{depth}").take(1):
+            return seen
 
 
 def bids_path(path: Column) -> Column:
@@ -156,15 +184,26 @@ def bids_sidecars(path: Column) -> Column:
     return F.array(F.concat(at, stem, F.lit(".json")), F.concat(at, base, F.lit("_channels.tsv")), F.concat(at, base, F.lit("_events.tsv")))
 
 
-def recording_report(recordings: DataFrame, files: DataFrame) -> DataFrame:
+def recording_report(recordings: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Findings of a recordings table; files: path, every file that exists."""
     where = F.col("recording_id")
-    bad = recordings.select("recording_id", F.explode(channel_faults(F.col("channel_names"))).alias("m")).select(*finding("error", "recording.channels", where, F.col("m")))
-    lost = recordings.filter("message IS NOT NULL").select(*finding("error", "recording.invalid", where, F.col("message")))
-    gone = recordings.join(files.select(F.col("path").alias("source_path")), "source_path", "left_anti").select(*finding("error", "recording.source_missing", where, F.col("source_path")))
-    wanted = recordings.filter(bids_path(F.col("source_path"))).select("recording_id", F.explode(bids_sidecars(F.col("source_path"))).alias("path"))
-    beside = wanted.join(files.select("path"), "path", "left_anti").select(*finding("warning", "recording.bids_sidecar_missing", where, F.col("path")))
-    return bad.unionByName(lost).unionByName(gone).unionByName(beside)
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = [
+        (empty("recording_id"), "no recording_id"), (empty("source_path"), "no source_path"), (empty("source_format"), "no source_format"), (F.col("message").isNotNull(), None),
+        *[(F.col("message").isNull() & ~F.coalesce(F.col(c) > 0, F.lit(False)), f"{c} is not above 0") for c in ("sampling_rate_hz", "n_samples", "duration_seconds")],
+    ]
+    said = F.array(*[F.when(rule, F.lit(m) if m else F.col("message")) for rule, m in rules])
+    parts = [
+        recordings.select("recording_id", F.explode(F.filter(said, lambda m: m.isNotNull())).alias("m")).select(*finding("error", "recording.invalid", where, F.col("m"))),
+        _channel_findings(recordings.filter("message IS NULL"), "recording_id", "channel_names", "recording.channels"),
+        recordings.filter(F.coalesce(F.size("provenance"), F.lit(0)) <= 0).select(*finding("warning", "recording.provenance_missing", where, F.lit("no provenance"))),
+    ]
+    if files is not None:
+        known = files.select(F.col("path").alias("source_path")).distinct()
+        parts.append(recordings.join(known, "source_path", "left_anti").select(*finding("error", "recording.source_missing", where, F.col("source_path"))))
+        wanted = recordings.join(known, "source_path", "left_semi").filter(bids_path(F.col("source_path"))).select("recording_id", F.explode(bids_sidecars(F.col("source_path"))).alias("path"))
+        parts.append(wanted.join(files.select("path").distinct(), "path", "left_anti").select(*finding("warning", "recording.bids_sidecar_missing", where, F.col("path"))))
+    return _all(parts)
 
 
 def rate_close(a: Column, b: Column) -> Column:
@@ -172,6 +211,70 @@ def rate_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
 
 
+def signal_findings(signals: DataFrame, unit: list[str], item: list[str], code: str, n_channels: Column | None = None, rate: Column | None = None) -> DataFrame:
+    """Signals against their contract. signals: a row for each channel, with
+    unit and item columns (an item, such as an event's phase, belongs to a
+    unit, such as a collection), channel, samples and sampling_rate_hz. An
+    error where an item has not all channels of its unit (``n_channels``, or as
+    many as the unit has), or another rate than the unit's; a warning where
+    there are no samples."""
+    first = signals.groupBy(*unit).agg(F.count_distinct("channel").alias("_channels"), F.min("sampling_rate_hz").alias("_rate"))
+    each = signals.groupBy(*unit, *item).agg(F.count_distinct("channel").alias("_n"), F.min(F.size("samples")).alias("_least"), F.max(F.size("samples")).alias("_most"), F.min("sampling_rate_hz").alias("_r"))
+    met = each.join(first, unit).withColumn("_want", F.col("_channels") if n_channels is None else n_channels).withColumn("_rate", F.col("_rate") if rate is None else rate)
+    where = F.concat_ws("/", *[F.col(c).cast("string") for c in (*unit, *item)])
+    return _all([
+        met.filter("_n <> _want").select(*finding("error", code, where, F.concat(F.lit("channels: "), F.col("_n"), F.lit(" of "), F.col("_want")))),
+        met.filter(~rate_close(F.col("_r"), F.col("_rate"))).select(*finding("error", code, where, F.concat(F.lit("sampling rate "), F.col("_r"), F.lit(" against "), F.col("_rate")))),
+        met.filter("_least <> _most").select(*finding("error", code, where, F.lit("channels of different lengths"))),
+        met.filter("_most <= 0").select(*finding("warning", code, where, F.lit("no samples"))),
+    ])
+
+
+def collection_report(epochs: DataFrame, recordings: DataFrame, events: DataFrame, collection_id: str) -> DataFrame:
+    """Findings of one branch of a collection. epochs: its rows, one for each
+    event, phase and channel; events: those it was made of."""
+    key = ["recording_id", "event_id"]
+    ids = epochs.select(*key).distinct()
+    channels = epochs.groupBy("recording_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    where = F.concat_ws("/", *key)
+    return _all([
+        epochs.agg(F.count("*").alias("n")).filter("n = 0").select(*finding("error", "epochs.empty", F.lit(collection_id), F.lit("no epochs"))),
+        epochs.filter(~F.coalesce(F.col("sampling_rate_hz") > 0, F.lit(False))).select(*key).distinct().select(*finding("error", "epochs.invalid", where, F.lit("sampling_rate_hz is not above 0"))),
+        _channel_findings(channels, "recording_id", "channels", "epochs.channels"),
+        duplicates(epochs, [*key, "phase", "channel"]).select(*key).distinct().select(*finding("error", "epochs.duplicate_event", F.col("event_id"), F.lit("event comes more than once"))),
+        events.select(*key).distinct().join(ids, key, "left_anti").select(*finding("error", "epochs.missing_signal", where, F.lit("event without epochs"))),
+        ids.join(recordings.select("recording_id").distinct(), "recording_id", "left_anti").select(*finding("error", "epochs.recording_mismatch", F.col("event_id"), F.concat(F.lit("no recording "), F.col("recording_id")))),
+        epochs.filter(F.size("samples") != F.col("derived_samples")).select(*finding("error", "epochs.phase_shape", where, F.concat(F.col("phase"), F.lit(" has another number of samples than its range")))),
+        signal_findings(epochs, ["recording_id"], ["event_id", "phase"], "epochs.signal_contract"),
+    ])
+
+
+def candidate_report(candidates: DataFrame, artifacts: DataFrame, contracts: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
+    """Findings of candidates. artifacts: pattern_id, artifact, of what there
+    is; contracts: findings of their signals; embedded: pattern_id, model_id of
+    embeddings, for those that evidence was used of (column used)."""
+    where = F.col("pattern_id")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = [
+        ("error", "candidate.pattern_id", blank("pattern_id"), "no pattern_id"), ("error", "candidate.target_label", blank("target_label"), "no target_label"),
+        ("error", "candidate.subject_support", F.coalesce("n_subjects", F.lit(0)) < 2, "fewer than two subjects"), ("warning", "candidate.event_support", F.coalesce("n_events", F.lit(0)) < 2, "fewer than two events"),
+        ("warning", "candidate.run_id_missing", blank("run_id"), "no run_id"), ("warning", "candidate.reliability_missing", F.col("tier").isNull(), "no reliability"),
+        ("warning", "candidate.low_confidence", F.col("tier").isin("insufficient", "unstable"), "low confidence"),
+    ]
+    parts = [candidates.filter(rule).select(*finding(level, code, where, F.lit(text))) for level, code, rule, text in rules]
+    wanted = F.array(*map(F.lit, REQUIRED_ARTIFACTS))
+    for level, code, names in (("error", "candidate.artifact_missing", wanted), ("warning", "candidate.topography_missing", F.array(F.lit("topography")))):
+        each = candidates.select("pattern_id", F.explode(names).alias("artifact"))
+        parts.append(each.join(artifacts, ["pattern_id", "artifact"], "left_anti").select(*finding(level, code, where, F.concat(F.lit("no "), F.col("artifact")))))
+    if embedded is not None:
+        parts.append(embedded.filter("NOT used").select(*finding("warning", "candidate.backbone_artifact_missing", where, F.concat(F.lit("no embeddings of "), F.col("model_id")))))
+    return _all([*parts, contracts])
+
+
+#: Tables that every candidate must have rows in.
+REQUIRED_ARTIFACTS = ("prototypes", "subject_prototypes", "exemplars")
+
+
 def branch_findings(branch) -> list[tuple[str, str, str, str]]:
     """(level, code, location, message) of a branch configuration."""
     out = [("error", "preprocess.invalid", branch.name, m) for m in branch.check()]

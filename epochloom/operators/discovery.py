@@ -203,17 +203,37 @@ def branch_profiles(subject_bands: DataFrame, margins: DataFrame) -> DataFrame:
     return held.select(*GROUP, F.transform("_v", lambda e: e["v"]).alias("profile")).join(margins.select(*GROUP, "margin"), GROUP)
 
 
-def topography(subject_bands: DataFrame, difference: DataFrame) -> DataFrame:
-    """GROUP, phase, channel, band, mean, rest, difference, channel_mean (over
-    bands), band_mean (over channels), NaN skipped."""
+def topography(difference: DataFrame) -> DataFrame:
+    """GROUP, phase, channel, ch_pos, band, mean, rest, difference, and the
+    profiles channel_mean (over bands) and band_mean (over channels), NaN
+    skipped. difference: of ``difference_map``."""
     good = F.when(~F.isnan("power"), F.col("power"))
-    rows = difference.select(*GROUP, "phase", "channel", "ch_pos", "band", "power", "rest", "difference")
-    return rows.select(
-        *GROUP, "phase", "channel", "ch_pos", "band", F.col("power").alias("mean"), "rest", "difference",
-        F.avg(good).over(Window.partitionBy(*GROUP, "phase", "channel")).alias("channel_mean"), F.avg(good).over(Window.partitionBy(*GROUP, "phase", "band")).alias("band_mean"),
+    over = lambda axis: F.avg(good).over(Window.partitionBy(*GROUP, "phase", axis))
+    return difference.select(*GROUP, "phase", "channel", "ch_pos", "band", F.col("power").alias("mean"), "rest", "difference", over("channel").alias("channel_mean"), over("band").alias("band_mean"))
+
+
+def described(al: DataFrame) -> DataFrame:
+    """GROUP with the subjects, subtypes, axes and rate of its observations."""
+    listed = lambda c: F.array_sort(F.collect_set(F.nullif(c, F.lit(""))))
+    return al.groupBy(*GROUP).agg(
+        listed("subject_id").alias("subject_ids"), listed("event_subtype").alias("event_subtypes"), F.array_sort(F.collect_set("phase")).alias("phases"), F.array_sort(F.collect_set("channel")).alias("channels"),
+        F.first("sampling_rate_hz").alias("sampling_rate_hz"),
     )
 
 
+def report():
+    """The readable side of a candidate."""
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("none"))
+    number = lambda c: F.coalesce(F.format_number(c, 4), F.lit("none"))
+    lines = [
+        F.concat(F.lit("# "), F.col("pattern_id")), F.lit(""), F.col("signature"), F.lit(""), F.concat(F.lit("- label: "), F.col("target_label")), F.concat(F.lit("- branch: "), F.col("branch_name")),
+        F.concat(F.lit("- subjects: "), F.col("n_subjects")), F.concat(F.lit("- events: "), F.col("n_events")), F.concat(F.lit("- bands: "), listed("dominant_bands")), F.concat(F.lit("- channels: "), listed("dominant_channels")),
+        F.concat(F.lit("- phases: "), listed("strongest_phases")), F.concat(F.lit("- within: "), number("within")), F.concat(F.lit("- rest: "), number("rest")), F.concat(F.lit("- margin: "), number("margin")),
+        F.concat(F.lit("- strongest control: "), F.coalesce("strongest_label", F.lit("none"))), F.concat(F.lit("- branch agreement: "), F.coalesce("branch_status", F.lit("one branch"))), F.concat(F.lit("- tier: "), F.coalesce("tier", F.lit("none"))),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
 def assess(observations: DataFrame, subject_bands: DataFrame, margins: DataFrame, agreement: DataFrame, seed: int = 0, null_iterations: int = 64, subsample_iterations: int = 32) -> DataFrame:
     """GROUP with holdout, null and subsample figures, flags, robustness,
     fragility and tier."""

@@ -9,30 +9,41 @@ from __future__ import annotations
 
 import json
 import platform
+import sys
 import uuid
 from collections.abc import Iterable
+from dataclasses import asdict
 from datetime import datetime, timezone
+from importlib import metadata
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decisions
+from ..functions import decisions, paths
 from ..functions.expr import slugify
 from ..operators import backbone, checks, discovery, epochs, preprocess, similarity
 from ..sources import events as event_source
 from ..sources import files, recordings
+from . import packages
+from .models import ModelLoadError, Registry
 
 SOURCE_BRANCH = "source_epoch"
 _EPOCH = ["collection_id", "recording_id", "subject_id", "session_id", "cohort_label", "event_id", "obs_idx", "event_family", "target_label", "event_subtype", "label_namespace", "source_path"]
 #: Columns of a phase's range that branches carry on.
 _RANGE = ("onset_seconds", "duration_seconds", "requested_start", "requested_end", "start_sample", "end_sample", "actual_start", "actual_end", "derived_samples", "clipped", "warning")
+#: The most faults that an error's text names; all are in the table of the run's faults.
+NAMED = 20
 
 
 class EngineError(RuntimeError):
     """A step that can't be done as asked."""
 
 
+def _now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def run_id(prefix: str, requested: str = "") -> str:
     """A slug of what is asked for, or a new id."""
     kept = "".join(c.lower() if c.isalnum() else "_" for c in requested.strip())
@@ -60,68 +71,113 @@ class Engine:
         df.drop(*key).write.mode("overwrite").parquet(path)
         return path
 
-    def _bundle(self, run: str, operation: str, config: dict, sources: list[str], made: list[str], warnings: Iterable[str] = (), status: str = "success", seed: int | None = None) -> None:
-        """Manifest, configuration, environment, lineage and warnings of a run."""
+    def _log(self, run: str, stage: str, message: str, level: str = "info", **context) -> None:
+        """A line of the run's log."""
+        line = {"timestamp_utc": _now(), "level": level, "stage": stage, "message": message, "context": context}
+        files.append_text(self.spark, f"{self.root}/runs/{run}/log.jsonl", json.dumps(line, sort_keys=True, default=str) + "\n")
+
+    def _faults(self, run: str, stage: str, found: DataFrame) -> str:
+        """All findings (level, code, location, message) of a step as a table
+        of the run; its path."""
+        at = f"{self.root}/runs/{run}/findings/stage={stage}"
+        found.write.mode("overwrite").json(at)
+        return at
+
+    def _refuse(self, run: str, stage: str, found: DataFrame) -> None:
+        """Stops a step if there are findings; names some, keeps all."""
+        at = self._faults(run, stage, found)
+        held = self.spark.read.schema(checks.FINDING).json(at)
+        n = held.count()
+        if n:
+            some = [f"{r['location']}: {r['message']}" for r in held.orderBy("location", "message").limit(NAMED).collect()]
+            self._log(run, stage, "refused", "error", findings=n)
+            raise EngineError("; ".join(some) + (f"; and {n - NAMED} more in {at}" if n > NAMED else ""))
+
+    def _bundle(self, run: str, operation: str, config: dict, made: list[tuple[str, list[str]]], warnings: str = "", status: str = "success", seed: int | None = None) -> None:
+        """Manifest, configuration, environment, lineage and log of a run.
+        made: each output with what it was made of; warnings: the table that
+        holds them."""
         at, spark = f"{self.root}/runs/{run}", self.spark
-        now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        sources = sorted({p for _, parents in made for p in parents} - {m for m, _ in made})
+        known = {"numpy", "pandas", "pyarrow", "pyspark", "mne", "torch"}
+        versions = {d.metadata["Name"].lower(): d.version for d in metadata.distributions() if (d.metadata["Name"] or "").lower() in known}
         files.write_json(spark, f"{at}/config.json", config)
-        files.write_json(spark, f"{at}/environment.json", {"python": platform.python_version(), "spark": pyspark.__version__, "platform": platform.platform()})
-        files.write_json(spark, f"{at}/lineage.json", {"sources": sources, "generated": [{"path": m, "parents": sources} for m in made]})
-        files.write_json(spark, f"{at}/warnings.json", sorted(set(warnings)))
-        files.write_json(spark, f"{at}/manifest.json", {"run_id": run, "operation": operation, "status": status, "rng_seed": seed, "created_at_utc": now})
-        files.write_text(spark, f"{at}/log.jsonl", json.dumps({"at": now, "operation": operation, "status": status}) + "\n")
+        files.write_json(spark, f"{at}/environment.json", {"captured_at_utc": _now(), "python": sys.version, "spark": pyspark.__version__, "platform": platform.platform(), "machine": platform.machine(), "packages": {k: versions.get(k) for k in sorted(known)}})
+        files.write_json(spark, f"{at}/lineage.json", {"sources": sources, "generated": [{"path": m, "parents": parents} for m, parents in made]})
+        files.write_json(spark, f"{at}/warnings.json", {"run_id": run, "table": warnings})
+        files.write_json(spark, f"{at}/manifest.json", {"run_id": run, "operation": operation, "status": status, "rng_seed": seed, "created_at_utc": _now(), "generated": len(made), "sources": len(sources), "warnings": warnings, "files": {k: f"{at}/{k}" for k in ("config.json", "environment.json", "lineage.json", "log.jsonl")}})
+        self._log(run, operation, "completed", status=status, outputs=len(made))
 
     # -- steps
 
     def ingest(self, source: str, event_table: str | None = None, recording_id: str = "", subject_id: str = "", session_id: str = "", label_namespace: str = "", cohort_label: str = "", run: str = "", overwrite: bool = False) -> str:
         """Recordings (a file or a folder) and their events into the tables."""
         run = run_id("ingest", run)
+        self._log(run, "ingest", "starting", source=source)
         ids = {"recording_id": recording_id, "subject_id": subject_id, "session_id": session_id, "label_namespace": label_namespace, "cohort_label": cohort_label}
         read = recordings.named(recordings.read_recordings(self.spark, source), **ids)
-        made = [self._write(read, "recordings", {"ingest_id": run}, overwrite)]
-        held = self.spark.read.parquet(made[0])
-        bad = [r["message"] for r in held.filter("message IS NOT NULL").select("message").take(20)]
-        if bad:
-            raise EngineError("; ".join(bad))
+        made = [(self._write(read, "recordings", {"ingest_id": run}, overwrite), [source])]
+        held = self.spark.read.parquet(made[0][0])
+        bad = held.filter("message IS NOT NULL")
+        self._refuse(run, "recordings", bad.select(*checks.finding("error", "recording.invalid", F.col("source_path"), F.col("message"))))
         signals = recordings.read_signals(self.spark, source)
         if recording_id:
             signals = signals.withColumn("recording_id", F.lit(recording_id))
-        made.append(self._write(signals, "signals", {"ingest_id": run}, overwrite))
+        made.append((self._write(signals, "signals", {"ingest_id": run}, overwrite), [source]))
         if event_table:
-            only = held.select("recording_id", "label_namespace").take(2)
+            only = held.select("recording_id", "label_namespace").limit(2).collect()
             default = only[0]["recording_id"] if len(only) == 1 else ""
             raw = event_source.read_events(self.spark, event_table)
             events = event_source.normalise(raw, ["_row"], default, label_namespace or (only[0]["label_namespace"] if len(only) == 1 else ""))
-            made.append(self._write(events, "events", {"ingest_id": run}, overwrite))
-            wrong = [f"{r['event_id']}: {r['message']}" for r in event_source.faults(self.spark.read.parquet(made[-1])).take(20)]
-            if wrong:
-                raise EngineError("; ".join(wrong))
-        self._bundle(run, "ingest", {"source": source, "event_table": event_table}, [source, *([event_table] if event_table else [])], made)
+            made.append((self._write(events, "events", {"ingest_id": run}, overwrite), [event_table]))
+            wrong = event_source.faults(self.spark.read.parquet(made[-1][0]))
+            self._refuse(run, "events", wrong.select(*checks.finding("error", "events.invalid", F.col("event_id"), F.col("message"))))
+        else:
+            self._log(run, "ingest", "no event table", "warning")
+        self._bundle(run, "ingest", {"source": source, "event_table": event_table, **ids}, made)
         return run
 
     def epoch(self, windows: epochs.Windows, ingest_id: str | None = None, collection_id: str = "", overwrite: bool = False) -> str:
-        """Epochs of all (or one ingest's) events; one collection."""
+        """Epochs of all (or one ingest's) events; one collection. Events of a
+        recording that isn't there stop it."""
         if faults := windows.check():
             raise EngineError("; ".join(faults))
         collection = run_id("collection", collection_id or f"{ingest_id or 'all'}_{windows.slug()}")
+        self._log(collection, "epoch", "starting", ingest=ingest_id)
         pick = (lambda df: df.filter(F.col("ingest_id") == ingest_id)) if ingest_id else (lambda df: df)
         rec, sig, ev = (pick(self.table(t)) for t in ("recordings", "signals", "events"))
         info = rec.select("recording_id", "subject_id", "session_id", "cohort_label", F.col("label_namespace").alias("_ns"), "source_path", "sampling_rate_hz", "n_samples").dropDuplicates(["recording_id"])
+        lost = ev.join(info.select("recording_id"), "recording_id", "left_anti")
+        self._refuse(collection, "events", lost.select(*checks.finding("error", "epochs.recording_mismatch", F.col("event_id"), F.concat(F.lit("no recording "), F.col("recording_id")))))
         ev = ev.drop("ingest_id", "metadata").join(info, "recording_id").withColumn("label_namespace", F.coalesce(F.nullif("label_namespace", F.lit("")), "_ns")).drop("_ns")
         ranges = epochs.sample_range(epochs.phase_requests(ev, windows), F.col("sampling_rate_hz"), F.col("n_samples")).withColumn("collection_id", F.lit(collection)).drop("n_samples")
         out = epochs.epochs(sig.drop("ingest_id"), ranges).withColumn("branch_name", F.lit(SOURCE_BRANCH))
         made = self._write(out, "epochs", {"branch_name": SOURCE_BRANCH, "collection_id": collection}, overwrite)
-        said = [r[0] for r in self.spark.read.parquet(made).filter("warning <> ''").select("warning").distinct().take(100)]
-        self._bundle(collection, "epoch", {"windows": windows.slug()}, [self.path(t) for t in ("recordings", "signals", "events")], [made], said)
+        said = self.spark.read.parquet(made).filter("warning <> ''").groupBy("recording_id", "event_id", "warning").agg(F.lit(1))
+        at = self._faults(collection, "epoch", said.select(*checks.finding("warning", "epochs.clipped", F.concat_ws("/", "recording_id", "event_id"), F.col("warning"))))
+        self._bundle(collection, "epoch", {"ingest_id": ingest_id, "windows": asdict(windows)}, [(made, [self.path(t) for t in ("recordings", "signals", "events")])], at)
         return collection
 
+    def _branch_path(self, branch: str, collection_id: str) -> str:
+        return f"{self.path('epochs')}/branch_name={branch}/collection_id={collection_id}"
+
     def preprocess(self, branch: preprocess.Branch, collection_id: str, overwrite: bool = False) -> str:
-        """A branch of a collection."""
+        """A branch of a collection, beside its source."""
+        if any(level == "error" for level, *_ in checks.branch_findings(branch)):
+            raise EngineError("; ".join(m for level, _, _, m in checks.branch_findings(branch) if level == "error"))
+        if branch.name == SOURCE_BRANCH:
+            raise EngineError("a branch must not overwrite its source")
+        if not files.exists(self.spark, self._branch_path(SOURCE_BRANCH, collection_id)):
+            raise EngineError(f"no collection {collection_id}")
         src = self.table("epochs").filter((F.col("branch_name") == SOURCE_BRANCH) & (F.col("collection_id") == collection_id))
         out = preprocess.preprocess(src, branch, _EPOCH, carried=_RANGE).withColumn("derived_samples", F.size("samples").cast("long"))
         made = self._write(out, "epochs", {"branch_name": branch.name, "collection_id": collection_id}, overwrite)
         log = [{"name": n, "parameters": p} for n, p in branch.transforms()]
-        self._bundle(f"{collection_id}_{branch.name}", "preprocess", {"transforms": log}, [f"{self.path('epochs')}/branch_name={SOURCE_BRANCH}/collection_id={collection_id}"], [made])
+        run = f"{collection_id}_{branch.name}"
+        held = src.groupBy("recording_id").agg(F.array_sort(F.collect_set("channel")).alias("_c"))
+        remap = held.select("recording_id", preprocess.remap_report(F.col("_c"), F.array(*map(F.lit, branch.align_channels))).alias("r")) if branch.align_channels else None
+        said = "" if remap is None else self._faults(run, "remap", remap.filter("size(r.missing) > 0 OR size(r.reused) > 0").select(*checks.finding("warning", "preprocess.channels", F.col("recording_id"), F.concat(F.lit("missing "), F.array_join("r.missing", ","), F.lit("; reused "), F.array_join("r.reused", ",")))))
+        self._bundle(run, "preprocess", {"branch": asdict(branch), "transforms": log}, [(made, [self._branch_path(SOURCE_BRANCH, collection_id)])], said)
         return made
 
     def observations(self, labels: Iterable[str] = (), branches: Iterable[str] = (), collections: Iterable[str] = ()) -> DataFrame:
@@ -133,97 +189,215 @@ class Engine:
                 df = df.filter(F.col(column).isin(*wanted))
         return df
 
-    def discover(self, run: str = "", labels: Iterable[str] = (), branches: Iterable[str] = (), collections: Iterable[str] = (), min_subjects: int = 2, max_exemplars: int = 6, seed: int = 0, null_iterations: int = 64, subsample_iterations: int = 32, overwrite: bool = False) -> str:
-        """Shared patterns of every label and branch; a run with its tables."""
+    def discover(self, run: str = "", labels: Iterable[str] = (), branches: Iterable[str] = (), collections: Iterable[str] = (), min_subjects: int = 2, max_exemplars: int = 6, seed: int = 0, null_iterations: int = 64, subsample_iterations: int = 32, overwrite: bool = False, event_matrix: bool = True) -> str:
+        """Shared patterns of every label and branch; a run with its tables.
+        Collections that aren't there are issues, and the run is partial.
+        event_matrix: the similarity of all events of a candidate, which grows
+        with their square."""
         run = run_id("discovery", run)
         key = {"run_id": run}
+        self._log(run, "discovery", "starting")
+        labels, branches, collections = (sorted({v.strip() for v in x if v.strip()}) for x in (labels, branches, collections))
         obs = self.observations(labels, branches, collections)
-        study = self.validate_study(obs, min_subjects)
-        made = [self._write(study, "study_findings", key, overwrite)]
+        known = set(files.listed(self.spark, f"{self.path('epochs')}/branch_name={SOURCE_BRANCH}"))
+        unread = self.spark.createDataFrame([("error", "discovery.collection_unreadable", c, "no such collection") for c in collections if f"collection_id={c}" not in known], "severity string, code string, location string, message string")
+        made: list[tuple[str, list[str]]] = []
+
+        def write(df: DataFrame, table: str, *parents: str) -> DataFrame:
+            made.append((self._write(df, table, key, overwrite), list(parents) or [self.path("epochs")]))
+            return self.spark.read.parquet(made[-1][0])
+
+        at = lambda table: f"{self.path(table)}/run_id={run}"
+        study = write(self.validate_study(obs, min_subjects), "study_findings")
         good, issues = discovery.usable(obs, min_subjects)
-        made.append(self._write(issues, "issues", key, overwrite))
-        made.append(self._write(discovery.aligned(good), "aligned", key, overwrite))
-        al = self.spark.read.parquet(made[-1])
+        issues = write(issues.unionByName(unread), "issues")
+        al = write(discovery.aligned(good), "aligned")
         subjects, groups = discovery.prototypes(al)
-        made.append(self._write(subjects, "subject_prototypes", key, overwrite))
-        subjects = self.spark.read.parquet(made[-1])
-        made.append(self._write(groups, "prototypes", key, overwrite))
-        groups = self.spark.read.parquet(made[-1])
-        made.append(self._write(discovery.band_rows(subjects, [*discovery.GROUP, "subject_id"]), "subject_bandpower", key, overwrite))
-        bands = self.spark.read.parquet(made[-1])
-        made.append(self._write(discovery.band_rows(al, [*discovery.GROUP, "recording_id", "event_id"]), "event_bandpower", key, overwrite))
-        vectors = discovery.vectors(bands, [*discovery.GROUP, "subject_id"], logged=True)
-        pairs = similarity.pairwise(vectors, discovery.GROUP, "subject_id", "x")  # subjects of a label
-        made.append(self._write(similarity.similarity_matrix(pairs, vectors, discovery.GROUP, "subject_id"), "similarity", key, overwrite))
-        made.append(self._write(discovery.exemplar_events(al, groups, max_exemplars), "exemplars", key, overwrite))
-        made.append(self._write(discovery.difference_map(bands), "difference", key, overwrite))
-        axes = discovery.dominant_axes(self.spark.read.parquet(made[-1]))
-        margins = discovery.control_scores(bands)
-        made.append(self._write(margins, "controls", key, overwrite))
-        margins = self.spark.read.parquet(made[-1])
+        subjects = write(subjects, "subject_prototypes", at("aligned"))
+        groups = write(groups, "prototypes", at("subject_prototypes"))
+        group, by_subject = discovery.GROUP, [*discovery.GROUP, "subject_id"]
+        bands = write(discovery.band_rows(subjects, by_subject), "subject_bandpower", at("subject_prototypes"))
+        event_bands = write(discovery.band_rows(al, [*group, "recording_id", "event_id"]), "event_bandpower", at("aligned"))
+        vectors = discovery.vectors(bands, by_subject, logged=True)
+        pairs = similarity.pairwise(vectors, group, "subject_id", "x")  # subjects of a label
+        write(similarity.similarity_matrix(pairs, vectors, group, "subject_id"), "similarity", at("subject_bandpower"))
+        trials = discovery.vectors(event_bands.withColumn("event", F.concat_ws("/", "recording_id", "event_id")), [*group, "event"], logged=True)
+        event_pairs = similarity.pairwise(trials if event_matrix else trials.limit(0), group, "event", "x")
+        write(similarity.similarity_matrix(event_pairs, trials if event_matrix else trials.limit(0), group, "event"), "event_similarity", at("event_bandpower"))
+        chosen = write(discovery.exemplar_events(al, groups, max_exemplars), "exemplars", at("aligned"), at("prototypes"))
+        write(al.join(F.broadcast(chosen.select(*group, "recording_id", "event_id", "rank")), [*group, "recording_id", "event_id"]), "exemplar_epochs", at("aligned"), at("exemplars"))  # a few events of each candidate
+        difference = write(discovery.difference_map(bands), "difference", at("subject_bandpower"))
+        write(discovery.topography(difference), "topography", at("difference"))
+        axes = discovery.dominant_axes(difference)
+        margins = write(discovery.control_scores(bands), "controls", at("subject_bandpower"))
         agreement = discovery.branch_agreement(discovery.branch_profiles(bands, margins), ["label_namespace", "event_family", "target_label"], "branch_name", "profile")
-        made.append(self._write(agreement, "branch_agreement", key, overwrite))
-        agreement = self.spark.read.parquet(made[-1])
-        reliability = discovery.assess(al, bands, margins, agreement, seed, null_iterations, subsample_iterations)
-        made.append(self._write(reliability, "reliability", key, overwrite))
-        reliability = self.spark.read.parquet(made[-1])
-        candidates = margins.join(axes, discovery.GROUP, "left").join(reliability.drop("n_subjects", "margin"), discovery.GROUP, "left").withColumn("signature", discovery.signature())
-        pattern = F.concat_ws("__", *[slugify(c) for c in discovery.GROUP])
-        made.append(self._write(candidates.withColumn("pattern_id", pattern), "candidates", key, overwrite))
-        errors = self.spark.read.parquet(made[0]).filter("level = 'error'").count() + self.spark.read.parquet(made[1]).filter("severity = 'error'").count()
-        said = [r[0] for r in self.spark.read.parquet(made[0]).select(F.concat_ws(": ", "code", "message")).distinct().take(200)]
-        self._bundle(run, "discover", {"min_subjects": min_subjects, "max_exemplars": max_exemplars}, [self.path("epochs")], made, said, "partial" if errors else "success", seed)
+        agreement = write(agreement, "branch_agreement", at("subject_bandpower"), at("controls"))
+        reliability = write(discovery.assess(al, bands, margins, agreement, seed, null_iterations, subsample_iterations), "reliability", at("subject_bandpower"), at("controls"), at("branch_agreement"))
+        said = discovery.described(al)
+        steady = similarity.consistency(vectors, group, "x").withColumnRenamed("consistency", "subject_consistency").join(similarity.consistency(trials, group, "x").withColumnRenamed("consistency", "trial_consistency"), group, "left")
+        candidates = margins.join(axes, group, "left").join(reliability.drop("n_subjects", "margin"), group, "left").join(steady, group, "left").join(said, group, "left").withColumn("signature", discovery.signature())
+        pattern = F.concat_ws("__", *[slugify(c) for c in group])
+        write(candidates.withColumn("pattern_id", pattern), "candidates", at("controls"), at("reliability"), at("difference"))
+        bad = study.filter("level = 'error'").limit(1).count() + issues.filter("severity = 'error'").limit(1).count()
+        found = study.select("level", "code", "location", "message").unionByName(issues.select(F.col("severity").alias("level"), "code", "location", "message"))
+        warnings = self._faults(run, "discovery", found)
+        config = {"target_labels": labels, "branches": branches, "collections": collections, "min_subjects": min_subjects, "max_exemplars": max_exemplars, "null_iterations": null_iterations, "subsample_iterations": subsample_iterations, "rng_seed": seed}
+        self._bundle(run, "discover", config, made, warnings, "partial" if bad else "success", seed)
         return run
 
-    def evaluate_backbones(self, run: str, models: list[backbone.Model], overwrite: bool = True) -> DataFrame:
-        """Model evidence for a run: embeddings of the strongest phases' subject
-        prototypes, margins by model, consensus and updated reliability."""
-        mine = lambda t: self.table(t).filter(F.col("run_id") == run).drop("run_id")
-        candidates = mine("candidates")
-        phases = candidates.select(*discovery.GROUP, F.coalesce("strongest_phases", F.array(F.lit("onset"), F.lit("sustained"))).alias("_ph"))
-        held = mine("subject_prototypes").join(phases, discovery.GROUP).filter(F.array_contains("_ph", F.col("phase")))
-        joined = held.groupBy(*discovery.GROUP, "subject_id", "channel").agg(F.min("ch_pos").alias("ch_pos"), F.array_sort(F.collect_list(F.struct(discovery.phase_order().alias("p"), "samples"))).alias("_s"))
-        matrix = joined.groupBy(*discovery.GROUP, "subject_id").agg(F.array_sort(F.collect_list(F.struct("ch_pos", "channel", F.flatten(F.transform("_s", lambda p: p["samples"])).alias("s")))).alias("_c"))
-        matrix = matrix.select(*discovery.GROUP, "subject_id", F.transform("_c", lambda c: c["channel"]).alias("channels"), F.transform("_c", lambda c: c["s"]).alias("data"))
-        x, status = backbone.embeddings(matrix, models, [*discovery.GROUP, "subject_id"])
-        self._write(x, "embeddings", {"run_id": run}, overwrite)
-        x = mine("embeddings")
-        by = [*discovery.CONTEXT, "model_id"]
-        sums = similarity.unit_sums(similarity.unit_vectors(x, [*by, "target_label"], "subject_id", "x"), [*by, "target_label"])
-        scores = similarity.control_margin(similarity.within(sums, [*by, "target_label"]), similarity.between(sums, by, "target_label"), by, "target_label")
-        state = status.groupBy(*discovery.GROUP, "model_id").agg(F.when(F.count_if(F.col("status") == "used") > 0, "used").otherwise("failed").alias("status"), F.max("message").alias("message"))
-        evidence = state.join(scores.select(*discovery.GROUP, "model_id", "within", "rest", "margin"), [*discovery.GROUP, "model_id"], "left").withColumn("model", F.col("model_id"))
-        self._write(evidence.drop("model"), "evidence", {"run_id": run}, overwrite)
-        agreed = backbone.consensus(evidence, discovery.GROUP)
+    def _mine(self, table: str, run: str) -> DataFrame:
+        return self.table(table).filter(F.col("run_id") == run).drop("run_id")
+
+    def _has(self, table: str, run: str) -> bool:
+        return files.exists(self.spark, f"{self.path(table)}/run_id={run}")
+
+    def matrices(self, run: str) -> DataFrame:
+        """GROUP, subject_id, channels, data: each subject's prototype over the
+        candidate's strongest phases that it has, else onset and sustained,
+        else all, one after the other."""
+        group = discovery.GROUP
+        held = self._mine("subject_prototypes", run)
+        has = held.groupBy(*group).agg(F.array_sort(F.collect_set(F.struct(discovery.phase_order().alias("o"), "phase"))).alias("_h")).withColumn("_h", F.transform("_h", lambda p: p["phase"]))
+        wanted = lambda names: F.array_intersect(names, F.col("_h"))
+        strongest = wanted(F.coalesce("strongest_phases", F.array().cast("array<string>")))
+        usual = wanted(F.array(F.lit("onset"), F.lit("sustained")))
+        pick = F.when(F.size(strongest) > 0, strongest).when(F.size(usual) > 0, usual).otherwise(F.col("_h"))
+        phases = self._mine("candidates", run).join(has, group).select(*group, pick.alias("_ph"))
+        held = held.join(phases, group).filter(F.array_contains("_ph", F.col("phase")))
+        order = F.array_position("_ph", F.col("phase"))
+        joined = held.groupBy(*group, "subject_id", "channel").agg(F.min("ch_pos").alias("ch_pos"), F.array_sort(F.collect_list(F.struct(order.alias("p"), "samples"))).alias("_s"))
+        matrix = joined.groupBy(*group, "subject_id").agg(F.array_sort(F.collect_list(F.struct("ch_pos", "channel", F.flatten(F.transform("_s", lambda p: p["samples"])).alias("s")))).alias("_c"))
+        return matrix.select(*group, "subject_id", F.transform("_c", lambda c: c["channel"]).alias("channels"), F.transform("_c", lambda c: c["s"]).alias("data"))
+
+    def evaluate_backbones(self, run: str, models: Iterable[backbone.Model | str], registry: Registry | None = None, root: str = "", device: str = "cpu", overwrite: bool = True) -> DataFrame:
+        """Model evidence for a run: embeddings of subject prototypes, margins
+        by model, consensus and updated reliability. Models are given, or named
+        and loaded by the registry; what can't be loaded is skipped. A
+        candidate of whose subjects a model fails on any is failed."""
+        group = discovery.GROUP
+        candidates = self._mine("candidates", run)
+        ready, skipped = [], []
+        for m in models:
+            if isinstance(m, backbone.Model):
+                ready.append(m)
+                continue
+            try:
+                ready.append((registry or Registry()).load(self.spark, root or self.path("models"), m, device=device))
+            except (ModelLoadError, KeyError) as fault:
+                skipped.append((m.strip().lower(), str(fault)))
+        if not ready and not skipped:
+            raise EngineError("no model is given")
+        asked = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit("skipped").alias("status"), F.lit(why).alias("message")) for m, why in skipped]).cast("array<struct<model_id:string,status:string,message:string>>")
+        states = candidates.select(*group, F.inline(asked))
+        scores = None
+        if ready:
+            done = backbone.embedded(self.matrices(run), ready, [*group, "subject_id"])
+            self._write(done, "embeddings", {"run_id": run}, overwrite)  # the models' only pass
+            done = self._mine("embeddings", run)
+            state = done.groupBy(*group, "model_id").agg(F.count_if(F.col("x").isNull()).alias("_lost"), F.min("message").alias("message")).select(*group, "model_id", F.when(F.col("_lost") > 0, "failed").otherwise("used").alias("status"), "message")
+            states = states.unionByName(state)
+            by = [*discovery.CONTEXT, "model_id"]
+            x = done.join(state.filter("status = 'used'").select(*group, "model_id"), [*group, "model_id"])
+            sums = similarity.unit_sums(similarity.unit_vectors(x, [*by, "target_label"], "subject_id", "x"), [*by, "target_label"])
+            scores = similarity.control_margin(similarity.within(sums, [*by, "target_label"]), similarity.between(sums, by, "target_label"), by, "target_label")
+            scores = scores.select(*group, "model_id", F.col("n").alias("n_subjects"), "within", "rest", "strongest", "strongest_label", "margin")
+        if scores is None:
+            scores = states.select(*group, "model_id", *[F.lit(None).cast(t).alias(n) for n, t in (("n_subjects", "long"), ("within", "double"), ("rest", "double"), ("strongest", "double"), ("strongest_label", "string"), ("margin", "double"))])
+        self._write(states.join(scores, [*group, "model_id"], "left"), "evidence", {"run_id": run}, overwrite)
+        evidence = self._mine("evidence", run)
+        agreed = backbone.consensus(evidence.withColumn("model", F.col("model_id")), group)
         c = F.col
-        met = candidates.join(agreed, discovery.GROUP)
-        met = met.withColumn("new_tier", decisions.tier_update(c("tier"), decisions.model_flags(c("flags"), c("consensus"), c("n_used"), c("n_not_positive")), c("consensus"), c("n_used")))
-        out = met.select(*discovery.GROUP, "pattern_id", "n_used", "n_positive", "mean_margin", "consensus", decisions.model_flags(c("flags"), c("consensus"), c("n_used"), c("n_not_positive")).alias("flags"), F.col("new_tier").alias("tier"), decisions.updated_fragility(c("robustness"), c("consensus"), c("n_used")).alias("fragility"))
+        flags = decisions.model_flags(c("flags"), c("consensus"), c("n_used"), c("n_not_positive"))
+        met = candidates.join(agreed, group)
+        out = met.select(*group, "pattern_id", "n_used", "n_positive", "mean_margin", "margins", "consensus", flags.alias("flags"), decisions.tier_update(c("tier"), flags, c("consensus"), c("n_used")).alias("tier"), decisions.updated_fragility(c("robustness"), c("consensus"), c("n_used")).alias("fragility"))
         self._write(out, "consensus", {"run_id": run}, overwrite)
-        return mine("consensus")
+        lost = evidence.filter("status <> 'used'").select(*checks.finding("warning", "backbone.not_used", F.concat_ws("/", *group, "model_id"), F.coalesce("message", F.lit(""))))
+        evaluation = f"{run}_backbones"
+        warnings = self._faults(evaluation, "backbones", lost)
+        status = "partial" if self.spark.read.schema(checks.FINDING).json(warnings).limit(1).count() else "success"
+        tables = ["evidence", "consensus", *(["embeddings"] if ready else [])]
+        parents = [f"{self.path(t)}/run_id={run}" for t in ("subject_prototypes", "candidates")]
+        self._bundle(evaluation, "backbone_evaluation", {"source_run_id": run, "models": sorted([m.model_id for m in ready] + [m for m, _ in skipped]), "device": device}, [(f"{self.path(t)}/run_id={run}", parents) for t in tables], warnings, status)
+        return self._mine("consensus", run)
 
     # -- packages
 
+    #: Table, representation and role of a candidate's artifacts; those it must have come first.
+    ARTIFACTS = (
+        ("prototypes", "processed_epoch"), ("exemplar_epochs", "processed_epoch"), ("subject_prototypes", "processed_epoch"), ("subject_bandpower", "time_frequency"), ("topography", "topography"),
+        ("similarity", "support"), ("controls", "support"), ("candidates", "support"),
+    )
+    MORE_ARTIFACTS = (("exemplars", "support"), ("event_bandpower", "time_frequency"), ("event_similarity", "support"), ("branch_agreement", "support"), ("reliability", "support"), ("consensus", "support"), ("embeddings", "embedding"), ("evidence", "support"))
+
     def package(self, run: str, root: str, overwrite: bool = False) -> DataFrame:
-        """A package for each candidate: tables under a path of its partition,
-        a manifest and a report."""
-        mine = lambda t: self.table(t).filter(F.col("run_id") == run).drop("run_id")
+        """Packages of a run's candidates: one folder for the run, its tables
+        partitioned by pattern, a manifest and a report for each pattern, and
+        the run's own files. A candidate that lacks an artifact it must have
+        isn't packaged; it is a row of ``failures``. Returns the manifests."""
+        group = discovery.GROUP
         target = f"{root.rstrip('/')}/run_id={run}"
-        if not overwrite and files.exists(self.spark, target):
-            raise EngineError(f"{target} exists")
-        ids = mine("candidates").select(*discovery.GROUP, "pattern_id")
-        routes = {"prototypes": "signals/processed", "subject_prototypes": "signals/processed", "exemplars": "derived", "subject_bandpower": "derived", "difference": "derived", "similarity": "derived", "controls": "derived", "branch_agreement": "support", "reliability": "support"}
-        for table, place in routes.items():
-            mine(table).join(ids, discovery.GROUP).write.mode("overwrite").partitionBy("pattern_id").parquet(f"{target}/{place}/{table}")
-        report = ids.join(mine("candidates").drop("pattern_id"), discovery.GROUP).select(
-            "pattern_id", F.concat_ws("\n", F.concat(F.lit("# "), F.col("pattern_id")), "signature", F.format_string("subjects: %d", "n_subjects"), F.format_string("margin: %s", F.col("margin").cast("string")), F.concat(F.lit("tier: "), F.col("tier"))).alias("value")
-        )
-        report.write.mode("overwrite").partitionBy("pattern_id").text(f"{target}/reports")
-        rows = [(run, t, f"{p}/{t}", "parquet") for t, p in routes.items()] + [(run, "report", "reports", "text")]
-        manifest = self.spark.createDataFrame(rows, "run_id string, artifact_id string, path string, format string")
-        manifest.write.mode("overwrite").json(f"{target}/manifest")
-        files.write_json(self.spark, f"{target}/manifest.json", {"schema_version": "1.1", "run_id": run, "artifacts": [dict(zip(("artifact_id", "path", "format"), r[1:])) for r in rows]})
-        return manifest
+        if files.exists(self.spark, target):
+            if not overwrite:
+                raise EngineError(f"{target} exists")
+            files.remove(self.spark, target)
+        candidates = self._mine("candidates", run)
+        ids = candidates.select(*group, "pattern_id")
+        routes = [(t, r, True) for t, r in self.ARTIFACTS] + [(t, r, False) for t, r in self.MORE_ARTIFACTS if self._has(t, run)]
+        placed = {r["role"]: r["path"] for r in self.spark.createDataFrame([(t, r) for t, r, _ in routes], "role string, representation string").select("role", paths.artifact_path("role", "representation", F.lit("parquet"), F.lit(True)).alias("path")).collect()}
+        rows = self._mine(self.ARTIFACTS[0][0], run).limit(0).join(ids, group).select("pattern_id", F.lit("").alias("artifact_id"))
+        for table, _, _ in routes:
+            held = self._mine(table, run) if self._has(table, run) else None
+            if held is not None:
+                held = held if table == "candidates" else held.drop("pattern_id").join(ids, group)
+                rows = rows.unionByName(held.select("pattern_id", F.lit(table).alias("artifact_id")).distinct())
+        has = rows.groupBy("pattern_id").agg(F.collect_set("artifact_id").alias("_has"))
+        must = F.array(*[F.lit(t) for t, _, needed in routes if needed])
+        state = ids.select("pattern_id").join(has, "pattern_id", "left").withColumn("lost", F.array_except(must, F.coalesce("_has", F.array().cast("array<string>"))))
+        state.filter(F.size("lost") > 0).select("pattern_id", F.concat(F.lit("lacks "), F.array_join("lost", ", ")).alias("message")).write.mode("overwrite").json(f"{target}/failures")
+        good = state.filter(F.size("lost") == 0).select("pattern_id", "_has")
+        kept = ids.join(good.select("pattern_id"), "pattern_id")
+        for table, _, _ in routes:
+            held = self._mine(table, run)
+            (held.join(good.select("pattern_id"), "pattern_id") if table == "candidates" else held.drop("pattern_id").join(kept, group)).write.mode("overwrite").partitionBy("pattern_id").parquet(f"{target}/{placed[table]}")
+        bundle = [(role, f"support/{name}") for name, role in packages.BUNDLE_ROLES.items() if files.exists(self.spark, f"{self.root}/runs/{run}/{name}")]
+        for (role, at), name in zip(bundle, [n for n, r in packages.BUNDLE_ROLES.items() if r in {b for b, _ in bundle}]):
+            files.copy(self.spark, f"{self.root}/runs/{run}/{name}", f"{target}/{at}")
+        self._manifests(candidates.join(good, "pattern_id"), routes, placed, bundle, run).write.mode("overwrite").parquet(f"{target}/manifests")
+        manifests = self.spark.read.parquet(f"{target}/manifests")
+        manifests.select("pattern_id", F.to_json(F.struct(*[c for c in manifests.columns])).alias("value")).write.mode("overwrite").partitionBy("pattern_id").text(f"{target}/manifest")
+        report = candidates.join(good.select("pattern_id"), "pattern_id").select("pattern_id", discovery.report().alias("value"))
+        report.write.mode("overwrite").partitionBy("pattern_id").text(f"{target}/reports/report")
+        files.write_json(self.spark, f"{target}/manifest.json", {"schema_version": packages.SCHEMA_VERSION, "run_id": run, "artifacts": [{"artifact_id": t, "path": placed[t], "format": "parquet"} for t, _, _ in routes] + [{"artifact_id": "report", "path": "reports/report", "format": "text"}] + [{"artifact_id": r, "path": p, "format": p.rsplit(".", 1)[1]} for r, p in bundle]})
+        return manifests
+
+    def _manifests(self, candidates: DataFrame, routes, placed: dict[str, str], bundle, run: str) -> DataFrame:
+        """A manifest for each candidate, as columns: pattern_id, path, partition,
+        analysis, summary, artifacts."""
+        c = F.col
+        text = lambda x: F.coalesce(x, F.lit(""))
+        subtype = F.when(F.size("event_subtypes") == 1, F.get("event_subtypes", F.lit(0))).otherwise("mixed")
+        branch = F.coalesce("branch_status", F.lit("single_branch_only"))
+        partition = F.struct(
+            c("subject_ids").alias("study_ids"), "event_family", "target_label", subtype.alias("event_subtype"), "label_namespace", F.lit("").alias("biological_sex"), F.lit("").alias("gender_identity"),
+            c("branch_name").alias("stimulus_modality"), F.lit("").alias("age_band"), F.lit("").alias("cohort_label"),
+        )
+        unit = lambda x: F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x + 1.0) / 2.0)))
+        risk = F.when(F.size(F.coalesce("flags", F.array().cast("array<string>"))) > 0, F.array_join("flags", ",")).when(branch == "branch-sensitive", branch).otherwise("")
+        summary = F.struct(
+            c("signature").alias("candidate_signature"), c("dominant_bands").alias("bands"), c("dominant_channels").alias("channels"),
+            F.concat(F.lit("strongest: "), text(F.array_join("strongest_phases", ", ")), F.lit("; branches: "), branch, F.lit("; tier: "), text(c("tier"))).alias("temporal_notes"),
+            unit(c("margin")).alias("reproducibility_score"), F.lit(None).cast("double").alias("cross_model_support"), unit(c("within")).alias("cross_subject_support"), risk.alias("artifact_risk"),
+        )
+        models = [r["model_id"] for r in self._mine("evidence", run).select("model_id").distinct().collect()] if self._has("evidence", run) else []  # the models that were asked for
+        notes = F.concat(F.lit("branch="), c("branch_name"), F.lit("; branch_agreement="), branch, F.lit(f"; run_id={run}; confidence_tier="), text(c("tier")))
+        analysis = F.struct(F.lit("cross_subject_discovery").alias("discovery_mode"), F.array(*map(F.lit, ("epochloom", *sorted(models)))).alias("source_models"), F.lit(_now()).alias("created_at_utc"), notes.alias("notes"))
+        one = lambda i, role, rep, fmt, path: F.struct(i.alias("artifact_id"), role.alias("role"), rep.alias("representation"), fmt.alias("format"), path.alias("path"))
+        tables = [F.when(F.array_contains("_has", t), one(F.lit(t), F.lit(t), F.lit(r), F.lit("parquet"), F.concat(F.lit(f"{placed[t]}/pattern_id="), c("pattern_id")))) for t, r, _ in routes]
+        report = one(F.lit("report"), F.lit("candidate_report"), F.lit("report"), F.lit("md"), F.concat(F.lit("reports/report/pattern_id="), c("pattern_id")))
+        own = [one(F.lit(role), F.lit(role), F.lit("support"), F.lit(p.rsplit(".", 1)[1]), F.lit(p)) for role, p in bundle]
+        artifacts = F.filter(F.array(*tables, report, *own), lambda a: a.isNotNull())
+        at = paths.package_path("pattern_id", event_family="event_family", stimulus_modality="branch_name")
+        return candidates.select("pattern_id", at.alias("path"), F.lit(packages.SCHEMA_VERSION).alias("schema_version"), partition.alias("partition"), analysis.alias("analysis"), summary.alias("summary"), artifacts.alias("artifacts"))
 
     # -- validation and summaries
 
@@ -231,58 +405,143 @@ class Engine:
         pick = (lambda df: df.filter(F.col("ingest_id") == ingest_id)) if ingest_id else (lambda df: df)
         return checks.event_report(pick(self.table("events")), pick(self.table("recordings")).select("recording_id", F.col("duration_seconds").alias("seconds")))
 
-    def validate_recordings(self) -> DataFrame:
-        """Channel names, rates and files that couldn't be read."""
+    def validate_recordings(self, ingest_id: str | None = None) -> DataFrame:
+        """Fields, channels, source files and the files beside them."""
         rec = self.table("recordings")
-        bad = rec.select("recording_id", F.explode(checks.channel_faults(F.col("channel_names"))).alias("m"))
-        lost = rec.filter("message IS NOT NULL")
-        return bad.select(*checks.finding("error", "recording.channels", F.col("recording_id"), F.col("m"))).unionByName(lost.select(*checks.finding("error", "recording.invalid", F.col("recording_id"), F.col("message"))))
-
-    def validate_collection(self, collection_id: str) -> DataFrame:
-        """Empty collections, repeated events, sample counts and channel sets."""
-        df = self.table("epochs").filter((F.col("collection_id") == collection_id) & (F.col("branch_name") == SOURCE_BRANCH))
-        empty = df.agg(F.count("*").alias("n")).filter("n = 0").select(*checks.finding("error", "epochs.empty", F.lit(collection_id), F.lit("collection has no epochs")))
-        twice = checks.duplicates(df, ["recording_id", "event_id", "phase", "channel"]).select(*checks.finding("error", "epochs.duplicate_event", F.col("event_id"), F.lit("event comes more than once")))
-        shape = df.filter(F.size("samples") != F.col("derived_samples")).select(*checks.finding("error", "epochs.phase_shape", F.col("event_id"), F.concat(F.col("phase"), F.lit(" has another number of samples than its range"))))
-        return empty.unionByName(twice).unionByName(shape)
+        rec = rec.filter(F.col("ingest_id") == ingest_id) if ingest_id else rec
+        folders = [r[0] for r in rec.select(F.regexp_replace("source_path", "/[^/]*$", "")).distinct().collect()]  # folders of recordings
+        there = [f for f in folders if files.exists(self.spark, f)]
+        beside = self.spark.createDataFrame([(f"{f}/{name}",) for f in there for name in files.listed(self.spark, f)], "path string")
+        return checks.recording_report(rec, beside)
+
+    def validate_collection(self, collection_id: str, branch: str = SOURCE_BRANCH) -> DataFrame:
+        """The epochs of a collection (of one branch), their signals, events
+        and recordings."""
+        df = self.table("epochs").filter((F.col("collection_id") == collection_id) & (F.col("branch_name") == branch))
+        config = f"{self.root}/runs/{collection_id}/config.json"
+        ingest = json.loads(files.read_text(self.spark, config)).get("ingest_id") if files.exists(self.spark, config) else None
+        pick = (lambda d: d.filter(F.col("ingest_id") == ingest)) if ingest else (lambda d: d)
+        return checks.collection_report(df, pick(self.table("recordings")), pick(self.table("events")), collection_id)
+
+    def validate_branch(self, collection_id: str, branch: str) -> DataFrame:
+        """A branch: its configuration, source and output."""
+        at = f"{self.root}/runs/{collection_id}_{branch}/config.json"
+        if not files.exists(self.spark, at):
+            return self.spark.createDataFrame([("error", "preprocess.output_missing", branch, f"no branch {branch} of {collection_id}")], checks.FINDING)
+        config = json.loads(files.read_text(self.spark, at))["branch"]
+        held = preprocess.Branch(**{k: tuple(v) if isinstance(v, list) else v for k, v in config.items()})
+        said = checks.branch_findings(held)
+        source, output = self._branch_path(SOURCE_BRANCH, collection_id), self._branch_path(held.name, collection_id)
+        if source == output:
+            said.append(("error", "preprocess.overwrite_raw", branch, "the output is the source"))
+        for code, path in (("preprocess.source_missing", source), ("preprocess.output_missing", output)):
+            if not files.exists(self.spark, path):
+                said.append(("error", code, branch, f"no {path}"))
+        out = self.spark.createDataFrame(said, checks.FINDING)
+        return out.unionByName(self.validate_collection(collection_id, held.name)) if files.exists(self.spark, output) else out
 
     def validate_study(self, observations: DataFrame, min_subjects: int = 2, min_trials: int = 2) -> DataFrame:
         ob = observations.groupBy(*[c for c in _EPOCH if c not in ("obs_idx",)], "branch_name", "sampling_rate_hz").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
         return checks.study_report(ob, min_subjects, min_trials)
 
+    def validate_candidates(self, run: str) -> DataFrame:
+        """Support, artifacts, signals and reliability of a run's candidates."""
+        group = discovery.GROUP
+        candidates = self.table("candidates").filter(F.col("run_id") == run)
+        ids = candidates.select(*group, "pattern_id")
+        held = [t for t in dict.fromkeys([*checks.REQUIRED_ARTIFACTS, "topography"]) if self._has(t, run)]
+        artifacts = ids.limit(0).select("pattern_id", F.lit("").alias("artifact"))
+        for t in held:
+            artifacts = artifacts.unionByName(self._mine(t, run).drop("pattern_id").join(ids, group).select("pattern_id", F.lit(t).alias("artifact")).distinct())
+        contracts = self.spark.createDataFrame([], checks.FINDING)
+        for t, item in (("prototypes", ["phase"]), ("subject_prototypes", ["subject_id", "phase"])):
+            if self._has(t, run):
+                contracts = contracts.unionByName(checks.signal_findings(self._mine(t, run).join(ids, group), ["pattern_id"], item, "candidate.signal_contract"))
+        embedded = None
+        if self._has("evidence", run):
+            used = self._mine("evidence", run).filter("status = 'used'").join(ids, group).select("pattern_id", "model_id")
+            there = self._mine("embeddings", run).join(ids, group).filter("x IS NOT NULL").select("pattern_id", "model_id").distinct().withColumn("used", F.lit(True)) if self._has("embeddings", run) else used.limit(0).withColumn("used", F.lit(True))
+            embedded = used.join(there, ["pattern_id", "model_id"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
+        return checks.candidate_report(candidates, artifacts, contracts, embedded)
+
     def validate_run(self, run: str) -> DataFrame:
-        """Candidates without support, without a topography, or in low tiers."""
-        c = self.table("candidates").filter(F.col("run_id") == run)
+        """A run's files, status and issues, and its candidates."""
+        said = []
+        for name, code in ((run, "run.path_missing"), (f"{run}_backbones", "run.backbone_eval_path_missing")):
+            at = f"{self.root}/runs/{name}"
+            if name != run and not self._has("consensus", run):
+                continue
+            if not files.exists(self.spark, f"{at}/manifest.json"):
+                said.append(("error", code, name, f"no {at}/manifest.json"))
+                continue
+            manifest = json.loads(files.read_text(self.spark, f"{at}/manifest.json"))
+            said += [("error", code, name, f"no {path}") for path in manifest["files"].values() if not files.exists(self.spark, path)]
+            if manifest["status"] != "success":
+                said.append(("warning", "run.status", name, f"status {manifest['status']}"))
+        out = self.spark.createDataFrame(said, checks.FINDING)
+        if self._has("issues", run):
+            bad = self._mine("issues", run).filter("severity = 'error'")
+            out = out.unionByName(bad.select(*checks.finding("warning", "run.failure_recorded", F.col("location"), F.concat_ws(": ", "code", "message"))))
+        if not self._has("candidates", run):
+            return out
+        none = self.table("candidates").filter(F.col("run_id") == run).agg(F.count("*").alias("n")).filter("n = 0")
+        return out.unionByName(none.select(*checks.finding("warning", "run.status", F.lit(run), F.lit("run has no candidates")))).unionByName(self.validate_candidates(run))
+
+    def validate_package(self, root: str, run: str = "") -> DataFrame:
+        """A run's packages, or a single package's folder (without ``run``)."""
+        if not run:
+            return self.spark.createDataFrame(packages.findings(self.spark, root), checks.FINDING)
+        target = f"{root.rstrip('/')}/run_id={run}"
+        if not files.exists(self.spark, f"{target}/manifest.json"):
+            return self.spark.createDataFrame([("error", "package.invalid", target, "no manifest")], checks.FINDING)
+        said = [("error", "package.invalid", a["artifact_id"], f"{a['path']} is missing") for a in json.loads(files.read_text(self.spark, f"{target}/manifest.json"))["artifacts"] if not files.exists(self.spark, f"{target}/{a['path']}")]
+        out = self.spark.createDataFrame(said, checks.FINDING)
+        if not files.exists(self.spark, f"{target}/manifests"):
+            return out
+        held = self.spark.read.parquet(f"{target}/manifests")
+        roles = F.transform("artifacts", lambda a: a["role"])
+        signal = F.exists("artifacts", lambda a: a["representation"].isin(*paths.SIGNALS))
         where = F.col("pattern_id")
         rules = [
-            ("error", "candidate.target_label", F.col("target_label") == "", "no target label"), ("error", "candidate.subject_support", F.col("n_subjects") <= 0, "no subjects"),
-            ("error", "candidate.event_support", F.coalesce("n_events", F.lit(0)) <= 0, "no events"), ("warning", "candidate.topography_missing", F.col("dominant_channels").isNull(), "no dominant channels"),
-            ("warning", "candidate.reliability_missing", F.col("tier").isNull(), "no reliability"), ("warning", "candidate.low_confidence", F.col("tier").isin("insufficient", "unstable"), "low confidence"),
+            ("error", "package.invalid", F.col("partition.event_family") == "", "no partition.event_family"), ("error", "package.invalid", F.col("partition.target_label") == "", "no partition.target_label"),
+            ("error", "package.invalid", F.size(F.array_distinct(F.transform("artifacts", lambda a: a["path"]))) < F.size("artifacts"), "a path comes more than once"),
+            ("error", "package.invalid", F.exists("artifacts", lambda a: ~F.lower(a["format"]).isin(*paths.FORMATS)), "unknown format"),
+            *[("error", "package.invalid", ~F.coalesce(F.col(f"summary.{k}").between(0, 1), F.lit(True)), f"summary.{k} is not from 0 to 1") for k in packages.SCORES],
+            ("error", "package.signal_missing", ~signal, "no artifact is a signal"), ("warning", "package.run_manifest_missing", ~F.array_contains(roles, "run_manifest"), "no run_manifest of its run"),
+            ("warning", "package.config_snapshot_missing", ~F.array_contains(roles, "config_snapshot"), "no config_snapshot of its run"),
         ]
-        out = c.agg(F.count("*").alias("n")).filter("n = 0").select(*checks.finding("warning", "run.status", F.lit(run), F.lit("run has no candidates")))
         for level, code, rule, text in rules:
-            out = out.unionByName(c.filter(rule).select(*checks.finding(level, code, where, F.lit(text))))
+            out = out.unionByName(held.filter(rule).select(*checks.finding(level, code, where, F.lit(text))))
         return out
 
-    def validate_package(self, root: str, run: str) -> DataFrame:
-        target = f"{root.rstrip('/')}/run_id={run}"
-        said = []
-        if not files.exists(self.spark, f"{target}/manifest.json"):
-            said.append(("error", "package.invalid", target, "no manifest"))
-        else:
-            for a in json.loads(files.read_text(self.spark, f"{target}/manifest.json"))["artifacts"]:
-                if not files.exists(self.spark, f"{target}/{a['path']}"):
-                    said.append(("error", "package.signal_missing", a["artifact_id"], f"{a['path']} is missing"))
-        return self.spark.createDataFrame(said, checks.FINDING)
-
-    def inspect(self, kind: str, key: str) -> DataFrame:
-        """Counts of a collection, run or candidate."""
+    def inspect(self, kind: str, key: str, root: str = "") -> DataFrame:
+        """Counts of a collection, run, candidate or package."""
         if kind == "collection":
             df = self.table("epochs").filter(F.col("collection_id") == key)
-            return df.groupBy("collection_id", "branch_name").agg(F.count_distinct("recording_id", "event_id").alias("events"), F.count_distinct("target_label").alias("labels"), F.count_distinct("channel").alias("channels"), F.first("sampling_rate_hz").alias("sampling_rate_hz"))
+            return df.groupBy("collection_id", "branch_name").agg(F.count_distinct("recording_id", "event_id").alias("events"), F.count_distinct("recording_id").alias("recordings"), F.count_distinct("subject_id").alias("subjects"), F.array_sort(F.collect_set("target_label")).alias("labels"), F.count_distinct("channel").alias("channels"), F.first("sampling_rate_hz").alias("sampling_rate_hz"))
         if kind == "run":
             df = self.table("candidates").filter(F.col("run_id") == key)
-            return df.groupBy("run_id").agg(F.count("*").alias("candidates"), F.count_distinct("target_label").alias("labels"), F.count_distinct("branch_name").alias("branches"))
+            at = f"{self.root}/runs/{key}/manifest.json"
+            manifest = json.loads(files.read_text(self.spark, at)) if files.exists(self.spark, at) else {}
+            models = self._mine("evidence", key).select("model_id").distinct().count() if self._has("evidence", key) else 0
+            issues = self._mine("issues", key).count() if self._has("issues", key) else 0
+            found = df.agg(F.count("*").alias("candidates"), F.count_distinct("target_label").alias("labels"), F.count_distinct("branch_name").alias("branches"))
+            return found.select(F.lit(key).alias("run_id"), F.lit(manifest.get("status")).cast("string").alias("status"), F.lit(manifest.get("rng_seed")).cast("long").alias("rng_seed"), "candidates", "labels", "branches", F.lit(models).alias("models"), F.lit(issues).alias("issues"))
         if kind == "candidate":
             return self.table("candidates").filter(F.col("pattern_id") == key)
+        if kind == "package":
+            return self.spark.createDataFrame([packages.summary(self.spark, key)], "pattern_id string, event_family string, target_label string, artifacts int, signal_artifacts int, run_files int")
         raise EngineError(f"unknown kind: {kind}")
+
+
+def report_lines(kind: str, target: str, found: list[tuple[str, str, str, str]], summary: dict | None = None) -> list[str]:
+    """A report as text: what was checked, whether it holds, its summary, then
+    errors and warnings."""
+    lines = [f"artifact_type: {kind}", f"target: {target}", f"ok: {'no' if any(f[0] == 'error' for f in found) else 'yes'}"]
+    if summary:
+        lines += ["summary:", *(f"  {k}: {summary[k]}" for k in sorted(summary))]
+    for level in ("error", "warning"):
+        mine = [f for f in found if f[0] == level]
+        if mine:
+            lines += [f"{level}s:", *(f"  - [{code}] {message}" + (f" ({where})" if where else "") for _, code, where, message in mine)]
+    return lines

@@ -1,58 +1,116 @@
-"""Registry of model adapters: what each needs, and whether it can run here."""
+"""Registry of model adapters: what each needs, whether it can run here, and
+loading it."""
 
 from __future__ import annotations
 
+import importlib
 import importlib.util
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.backbone import Model
 from ..sources import files
 
 
+class ModelLoadError(RuntimeError):
+    """A model that can't be loaded here."""
+
+
 @dataclass(frozen=True)
 class Adapter:
-    """A model family: its packages and weight files, its variants and contracts."""
+    """A model family: its packages and weight files, its variants and contracts.
+
+    folder: where its files are below the models' root; common: files that all
+    variants need; variants: their own files; input: the known input it takes.
+    make(root, variant, device) gives the function that embeds; it is a callable
+    or the name "module:function" of one that is imported from ``imports``
+    (below the folder) or the installed packages.
+    """
 
     model_id: str
-    packages: tuple[str, ...]
+    packages: tuple[str, ...] = ()
     variants: dict[str, tuple[str, ...]] = field(default_factory=dict)
     default: str = "base"
     input_contract: str = ""
     output_contract: str = ""
+    folder: str = ""
+    common: tuple[str, ...] = ()
+    imports: str = ""
+    input: str = ""
+    batched: bool = True
+    make: Callable | str | None = None
+
+    def at(self, root: str) -> str:
+        return f"{root.rstrip('/')}/{self.folder or self.model_id}"
 
     def missing_packages(self) -> list[str]:
         return [p for p in self.packages if importlib.util.find_spec(p) is None]
 
     def missing_assets(self, spark: SparkSession, root: str, variant: str = "") -> list[str]:
-        return [a for a in self.variants.get(variant or self.default, ()) if not files.exists(spark, f"{root}/{self.model_id}/{a}")]
-
-
-#: Model ids with what they take.
+        return [a for a in (*self.common, *self.variants.get(variant or self.default, ())) if not files.exists(spark, f"{self.at(root)}/{a}")]
+
+    def load(self, spark: SparkSession, root: str, variant: str = "", device: str = "cpu") -> Model:
+        """The model, ready to embed; its function is made on the driver and
+        goes to the executors as it is."""
+        variant = variant or self.default
+        if self.variants and variant not in self.variants:
+            raise ModelLoadError(f"{self.model_id} has no variant {variant!r}, but {', '.join(self.variants)}")
+        if lost := self.missing_packages():
+            raise ModelLoadError(f"{self.model_id} needs the packages {', '.join(lost)}")
+        if lost := self.missing_assets(spark, root, variant):
+            raise ModelLoadError(f"{self.model_id} ({variant}) needs the files {', '.join(f'{self.at(root)}/{a}' for a in lost)}")
+        if self.make is None:
+            raise ModelLoadError(f"{self.model_id} has no function that makes it; give its adapter one (make)")
+        make = self.make
+        if isinstance(make, str):
+            module, name = make.split(":")
+            folder = f"{self.at(root)}/{self.imports}".rstrip("/")
+            sys.path.insert(0, folder)
+            try:
+                make = getattr(importlib.import_module(module), name)
+            except (ImportError, AttributeError) as fault:
+                raise ModelLoadError(f"{self.model_id}: {fault}") from fault
+            finally:
+                sys.path.remove(folder)
+        return Model(self.model_id, make(self.at(root), variant, device), batched=self.batched, input=self.input)
+
+
+_WEIGHTS = "pretrained_weights/pretrained_weights.pth"
+#: Model ids with what they take, their variants and files as their makers name them.
 ADAPTERS = (
-    Adapter("eegpt", ("torch",), {"base": ("checkpoint.ckpt",)}, input_contract="N x 58 x 512, named montage", output_contract="token embeddings"),
-    Adapter("eegmamba", ("torch", "mamba_ssm"), {"base": ("weights.pth",)}, input_contract="N x C x patches x 200", output_contract="patch embeddings"),
-    Adapter("brainomni", ("torch",), {"tiny": ("tiny/model.pt",), "base": ("base/model.pt",)}, input_contract="N x C x T with sensor positions", output_contract="token embeddings"),
-    Adapter("biot", ("torch",), {"base": ("weights.ckpt",)}, input_contract="N x 18 x 2000", output_contract="N x 256"),
-    Adapter("cbramod", ("torch",), {"base": ("weights.pth",)}, input_contract="N x C x 10 x 200", output_contract="patch embeddings"),
+    Adapter("biot", ("torch", "numpy", "linear_attention_transformer", "einops"), {f"{k}": (f"pretrained-models/EEG-{v}.ckpt",) for k, v in (("prest_16ch", "PREST-16-channels"), ("shhs_prest_18ch", "SHHS+PREST-18-channels"), ("six_datasets_18ch", "six-datasets-18-channels"))}, "six_datasets_18ch", "N x 18 x 2000", "N x 256", "BIOT", input="biot"),
+    Adapter("brainomni", ("torch", "einops", "einx", "vector_quantize_pytorch", "deepspeed"), {k: (f"ckpt_collection/{k}/BrainOmni.pt", f"ckpt_collection/{k}/model_cfg.json") for k in ("tiny", "base")}, "tiny", "N x C x T with sensor positions", "token embeddings", "BrainOmni", ("ckpt_collection/braintokenizer/BrainTokenizer.pt", "ckpt_collection/braintokenizer/model_cfg.json"), input="brainomni"),
+    Adapter("cbramod", ("torch", "einops"), {"foundation": (_WEIGHTS,)}, "foundation", "N x C x 10 x 200", "patch embeddings", "CBraMod", input="cbramod"),
+    Adapter("eegmamba", ("torch", "einops", "mamba_ssm"), {"foundation": (_WEIGHTS,)}, "foundation", "N x C x patches x 200", "patch embeddings", "EEGMamba", input="cbramod"),
+    Adapter("eegpt", ("torch", "numpy"), {"large_mixed_58ch_4s": ("checkpoint/eegpt_mcae_58chs_4s_large4E.ckpt",)}, "large_mixed_58ch_4s", "N x 58 x 512, named montage", "token embeddings", "EEGPT", imports="downstream", input="eegpt"),
 )
 
 
 class Registry:
     def __init__(self, adapters: tuple[Adapter, ...] = ADAPTERS):
-        self._by_id = {a.model_id: a for a in adapters}
+        self._by_id = {a.model_id: a for a in sorted(adapters, key=lambda a: a.model_id)}
 
     def ids(self) -> list[str]:
         return list(self._by_id)
 
     def get(self, model_id: str) -> Adapter:
-        if model_id not in self._by_id:
+        known = model_id.strip().lower()
+        if known not in self._by_id:
             raise KeyError(f"unknown model {model_id!r}; known: {', '.join(self._by_id)}")
-        return self._by_id[model_id]
+        return self._by_id[known]
+
+    def load(self, spark: SparkSession, root: str, model_id: str, variant: str = "", device: str = "cpu") -> Model:
+        return self.get(model_id).load(spark, root, variant, device)
 
     def statuses(self, spark: SparkSession, root: str) -> DataFrame:
+        """model_id, default, runnable (its default variant), what is missing,
+        and the variants whose files are there."""
         rows = []
         for a in self._by_id.values():
             packages, assets = a.missing_packages(), a.missing_assets(spark, root)
-            rows.append((a.model_id, not packages and not assets, packages, assets))
-        return spark.createDataFrame(rows, "model_id string, runnable boolean, missing_packages array<string>, missing_assets array<string>")
+            ready = [v for v in a.variants if not a.missing_assets(spark, root, v)]
+            rows.append((a.model_id, a.default, not packages and not assets, packages, assets, ready))
+        return spark.createDataFrame(rows, "model_id string, default string, runnable boolean, missing_packages array<string>, missing_assets array<string>, ready_variants array<string>")

@@ -53,10 +53,13 @@ def normalise(raw: DataFrame, order: list[str], recording_id: str = "", label_na
         c = named(name)
         return F.lit(0.0) if c is None else F.when(F.coalesce(c.cast("string"), F.lit("")) == "", F.lit(0.0)).otherwise(c.cast("string").try_cast("double"))
 
-    known = {a for names in ALIASES.values() for a in names} | {"_row"} | set(order)
-    rest = [c for c in raw.columns if c not in known]
-    pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for c in rest]) if rest else None
-    metadata = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())) if rest else F.create_map().cast("map<string,string>")
+    known = {a for names in ALIASES.values() for a in names} | {"_row", "obs_idx"} | set(order)
+    # a column "metadata" of an already normal table is its own map
+    inner = [f.name for f in raw.schema["metadata"].dataType] if "metadata" in has and raw.schema["metadata"].dataType.typeName() == "struct" else []
+    rest = [c for c in raw.columns if c not in known and not (c == "metadata" and inner)]
+    values = [(c, F.col(f"`{c}`")) for c in rest] + [(c, F.col("metadata")[c]) for c in inner if c not in rest]
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values]) if values else None
+    metadata = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())) if values else F.create_map().cast("map<string,string>")
     rows = raw.select(
         text("event_id").alias("_id"), text("recording_id", F.lit(recording_id)).alias("recording_id"), number("onset_seconds").alias("onset_seconds"), number("duration_seconds").alias("duration_seconds"),
         text("event_family").alias("event_family"), text("target_label").alias("target_label"), text("event_subtype").alias("event_subtype"), text("label_namespace", F.lit(label_namespace)).alias("label_namespace"),

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``);
+    only where that is unset (tests, one machine) a local one is made."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="epochloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -17,6 +28,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A file or a whole folder, between any two stores."""
+    (a, p), (b, q) = _fs(spark, source), _fs(spark, target)
+    b.mkdirs(q.getParent())
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"{source} could not be copied to {target}")
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, p = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
@@ -36,4 +66,10 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+    """A small file as a whole."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def append_text(spark: SparkSession, path: str, text: str) -> None:
+    """Text after what a small file holds; written anew, as stores of objects can't append."""
+    write_text(spark, path, (read_text(spark, path) if exists(spark, path) else "") + text)

@@ -1,8 +1,9 @@
 """Recordings: NPZ and EDF/FIF files as two tables.
 
 recordings: recording_id, subject_id, session_id, label_namespace,
-cohort_label, source_path, channel_names, sampling_rate_hz, n_samples,
-duration_seconds, message (why a file couldn't be read, else null).
+cohort_label, source_path, source_format, channel_names, sampling_rate_hz,
+n_samples, duration_seconds, provenance and metadata (maps), message (why a
+file couldn't be read, else null). Made from the headers of the files alone.
 signals: recording_id, channel_idx, channel, chunk_id, samples.
 """
 
@@ -10,6 +11,9 @@ from __future__ import annotations
 
 import io
 import os
+import tempfile
+import zipfile
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from ..operators.epochs import CHUNK
 
 RECORDING = (
-    "recording_id string, subject_id string, session_id string, label_namespace string, cohort_label string, source_path string, "
-    "channel_names array<string>, sampling_rate_hz double, n_samples long, duration_seconds double, message string"
+    "recording_id string, subject_id string, session_id string, label_namespace string, cohort_label string, source_path string, source_format string, "
+    "channel_names array<string>, sampling_rate_hz double, n_samples long, duration_seconds double, provenance map<string,string>, metadata map<string,string>, message string"
 )
 SIGNAL = "recording_id string, channel_idx int, channel string, chunk_id long, samples array<float>"
 
@@ -29,76 +33,105 @@ class RecordingError(ValueError):
     """A recording file that can't be used."""
 
 
+def slug(text: str, default: str) -> str:
+    """Lower-case letters and digits joined by underscores."""
+    parts = "".join(c.lower() if c.isalnum() else " " for c in text).split()
+    return "_".join(parts) or default
+
+
 def _one(held, name: str) -> str:
     return str(np.asarray(held[name]).ravel()[0]).strip() if name in held else ""
 
 
-def decode_npz(path: str, content: bytes) -> tuple[dict, np.ndarray]:
-    """(fields of the recordings table, data [channels, samples])."""
+def _npz_shape(content: bytes, name: str) -> tuple[int, ...]:
+    """The shape of a member, from its header alone."""
+    with zipfile.ZipFile(io.BytesIO(content)) as held, held.open(f"{name}.npy") as f:
+        version = np.lib.format.read_magic(f)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        return read(f)[0]
+
+
+def _npz_header(path: str, content: bytes) -> tuple[dict, bool]:
+    """(fields of the recordings table, whether data lies samples first)."""
     with np.load(io.BytesIO(content), allow_pickle=False) as held:
         missing = [k for k in ("data", "channel_names", "sampling_rate_hz") if k not in held]
         if missing:
             raise RecordingError(f"missing members: {', '.join(missing)}")
         names = [str(c) for c in np.asarray(held["channel_names"]).ravel()]
-        data = np.asarray(held["data"], np.float32)
         rate = float(np.asarray(held["sampling_rate_hz"]).ravel()[0])
-        if data.ndim != 2 or len(names) not in data.shape:
-            raise RecordingError(f"data of shape {data.shape} doesn't fit {len(names)} channels")
-        if data.shape[0] != len(names):  # the first axis counts, so a square stays as it is
-            data = data.T
-        if rate <= 0:
-            raise RecordingError("sampling rate must be positive")
-        stem = os.path.splitext(os.path.basename(path))[0]
-        fields = {
-            "recording_id": stem, "subject_id": _one(held, "subject_id"), "session_id": _one(held, "session_id"), "label_namespace": _one(held, "label_namespace"),
-            "cohort_label": _one(held, "cohort_label"), "source_path": path, "channel_names": names, "sampling_rate_hz": rate, "n_samples": data.shape[1], "duration_seconds": data.shape[1] / rate, "message": None,
-        }
-    return fields, data
+        ids = {k: _one(held, k) for k in ("subject_id", "session_id", "label_namespace", "cohort_label")}
+        ids["cohort_label"] = ids["cohort_label"] or _one(held, "cohort")
+    shape = _npz_shape(content, "data")
+    if len(shape) != 2 or len(names) not in shape:
+        raise RecordingError(f"data of shape {shape} doesn't fit {len(names)} channels")
+    if rate <= 0:
+        raise RecordingError("sampling rate must be positive")
+    turned = shape[0] != len(names)  # the first axis counts, so a square stays as it is
+    n = shape[0] if turned else shape[1]
+    return _fields(path, ids, names, rate, n, {"loader_id": "npz", "transposed_on_load": str(turned).lower()}, {}), turned
+
+
+def _fields(path: str, ids: dict, names: list[str], rate: float, n: int, provenance: dict, metadata: dict) -> dict:
+    stem, kind = os.path.splitext(os.path.basename(path))
+    return {k: "" for k in ("subject_id", "session_id", "label_namespace", "cohort_label")} | ids | {
+        "recording_id": slug(stem, "recording"), "source_path": path, "source_format": kind.lower().lstrip("."), "channel_names": names, "sampling_rate_hz": rate,
+        "n_samples": n, "duration_seconds": n / rate, "provenance": provenance, "metadata": metadata, "message": None,
+    }
 
 
-def decode_mne(path: str, content: bytes) -> tuple[dict, np.ndarray]:
-    """EDF, BDF and FIF, if ``mne`` is installed on the executors."""
+def _npz_data(content: bytes, turned: bool) -> np.ndarray:
+    with np.load(io.BytesIO(content), allow_pickle=False) as held:
+        data = np.asarray(held["data"], np.float32)
+    return data.T if turned else data
+
+
+def _mne(path: str, content: bytes, whole: bool) -> tuple[dict, np.ndarray | None]:
+    """EDF, BDF and FIF, if ``mne`` is installed on the executors; without
+    ``whole`` only the header is read."""
     try:
         import mne
     except ImportError as missing:
         raise RecordingError("reading EDF, BDF and FIF needs the optional package mne") from missing
-    import tempfile
-
     with tempfile.TemporaryDirectory() as folder:  # the reader wants a file; it is gone with the call
         local = os.path.join(folder, os.path.basename(path))
         with open(local, "wb") as f:
             f.write(content)
-        raw = (mne.io.read_raw_fif if local.endswith(".fif") else mne.io.read_raw_edf)(local, preload=True, verbose="ERROR")
-        data = raw.get_data().astype(np.float32)
-    rate = float(raw.info["sfreq"])
-    stem = os.path.splitext(os.path.basename(path))[0]
-    fields = {k: "" for k in ("subject_id", "session_id", "label_namespace", "cohort_label")} | {
-        "recording_id": stem, "source_path": path, "channel_names": list(raw.ch_names), "sampling_rate_hz": rate, "n_samples": data.shape[1], "duration_seconds": data.shape[1] / rate, "message": None,
-    }
+        raw = (mne.io.read_raw_fif if local.endswith(".fif") else mne.io.read_raw_edf)(local, preload=whole, verbose="ERROR")
+        try:
+            data = raw.get_data().astype(np.float32) if whole else None
+            fields = _fields(path, {}, list(raw.ch_names), float(raw.info["sfreq"]), int(raw.n_times), {"loader_id": "mne"}, {"measurement_date": str(raw.info.get("meas_date") or "")})
+        finally:
+            raw.close()
     return fields, data
 
 
-def _decode(path: str, content: bytes) -> tuple[dict, np.ndarray | None]:
+def decode(path: str, content: bytes, whole: bool = True) -> tuple[dict, np.ndarray | None]:
+    """(fields of the recordings table, data [channels, samples] if ``whole``);
+    a file that can't be used gives a message and no data."""
     kind = os.path.splitext(path)[1].lower()
     try:
         if kind == ".npz":
-            return decode_npz(path, content)
+            fields, turned = _npz_header(path, content)
+            return fields, _npz_data(content, turned) if whole else None
         if kind in (".edf", ".bdf", ".fif"):
-            return decode_mne(path, content)
+            return _mne(path, content, whole)
         raise RecordingError(f"unknown recording format: {kind}")
-    except (RecordingError, ValueError, OSError) as fault:
-        blank = {k: "" for k in ("subject_id", "session_id", "label_namespace", "cohort_label")}
-        stem = os.path.splitext(os.path.basename(path))[0]
-        return blank | {"recording_id": stem, "source_path": path, "channel_names": [], "sampling_rate_hz": None, "n_samples": 0, "duration_seconds": None, "message": str(fault)}, None
+    except (RecordingError, ValueError, OSError, KeyError, zipfile.BadZipFile) as fault:
+        return _fields(path, {}, [], 1.0, 0, {}, {}) | {"sampling_rate_hz": None, "duration_seconds": None, "message": str(fault)}, None
 
 
 def read_recordings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """The recordings table of files or folders; a bad file is a row with a message."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
+    raw = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length", "content")
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame([_decode(p, c)[0] for p, c in zip(b["path"], b["content"])])
+            rows = []
+            for p, at, size, c in zip(b["path"], b["modificationTime"], b["length"], b["content"]):
+                fields, _ = decode(p, c, whole=False)
+                fields["provenance"] = fields["provenance"] | {"size_bytes": str(size), "modified_time_utc": datetime.fromtimestamp(at.timestamp(), timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}
+                rows.append(fields)
+            yield pd.DataFrame(rows)
 
     return raw.mapInPandas(run, RECORDING)
 
@@ -111,7 +144,7 @@ def read_signals(spark: SparkSession, paths: list[str] | str, chunk: int = CHUNK
     def run(batches):
         for b in batches:
             for p, c in zip(b["path"], b["content"]):
-                fields, data = _decode(p, c)
+                fields, data = decode(p, c)
                 if data is None:
                     continue
                 for k, name in enumerate(fields["channel_names"]):

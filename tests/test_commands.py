@@ -35,7 +35,7 @@ def test_command_chain(spark, tmp_path, capsys):
 
 def test_registry(spark, tmp_path):
     got = {r.model_id: r for r in Registry().statuses(spark, str(tmp_path)).collect()}
-    assert len(got) == 5 and not got["biot"].runnable and got["biot"].missing_assets == ["weights.ckpt"]
+    assert len(got) == 5 and not got["biot"].runnable and got["biot"].missing_assets == ["pretrained-models/EEG-six-datasets-18-channels.ckpt"]
 
 
 def test_event_forms(spark, tmp_path):
