@@ -35,6 +35,11 @@ def nan_null(x: ColumnLike) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def null_nan(x: ColumnLike) -> Column:
+    """An array with NaN for null: NaN that went through pandas comes back as null."""
+    return F.transform(_col(x), lambda v: F.coalesce(v, F.lit(float("nan")).cast("float")))
+
+
 def nan_avg(x: ColumnLike) -> Column:
     return F.avg(nan_null(x))
 

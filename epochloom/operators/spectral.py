@@ -40,7 +40,8 @@ def band_power(samples: Column, rate: Column) -> Column:
     def run(x: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([[{"band": b[0], "power": float(v)} for b, v in zip(bands_at(f), powers(np.asarray(s, np.float64), f, bands_at(f)))] for s, f in zip(x, r)])
 
-    return run(samples, rate)
+    # NaN comes back from pandas as null
+    return F.transform(run(samples, rate), lambda b: F.struct(b["band"].alias("band"), F.coalesce(b["power"], F.lit(float("nan"))).alias("power")))
 
 
 def relational_band_power(vectors: DataFrame, item: str, vector: str, rate: float, length: int, bands: list[tuple[str, float, float]] | None = None) -> DataFrame:

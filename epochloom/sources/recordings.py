@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import null_nan
 from ..operators.epochs import CHUNK
 
 RECORDING = (
@@ -151,7 +152,7 @@ def read_signals(spark: SparkSession, paths: list[str] | str, chunk: int = CHUNK
                     parts = [(i // chunk, data[k, i : i + chunk]) for i in range(0, max(1, data.shape[1]), chunk)]
                     yield pd.DataFrame({"recording_id": fields["recording_id"], "channel_idx": k, "channel": name, "chunk_id": [i for i, _ in parts], "samples": [x for _, x in parts]})
 
-    return raw.mapInPandas(run, SIGNAL)
+    return raw.mapInPandas(run, SIGNAL).withColumn("samples", null_nan("samples"))
 
 
 def named(recordings: DataFrame, **given: str) -> DataFrame:
