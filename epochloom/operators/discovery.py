@@ -25,6 +25,16 @@ def phase_order():
     return F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase"))
 
 
+def selected(df: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns have one of the values wanted; an empty list (after
+    blanks are left out) wants all. On partition columns these reach the scan."""
+    for column, values in wanted.items():
+        kept = sorted({v.strip() for v in values if v.strip()})
+        if kept:
+            df = df.filter(F.col(column).isin(*kept))
+    return df
+
+
 def usable(observations: DataFrame, min_subjects: int) -> tuple[DataFrame, DataFrame]:
     """(observations of groups that can be compared, issues of the others):
     enough subjects, and one sampling rate. An event without a sample in any
@@ -60,7 +70,7 @@ def aligned(observations: DataFrame) -> DataFrame:
     return met.withColumn("samples", F.slice("samples", F.lit(1), F.col("_length"))).drop("_length")
 
 
-def _means(df: DataFrame, keys: list[str]) -> DataFrame:
+def position_means(df: DataFrame, keys: list[str]) -> DataFrame:
     """Position-wise means of samples (NaN stays NaN), partially aggregated."""
     at = df.select(*keys, F.posexplode("samples").alias("pos", "v")).groupBy(*keys, "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
     held = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_s"))
@@ -70,8 +80,8 @@ def _means(df: DataFrame, keys: list[str]) -> DataFrame:
 def prototypes(al: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(subject means over their events, group means over their subjects)."""
     axes = ["phase", "channel", "ch_pos", "sampling_rate_hz"]
-    subjects = _means(al, [*GROUP, "subject_id", *axes])
-    return subjects, _means(subjects, [*GROUP, *axes])
+    subjects = position_means(al, [*GROUP, "subject_id", *axes])
+    return subjects, position_means(subjects, [*GROUP, *axes])
 
 
 def band_rows(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import decisions, expr
-from ..operators import checks, epochs, preprocess, reliability, similarity, spectral
+from ..functions import decisions, expr, paths
+from ..operators import backbone, checks, discovery, epochs, preprocess, reliability, similarity, spectral
 from ..sources import events as event_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,9 +106,10 @@ def _exploded(df: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH raw AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '  ' ELSE 'e' || event_id END AS given, 'rec_' || user_id AS recording_id, value, event_type, ts FROM events)
-    SELECT CASE WHEN trim(given) = '' THEN recording_id || '_event_' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) AS VARCHAR), 4, '0') ELSE given END AS event_id,
-    recording_id, round(value, 6) AS onset_seconds, 0.0::DOUBLE AS duration_seconds, 'stream' AS event_family, event_type AS target_label, '' AS event_subtype, 'ns' AS label_namespace FROM raw"""
+    """WITH raw AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '  ' ELSE 'e' || event_id END AS given, 'rec_' || user_id AS recording_id, value, event_type, ts FROM events),
+    named AS (SELECT *, CASE WHEN trim(given) = '' THEN recording_id || '_event_' || lpad(CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts, event_id) AS VARCHAR), 4, '0') ELSE given END AS id FROM raw)
+    SELECT id AS event_id, recording_id, round(value, 6) AS onset_seconds, 0.0::DOUBLE AS duration_seconds, 'stream' AS event_family, event_type AS target_label, '' AS event_subtype, 'ns' AS label_namespace,
+    row_number() OVER (PARTITION BY recording_id ORDER BY value, id) AS obs_idx FROM named"""
 )
 def event_normalise(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -116,13 +117,13 @@ def event_normalise(spark, sf_dir):
         F.when(F.col("event_id") % 10 == 0, "  ").otherwise(F.concat(F.lit("e"), F.col("event_id"))).alias("event_id"), F.concat(F.lit("rec_"), F.col("user_id")).alias("recording_id"),
         F.col("value").cast("string").alias("onset"), F.lit("stream").alias("family"), F.concat(F.lit(" "), F.col("event_type")).alias("label"), F.col("ts").alias("_ts"), F.col("event_id").alias("_n"),
     )
-    out = event_source.normalise(raw, ["_ts", "_n"], label_namespace="ns").drop("metadata", "obs_idx")
+    out = event_source.normalise(raw, ["_ts", "_n"], label_namespace="ns").drop("metadata")
     return out.withColumn("onset_seconds", F.round("onset_seconds", 6))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
 def label_filter(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    e = discovery.selected(table(spark, sf_dir, "events"), event_type=[" click", "view ", ""])
     return e.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -203,13 +204,14 @@ def channel_align(spark, sf_dir):
 
 
 @query(
-    f"WITH {_EPOCHS}, c AS (SELECT event_id, list_sort(list(DISTINCT channel)) AS ch FROM ep WHERE channel_idx < 2 + event_id % 3 GROUP BY event_id) "
+    f"WITH {_EPOCHS}, c AS (SELECT event_id, list_sort(list(DISTINCT channel)) AS ch FROM (SELECT event_id, CASE WHEN channel_idx >= 2 + event_id % 3 THEN 'x' || channel_idx ELSE channel END AS channel FROM ep) GROUP BY event_id) "
     "SELECT event_id, array_to_string(list_filter(['c0', 'c2', 'c9', 'c2'], lambda x: NOT list_contains(ch, x)), ',') AS missing, array_to_string(list_filter(ch, lambda x: NOT list_contains(['c0', 'c2', 'c9'], x)), ',') AS dropped, 'c2' AS reused FROM c".replace(
         "list_filter(['c0', 'c2', 'c9', 'c2'], lambda x:", "list_filter(['c0', 'c2', 'c9'], lambda x:"
     )
 )
 def channel_remap_report(spark, sf_dir):
-    held = _epochs(spark, sf_dir).filter("channel_idx < 2 + event_id % 3").groupBy("event_id").agg(F.array_sort(F.collect_set("channel")).alias("ch"))
+    renamed = F.when(F.col("channel_idx") >= 2 + F.col("event_id") % 3, F.concat(F.lit("x"), F.col("channel_idx"))).otherwise(F.col("channel"))
+    held = _epochs(spark, sf_dir).withColumn("channel", renamed).groupBy("event_id").agg(F.array_sort(F.collect_set("channel")).alias("ch"))
     report = preprocess.remap_report(F.col("ch"), F.array(*map(F.lit, ("c0", "c2", "c9", "c2"))))
     return held.select("event_id", report.alias("r")).select("event_id", *[F.array_join(f"r.{k}", ",").alias(k) for k in ("missing", "dropped", "reused")])
 
@@ -267,22 +269,31 @@ def notch_filter(spark, sf_dir):
 # -- prototypes and spectra
 
 
+def _prototypes(spark, sf_dir):
+    """Of whole vectors as one channel's phase, three subjects a label."""
+    v = table(spark, sf_dir, "embeddings")
+    al = v.select(F.lit("ns").alias("label_namespace"), F.lit("f").alias("event_family"), F.lit("b").alias("branch_name"), F.col("label").alias("target_label"), (F.col("vec_id") % 3).alias("subject_id"), F.lit("onset").alias("phase"), F.lit("c0").alias("channel"), F.lit(0).alias("ch_pos"), F.lit(RATE).alias("sampling_rate_hz"), F.col("embedding").alias("samples"))
+    return tuple(p.withColumnsRenamed({"target_label": "label", "subject_id": "subject"}) for p in discovery.prototypes(al))
+
+
+def _positions(df: DataFrame, *keys: str) -> DataFrame:
+    at = df.select(*keys, F.posexplode("samples").alias("pos", "v"))
+    return at.select(*keys, F.col("pos").cast("int").alias("pos"), (F.round(F.col("v").cast("double"), 6) + F.lit(0.0)).alias("value"))
+
+
 @query(
-    "WITH x AS (SELECT label, vec_id % 3 AS subject, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(subject AS BIGINT) AS subject, CAST(pos AS INT) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS value FROM x GROUP BY ALL"
+    "WITH x AS (SELECT label, vec_id % 3 AS subject, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(subject AS BIGINT) AS subject, CAST(pos AS INT) AS pos, round(CAST(CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) + 0.0::DOUBLE AS value FROM x GROUP BY ALL"
 )
 def subject_prototype(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).alias("subject"), F.posexplode("embedding").alias("pos", "v"))
-    return v.groupBy("label", "subject", F.col("pos").cast("int").alias("pos")).agg(r6(F.avg(F.col("v").cast("double")), "value"))
+    return _positions(_prototypes(spark, sf_dir)[0], "label", "subject")
 
 
 @query(
-    "WITH x AS (SELECT label, vec_id % 3 AS subject, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), s AS (SELECT label, subject, pos, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY ALL) "
-    "SELECT label, CAST(pos AS INT) AS pos, round(avg(m), 6) AS value FROM s GROUP BY ALL"
+    "WITH x AS (SELECT label, vec_id % 3 AS subject, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), s AS (SELECT label, subject, pos, CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS m FROM x GROUP BY ALL) "
+    "SELECT label, CAST(pos AS INT) AS pos, round(CAST(CAST(avg(CAST(m AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) + 0.0::DOUBLE AS value FROM s GROUP BY ALL"
 )
 def group_prototype(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).alias("subject"), F.posexplode("embedding").alias("pos", "v"))
-    s = v.groupBy("label", "subject", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return s.groupBy("label", F.col("pos").cast("int").alias("pos")).agg(r6(F.avg("m"), "value"))
+    return _positions(_prototypes(spark, sf_dir)[1], "label")
 
 
 _DFT = (
@@ -311,9 +322,18 @@ def _band_rows(spark, sf_dir):
     return v.select("label", "id", F.inline("b"))
 
 
+def _subject_bands(spark, sf_dir):
+    """Band rows of a run, each vector a subject's onset on one channel."""
+    rows = _band_rows(spark, sf_dir)
+    return rows.select(
+        F.lit("ns").alias("label_namespace"), F.lit("f").alias("event_family"), F.lit("b").alias("branch_name"), F.col("label").alias("target_label"), F.col("id").alias("subject_id"),
+        F.lit("onset").alias("phase"), F.lit("c0").alias("channel"), F.lit(0).alias("ch_pos"), "band", "power",
+    )
+
+
 @query(f"WITH {_DFT} SELECT label, band, round(avg(power), 5) AS power FROM bp GROUP BY ALL")
 def profile_matrix(spark, sf_dir):
-    return _band_rows(spark, sf_dir).groupBy("label", "band").agg(F.round(F.avg("power"), 5).alias("power"))
+    return discovery.phase_band_means(_subject_bands(spark, sf_dir)).select(F.col("target_label").alias("label"), "band", F.round("power", 5).alias("power"))
 
 
 @query(
@@ -321,13 +341,22 @@ def profile_matrix(spark, sf_dir):
     "SELECT label, band, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, band DESC) AS rank FROM t) WHERE rank <= 3"
 )
 def dominant_bands(spark, sf_dir):
-    means = _band_rows(spark, sf_dir).groupBy("label", "band").agg(F.avg("power").alias("power"))
-    # the mean of the other labels from the band's total: no join of labels with labels
-    over = Window.partitionBy("band")
-    rest = (F.sum("power").over(over) - F.col("power")) / (F.count("*").over(over) - 1)
-    scores = means.select("label", F.lit("band").alias("axis"), F.col("band").alias("name"), (F.col("power") - rest).alias("score"))
-    out = spectral.dominant(scores, ["label"], "name")
-    return out.select("label", F.col("name").alias("band"), F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
+    difference = discovery.difference_map(_subject_bands(spark, sf_dir))
+    scores = spectral.marginals(difference, ["target_label"]).filter("axis = 'band'")
+    out = spectral.dominant(scores, ["target_label"], "name")
+    return out.select(F.col("target_label").alias("label"), F.col("name").alias("band"), F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    f"WITH {_DFT}, m AS (SELECT label, band, 'c' || label % 3 AS ch, avg(power) AS power FROM bp GROUP BY ALL), t AS (SELECT label, ch, band, power, power - (SELECT avg(o.power) FROM m o WHERE o.band = m.band AND o.ch = m.ch AND o.label <> m.label) AS difference FROM m) "
+    "SELECT label, ch AS channel, band, round(power, 5) AS mean, round(difference, 5) AS difference, round(avg(power) OVER (PARTITION BY label, ch), 5) AS channel_mean, round(avg(power) OVER (PARTITION BY label, band), 5) AS band_mean FROM t"
+)
+def topography_profiles(spark, sf_dir):
+    """Three channels, each of which some labels have: differences are to the
+    labels that share one."""
+    bands = _subject_bands(spark, sf_dir).withColumn("channel", F.concat(F.lit("c"), F.col("target_label") % 3))
+    out = discovery.topography(discovery.difference_map(bands))
+    return out.select(F.col("target_label").alias("label"), "channel", "band", *[F.round(c, 5).alias(c) for c in ("mean", "difference", "channel_mean", "band_mean")])
 
 
 @query(
@@ -390,6 +419,26 @@ def strongest_control(spark, sf_dir):
     return _margins(spark, sf_dir).select("label", "strongest_label", r6("strongest", "strongest"))
 
 
+#: Pairwise, over the positions that both have.
+_LOST = (
+    "v AS (SELECT label, vec_id AS id, list_transform(embedding, lambda e, i: CASE WHEN (label % 3 = 0 AND i IN (4, 8)) OR (vec_id % 50 = 7 AND i = 11) THEN NULL ELSE CAST(e AS DOUBLE) END) AS x FROM embeddings), "
+    "pr AS (SELECT a.label AS la, b.label AS lb, list_filter(list_zip(a.x, b.x), lambda z: z[1] IS NOT NULL AND z[2] IS NOT NULL) AS z FROM v a JOIN v b ON a.id < b.id), "
+    "pm AS (SELECT la, lb, z, list_avg(list_transform(z, lambda p: p[1])) AS ma, list_avg(list_transform(z, lambda p: p[2])) AS mb FROM pr), "
+    "pc AS (SELECT la, lb, list_sum(list_transform(z, lambda p: (p[1] - ma) * (p[2] - mb))) / sqrt(list_sum(list_transform(z, lambda p: (p[1] - ma) * (p[1] - ma))) * list_sum(list_transform(z, lambda p: (p[2] - mb) * (p[2] - mb)))) AS r FROM pm), "
+    "wi AS (SELECT la AS label, avg(r) AS within FROM pc WHERE la = lb GROUP BY la), bt AS (SELECT label, other, avg(r) AS similarity FROM (SELECT la AS label, lb AS other, r FROM pc WHERE la <> lb UNION ALL SELECT lb, la, r FROM pc WHERE la <> lb) GROUP BY ALL)"
+)
+
+
+@query(f"WITH {_LOST} SELECT label, round(any_value(within), 6) AS within, round(avg(similarity), 6) AS rest, round(any_value(within) - avg(similarity), 6) AS margin FROM wi JOIN bt USING (label) GROUP BY label")
+def control_margin_lost_values(spark, sf_dir):
+    """Some labels lack two positions, some vectors another one."""
+    gone = lambda i: ((F.col("label") % 3 == 0) & i.isin(3, 7)) | ((F.col("id") % 50 == 7) & (i == 10))
+    v = _vectors(spark, sf_dir).withColumn("x", F.transform("x", lambda e, i: F.when(gone(i), F.lit(float("nan"))).otherwise(e)))
+    s = similarity.unit_sums(similarity.unit_vectors(v, ["label"], "id", "x"), ["label"])
+    m = similarity.control_margin(similarity.within(s, ["label"]), similarity.between(s, [], "label"), [], "label")
+    return m.select("label", *[r6(c, c) for c in ("within", "rest", "margin")])
+
+
 #: corr(x, y) over lists in DuckDB.
 _CORR = "list_dot_product(list_transform({a}, lambda e: e - list_avg({a})), list_transform({b}, lambda e: e - list_avg({b}))) / sqrt(list_dot_product(list_transform({a}, lambda e: e - list_avg({a})), list_transform({a}, lambda e: e - list_avg({a}))) * list_dot_product(list_transform({b}, lambda e: e - list_avg({b})), list_transform({b}, lambda e: e - list_avg({b}))))"
 _CENTROIDS = _VECTORS + ", xp AS (SELECT label, id, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM v), ct AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(e) AS m FROM xp GROUP BY ALL) GROUP BY label)"
@@ -489,34 +538,24 @@ def subsample_stability(spark, sf_dir):
 
 
 def _assessed(spark, sf_dir):
-    """Margin, holdout and subsample figures of each label with flags, robustness and tier."""
+    """Margin, holdout, null, subsample and branch figures of each label with
+    flags, robustness and tier."""
     margin = _margins(spark, sf_dir).select("label", "n", "margin")
-    loso = reliability.holdout_summary(_loso(spark, sf_dir), ["label"]).select("label", F.col("success_rate").alias("loso"))
-    sub = reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id").drop("iterations")
-    met = margin.join(loso, "label", "left").join(sub, "label", "left")
-    none = F.lit(None).cast("double")
-    met = met.withColumn("flags", decisions.reliability_flags(F.col("n"), F.col("n"), F.col("margin"), F.col("loso"), none, none, F.lit(None).cast("string"), none, F.col("min_similarity")))
-    met = met.withColumn("robustness", decisions.robustness(F.lit("none"), F.col("margin"), F.col("loso"), none, none, none, F.col("mean_similarity")))
-    return met.withColumn("tier", decisions.tier(F.col("n"), F.col("n"), F.col("flags"), F.col("loso"), F.col("robustness"), F.col("margin")))
+    rate = lambda df, name: reliability.holdout_summary(df, ["label"]).select("label", F.col("success_rate").alias(name))
+    met = margin
+    for part in (
+        rate(_loso(spark, sf_dir), "loso"), rate(_held_groups(spark, sf_dir, 2), "session"), rate(_held_groups(spark, sf_dir, 3), "cohort"), _null(spark, sf_dir).select("label", "p_value"),
+        reliability.subsample_stability(_vectors(spark, sf_dir), ["label"], "id").drop("iterations"), _agreement(spark, sf_dir).groupBy("label").agg(F.first("overall").alias("branch")),
+    ):
+        met = met.join(part, "label", "left")
+    c = F.col
+    met = met.withColumn("flags", decisions.reliability_flags(c("n"), c("n"), c("margin"), c("loso"), c("session"), c("cohort"), c("branch"), c("p_value"), c("min_similarity")))
+    met = met.withColumn("robustness", decisions.robustness(F.coalesce("branch", F.lit("none")), c("margin"), c("loso"), c("session"), c("cohort"), c("p_value"), c("mean_similarity")))
+    return met.withColumn("tier", decisions.tier(c("n"), c("n"), c("flags"), c("loso"), c("robustness"), c("margin")))
 
 
 _SUB = ORACLES["subsample_stability"].removeprefix(f"WITH {_CENTROIDS}, ").replace("round(avg(", "(avg(").replace("), 6) AS mean", ")) AS mean").replace("round(min(", "(min(").replace("), 6) AS min", ")) AS min")
 _SUB_CTES, _SUB_SELECT = _SUB.rsplit(" SELECT label, (avg", 1)
-_ASSESSED = (
-    _MARGINS + ", " + _LOSO.removeprefix(_VECTORS + ", ") + ", " + _SUB_CTES + ", ss AS (SELECT label, (avg" + _SUB_SELECT + "), "
-    "lz AS (SELECT label, avg(CASE WHEN margin > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS loso FROM lo GROUP BY label), "
-    "fa AS (SELECT mg.label, mg.n, margin, loso, mean_similarity, min_similarity, list_filter([CASE WHEN mg.n < 3 OR mg.n < 4 THEN 'low-support' END, CASE WHEN NOT coalesce(margin > 0.05, false) THEN 'control-weak' END, CASE WHEN loso < 0.67 THEN 'holdout-weak' END, "
-    "CASE WHEN min_similarity < 0.5 THEN 'unstable' END], lambda x: x IS NOT NULL) AS flags, (0.5 + least(1.0, greatest(0.0, (coalesce(margin, 0.0) + 0.2) / 0.4)) + coalesce(loso, 0.0) + 0.5 + 0.5 + 0.5 + coalesce(least(1.0, greatest(0.0, mean_similarity)), 0.5)) / 7 AS robustness "
-    "FROM mg LEFT JOIN lz USING (label) LEFT JOIN ss USING (label)), "
-    "ti AS (SELECT *, CASE WHEN n < 2 THEN 'insufficient' WHEN list_contains(flags, 'unstable') OR coalesce(loso < 0.5, false) THEN 'unstable' WHEN len(flags) = 0 AND robustness >= 0.78 THEN 'strong' WHEN coalesce(margin > 0.08, false) AND robustness >= 0.58 THEN 'moderate' ELSE 'exploratory' END AS tier FROM fa)"
-)
-
-
-@query(f"WITH {_ASSESSED} SELECT label, array_to_string(flags, ',') AS flags, round(robustness, 6) AS robustness, tier FROM ti")
-def reliability_tier(spark, sf_dir):
-    return _assessed(spark, sf_dir).select("label", F.array_join("flags", ",").alias("flags"), r6("robustness", "robustness"), "tier")
-
-
 #: Branches made of the vectors: as they are, shrunk with an offset, and every third component lost.
 _BRANCHES = "br AS (SELECT label, id, b AS branch, CASE b WHEN 'raw_preserving' THEN x WHEN 'light_clean' THEN list_transform(x, lambda e: e * 0.5 + 1.0) ELSE list_transform(x, lambda e, i: CASE WHEN i % 3 = 1 THEN 0.0::DOUBLE ELSE e END) END AS x FROM v CROSS JOIN (SELECT unnest(['raw_preserving', 'light_clean', 'comparison_safe']) AS b))"
 
@@ -542,13 +581,38 @@ def _branch_vectors(spark, sf_dir):
     "SELECT label, branch, round(similarity, 6) AS similarity, round(margin, 6) AS margin, CASE WHEN branch = 'raw_preserving' THEN 'preserved' WHEN similarity >= 0.8 AND ratio >= 0.8 THEN 'preserved' WHEN similarity >= 0.55 AND ratio >= 0.45 THEN 'weakened' WHEN similarity >= 0.35 AND ratio > 0.2 THEN 'shifted' ELSE 'branch-sensitive' END AS status FROM k"
 )
 def branch_agreement(spark, sf_dir):
-    from ..operators.discovery import branch_agreement as agree
+    return _agreement(spark, sf_dir).select("label", "branch", r6("similarity", "similarity"), r6("margin", "margin"), "status")
 
+
+def _agreement(spark, sf_dir):
     v = _branch_vectors(spark, sf_dir)
     sums = similarity.unit_sums(similarity.unit_vectors(v, ["branch", "label"], "id", "x"), ["branch", "label"])
     margins = similarity.control_margin(similarity.within(sums, ["branch", "label"]), similarity.between(sums, ["branch"], "label"), ["branch"], "label")
     profiles = similarity.centroids(v, ["branch", "label"], "x").join(margins.select("branch", "label", "margin"), ["branch", "label"])
-    return agree(profiles, ["label"], "branch", "centroid").select("label", "branch", r6("similarity", "similarity"), r6("margin", "margin"), "status")
+    return discovery.branch_agreement(profiles, ["label"], "branch", "centroid")
+
+
+def _held_rate(k: int, name: str) -> str:
+    return f"(SELECT label, avg(CASE WHEN margin > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS {name} FROM ({_held_sql(k)}) GROUP BY label)"
+
+
+_P_VALUE = ORACLES["label_shuffle_null"].replace("round((1 + count(*) FILTER (WHERE nul >= margin)) / (1.0 + count(*)), 6)", "(1 + count(*) FILTER (WHERE nul >= margin)) / (1.0::DOUBLE + count(*))")
+_CLIP = "least(1.0, greatest(0.0, {0}))"
+_ASSESSED = (
+    _MARGINS + ", " + _LOSO.removeprefix(_VECTORS + ", ") + ", " + _SUB_CTES + ", ss AS (SELECT label, (avg" + _SUB_SELECT + "), "
+    f"lz AS (SELECT label, avg(CASE WHEN margin > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS loso FROM lo GROUP BY label), se AS {_held_rate(2, 'session')}, co AS {_held_rate(3, 'cohort')}, nu AS (SELECT label, p_value FROM ({_P_VALUE})), "
+    f"ag AS (SELECT label, arg_max(status, CASE status WHEN 'preserved' THEN 0 WHEN 'weakened' THEN 1 WHEN 'shifted' THEN 2 ELSE 3 END) AS branch FROM ({ORACLES['branch_agreement']}) GROUP BY label), "
+    "fa AS (SELECT mg.label, mg.n, margin, loso, session, cohort, p_value, branch, mean_similarity, min_similarity, list_filter([CASE WHEN mg.n < 3 OR mg.n < 4 THEN 'low-support' END, CASE WHEN NOT coalesce(margin > 0.05, false) THEN 'control-weak' END, CASE WHEN loso < 0.67 THEN 'holdout-weak' END, "
+    "CASE WHEN session < 0.67 THEN 'session-holdout-weak' END, CASE WHEN cohort < 0.67 THEN 'cohort-holdout-weak' END, CASE WHEN branch IN ('shifted', 'branch-sensitive') THEN 'branch-sensitive' END, CASE WHEN coalesce(p_value >= 0.2, false) OR coalesce(min_similarity < 0.5, false) THEN 'unstable' END], lambda x: x IS NOT NULL) AS flags, "
+    f"(CASE branch WHEN 'preserved' THEN 1.0 WHEN 'weakened' THEN 0.7 WHEN 'shifted' THEN 0.4 WHEN 'branch-sensitive' THEN 0.1 ELSE 0.5 END + {_CLIP.format('(coalesce(margin, 0.0) + 0.2) / 0.4')} + coalesce(loso, 0.0) + coalesce(session, 0.5) + coalesce(cohort, 0.5) + coalesce({_CLIP.format('1.0 - p_value')}, 0.5) + coalesce({_CLIP.format('mean_similarity')}, 0.5)) / 7 AS robustness "
+    "FROM mg LEFT JOIN lz USING (label) LEFT JOIN se USING (label) LEFT JOIN co USING (label) LEFT JOIN nu USING (label) LEFT JOIN ag USING (label) LEFT JOIN ss USING (label)), "
+    "ti AS (SELECT *, CASE WHEN n < 2 THEN 'insufficient' WHEN list_contains(flags, 'unstable') OR coalesce(loso < 0.5, false) THEN 'unstable' WHEN len(flags) = 0 AND robustness >= 0.78 THEN 'strong' WHEN coalesce(margin > 0.08, false) AND robustness >= 0.58 THEN 'moderate' ELSE 'exploratory' END AS tier FROM fa)"
+)
+
+
+@query(f"WITH {_ASSESSED} SELECT label, array_to_string(flags, ',') AS flags, round(robustness, 6) AS robustness, tier FROM ti")
+def reliability_tier(spark, sf_dir):
+    return _assessed(spark, sf_dir).select("label", F.array_join("flags", ",").alias("flags"), r6("robustness", "robustness"), "tier")
 
 
 # -- model evidence
@@ -577,9 +641,7 @@ def _evidence(spark, sf_dir):
 
 @query(f"WITH {_VECTORS}, {_MODELS} SELECT label, n_used, n_positive, round(mean_margin, 6) AS mean_margin, status FROM cn")
 def backbone_consensus(spark, sf_dir):
-    from ..operators.backbone import consensus
-
-    out = consensus(_evidence(spark, sf_dir).withColumn("status", F.lit("used")), ["label"])
+    out = backbone.consensus(_evidence(spark, sf_dir).withColumn("status", F.lit("used")), ["label"])
     return out.select("label", "n_used", "n_positive", r6("mean_margin", "mean_margin"), F.col("consensus").alias("status"))
 
 
@@ -589,9 +651,7 @@ def backbone_consensus(spark, sf_dir):
     "round(1 - (robustness + CASE cn.status WHEN 'strong_agreement' THEN 1.0 WHEN 'partial_agreement' THEN 0.72 WHEN 'weak_agreement' THEN 0.38 ELSE 0.18 END) / 2, 6) AS fragility FROM ti JOIN cn USING (label)"
 )
 def tier_update(spark, sf_dir):
-    from ..operators.backbone import consensus
-
-    seen = consensus(_evidence(spark, sf_dir).withColumn("status", F.lit("used")), ["label"])
+    seen = backbone.consensus(_evidence(spark, sf_dir).withColumn("status", F.lit("used")), ["label"])
     met = _assessed(spark, sf_dir).join(seen, "label")
     return met.select(
         "label", decisions.tier_update(F.col("tier"), F.col("flags"), F.col("consensus"), F.col("n_used")).alias("tier"),
@@ -613,10 +673,8 @@ def _pooled(x):
 )
 def embedding_udf(spark, sf_dir):
     """A model as a function in Arrow batches: channels pooled to mean and deviation."""
-    from ..operators.backbone import Model, embeddings
-
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, 16)).alias("data"))
-    x, _ = embeddings(rows.withColumn("channels", F.array(*[F.lit(f"C{k}") for k in range(4)])), [Model("pool", _pooled, batched=True)], ["id"])
+    x, _ = backbone.embeddings(rows.withColumn("channels", F.array(*[F.lit(f"C{k}") for k in range(4)])), [backbone.Model("pool", _pooled, batched=True)], ["id"])
     each = x.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("channel"))
     part = lambda k: F.round(F.get("x", F.col("channel") + k), 5) + F.lit(0.0)  # noqa: E731  (-0.0 is 0.0)
     return each.select("id", "channel", part(0).alias("mean"), part(4).alias("std"))
@@ -629,13 +687,11 @@ def embedding_udf(spark, sf_dir):
 )
 def model_input_patches(spark, sf_dir):
     """Channels matched by plain names, lost ones zero, cut into patches."""
-    from ..operators.backbone import Model, patches, prepared
-
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.array(F.lit("Fp-1"), F.lit("c 1")).alias("channels"), F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("data")
     )
-    made = prepared(rows, Model("m", _pooled, montage=("FP1", "C9", "C1")))
-    each = made.select("id", F.posexplode("data").alias("channel_idx", "s")).select("id", "channel_idx", F.posexplode(patches(F.col("s"), 4, 8)).alias("patch", "v"))
+    made = backbone.prepared(rows, backbone.Model("m", _pooled, montage=("FP1", "C9", "C1")))
+    each = made.select("id", F.posexplode("data").alias("channel_idx", "s")).select("id", "channel_idx", F.posexplode(backbone.patches(F.col("s"), 4, 8)).alias("patch", "v"))
     return each.select("id", F.col("channel_idx").cast("int").alias("channel_idx"), F.col("patch").cast("int").alias("patch"), F.round(expr.array_sum(F.transform("v", lambda e: e.cast("double"))), 5).alias("total"))
 
 
@@ -651,9 +707,10 @@ def event_overlap(spark, sf_dir):
     return checks.overlaps(e, "recording_id", "onset_seconds", "_end", "event_id")
 
 
-@query("WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS labels FROM c HAVING max(n) >= 3.0 * min(n)")
+@query("WITH c AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 10 = 0 THEN 'rare' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY ALL) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS labels FROM c HAVING max(n) >= 3.0 * min(n)")
 def class_imbalance(spark, sf_dir):
-    return checks.imbalance(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
+    o = table(spark, sf_dir, "orders").withColumn("status", F.when(F.col("o_orderkey") % 10 == 0, "rare").otherwise(F.col("o_orderstatus")))
+    return checks.imbalance(o, ["o_orderpriority", "status"])
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -669,11 +726,11 @@ def subject_leakage(spark, sf_dir):
 
 
 @query(
-    "WITH d AS (SELECT DISTINCT user_id % 7 AS branch, user_id AS collection, event_type AS channel FROM events), t AS (SELECT branch, count(DISTINCT collection) AS total FROM d GROUP BY branch), "
+    "WITH d AS (SELECT DISTINCT user_id % 7 AS branch, user_id AS collection, CASE WHEN event_id % 97 = 0 THEN 'extra' ELSE event_type END AS channel FROM events), t AS (SELECT branch, count(DISTINCT collection) AS total FROM d GROUP BY branch), "
     "s AS (SELECT branch, channel, count(*) AS n FROM d GROUP BY ALL) SELECT branch, count(*) FILTER (WHERE n = total) AS in_all, count(*) AS in_any FROM s JOIN t USING (branch) GROUP BY branch HAVING count(*) FILTER (WHERE n = total) < count(*)"
 )
 def montage_consistency(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("branch"), F.col("user_id").alias("collection"), F.col("event_type").alias("channel"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("branch"), F.col("user_id").alias("collection"), F.when(F.col("event_id") % 97 == 0, "extra").otherwise(F.col("event_type")).alias("channel"))
     return checks.inconsistent_montage(e, "branch", "collection", "channel")
 
 
@@ -687,28 +744,116 @@ def rate_mismatch(spark, sf_dir):
     return checks.mixed(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
 
 
+#: Events as a study's observations, with every fault that a study can have.
+_STUDY = (
+    "ob AS (SELECT 'col_' || user_id % 36 AS collection_id, 'r' || user_id % 40 AS recording_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE 's' || user_id % 20 END AS subject_id, CASE WHEN user_id % 37 = 0 THEN 'alone' ELSE 'f' || event_id % 2 END AS fam, "
+    "CASE WHEN user_id % 37 = 0 THEN 'only' WHEN event_id % 499 = 0 THEN 'single' || event_id WHEN event_id % 50 = 1 THEN 'rare' ELSE event_type END AS label, 'b' || user_id % 2 AS branch, 100.0 + CASE WHEN user_id % 13 = 0 THEN 10 ELSE 0 END AS rate, 'p' || user_id % 80 AS path, user_id % 5 = 0 AS wide FROM events), "
+    "sb AS (SELECT *, coalesce(nullif(subject_id, ''), recording_id) AS subject FROM ob)"
+)
+
+
 @query(
-    "WITH ob AS (SELECT 'col_' || user_id % 40 AS collection_id, 'r' || user_id % 40 AS recording_id, 's' || user_id % 20 AS subject_id, 'f' || event_id % 2 AS fam, event_type AS label, 'b' || user_id % 2 AS branch, 100.0 + CASE WHEN user_id % 13 = 0 THEN 10 ELSE 0 END AS rate, 'p' || user_id % 80 AS path, event_id FROM events) "
-    "SELECT 'error' AS level, 'study.recording_collision' AS code, count(*) AS n FROM (SELECT recording_id FROM ob GROUP BY 1 HAVING count(DISTINCT path) > 1) UNION ALL "
+    f"WITH {_STUDY} "
+    "SELECT 'error' AS level, 'study.empty' AS code, CAST(count(*) = 0 AS BIGINT) AS n FROM ob UNION ALL "
+    "SELECT 'warning', 'study.duplicate_collection_id', count(*) FROM (SELECT collection_id FROM (SELECT DISTINCT collection_id, recording_id, branch FROM ob) GROUP BY 1 HAVING count(*) > 1) UNION ALL "
+    "SELECT 'error', 'study.recording_collision', count(*) FROM (SELECT recording_id FROM ob GROUP BY 1 HAVING count(DISTINCT path) > 1) UNION ALL "
     "SELECT 'error', 'study.sample_rate_mismatch', count(*) FROM (SELECT fam, label, branch FROM ob GROUP BY ALL HAVING count(DISTINCT rate) > 1) UNION ALL "
-    "SELECT 'error', 'study.too_few_subjects', count(*) FROM (SELECT fam, label, branch FROM ob GROUP BY ALL HAVING count(DISTINCT subject_id) < 10) UNION ALL "
+    "SELECT 'error', 'study.too_few_subjects', count(*) FROM (SELECT fam, label, branch FROM sb GROUP BY ALL HAVING count(DISTINCT subject) < 10) UNION ALL "
+    "SELECT 'warning', 'study.too_few_trials', count(*) FROM (SELECT fam, label, branch FROM ob GROUP BY ALL HAVING count(*) < 2) UNION ALL "
+    "SELECT 'warning', 'study.weak_controls', count(*) FROM (SELECT fam, branch FROM ob GROUP BY ALL HAVING count(DISTINCT label) < 2) UNION ALL "
+    "SELECT 'warning', 'study.montage_inconsistent', count(*) FROM (SELECT branch FROM (SELECT branch, collection_id, bool_or(wide) AS w FROM ob GROUP BY ALL) GROUP BY branch HAVING bool_or(w) AND NOT bool_and(w)) UNION ALL "
     "SELECT 'warning', 'study.class_imbalance', count(*) FROM (SELECT 1 FROM (SELECT count(*) AS n FROM ob GROUP BY fam, label, branch) HAVING max(n) >= 3 * min(n)) UNION ALL "
-    "SELECT 'warning', 'study.subject_leakage_risk', count(*) FROM (SELECT DISTINCT a.label FROM ob a JOIN ob b ON a.subject_id = b.subject_id AND a.label < b.label) "
+    "SELECT 'warning', 'study.subject_leakage_risk', count(*) FROM (SELECT DISTINCT a.label FROM (SELECT DISTINCT label, subject FROM sb) a JOIN (SELECT DISTINCT label, subject FROM sb) b ON a.subject = b.subject AND a.label < b.label) "
 )
 def study_validation_report(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    tag = lambda p, k: F.concat(F.lit(p), F.col("user_id") % k)
+    u, i = F.col("user_id"), F.col("event_id")
+    tag = lambda p, k: F.concat(F.lit(p), u % k)
+    alone = u % 37 == 0
+    label = F.when(alone, "only").when(i % 499 == 0, F.concat(F.lit("single"), i)).when(i % 50 == 1, "rare").otherwise(F.col("event_type"))
     ob = e.select(
-        tag("col_", 40).alias("collection_id"), tag("r", 40).alias("recording_id"), tag("s", 20).alias("subject_id"), F.lit("ns").alias("label_namespace"), F.concat(F.lit("f"), F.col("event_id") % 2).alias("event_family"),
-        F.col("event_type").alias("target_label"), tag("b", 2).alias("branch_name"), "event_id", (F.lit(100.0) + F.when(F.col("user_id") % 13 == 0, 10).otherwise(0)).alias("sampling_rate_hz"),
-        tag("p", 80).alias("source_path"), F.array(F.lit("c0"), F.lit("c1")).alias("channels"),
+        tag("col_", 36).alias("collection_id"), tag("r", 40).alias("recording_id"), F.when(u % 3 == 0, "").otherwise(tag("s", 20)).alias("subject_id"), F.lit("ns").alias("label_namespace"),
+        F.when(alone, "alone").otherwise(F.concat(F.lit("f"), i % 2)).alias("event_family"), label.alias("target_label"), tag("b", 2).alias("branch_name"), "event_id", (F.lit(100.0) + F.when(u % 13 == 0, 10).otherwise(0)).alias("sampling_rate_hz"),
+        tag("p", 80).alias("source_path"), F.when(u % 5 == 0, F.array(F.lit("c0"), F.lit("c1"))).otherwise(F.array(F.lit("c0"))).alias("channels"),
     )
     found = checks.study_report(ob, min_subjects=10)
-    codes = spark.createDataFrame([("error", f"study.{c}") for c in ("recording_collision", "sample_rate_mismatch", "too_few_subjects")] + [("warning", f"study.{c}") for c in ("class_imbalance", "subject_leakage_risk")], "level string, code string")
+    codes = spark.createDataFrame([("error" if c in ("empty", "recording_collision", "sample_rate_mismatch", "too_few_subjects") else "warning", f"study.{c}") for c in STUDY_CODES], "level string, code string")
     counts = found.groupBy("level", "code").agg(F.count("*").alias("n"))
     return F.broadcast(codes).join(counts, ["level", "code"], "left").select("level", "code", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+STUDY_CODES = ("empty", "duplicate_collection_id", "recording_collision", "sample_rate_mismatch", "too_few_subjects", "too_few_trials", "weak_controls", "montage_inconsistent", "class_imbalance", "subject_leakage_risk")
+
+
+@query(
+    "WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN CAST(-value AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS onset, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS label FROM events) "
+    "SELECT message, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN trim(label) = '' THEN 'no target_label' END, CASE WHEN onset = 'abc' THEN 'onset_seconds is no number' END, CASE WHEN try_cast(nullif(onset, '') AS DOUBLE) < 0 THEN 'onset_seconds is negative' END], lambda x: x IS NOT NULL)) AS message FROM r) GROUP BY message"
+)
+def event_faults(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    onset = F.when(i % 5 == 0, "").when(i % 5 == 1, "abc").when(i % 5 == 2, (-F.col("value")).cast("string")).otherwise(F.col("value").cast("string"))
+    raw = e.select(F.concat(F.lit("e"), i).alias("event_id"), F.concat(F.lit("r"), F.col("user_id")).alias("recording_id"), onset.alias("onset"), F.lit("f").alias("family"), F.when(i % 7 == 0, " ").otherwise(F.col("event_type")).alias("label"), i.alias("_n"))
+    return event_source.faults(event_source.normalise(raw, ["_n"])).groupBy("message").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_EPOCHS}, lo AS (SELECT event_id, phase, channel, CASE WHEN event_id % 11 = 0 AND phase = 'onset' THEN 0 ELSE len(samples) END AS n, CASE WHEN event_id % 13 = 0 THEN 100.5 ELSE 100.0 END AS rate FROM ep WHERE NOT (event_id % 7 = 0 AND channel_idx = 3)), "
+    "it AS (SELECT event_id, phase, count(DISTINCT channel) AS c, max(n) AS most, min(rate) AS rate FROM lo GROUP BY ALL) "
+    "SELECT 'error' AS level, 'channels' AS what, count(*) AS n FROM it WHERE c <> 4 UNION ALL SELECT 'error', 'sampling', count(*) FROM it WHERE rate <> 100.0 UNION ALL SELECT 'warning', 'no', count(*) FROM it WHERE most <= 0"
+)
+def signal_contract(spark, sf_dir):
+    """Epochs with lost channels, another rate, and without samples."""
+    ep = _epochs(spark, sf_dir).filter(~((F.col("event_id") % 7 == 0) & (F.col("channel_idx") == 3)))
+    ep = ep.withColumn("samples", F.when((F.col("event_id") % 11 == 0) & (F.col("phase") == "onset"), F.array().cast("array<float>")).otherwise(F.col("samples")))
+    ep = ep.withColumn("sampling_rate_hz", F.when(F.col("event_id") % 13 == 0, 100.5).otherwise(RATE)).withColumn("unit", F.lit("c"))
+    found = checks.signal_findings(ep, ["unit"], ["event_id", "phase"], "epochs.signal_contract", F.lit(4), F.lit(RATE))
+    return found.groupBy("level", F.regexp_extract("message", "^[a-z]+", 0).alias("what")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE 'r' || s_suppkey END AS id, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 10 END AS n, s_suppkey % 4 AS c, s_suppkey % 6 = 0 AS bare FROM supplier) "
+    "SELECT level, code, count(*) AS n FROM (SELECT 'error' AS level, 'recording.invalid' AS code FROM r WHERE trim(id) = '' UNION ALL SELECT 'error', 'recording.invalid' FROM r WHERE n = 0 UNION ALL SELECT 'error', 'recording.channels' FROM r WHERE c = 0 UNION ALL "
+    "SELECT 'error', 'recording.channels' FROM r WHERE c = 1 UNION ALL SELECT 'warning', 'recording.channels' FROM r WHERE c = 2 UNION ALL SELECT 'warning', 'recording.provenance_missing' FROM r WHERE bare) GROUP BY ALL"
+)
+def recording_findings(spark, sf_dir):
+    k = F.col("s_suppkey")
+    names = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("a"), F.lit("a"))).when(k % 4 == 2, F.array(F.lit("a b"))).otherwise(F.array(F.lit("a")))
+    rec = table(spark, sf_dir, "supplier").select(
+        F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("r"), k)).alias("recording_id"), F.lit("p").alias("source_path"), F.lit("npz").alias("source_format"), names.alias("channel_names"), F.lit(RATE).alias("sampling_rate_hz"),
+        F.when(k % 5 == 0, 0).otherwise(10).alias("n_samples"), F.lit(0.1).alias("duration_seconds"), F.when(k % 6 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("loader_id"), F.lit("npz"))).alias("provenance"), F.lit(None).cast("string").alias("message"),
+    )
+    return checks.recording_report(rec).groupBy("level", "code").agg(F.count("*").alias("n"))
+
+
+_SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), '{1}')"
+
+
+@query(
+    f"SELECT p_partkey, 'patterns/' || {_SLUG.format('p_type', 'unspecified_event_family')} || '/' || {_SLUG.format('blank', 'all_sexes')} || '/' || {_SLUG.format('p_brand', 'all_modalities')} || '/' || {_SLUG.format('p_name', 'unknown')} AS package, "
+    f"CASE p_size % 5 WHEN 0 THEN 'signals/raw/' WHEN 1 THEN 'signals/processed/' WHEN 2 THEN 'derived/' WHEN 3 THEN 'reports/' ELSE 'support/' END || {_SLUG.format('p_name', 'unknown')} || CASE WHEN p_size % 3 = 0 THEN '' ELSE '.npz' END AS artifact FROM (SELECT *, '' AS blank FROM part)"
+)
+def package_routing(spark, sf_dir):
+    """Where packages and their artifacts go."""
+    p = table(spark, sf_dir, "part")
+    kinds = F.array(*map(F.lit, ("raw_eeg", "processed_epoch", "topography", "figure", "other")))
+    held = p.withColumn("kind", F.get(kinds, (F.col("p_size") % 5).cast("int")))
+    return held.select("p_partkey", paths.package_path("p_name", event_family="p_type", stimulus_modality="p_brand").alias("package"), paths.artifact_path("p_name", "kind", F.when(F.col("p_size") % 3 == 0, "ZARR").otherwise("NPZ"), F.lit(False)).alias("artifact"))
+
+
+@query(
+    "WITH n AS (SELECT unnest(['C3', 'C4', 'CZ', 'F3', 'EKG']) AS channel, unnest([0, 1, 2, 3, 4]) AS idx, unnest([-0.34, 0.34, 0.0, -0.34, NULL]) AS x, unnest([0.0, 0.0, 0.0, 0.58, NULL]) AS y), "
+    "z AS (SELECT *, sqrt(1 - least(0.990025, x * x + y * y)) AS z FROM n WHERE x IS NOT NULL), c AS (SELECT channel, idx, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y, z - avg(z) OVER () AS z FROM z), "
+    "s AS (SELECT *, sqrt(3 * avg(x * x + y * y + z * z) OVER ()) AS r FROM c) SELECT vec_id AS id, channel, round(x / r, 5) + 0.0::DOUBLE AS x, round(y / r, 5) + 0.0::DOUBLE AS y, round(z / r, 5) + 0.0::DOUBLE AS z, round(CAST(embedding[idx * 12 + 1] AS DOUBLE), 5) + 0.0::DOUBLE AS first FROM embeddings, s"
+)
+def model_input_positions(spark, sf_dir):
+    """Channels with a place on the head, centred and scaled; the others are left out."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(*map(F.lit, ("C3", "C4", "CZ", "F3", "EKG"))).alias("channels"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.slice("embedding", k * 12 + 1, 12)).alias("data"))
+    made = backbone.model_input(rows, "brainomni")
+    each = made.select("id", F.inline(F.arrays_zip(F.col("layout").alias("l"), F.col("data").alias("d"))))
+    return each.select("id", F.col("l.channel").alias("channel"), *[(F.round(F.col("l")[k], 5) + F.lit(0.0)).alias(k) for k in "xyz"], (F.round(F.get("d", F.lit(0)).cast("double"), 5) + F.lit(0.0)).alias("first"))
+
+
 @query(
     "SELECT n_nationkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(r_name || ' -- ' || n_name)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug FROM nation JOIN region ON n_regionkey = r_regionkey"
 )

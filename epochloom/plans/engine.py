@@ -182,12 +182,7 @@ class Engine:
 
     def observations(self, labels: Iterable[str] = (), branches: Iterable[str] = (), collections: Iterable[str] = ()) -> DataFrame:
         """Epoch rows for discovery; partition filters reach the scan."""
-        df = self.table("epochs")
-        for column, values in (("branch_name", branches), ("collection_id", collections), ("target_label", labels)):
-            wanted = sorted({v.strip() for v in values if v.strip()})
-            if wanted:
-                df = df.filter(F.col(column).isin(*wanted))
-        return df
+        return discovery.selected(self.table("epochs"), branch_name=branches, collection_id=collections, target_label=labels)
 
     def discover(self, run: str = "", labels: Iterable[str] = (), branches: Iterable[str] = (), collections: Iterable[str] = (), min_subjects: int = 2, max_exemplars: int = 6, seed: int = 0, null_iterations: int = 64, subsample_iterations: int = 32, overwrite: bool = False, event_matrix: bool = True) -> str:
         """Shared patterns of every label and branch; a run with its tables.
