@@ -68,6 +68,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (rid) LEFT JOIN ids USING (rid)
 """
 
+TIERED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+dn AS (SELECT rid, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+z AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM dn),
+it AS (SELECT row_number() OVER () AS iid, item_id, w FROM (SELECT DISTINCT item_id, {_WORDS} AS w, text FROM benchmark)),
+q AS (SELECT iid, t, count(*) AS k FROM (SELECT iid, unnest(w) AS t FROM it) GROUP BY iid, t),
+p AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM dn) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY t),
+m AS (SELECT rid, doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM dn, z),
+v AS (SELECT p.rid, m.doc_id, p.t, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS v FROM p JOIN f USING (t) JOIN m USING (rid)),
+s AS (SELECT iid, rid, any_value(doc_id) AS doc_id, CAST(sum(k * v) AS BIGINT) AS score FROM q JOIN v USING (t) GROUP BY iid, rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r JOIN it USING (iid) WHERE rank <= 20
+"""
+
 _TRACKING = "['fbclid', 'gclid', 'ref', 'sessionid', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term']"
 
 
@@ -107,4 +122,5 @@ ORACLES: dict[str, str] = {
     "op5_suffix_array": SUFFIX_ARRAY,
     "op7_decontaminate": DECONTAMINATE,
     "op10_warc": WARC,
+    "op12_tiered_search": TIERED_SEARCH,
 }
