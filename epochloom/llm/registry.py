@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, pieces, quality_rules, secrets, simhash, sql, suffix, tiered, toxicity, warc, weak_quality
+from . import decontaminate, html_text, ngram_join, pieces, quality_rules, secrets, simhash, sql, suffix, tiered, toxicity, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": weak_quality.op1_quality_classifier,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_warc": warc.op10_warc,
+    "op11_jaccard_join": ngram_join.op11_jaccard_join,
     "op12_tiered_search": tiered.op12_tiered_search,
     "pipeline": corpus_pipeline.run,
 }

@@ -83,6 +83,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r JOIN it USING (iid) WHERE rank <= 20
 """
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_sort(list_distinct(list_transform(range(greatest(len(w) - 4, least(len(w), 1))), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) AS s FROM d),
+c AS MATERIALIZED (SELECT row_number() OVER () AS cid, s, min(doc_id) AS first FROM s WHERE len(s) > 0 GROUP BY s),
+g AS MATERIALIZED (SELECT cid, len(s) AS n, unnest(s) AS g FROM c),
+p AS (SELECT x.cid AS a, y.cid AS b, x.n AS na, y.n AS nb, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.cid < y.cid GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * o >= 80 * (na + nb - o)),
+ed AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT cid, cid FROM c UNION SELECT r.a, ed.b FROM r JOIN ed ON r.b = ed.a),
+root AS (SELECT r.a AS cid, min(c.first) AS component_id FROM r JOIN c ON c.cid = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE component_id END AS component_id
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN root USING (cid)
+"""
+
 _TRACKING = "['fbclid', 'gclid', 'ref', 'sessionid', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term']"
 
 
@@ -122,5 +136,6 @@ ORACLES: dict[str, str] = {
     "op5_suffix_array": SUFFIX_ARRAY,
     "op7_decontaminate": DECONTAMINATE,
     "op10_warc": WARC,
+    "op11_jaccard_join": JACCARD_JOIN,
     "op12_tiered_search": TIERED_SEARCH,
 }
