@@ -2,12 +2,10 @@
 
 Every line is judged by itself (symbols, navigation, shouting, boilerplate,
 punctuation); failing lines are removed, and a document is rejected if a base
-figure is out of bounds or if the lines removed hold too much of its text.
-Boilerplate is taken away but doesn't count as lost text: a clean document
-with a licence line stays. As it doesn't count, only short stretches may go as
-boilerplate: of a long line (a paragraph, a text without line ends) the short
-sentences with a phrase, never the line. A document with no word left once
-boilerplate is out is rejected, not passed on empty.
+figure is out of bounds, if what was removed is too much of its text, or if too
+few words are left. All that goes counts, boilerplate, too. Of a long line with
+a boilerplate phrase (a paragraph, a text without line ends) only the short
+sentences with a phrase go, never the line.
 """
 
 from __future__ import annotations
@@ -117,7 +115,7 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> dict:
     words = data.split()
     n = len(words)
     seen: set[str] = set()
-    dup = lost = gone = cut = 0
+    dup = gone = 0
     n_symbols = sum(map(text.count, SYMBOLS))
     phrases = _says(text)
     kept_lines, faults = [], Counter()
@@ -135,16 +133,11 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> dict:
         else:
             faults[fault] += 1
             gone += k
-            if fault != "boilerplate":
-                lost += k
-                continue
-            cut += 1
-            rest = _without_boilerplate(line, k, rules)
+            rest = _without_boilerplate(line, k, rules) if fault == "boilerplate" else None
             if rest is not None:
                 kept_lines.append(rest)
                 gone -= len(encode(rest).split())
     repeat = _repeat_words(words, rules.repeat_window)
-    bare = cut > 0 and gone == n
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
     return {
         "n_words": n,
@@ -154,8 +147,8 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> dict:
         "n_repeat_words": repeat,
         "base_failed": failed,
         "n_lines_removed": sum(faults.values()),
-        "n_words_lost": lost,
-        "kept": not failed and not bare and lost <= rules.max_lost_share * n,
+        "n_words_lost": gone,
+        "kept": not failed and gone <= rules.max_lost_share * n and n - gone >= rules.min_words,
         "clean_text": "\n".join(kept_lines) if faults else text,
     }
 

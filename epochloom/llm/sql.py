@@ -30,14 +30,13 @@ lv AS (SELECT rid, line, len(w) AS n, CASE
     FROM lw WHERE len(w) > 0),
 lr AS (SELECT *, CASE WHEN fault IS NULL THEN n WHEN fault = 'boilerplate' AND n >= 20 THEN len(regexp_extract_all(array_to_string(list_filter(string_split({_MARKED}, chr(57344)),
     lambda x: NOT ({_PHRASES.format('lower(x)')}) OR len(regexp_extract_all(x, {_W})) >= 20), ''), {_W})) ELSE 0 END AS n_left FROM lv),
-ls AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count(fault) AS n_lines_removed, coalesce(sum(n) FILTER (WHERE fault <> 'boilerplate'), 0) AS n_words_lost,
-    coalesce(bool_or(fault = 'boilerplate'), false) AND sum(n_left) = 0 AS bare FROM lr GROUP BY rid),
+ls AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count(fault) AS n_lines_removed, coalesce(sum(n - n_left), 0) AS n_words_lost FROM lr GROUP BY rid),
 f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_lost, 0) AS n_words_lost, coalesce(bare, false) AS bare
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_lost, 0) AS n_words_lost
     FROM d JOIN wl USING (rid) LEFT JOIN rp USING (rid) LEFT JOIN ls USING (rid))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(n_words_lost AS BIGINT) AS n_words_lost,
-    (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT bare AND n_words_lost <= 0.5 * n_words) AS kept FROM f
+    (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words_lost <= 0.5 * n_words AND n_words - n_words_lost >= 10) AS kept FROM f
 """
 
 SUFFIX_ARRAY = """
