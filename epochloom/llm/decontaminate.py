@@ -8,7 +8,9 @@ offsets in the original text.
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections import defaultdict
 
 import ahocorasick
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode, materialise, only, read, sha, slices
+from .common import encode, materialise, only, read, sha, shared_dir, slices
 
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; all
 #: else is a gap. The same words as the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -90,7 +92,8 @@ def _index_of(shared, tag: str, width: int) -> WindowIndex:
 
 def item_pieces(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH, most: int = PIECE_BYTES) -> DataFrame:
     """id, text: the words of each item, long items in overlapping pieces that
-    have the same windows. Items without an id or without words give none."""
+    have the same windows; equal rows are one. Items without an id or without
+    words give none."""
     src = only(items, id_col, text_col).filter(F.col(f"`{id_col}`").isNotNull())
 
     def run(batches):
@@ -107,29 +110,30 @@ def item_pieces(items: DataFrame, id_col: str = "item_id", text_col: str = "text
                         start, size = at - width + 2, sum(map(len, words[max(0, at - width + 2) : at + 1])) + width
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(texts, pa.string())], ["id", "text"])
 
-    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, text string")
+    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, text string").distinct()
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH, most: int = BLOCK_BYTES):
-    """The items in blocks of at most ``most`` bytes, one block after another
-    on the driver: lists of (id, text). Sizes are measured first; what fits is
-    one block, else pieces are dealt by hash to more blocks until each fits."""
+    """The items in blocks of about ``most`` bytes, one block after another on
+    the driver: lists of (id, text). What fits is one block; else the pieces
+    come partition by partition and are cut as they come, a piece that is larger
+    by itself (a window of very long words) being a block of its own."""
     found = item_pieces(items, id_col, text_col, width, min(PIECE_BYTES, most // 4))
     size = F.octet_length("text") + 16
     total = found.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     if total <= most:
         yield [(r[0], r[1]) for r in found.collect()]
         return
-    n = -(-2 * total // most)
-    found = materialise(found, "benchmark-pieces")
-    while True:
-        dealt = found.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-        fullest = dealt.groupBy("block").agg(F.sum(size).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        if fullest <= most:
-            break
-        n *= 2
-    for k in range(n):
-        yield [(r[0], r[1]) for r in dealt.filter(F.col("block") == k).select("id", "text").collect()]
+    found = materialise(found.repartition(-(-total // most)), "benchmark-pieces")
+    block, held = [], 0
+    for r in found.toLocalIterator():
+        mine = len(encode(r[1])) + 16
+        if block and held + mine > most:
+            yield block
+            block, held = [], 0
+        block.append((r[0], r[1]))
+        held += mine
+    yield block
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -142,75 +146,83 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 5, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, ``keep`` columns, n_words, n_hit, item_ids (sorted as strings),
     hits (offsets of hit ranges), contaminated: one row per row of ``docs``.
 
     No shuffle; the automaton goes to the executors with the task. Items of
-    more than ``block_bytes`` are several automata, one pass over the texts for
-    each; between passes the rows, with the ranges and items found so far, are
-    written to the shared folder, so that memory holds one automaton at a time.
+    more than ``block_bytes`` are several automata, one at a time: the rows are
+    written once, numbered, every pass reads them and writes what it found of
+    the rows with hits alone, and these are joined in the end.
     Null texts have no words; null items give no window, null item ids are no
     items; repeated items count once; an empty table on either side gives no
     hit.
     """
     spark = docs.sparkSession
     rest = [c for c in keep if c != text_col]
-    now = only(docs, id_col, text_col, *rest)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema if f.name != text_col or text_col in keep)
-    schema = f"{head}, n_words long, n_hit long, item_ids array<string>, hits array<struct<s:int,e:int>>, contaminated boolean"
-    spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    names = now.columns
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema)
-
-    def scanned(batch, index) -> list[tuple[str, int, list, set]]:
-        """text, number of words, merged ranges, items: with what earlier passes found."""
-        out = []
-        before = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()) if batch.num_columns > len(names) else None
-        for cell in batch.column(1):
-            text = cell.as_py() or ""
-            n, ranges, found = index.scan(text)
-            found = set(map(str, found))
-            if before is not None:
-                old, ids = next(before)
-                ranges, found = _merged([*ranges, *((r["s"], r["e"]) for r in old)]), found | set(ids)
-            out.append((text, n, ranges, found))
-        return out
-
-    def part(shared, tag):
+    src = only(docs, id_col, text_col, *rest)
+    names = src.columns
+    held = [name for name in names if name != text_col or text_col in keep]
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in held) + ", n_words long, n_hit long, item_ids array<string>, hits array<struct<s:int,e:int>>, contaminated boolean"
+
+    def judged(batch, rows):
+        """Output rows from (text, number of words, merged ranges, items)."""
+        n, hit = [r[1] for r in rows], [sum(e - s for s, e in r[2]) for r in rows]
+        at = [[{"s": s, "e": e} for s, e in WindowIndex.offsets(r[0], r[2])] for r in rows]
+        bad = [h > 0 and 100 * h >= percent * k for h, k in zip(hit, n)]
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in held], pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string())), pa.array(at, _SPANS), pa.array(bad, pa.bool_())],
+            [*held, "n_words", "n_hit", "item_ids", "hits", "contaminated"],
+        )
+
+    def whole(shared, tag):
         def run(batches):
             index = _index_of(shared, tag, width)
             for batch in slices(batches):
-                rows = scanned(batch, index)
-                ranges = pa.array([[{"s": s, "e": e} for s, e in r[2]] for r in rows], spans)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ranges, pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string()))], [*names, "_ranges", "_items"])
+                texts = [t.as_py() or "" for t in batch.column(text_col)]
+                rows = [(t, *index.scan(t)) for t in texts]
+                yield judged(batch, [(t, n, ranges, set(map(str, found))) for t, n, ranges, found in rows])
 
         return run
 
-    def last(shared, tag):
+    def one_pass(shared, tag):
+        """_row, _ranges, _items of the rows that a block of items hits."""
+
         def run(batches):
             index = _index_of(shared, tag, width)
             for batch in slices(batches):
-                rows = scanned(batch, index)
-                n, hit = [r[1] for r in rows], [sum(e - s for s, e in r[2]) for r in rows]
-                at = [[{"s": s, "e": e} for s, e in index.offsets(r[0], r[2])] for r in rows]
-                bad = [h > 0 and 100 * h >= percent * k for h, k in zip(hit, n)]
-                held = [c for c, name in zip(batch.columns, names) if name != text_col or text_col in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*held, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string())), pa.array(at, spans), pa.array(bad, pa.bool_())],
-                    [*[name for name in names if name != text_col or text_col in keep], "n_words", "n_hit", "item_ids", "hits", "contaminated"],
-                )
+                found = [(row.as_py(), *index.scan(t.as_py())[1:]) for row, t in zip(batch.column(0), batch.column(1))]
+                found = [f for f in found if f[1]]
+                ranges = pa.array([[{"s": s, "e": e} for s, e in f[1]] for f in found], _SPANS)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), ranges, pa.array([sorted(map(str, f[2])) for f in found], pa.list_(pa.string()))], ["_row", "_ranges", "_items"])
 
         return run
 
+    def joined(batches):
+        for batch in slices(batches):
+            rows = []
+            for t, ranges, found in zip(batch.column(text_col), batch.column("_ranges"), batch.column("_items")):
+                text = t.as_py() or ""
+                rows.append((text, len(words_of(text)), _merged([(r["s"], r["e"]) for r in ranges.as_py() or []]), set(found.as_py() or [])))
+            yield judged(batch, rows)
+
     blocks = item_blocks(items, width=width, most=block_bytes)
-    block = next(blocks)
-    for following in blocks:
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return src.mapInArrow(whole(spark.sparkContext.broadcast(first), sha(repr(first))), schema)
+    rows = materialise(src.withColumn("_row", F.monotonically_increasing_id()), "benchmark-rows")
+    folder = f"{shared_dir(spark)}/benchmark-hits-{uuid.uuid4().hex}"
+    found = "_row long, _ranges array<struct<s:int,e:int>>, _items array<string>"
+    for k, block in enumerate(itertools.chain([first, second], blocks)):
         shared = spark.sparkContext.broadcast(block)
-        now = materialise(now.mapInArrow(part(shared, sha(repr(block))), f"{typed}, _ranges array<struct<s:int,e:int>>, _items array<string>"), "benchmark-pass")
+        rows.select("_row", text_col).mapInArrow(one_pass(shared, sha(repr(block))), found).write.parquet(f"{folder}/pass={k}")
         shared.destroy()
-        block = following
-    return now.mapInArrow(last(spark.sparkContext.broadcast(block), sha(repr(block))), schema)
+    hits = spark.read.schema(found).parquet(folder).groupBy("_row").agg(F.flatten(F.collect_list("_ranges")).alias("_ranges"), F.flatten(F.collect_list("_items")).alias("_items"))
+    return rows.join(hits.hint("merge"), "_row", "left").mapInArrow(joined, schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
