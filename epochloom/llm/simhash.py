@@ -295,14 +295,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def _row_key(id_col: str, text_col: str):
+    """A string that sorts by id (null last), then by hashes of the text. One
+    value that is never null, so that a join and the grouping after it agree on
+    how rows are dealt, and texts move once."""
+    word = lambda c: F.lpad(F.hex(c), 16, "0")
+    number = F.coalesce(F.col(id_col), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(F.when(F.col(id_col).isNull(), "1").otherwise("0"), word(number), word(F.xxhash64(text_col)), word(F.hash(text_col).cast("long")))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """A documents table with one row of each component: the one with the
     smallest id, rows without an id last, then by hashes of the text. Rows that
     are nobody's copy all stay, whatever their id; of rows equal in id and text
-    one stays."""
-    none = F.col("doc_id").isNull()
-    key = F.struct(none.alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_row", key)
+    one stays. Texts are shuffled once."""
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_row", _row_key("doc_id", "text"))
     groups = near_duplicates(rows, "_row")
-    keep = groups.filter(F.col("_row") == F.col("component_id")).select("_row").distinct()
-    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    keep = materialise(groups.filter(F.col("_row") == F.col("component_id")).select("_row").distinct(), "kept-rows")
+    return rows.join(keep.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
