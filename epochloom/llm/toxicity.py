@@ -41,8 +41,10 @@ SEPARATORS = " .-_*'~^"
 _STRIP = ".,;:!?\"'()[]{}<>«»“”‘’…%&#*|$"
 _BETWEEN = r"[\s.\-_*'~^]"
 _SINGLE = r"[^\W_]|[@$!|€£¡]"
-#: Three or more single letters or signs for letters, set apart by white space or separators.
-_SPACED = re.compile(rf"(?<!\S)(?:(?:{_SINGLE}){_BETWEEN}+){{2,}}(?:{_SINGLE})(?!\S)")
+#: Three or more single letters or signs for letters, set apart by white space or
+#: separators. Marks may stand before and after (quotes, brackets, the end of a
+#: sentence), but no letter or digit.
+_SPACED = re.compile(rf"(?<![^\W_])(?:(?:{_SINGLE}){_BETWEEN}+){{2,}}(?:{_SINGLE})(?![^\W_])")
 _LETTER = re.compile(r"[^\W\d_]")
 #: A word is looked at if a sign stands beside a letter inside it, or a letter comes three times.
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*#.\-_'~^]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2}|([^\W\d_])\1\1")
