@@ -2,21 +2,29 @@
 with vertical partitioning.
 
 1. Every document becomes the set of hashes of its shingles; documents of equal
-   sets are one class. Two linked sets share a shingle among the first of each
-   in any global order (as many as a linked partner may lack, and one). With
-   the order of the hashes this finds, from a fifth of the shingles, the
-   classes that have a partner at all; only their whole sets go on.
-2. Shingles that one class alone holds are counted and forgotten. The others are
-   put into a global order, rare ones first, and the order is cut into fragments
-   of equal numbers of postings: a class has one segment in each.
+   sets are one class. A linked partner lacks at most a fifth of a set, so all
+   but a fifth of it must be shared of the shingles below any bound, too. Those
+   in the lowest three tenths of the hash values are dealt by ranges of the hash
+   to fragments, each fragment counts by itself how many a class shares there,
+   and the counts are summed: classes that share too few have no partner. Only
+   the others' whole sets go on.
+2. The whole sets are dealt and counted in the same way, which gives each
+   shingle its frequency. Shingles of one class alone are forgotten; the others
+   are put into a global order, rare ones first, and that order is cut into
+   fragments of equal numbers of postings: a class has one segment in each.
 3. Candidates share a shingle among the first of both in that order. First each
-   posting list pairs its members with one of them (the list's leader): whoever
-   is linked to the same leader needs no further look at one another, so that a
-   group of near copies costs as many pairs as it has members. Then the lists
-   that still hold members of different leaders give the remaining pairs, in
-   tiles, if lengths, positions and segment sizes leave them a chance.
+   posting list offers its members one of them as leader, and a class is
+   compared with one leader: whoever is linked to the same leader needs no
+   further look at one another, so that a group of near copies costs as many
+   pairs as it has members. Then the lists that still hold members of different
+   leaders give the remaining pairs, in tiles. Lengths, positions and segment
+   sizes discard pairs before they are counted.
 4. The overlap of a pair is counted segment by segment, each fragment by itself,
    and the counts are summed per pair. Links become components.
+
+Shingles that very many classes hold are known from a sample; that they are
+shared is then sure, so they need no counting and never meet in one task. Their
+frequency only orders them, and any order is right.
 """
 
 from __future__ import annotations
@@ -24,11 +32,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import encode, materialise, only, partitions, read, slices
-from .simhash import components, spread_join
+from .simhash import HEAVY, components, spread_join
 
 WIDTH, PERCENT, FRAGMENTS = 5, 80, 8
 #: The most members of a posting list on either side of a tile.
@@ -37,8 +45,11 @@ TILE = 1024
 PAIRS = 200
 #: Frequencies above it are equal in the global order.
 TOP = 65_535
-#: The most classes whose keys are broadcast (16 bytes each).
+#: The most classes whose keys are broadcast (8 bytes each).
 BROADCAST_ROWS = 500_000
+#: Entries of a sample for frequent shingles, and about as many in a fragment.
+SAMPLE = 5_000_000
+ENTRIES = 2_000_000
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,91 +79,213 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return (percent * n + 99) // 100
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, whole: bool) -> DataFrame:
-    """id, key (digest of the set; null: no words), n, h: the whole set or what
-    of it comes first in the order of the hashes."""
+#: The share of hash values that partners are looked for by, and its bound.
+SPAN = 0.3
+_BOUND = int(SPAN * 2.0**64) - (1 << 63)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool) -> DataFrame:
+    """id, key (digest of the set; null: no words), k (its first eight bytes),
+    n, h: the whole set or what of it has a hash below the bound."""
     src = only(docs, id_col, text_col)
 
     def run(batches):
         for batch in slices(batches):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            n = np.array([len(s) for s in sets], np.int64)
-            cut = sets if whole else [s[: len(s) - needed(len(s), percent) + 1] for s in sets]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in cut]))).astype(np.int32)
-            values = pa.array(np.concatenate(cut) if cut else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "key", "n", "h"])
+            short = pa.array([int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys], pa.int64())
+            cut = sets if whole else [s[: np.searchsorted(s, _BOUND)] for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), short, pa.array([len(s) for s in sets], pa.int64()), _lists(cut)], ["id", "key", "k", "n", "h"])
 
-    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, key binary, n long, h array<long>")
+    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, key binary, k long, n long, h array<long>")
 
 
-def _one_each(sets: DataFrame) -> DataFrame:
-    """A row for each class."""
-    return sets.filter("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("h").alias("h"))
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def _kept(rows: DataFrame, keys: DataFrame, broadcast_rows: int) -> DataFrame:
-    """The rows of the given keys; those are broadcast only if they are few."""
-    return rows.join(F.broadcast(keys) if keys.count() <= broadcast_rows else keys.hint("merge"), "key", "left_semi")
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists."""
+    return column.value_parent_indices().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _with_partners(base: DataFrame) -> DataFrame:
-    """key of the classes that share one of their first shingles with another."""
-    rows = materialise(_one_each(base).select("key", F.explode("h").alias("h")), "first-shingles")
-    often = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    return spread_join(rows, often, "h", rows.count()).select("key").distinct()
+def _frequent(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that very many classes of a sample hold, at
+    most a hundred thousand, and about how many hold them in all."""
+    part = min(1.0, SAMPLE / max(total, 1))
+    sample = (sets if part == 1.0 else sets.sample(part, 7)).select("c", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y"))
+    found = sorted((r["h"], round(r["n"] / part)) for r in sample.filter((F.col("n") > max(HEAVY, min(total, SAMPLE) // 100_000)) & (F.col("x") != F.col("y"))).select("h", "n").collect())
+    return np.array([h for h, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
-def _levels(counts: DataFrame) -> DataFrame:
-    """level, before, postings, total: for each frequency (up to TOP) where its
-    shingles lie in the global order."""
-    rows = counts.groupBy(F.least("n", F.lit(TOP)).cast("int").alias("level")).agg(F.sum("n").alias("postings")).collect()  # at most TOP rows
+def shared_shingles(sets: DataFrame, lists: bool, block: int = 1 << 13) -> DataFrame:
+    """What each class (c, h) shares with others, fragment by fragment. With
+    ``lists`` c, h, df: the shingles and their frequencies; else c, many: only
+    how many. A class that comes twice is no other.
+
+    Rows are packed: for each block of classes and each fragment one row with
+    lists, so that an entry is ten bytes in the shuffle.
+    """
+    spark = sets.sparkSession
+    total = sets.agg(F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("n")).first()["n"]
+    often, about = _frequent(sets, total)
+    shared = spark.sparkContext.broadcast((often, np.minimum(about, TOP).astype(np.int32)))
+    tasks = partitions(spark)
+    n_fragments = max(4 * tasks, total // ENTRIES)
+
+    def deal(batches):
+        often, _ = shared.value
+        seen: set[int] = set()
+        for batch in slices(batches, block):
+            c = batch.column(0).to_numpy(zero_copy_only=False)
+            doc, h = _flat(batch.column(1))
+            if not lists:  # copies: once for each task, as far as it remembers
+                fresh = np.array([x not in seen and not seen.add(x) for x in c.tolist()], bool)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                doc, h = doc[fresh[doc]], h[fresh[doc]]
+            place = np.minimum(np.searchsorted(often, h), max(len(often) - 1, 0))
+            hot = often[place] == h if len(often) else np.zeros(len(h), bool)
+            fragment = ((h / 2.0**64 + 0.5) / (1.0 if lists else SPAN) * n_fragments).astype(np.int64)  # any number will do, if equal hashes have equal ones
+            fragment[hot] = -1 - doc[hot] % tasks
+            order = np.argsort(fragment, kind="stable")
+            at = np.flatnonzero(np.concatenate(([True], np.diff(fragment[order]) != 0))) if len(order) else order
+            parts = np.split(order, at[1:]) if len(order) else []
+            docs, index = zip(*(np.unique(doc[x], return_inverse=True) for x in parts)) if parts else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fragment[order][at].astype(np.int32)), _lists([c[x] for x in docs]), _lists([x.astype(np.int16) for x in index]).cast(pa.list_(pa.int16())), _lists([h[x] for x in parts])], ["fragment", "c", "at", "h"]
+            )
+
+    def counted(fragment: int, c: np.ndarray, h: np.ndarray):
+        if fragment < 0:
+            df = shared.value[1][np.searchsorted(shared.value[0], h)]
+        else:
+            order = np.lexsort((c, h))
+            c, h = c[order], h[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            c, h = c[first], h[first]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            run = np.cumsum(new) - 1
+            df = np.bincount(run)[run]
+            c, h, df = c[df > 1], h[df > 1], np.minimum(df[df > 1], TOP).astype(np.int32)
+        if not lists:
+            c, many = np.unique(c, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(many)], ["c", "many"])
+        order = np.argsort(c, kind="stable")
+        c, h, df = c[order], h[order], df[order]
+        each, at = np.unique(c, return_index=True)
+        offsets = pa.array(np.append(at, len(c)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(each), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(df))], ["c", "h", "df"])
+
+    def count(batches):
+        now, held = None, []
+        for batch in batches:
+            at, values = _flat(batch.column("at"))
+            c = batch.column("c")
+            starts = c.offsets.to_numpy()[:-1] - c.offsets[0].as_py()
+            which = c.flatten().to_numpy()[starts[at] + values]
+            h = batch.column("h").flatten().to_numpy()
+            for k, fragment in enumerate(batch.column(0).to_pylist()):
+                if fragment != now and held:
+                    yield counted(now, *map(np.concatenate, zip(*held)))
+                    held = []
+                now = fragment
+                low, high = np.searchsorted(at, (k, k + 1))
+                held.append((which[low:high], h[low:high]))
+        if held:
+            yield counted(now, *map(np.concatenate, zip(*held)))
+
+    dealt = sets.select("c", "h").mapInArrow(deal, "fragment int, c array<long>, at array<smallint>, h array<long>")
+    dealt = dealt.repartition(tasks, "fragment").sortWithinPartitions("fragment")
+    return dealt.mapInArrow(count, "c long, h array<long>, df array<int>" if lists else "c long, many long")
+
+
+def _with_partners(base: DataFrame, percent: int) -> DataFrame:
+    """k of the classes that share enough of their shingles below the bound, or
+    have so few there that all might be their own."""
+    held = base.filter("key IS NOT NULL")
+    many = shared_shingles(held.select(F.col("k").alias("c"), "h"), lists=False).groupBy("c").agg(F.sum("many").alias("many"))
+    least = F.size("h") - (F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
+    sizes = held.groupBy(F.col("k").alias("c")).agg(F.min(least).alias("least"))
+    return sizes.join(many.hint("merge"), "c", "left").filter(F.coalesce("many", F.lit(0)) >= F.col("least")).select(F.col("c").alias("k"))
+
+
+def _whole_sets(docs: DataFrame, partners: DataFrame, id_col: str, text_col: str, width: int, broadcast_rows: int) -> DataFrame:
+    """c (a number), key, n, h: one row for each class that may have a partner.
+    The keys are broadcast only if they are few."""
+    few = partners.count() <= broadcast_rows
+    rows = _sets(docs, id_col, text_col, width, whole=True).join(F.broadcast(partners) if few else partners.hint("merge"), "k", "left_semi")
+    each = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("h").alias("h"))
+    return each.withColumn("c", F.monotonically_increasing_id())  # kept, as the table is written
+
+
+def _cuts(shared: DataFrame, fragments: int) -> list[tuple[int, int]]:
+    """Where the global order (frequency, hash) is cut: fragments of equal
+    numbers of postings; within a frequency hashes are even."""
+    rows = shared.select(F.explode("df").alias("df")).groupBy("df").agg(F.count("*").alias("n")).orderBy("df").collect()  # TOP rows at most
+    total = sum(r["n"] for r in rows)
     out, before = [], 0
-    for r in sorted(rows):
-        out.append((r["level"], before, r["postings"]))
-        before += r["postings"]
-    return counts.sparkSession.createDataFrame(out, "level int, before long, postings long").withColumn("total", F.lit(before))
+    for r in rows:
+        while len(out) < fragments - 1 and (len(out) + 1) * total / fragments <= before + r["n"]:
+            part = ((len(out) + 1) * total / fragments - before) / r["n"]
+            out.append((r["df"], min((1 << 63) - 1, int((part - 0.5) * 2.0**64))))
+        before += r["n"]
+    return out
 
 
 def segments(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """key, n, frag, seg (hashes in global order), before (shared shingles of
-    the class in earlier fragments), sizes (of all its segments): the classes
-    that share enough shingles with others to be linked."""
-    rows = sets.select("key", "n", F.explode("h").alias("h")).withColumnsRenamed({"n": "size"})
-    counts = materialise(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shingle-counts")
-    levels = F.broadcast(_levels(counts))
-    place = (F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * F.col("postings") + F.col("before")
-    frag = F.least(F.floor(place * fragments / F.col("total")).cast("int"), F.lit(fragments - 1))
-    lookup = counts.withColumn("level", F.least("n", F.lit(TOP)).cast("int")).join(levels, "level").select("h", "n", "level", frag.alias("frag"))
-    placed = spread_join(rows, lookup, "h", sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
-    cut = placed.groupBy("key", "size", "frag").agg(F.array_sort(F.collect_list(F.struct("level", "h"))).alias("s"))
-    cut = cut.select("key", F.col("size").alias("n"), "frag", F.col("s.h").alias("seg"))
-    whole = cut.groupBy("key", "n").agg(F.collect_list(F.struct("frag", "seg")).alias("segs"))
-    at = F.expr(f"transform(sequence(0, {fragments - 1}), f -> aggregate(segs, 0, (a, s) -> a + if(s.frag = f, size(s.seg), 0)))")
-    whole = whole.withColumn("sizes", at).withColumn("shared", F.expr("aggregate(sizes, 0, (a, x) -> a + x)"))
-    whole = whole.filter(F.expr(f"shared >= ({percent} * n + 99) div 100"))
-    out = whole.select("key", "n", "shared", "sizes", F.explode("segs").alias("s")).select("key", "n", "shared", "sizes", "s.frag", "s.seg")
-    return out.withColumn("before", F.expr("aggregate(slice(sizes, 1, frag), 0, (a, x) -> a + x)"))
+    """c, n, shared (shingles that others have, too), sizes (of all segments),
+    frag, seg (hashes in global order), before (in earlier segments): of the
+    classes that share enough shingles to be linked."""
+    shared = materialise(shared_shingles(sets, lists=True), "shared-shingles")
+    cuts = _cuts(shared, fragments)
+    whole = shared.groupBy("c").agg(F.flatten(F.collect_list("h")).alias("h"), F.flatten(F.collect_list("df")).alias("df"))  # one class's own
+    whole = whole.join(sets.select("c", "n").hint("merge"), "c").filter(F.size("h") >= F.expr(f"({percent} * n + 99) div 100"))
+
+    def run(batches):
+        level, low = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+        for batch in slices(batches):
+            out = []
+            for c, n, h, df in zip(batch.column("c").to_pylist(), batch.column("n").to_pylist(), batch.column("h"), batch.column("df")):
+                h, df = h.values.to_numpy(), df.values.to_numpy()
+                order = np.lexsort((h, df))
+                h, df = h[order], df[order]
+                frag = np.zeros(len(h), np.int64)
+                for a, b in zip(level, low):
+                    frag += (df > a) | ((df == a) & (h >= b))
+                sizes = np.bincount(frag, minlength=fragments).astype(np.int32)
+                ends = np.cumsum(sizes)
+                out += [(c, n, len(h), sizes, k, h[ends[k] - sizes[k] : ends[k]], ends[k] - sizes[k]) for k in np.flatnonzero(sizes).tolist()]
+            cols = list(zip(*out)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), _lists(list(cols[3])).cast(pa.list_(pa.int32())), pa.array(cols[4], pa.int32()), _lists(list(cols[5])).cast(pa.list_(pa.int64())), pa.array(cols[6], pa.int32())],
+                ["c", "n", "shared", "sizes", "frag", "seg", "before"],
+            )
+
+    return whole.select("c", "n", "h", "df").mapInArrow(run, "c long, n long, shared int, sizes array<int>, frag int, seg array<long>, before int")
 
 
 def _prefixes(segs: DataFrame, percent: int) -> DataFrame:
-    """h, key, n, shared, sizes, pos: the first shingles of each class. Those of
+    """h, c, n, shared, sizes, pos: the first shingles of each class. Those of
     its own came before and have used up some of the places."""
     room = F.col("shared") - F.expr(f"({percent} * n + 99) div 100") + 1 - F.col("before")
     first = segs.filter(room > 0).withColumn("first", F.slice("seg", 1, room.cast("int")))
-    return first.select("key", "n", "shared", "sizes", "before", F.posexplode("first").alias("at", "h")).withColumn("pos", (F.col("before") + F.col("at")).cast("int")).drop("before", "at")
+    return first.select("c", "n", "shared", "sizes", "before", F.posexplode("first").alias("at", "h")).select("h", "c", F.col("n").alias("size"), "shared", "sizes", (F.col("before") + F.col("at")).alias("pos"))
 
 
 def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     """a, b, overlap: for pairs of classes the shingles they share, counted
     fragment by fragment and summed. A class of very many pairs has its segments
     sent to several tasks, so many pairs to each."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
+    pairs = pairs.select("a", "b")
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PAIRS).cast("int"))
     dealt = spread_join(pairs, many, "a", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
-    left = segs.select(F.col("key").alias("a"), "frag", F.col("seg").alias("left")).join(many.select("a", "copies").hint("merge"), "a")
+    left = segs.select(F.col("c").alias("a"), "frag", F.col("seg").alias("left")).join(many.select("a", "copies").hint("merge"), "a")
     left = left.select("a", "frag", "left", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    right = segs.select(F.col("key").alias("b"), "frag", F.col("seg").alias("right"))
+    right = segs.select(F.col("c").alias("b"), "frag", F.col("seg").alias("right"))
     met = dealt.hint("merge").join(left, ["a", "copy"]).select("a", "b", "frag", "left").join(right.hint("merge"), ["b", "frag"])
     partial = met.select("a", "b", F.size(F.array_intersect("left", "right")).alias("overlap"))
     return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
@@ -165,32 +298,30 @@ def linked(pairs: DataFrame, segs: DataFrame, percent: int = PERCENT) -> DataFra
     return counted.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def _long_enough(na: Column, nb: Column, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-
-
 def _leader_pairs(prefix: DataFrame, labels: DataFrame | None, largest: bool, percent: int) -> DataFrame:
-    """a, b, na, nb: each posting list's leader (smallest or largest key) with
-    those members that aren't known to be in its group."""
-    rows = prefix.select("h", "key", "n")
-    rows = rows.withColumn("label", F.col("key")) if labels is None else rows.join(labels.hint("merge"), "key")
-    rows = rows.withColumnsRenamed({"n": "size"})
-    pick = (F.max if largest else F.min)(F.struct("key", "size", "label"))
-    lists = rows.groupBy("h").agg(pick.alias("lead"), F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    lists = lists.filter("n > 1 AND x <> y").select("h", "n", F.col("lead.key").alias("a"), F.col("lead.size").alias("na"), F.col("lead.label").alias("la"))
-    met = spread_join(rows, lists, "h", rows.count())
-    met = met.filter((F.col("label") != F.col("la")) & _long_enough(F.col("na"), F.col("size"), percent))
-    return met.select("a", F.col("key").alias("b"), "na", F.col("size").alias("nb")).distinct()
+    """a, b, na, nb: for each class one leader of its posting lists (each list's
+    smallest or largest class) with which it has a chance, unless it is known
+    to be in the leader's group."""
+    rows = prefix.withColumn("label", F.col("c")) if labels is None else prefix.join(labels.hint("merge"), "c")
+    pick = (F.max if largest else F.min)(F.struct("c", "size", "shared", "pos", "label", "sizes"))
+    lists = rows.groupBy("h").agg(pick.alias("lead"), F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("n > 1 AND x <> y").select("h", "n", "lead")
+    met = spread_join(rows, lists, "h", rows.count()).filter("label <> lead.label")
+    need = F.expr(f"({percent} * (size + lead.size) + {99 + percent}) div {100 + percent}")
+    met = met.filter(100 * F.least("size", "lead.size") >= percent * F.greatest("size", "lead.size"))
+    met = met.filter(F.least("pos", "lead.pos") + F.least(F.col("shared") - F.col("pos"), F.col("lead.shared") - F.col("lead.pos")) >= need)
+    met = met.filter(F.expr("aggregate(zip_with(sizes, lead.sizes, (x, y) -> least(x, y)), 0, (a, x) -> a + x)") >= need)
+    best = (F.max if largest else F.min)(F.struct("lead.c", "lead.size"))
+    return met.groupBy("c", "size").agg(best.alias("lead")).select(F.col("lead.c").alias("a"), F.col("c").alias("b"), F.col("lead.size").alias("na"), F.col("size").alias("nb"))
 
 
 def _tiles(prefix: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
     """h, i, j, side and the rows of the posting lists with several groups, long
     lists dealt to pairs (i, j) of tiles."""
-    rows = prefix.join(labels.hint("merge"), "key").withColumnsRenamed({"n": "size"})
+    rows = prefix.join(labels.hint("merge"), "c")
     lists = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h", "n")
     met = spread_join(rows, lists, "h", rows.count()).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    met = met.withColumn("side", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return met.select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "size", "shared", "sizes", "pos", "label")
+    met = met.withColumn("side", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return met.select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "size", "shared", "sizes", "pos", "label")
 
 
 def chances(n, shared, sizes, pos, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -221,12 +352,10 @@ def _tile_pairs(tiles: DataFrame, fragments: int, percent: int) -> DataFrame:
             if not t.num_rows:
                 return
             group = np.cumsum(ends(t))
-            key = np.array(t.column("key").to_pylist(), object)
-            label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
-            n, shared, pos, side, i, j = (t.column(c).to_numpy().astype(np.int64) for c in ("size", "shared", "pos", "side", "i", "j"))
+            c, label, n, shared, pos, side, i, j = (t.column(x).to_numpy().astype(np.int64) for x in ("c", "label", "size", "shared", "pos", "side", "i", "j"))
             sizes = t.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, fragments)
             cross = i != j
-            found, at, lag = set(), np.arange(t.num_rows), 0
+            found, held, at, lag = [], 0, np.arange(t.num_rows), 0
             while True:
                 lag += 1
                 at = at[at + lag < t.num_rows]
@@ -235,17 +364,19 @@ def _tile_pairs(tiles: DataFrame, fragments: int, percent: int) -> DataFrame:
                     break
                 x = at[(label[at] != label[at + lag]) & (~cross[at] | (side[at] != side[at + lag]))]
                 x = x[chances(n, shared, sizes, pos, x, x + lag, percent)]
-                for p, q in zip(x.tolist(), (x + lag).tolist()):
-                    p, q = (p, q) if key[p] < key[q] else (q, p)
-                    found.add((key[p], key[q], int(n[p]), int(n[q])))
-                if len(found) >= 100_000:
+                if len(x):
+                    low, high = np.where(c[x] < c[x + lag], x, x + lag), np.where(c[x] < c[x + lag], x + lag, x)
+                    found.append(np.stack((c[low], c[high], n[low], n[high]), axis=1))
+                    held += len(x)
+                if held >= 500_000:
                     yield out(found)
-                    found.clear()
+                    found, held = [], 0
             if found:
                 yield out(found)
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["a", "b", "na", "nb"])
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], ["a", "b", "na", "nb"])
 
         for batch in batches:
             new = pa.Table.from_batches([batch])
@@ -258,32 +389,33 @@ def _tile_pairs(tiles: DataFrame, fragments: int, percent: int) -> DataFrame:
         if held is not None:
             yield from flush(held)
 
-    return tiles.mapInArrow(run, "a binary, b binary, na long, nb long").distinct()
+    return tiles.mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
 def _labels(links: DataFrame, prefix: DataFrame) -> DataFrame:
-    """key, label: the smallest leader that a class is linked to, or itself. Two
+    """c, label: the smallest leader that a class is linked to, or itself. Two
     classes of one label are linked through it."""
-    own = prefix.select("key").distinct().select("key", F.col("key").alias("label"))
-    led = links.select(F.col("b").alias("key"), F.col("a").alias("label"))
-    return own.unionByName(led).groupBy("key").agg(F.min("label").alias("label"))
+    own = prefix.select("c").distinct().select("c", F.col("c").alias("label"))
+    led = links.select(F.col("b").alias("c"), F.col("a").alias("label"))
+    return own.unionByName(led).groupBy("c").agg(F.min("label").alias("label"))
 
 
 def links_of(segs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, tile: int = TILE, counts: dict | None = None) -> DataFrame:
     """a, b: links that connect all classes of a similarity high enough.
-    counts: candidate pairs of each step are written to it."""
+    counts: how many rows and pairs each step has is written to it."""
     prefix = materialise(_prefixes(segs, percent), "prefixes")
     first = materialise(linked(_leader_pairs(prefix, None, False, percent), segs, percent), "leader-links")
     labels = materialise(_labels(first, prefix), "labels")
     second = materialise(linked(_leader_pairs(prefix, labels, True, percent), segs, percent), "leader-links")
-    # who has no leader yet may follow one of the second kind: one label each, and leaders keep theirs
-    leads = labels.filter("label = key").join(first.select(F.col("a").alias("key")).distinct().hint("merge"), "key", "left_anti").select("key")
-    more = second.join(leads.withColumnRenamed("key", "b").hint("merge"), "b", "left_semi").groupBy("b").agg(F.max("a").alias("lead"))
-    named = more.join(labels.select(F.col("key").alias("lead"), "label").hint("merge"), "lead").select(F.col("b").alias("key"), F.col("label").alias("via"))
-    labels = materialise(labels.join(named.hint("merge"), "key", "left").select("key", F.coalesce("via", "label").alias("label")), "labels")
+    # who has no leader yet and leads nobody follows the leader of the second kind, by the label that one has
+    leads = first.select(F.col("a").alias("c")).distinct()
+    free = labels.filter("label = c").select("c").join(leads.hint("merge"), "c", "left_anti")
+    more = second.select(F.col("b").alias("c"), F.col("a").alias("lead")).join(free.hint("merge"), "c", "left_semi")
+    via = more.join(labels.select(F.col("c").alias("lead"), F.col("label").alias("via")).hint("merge"), "lead").select("c", "via")
+    labels = materialise(labels.join(via.hint("merge"), "c", "left").select("c", F.coalesce("via", "label").alias("label")), "labels")
     rest = materialise(_tile_pairs(_tiles(prefix, labels, tile), fragments, percent), "tile-pairs")
     if counts is not None:
-        counts |= {"prefixes": prefix.count(), "first": first.count(), "second": second.count(), "rest": rest.count()}
+        counts |= {"classes": segs.select("c").distinct().count(), "prefixes": prefix.count(), "first": first.count(), "second": second.count(), "rest": rest.count()}
     return first.unionByName(second).unionByName(linked(rest, segs, percent))
 
 
@@ -297,19 +429,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     class and stay; an empty table gives an empty one; other columns aren't
     read. Sets are of 64-bit hashes, classes of 128-bit ones.
     """
-    base = materialise(_sets(docs, id_col, text_col, width, percent, whole=False), "sets")
-    partners = materialise(_with_partners(base), "partners")
-    sets = materialise(_one_each(_kept(_sets(docs, id_col, text_col, width, percent, whole=True), partners, broadcast_rows)), "whole-sets")
+    base = materialise(_sets(docs, id_col, text_col, width, whole=False), "sets")
+    partners = materialise(_with_partners(base, percent), "partners")
+    sets = materialise(_whole_sets(docs, partners, id_col, text_col, width, broadcast_rows), "whole-sets")
     segs = materialise(segments(sets, percent, fragments), "segments")
-    found = links_of(segs, percent, fragments, tile, counts)
-    roots = components(found)
-    first = materialise(base.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
-    grouped = first.join(roots.hint("merge"), first["key"] == roots["node"], "left").select("key", "first", F.col("n").alias("rows"), F.coalesce("root", "key").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    named = spread_join(grouped, least, "root", first.count()).select("key", F.col("rows").alias("n"), "component_id")
-    rows = base.select("id", "key", F.col("n").alias("n_shingles"))
-    out = spread_join(rows.filter("key IS NOT NULL"), named, "key", base.count()).select("id", "n_shingles", "component_id")
-    empty = rows.filter("key IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
+    roots = components(links_of(segs, percent, fragments, tile, counts))
+    held = base.filter("key IS NOT NULL")
+    first = materialise(held.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
+    joined = sets.select("c", "key").join(roots.withColumnRenamed("node", "c").hint("merge"), "c", "left").select("key", F.coalesce("root", "c").alias("root"))
+    joined = materialise(joined.join(first.select("key", "first").hint("merge"), "key"), "linked-classes")
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(joined, least, "root", joined.count()).select("key", "component_id")
+    known = first.join(named.hint("merge"), "key", "left").select("key", "n", F.coalesce("component_id", "first").alias("component_id"))
+    rows = held.select("id", "key", F.col("n").alias("n_shingles"))
+    out = spread_join(rows, known, "key", rows.count()).select("id", "n_shingles", "component_id")
+    empty = base.filter("key IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionByName(empty).withColumnsRenamed({"id": id_col})
 
 

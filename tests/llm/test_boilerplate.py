@@ -11,7 +11,7 @@ PROSE = [" ".join(f"{w}{n}" for w in ("rivers", "rose", "again", "while", "villa
 def test_long_lines_lose_only_the_sentence(phrase):
     lines = [*PROSE[:20], phrase, *PROSE[20:]]
     got = quality_rules.judge(" ".join(lines))
-    assert got["kept"] and got["n_words_lost"] == 0
+    assert got["kept"] and got["n_words_lost"] == len(phrase.split())
     assert got["clean_text"] == " ".join(PROSE)
 
 
@@ -31,6 +31,16 @@ def test_short_lines_go_and_nothing_left_is_rejected():
     assert not quality_rules.judge(many)["base_failed"] and not quality_rules.judge(many)["kept"]
 
 
+def test_documents_that_lose_nearly_all_go():
+    lines = [f"Privacy policy of the site number {n} and its many partners, all rights reserved." for n in range(60)]
+    got = quality_rules.judge("\n".join([*lines, PROSE[0]]))
+    assert not got["kept"] and got["n_words_lost"] == got["n_words"] - 8 == 60 * 14
+    licence = quality_rules.judge("\n".join([PROSE[0], PROSE[1], "Licensed under the MIT License."]))
+    assert licence["kept"] and licence["n_words_lost"] == 5 and licence["clean_text"] == "\n".join(PROSE[:2])
+    short = quality_rules.judge("Only nine good words are left in this text.\nmenu | home | about")
+    assert not short["base_failed"] and not short["kept"]
+
+
 def test_pipeline_keeps_one_line_documents(spark):
     texts = [" ".join(["You may click here.", *PROSE[i : i + 10]]) for i in (0, 10, 20)] + ["All rights reserved by the many owners of this old page."]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -32,6 +32,19 @@ def test_separators(run):
     assert scorer.score(f"oh {run} oh") > 0.9
 
 
+@pytest.mark.parametrize("text", ["i d i o t!", "i d i o t.", "i d i o t, you", "(i d i o t)", '"i d i o t"', "you: i-d-i-o-t?", "«i d i o t»", "[i. d. i. o. t]", "you...i d i o t...", "'1 d 1 0 t'"])
+def test_marks_beside_letters_set_apart(text):
+    scorer = toxicity.Scorer(model("you", "are", "an", "idiot"))
+    words = [w for t in scorer.reader.tokens(text) for w in scorer.reader.bare(t)]
+    assert "idiot" in words and scorer.score(text) > 0.9
+    assert "idiot" in [w.strip(toxicity._STRIP) for w in toxicity.restored_text(text, scorer.reader.decoder).split()]
+
+
+def test_letters_of_words_are_no_run():
+    for text in ("plan a b", "x1 y2 z3", "sh i t", "a b ctr", "1 2 3 4"):
+        assert not toxicity.spaced_runs(text)
+
+
 def test_stretched_and_long_tokens():
     scorer = toxicity.Scorer(model("on", "and", "stupid"))
     assert "stupid" in scorer.reader.bare("st" + "u" * 80 + "pid") and "stupid" in scorer.reader.bare("s" * 60 + "tupid")

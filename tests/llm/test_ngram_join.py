@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from epochloom.llm import ngram_join
 
@@ -72,16 +74,35 @@ def test_equals_all_pairs(spark, seed, tile, broadcast_rows):
 
 
 def test_overlaps_are_summed_over_fragments(spark):
-    docs = table(3)
-    sets = ngram_join._one_each(ngram_join._sets(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 5, 80, whole=True))
-    held = {bytes(r["key"]): set(r["h"]) for r in sets.collect()}
+    docs = [(i, t) for i, (_, t) in enumerate(table(3))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    keys = ngram_join._sets(df, "doc_id", "text", 5, whole=True).select("k").distinct()
+    sets = ngram_join.materialise(ngram_join._whole_sets(df, keys, "doc_id", "text", 5, 1000), "t")
+    held = {r["c"]: set(r["h"]) for r in sets.collect()}
+    every = [h for s in held.values() for h in s]
+    shared = {r["c"]: r for r in ngram_join.shared_shingles(sets, lists=True).groupBy("c").agg(F.flatten(F.collect_list("h")).alias("h"), F.flatten(F.collect_list("df")).alias("df")).collect()}
+    counted = Counter(every)
+    assert {c: dict(zip(r["h"], r["df"])) for c, r in shared.items()} == {c: w for c, s in held.items() if (w := {h: counted[h] for h in s if counted[h] > 1})}
     segs = ngram_join.segments(sets, 80, 4)
     assert segs.select("frag").distinct().count() == 4
-    keys = sorted({bytes(r["key"]) for r in segs.select("key").collect()})
+    rows = segs.collect()
+    order = {}
+    for r in rows:
+        order.setdefault(r["c"], []).append((r["frag"], r["before"], [(counted[h], h) for h in r["seg"]]))
+    for c, parts in order.items():
+        flat = [x for _, _, seg in sorted(parts) for x in seg]
+        assert flat == sorted(flat) and all(b == sum(len(s) for f, _, s in parts if f < k) for k, b, _ in parts)
+    keys = sorted(order)
     pairs = [(a, b) for a in keys[:30] for b in keys[30:60]]
-    got = ngram_join.count_overlaps(spark.createDataFrame(pairs, "a binary, b binary"), segs)
-    found = {(bytes(r["a"]), bytes(r["b"])): r["overlap"] for r in got.collect()}
-    assert all(found.get(p, 0) == len(held[p[0]] & held[p[1]]) for p in pairs)
+    got = {(r["a"], r["b"]): r["overlap"] for r in ngram_join.count_overlaps(spark.createDataFrame(pairs, "a long, b long"), segs).collect()}
+    assert len(pairs) > 100 and all(got.get(p, 0) == len(held[p[0]] & held[p[1]]) for p in pairs)
+
+
+def test_frequent_shingles_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY", 3)
+    docs = table(4)
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert result(got) == brute(docs)
 
 
 def test_a_group_of_near_copies_gives_few_pairs(spark):
