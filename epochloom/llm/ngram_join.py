@@ -12,13 +12,16 @@ with vertical partitioning.
    shingle its frequency. Shingles of one class alone are forgotten; the others
    are put into a global order, rare ones first, and that order is cut into
    fragments of equal numbers of postings: a class has one segment in each.
-3. Candidates share a shingle among the first of both in that order. First each
-   posting list offers its members one of them as leader, and a class is
-   compared with one leader: whoever is linked to the same leader needs no
-   further look at one another, so that a group of near copies costs as many
-   pairs as it has members. Then the lists that still hold members of different
-   leaders give the remaining pairs, in tiles. Lengths, positions and segment
-   sizes discard pairs before they are counted.
+3. Candidates share a shingle among the first of both in that order. Lengths,
+   positions, segment sizes and the differing bits of two bitmaps (each shingle
+   turns one) bound a pair's overlap and discard it before it is counted. First
+   each posting list offers its members one of them as leader, and a class is
+   compared with one leader: whoever is linked to the same leader is known to be
+   connected. Then the lists that still hold members of different groups are
+   dealt in tiles, and a task sends a spanning forest of the pairs that it can't
+   discard, never all pairs of a group; the links found make the groups larger.
+   When nothing new is found, or after some rounds, every pair left between
+   different groups is counted, so that no link is lost.
 4. The overlap of a pair is counted segment by segment, each fragment by itself,
    and the counts are summed per pair. Links become components.
 
@@ -40,7 +43,11 @@ from .simhash import HEAVY, components, spread_join
 
 WIDTH, PERCENT, FRAGMENTS = 5, 80, 8
 #: The most members of a posting list on either side of a tile.
-TILE = 1024
+TILE = 512
+#: Bits of a class's bitmap.
+BITS = 1024
+#: The most rounds of forests before all pairs left are counted.
+ROUNDS = 3
 #: The most pairs of one class that meet its segments in one task.
 PAIRS = 200
 #: Frequencies above it are equal in the global order.
@@ -238,8 +245,9 @@ def _cuts(shared: DataFrame, fragments: int) -> list[tuple[int, int]]:
 
 def segments(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """c, n, shared (shingles that others have, too), sizes (of all segments),
-    frag, seg (hashes in global order), before (in earlier segments): of the
-    classes that share enough shingles to be linked."""
+    frag, seg (hashes in global order), before (in earlier segments), bits (the
+    class's bitmap, in its first row only): of the classes that share enough
+    shingles to be linked."""
     shared = materialise(shared_shingles(sets, lists=True), "shared-shingles")
     cuts = _cuts(shared, fragments)
     whole = shared.groupBy("c").agg(F.flatten(F.collect_list("h")).alias("h"), F.flatten(F.collect_list("df")).alias("df"))  # one class's own
@@ -258,14 +266,16 @@ def segments(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS
                     frag += (df > a) | ((df == a) & (h >= b))
                 sizes = np.bincount(frag, minlength=fragments).astype(np.int32)
                 ends = np.cumsum(sizes)
-                out += [(c, n, len(h), sizes, k, h[ends[k] - sizes[k] : ends[k]], ends[k] - sizes[k]) for k in np.flatnonzero(sizes).tolist()]
-            cols = list(zip(*out)) if out else [[]] * 7
+                bits = np.packbits(np.bincount(h & (BITS - 1), minlength=BITS) & 1).tobytes()
+                for at, k in enumerate(np.flatnonzero(sizes).tolist()):
+                    out.append((c, n, len(h), sizes, k, h[ends[k] - sizes[k] : ends[k]], ends[k] - sizes[k], None if at else bits))
+            cols = list(zip(*out)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), _lists(list(cols[3])).cast(pa.list_(pa.int32())), pa.array(cols[4], pa.int32()), _lists(list(cols[5])).cast(pa.list_(pa.int64())), pa.array(cols[6], pa.int32())],
-                ["c", "n", "shared", "sizes", "frag", "seg", "before"],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), _lists(list(cols[3])).cast(pa.list_(pa.int32())), pa.array(cols[4], pa.int32()), _lists(list(cols[5])).cast(pa.list_(pa.int64())), pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.binary())],
+                ["c", "n", "shared", "sizes", "frag", "seg", "before", "bits"],
             )
 
-    return whole.select("c", "n", "h", "df").mapInArrow(run, "c long, n long, shared int, sizes array<int>, frag int, seg array<long>, before int")
+    return whole.select("c", "n", "h", "df").mapInArrow(run, "c long, n long, shared int, sizes array<int>, frag int, seg array<long>, before int, bits binary")
 
 
 def _prefixes(segs: DataFrame, percent: int) -> DataFrame:
@@ -298,125 +308,156 @@ def linked(pairs: DataFrame, segs: DataFrame, percent: int = PERCENT) -> DataFra
     return counted.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def _leader_pairs(prefix: DataFrame, labels: DataFrame | None, largest: bool, percent: int) -> DataFrame:
+def _leader_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """a, b, na, nb: for each class one leader of its posting lists (each list's
-    smallest or largest class) with which it has a chance, unless it is known
-    to be in the leader's group."""
-    rows = prefix.withColumn("label", F.col("c")) if labels is None else prefix.join(labels.hint("merge"), "c")
-    pick = (F.max if largest else F.min)(F.struct("c", "size", "shared", "pos", "label", "sizes"))
-    lists = rows.groupBy("h").agg(pick.alias("lead"), F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("n > 1 AND x <> y").select("h", "n", "lead")
-    met = spread_join(rows, lists, "h", rows.count()).filter("label <> lead.label")
+    smallest class) with which it has a chance."""
+    lists = prefix.groupBy("h").agg(F.min(F.struct("c", "size", "shared", "pos", "sizes")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("h", "n", "lead")
+    met = spread_join(prefix, lists, "h", prefix.count()).filter("c <> lead.c")
     need = F.expr(f"({percent} * (size + lead.size) + {99 + percent}) div {100 + percent}")
     met = met.filter(100 * F.least("size", "lead.size") >= percent * F.greatest("size", "lead.size"))
     met = met.filter(F.least("pos", "lead.pos") + F.least(F.col("shared") - F.col("pos"), F.col("lead.shared") - F.col("lead.pos")) >= need)
     met = met.filter(F.expr("aggregate(zip_with(sizes, lead.sizes, (x, y) -> least(x, y)), 0, (a, x) -> a + x)") >= need)
-    best = (F.max if largest else F.min)(F.struct("lead.c", "lead.size"))
-    return met.groupBy("c", "size").agg(best.alias("lead")).select(F.col("lead.c").alias("a"), F.col("c").alias("b"), F.col("lead.size").alias("na"), F.col("size").alias("nb"))
+    return met.groupBy("c", "size").agg(F.min(F.struct("lead.c", "lead.size")).alias("lead")).select(F.col("lead.c").alias("a"), F.col("c").alias("b"), F.col("lead.size").alias("na"), F.col("size").alias("nb"))
 
 
 def _tiles(prefix: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
     """h, i, j, side and the rows of the posting lists with several groups, long
-    lists dealt to pairs (i, j) of tiles."""
-    rows = prefix.join(labels.hint("merge"), "c")
+    lists dealt to pairs (i, j) of tiles. labels: c, label, bits."""
+    rows = prefix.join(labels.select("c", "label").hint("merge"), "c")
     lists = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h", "n")
-    met = spread_join(rows, lists, "h", rows.count()).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    met = spread_join(rows, lists, "h", rows.count()).join(labels.select("c", "bits").hint("merge"), "c").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     met = met.withColumn("side", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return met.select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "size", "shared", "sizes", "pos", "label")
+    return met.select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "size", "shared", "sizes", "pos", "label", "bits")
 
 
-def chances(n, shared, sizes, pos, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Mask of the pairs (x[i], y[i]) that meet at a shingle and may be linked:
-    by length, by what comes before and after the shingle, by segment sizes."""
+def chances(n, shared, sizes, pos, bits, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Mask of the pairs (x[i], y[i]) that meet at a shingle and may be linked: by
+    length, by what comes before and after the shingle, by segment sizes, and
+    by bitmaps (bits that differ stand for as many shingles that differ)."""
     need = -(-percent * (n[x] + n[y]) // (100 + percent))
     ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-    ok &= np.minimum(pos[x], pos[y]) + 1 + np.minimum(shared[x] - pos[x], shared[y] - pos[y]) - 1 >= need
+    ok &= np.minimum(pos[x], pos[y]) + np.minimum(shared[x] - pos[x], shared[y] - pos[y]) >= need
     left = np.flatnonzero(ok)
     ok[left] = np.minimum(sizes[x[left]], sizes[y[left]]).sum(axis=1) >= need[left]
+    for at in range(0, len(left := np.flatnonzero(ok)), 1 << 16):
+        k = left[at : at + (1 << 16)]
+        apart = np.bitwise_count(bits[x[k]] ^ bits[y[k]]).sum(axis=1, dtype=np.int64)
+        ok[k] = shared[x[k]] + shared[y[k]] - apart >= 2 * need[k]
     return ok
 
 
-def _tile_pairs(tiles: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """a, b, na, nb: pairs of different groups in a tile that have a chance."""
+def _tile_pairs(tiles: DataFrame, fragments: int, percent: int, forest: bool) -> DataFrame:
+    """a, b, na, nb: pairs of different groups in a tile that have a chance; with
+    ``forest`` only as many as connect, in a task, all that have one."""
     tiles = tiles.repartition(partitions(tiles.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "label")
 
-    def run(batches):
-        held = None
-
-        def ends(t) -> np.ndarray:
-            cols = [t.column(c).to_numpy() for c in ("h", "i", "j")]
-            new = np.ones(t.num_rows, bool)
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-            return new
-
-        def flush(t):
-            if not t.num_rows:
-                return
-            group = np.cumsum(ends(t))
-            c, label, n, shared, pos, side, i, j = (t.column(x).to_numpy().astype(np.int64) for x in ("c", "label", "size", "shared", "pos", "side", "i", "j"))
-            sizes = t.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, fragments)
-            cross = i != j
-            found, held, at, lag = [], 0, np.arange(t.num_rows), 0
-            while True:
-                lag += 1
-                at = at[at + lag < t.num_rows]
-                at = at[group[at] == group[at + lag]]
-                if not len(at):
-                    break
-                x = at[(label[at] != label[at + lag]) & (~cross[at] | (side[at] != side[at + lag]))]
-                x = x[chances(n, shared, sizes, pos, x, x + lag, percent)]
-                if len(x):
-                    low, high = np.where(c[x] < c[x + lag], x, x + lag), np.where(c[x] < c[x + lag], x + lag, x)
-                    found.append(np.stack((c[low], c[high], n[low], n[high]), axis=1))
-                    held += len(x)
-                if held >= 500_000:
-                    yield out(found)
-                    found, held = [], 0
-            if found:
+    def flush(t):
+        at = starts(t, ["h", "i", "j"])
+        group = np.cumsum(np.bincount(at, minlength=t.num_rows))
+        c, label, n, shared, pos, side, i, j = (t.column(x).to_numpy().astype(np.int64) for x in ("c", "label", "size", "shared", "pos", "side", "i", "j"))
+        sizes = t.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, fragments)
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        cross = i != j
+        names, group_of = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
+        found, held, at, lag = [], 0, np.arange(t.num_rows), 0
+        while True:
+            lag += 1
+            at = at[at + lag < t.num_rows]
+            at = at[group[at] == group[at + lag]]
+            if not len(at):
+                break
+            x = at[(label[at] != label[at + lag]) & (~cross[at] | (side[at] != side[at + lag]))]
+            if forest:
+                x = x[root[group_of[x]] != root[group_of[x + lag]]]
+            x = x[chances(n, shared, sizes, pos, bits, x, x + lag, percent)]
+            if forest and len(x):
+                x = x[_unite(root, group_of[x], group_of[x + lag])]
+                while (up := root[root]).tobytes() != root.tobytes():
+                    root = up
+            if len(x):
+                low, high = np.where(c[x] < c[x + lag], x, x + lag), np.where(c[x] < c[x + lag], x + lag, x)
+                found.append(np.stack((c[low], c[high], n[low], n[high]), axis=1))
+                held += len(x)
+            if held >= 500_000:
                 yield out(found)
+                found, held = [], 0
+        if found:
+            yield out(found)
 
-        def out(found):
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], ["a", "b", "na", "nb"])
+    def out(found):
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], ["a", "b", "na", "nb"])
 
+    def run(batches):
+        held = None
         for batch in batches:
             new = pa.Table.from_batches([batch])
             held = new if held is None else pa.concat_tables([held, new])
             if held.num_rows < 50_000:
                 continue
-            cut = int(np.flatnonzero(ends(held))[-1])  # the last tile may go on
-            yield from flush(held.slice(0, cut))
-            held = held.slice(cut)
+            cut = int(starts(held, ["h", "i", "j"])[-1])  # the last tile may go on
+            if cut:
+                yield from flush(held.slice(0, cut))
+                held = held.slice(cut)
         if held is not None:
             yield from flush(held)
 
     return tiles.mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
-def _labels(links: DataFrame, prefix: DataFrame) -> DataFrame:
-    """c, label: the smallest leader that a class is linked to, or itself. Two
-    classes of one label are linked through it."""
-    own = prefix.select("c").distinct().select("c", F.col("c").alias("label"))
-    led = links.select(F.col("b").alias("c"), F.col("a").alias("label"))
-    return own.unionByName(led).groupBy("c").agg(F.min("label").alias("label"))
+def starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = table.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the groups of a[i] and b[i]; mask of the pairs that joined two."""
+    new = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            new[k] = True
+    return new
 
 
 def links_of(segs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, tile: int = TILE, counts: dict | None = None) -> DataFrame:
     """a, b: links that connect all classes of a similarity high enough.
     counts: how many rows and pairs each step has is written to it."""
     prefix = materialise(_prefixes(segs, percent), "prefixes")
-    first = materialise(linked(_leader_pairs(prefix, None, False, percent), segs, percent), "leader-links")
-    labels = materialise(_labels(first, prefix), "labels")
-    second = materialise(linked(_leader_pairs(prefix, labels, True, percent), segs, percent), "leader-links")
-    # who has no leader yet and leads nobody follows the leader of the second kind, by the label that one has
-    leads = first.select(F.col("a").alias("c")).distinct()
-    free = labels.filter("label = c").select("c").join(leads.hint("merge"), "c", "left_anti")
-    more = second.select(F.col("b").alias("c"), F.col("a").alias("lead")).join(free.hint("merge"), "c", "left_semi")
-    via = more.join(labels.select(F.col("c").alias("lead"), F.col("label").alias("via")).hint("merge"), "lead").select("c", "via")
-    labels = materialise(labels.join(via.hint("merge"), "c", "left").select("c", F.coalesce("via", "label").alias("label")), "labels")
-    rest = materialise(_tile_pairs(_tiles(prefix, labels, tile), fragments, percent), "tile-pairs")
+    own = segs.filter("bits IS NOT NULL").select("c", "bits")
+    links = materialise(linked(_leader_pairs(prefix, percent), segs, percent), "leader-links")
+    # two classes of one leader are linked through it
+    led = links.select(F.col("b").alias("c"), F.col("a").alias("lead"))
+    labels = materialise(own.join(led.hint("merge"), "c", "left").select("c", F.coalesce("lead", "c").alias("label"), "bits"), "labels")
+    said = {"classes": own.count(), "prefixes": prefix.count(), "led": links.count(), "forests": [], "rest": 0} if counts is not None else None
+    for round_ in range(ROUNDS + 1):
+        forest = round_ < ROUNDS
+        pairs = materialise(_tile_pairs(_tiles(prefix, labels, tile), fragments, percent, forest), "tile-pairs")
+        if not pairs.take(1):
+            break
+        got = materialise(linked(pairs, segs, percent), "links")
+        links = links.unionByName(got)
+        if said:
+            said |= {"forests": [*said["forests"], pairs.count()]} if forest else {"rest": pairs.count()}
+        if not forest:
+            break
+        labels = labels.drop("label").join(components(links).withColumnsRenamed({"node": "c", "root": "label"}).hint("merge"), "c", "left")
+        labels = materialise(labels.select("c", F.coalesce("label", "c").alias("label"), "bits"), "labels")
     if counts is not None:
-        counts |= {"classes": segs.select("c").distinct().count(), "prefixes": prefix.count(), "first": first.count(), "second": second.count(), "rest": rest.count()}
-    return first.unionByName(second).unionByName(linked(rest, segs, percent))
+        counts |= said
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS, counts: dict | None = None) -> DataFrame:

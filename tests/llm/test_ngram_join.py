@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,34 @@ def test_overlaps_are_summed_over_fragments(spark):
     assert len(pairs) > 100 and all(got.get(p, 0) == len(held[p[0]] & held[p[1]]) for p in pairs)
 
 
+def test_bounds_lose_no_pair():
+    """Of random pairs of sets none that is similar enough is discarded."""
+    rng = random.Random(11)
+    kept = lost = 0
+    for _ in range(300):
+        base = rng.sample(range(100_000), 60)
+        sets = [sorted({*rng.sample(base, rng.randint(45, 60)), *rng.sample(range(100_000, 200_000), rng.randint(0, 8))}) for _ in range(2)]
+        common = sorted(set(sets[0]) & set(sets[1]))
+        bits = np.stack([np.packbits(np.bincount(np.array(s) & (ngram_join.BITS - 1), minlength=ngram_join.BITS) & 1) for s in sets]).view(np.uint64)
+        sizes = np.array([[sum(x % 4 == k for x in s) for k in range(4)] for s in sets])
+        n = np.array([len(s) for s in sets])
+        for token in common[:5]:
+            pos = np.array([s.index(token) for s in sets])
+            ok = ngram_join.chances(n, n, sizes, pos, bits, np.array([0]), np.array([1]), 80)[0]
+            similar = 100 * len(common) >= 80 * len(set(sets[0]) | set(sets[1]))
+            assert ok or not similar
+            kept, lost = kept + ok, lost + (not ok)
+    assert kept > 100 and lost > 100
+
+
+def test_every_pair_left_is_counted_after_the_forests(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    docs = table(6)
+    counts = {}
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), tile=4, counts=counts)
+    assert result(got) == brute(docs) and counts["rest"] > 0
+
+
 def test_frequent_shingles_are_spread(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HEAVY", 3)
     docs = table(4)
@@ -113,7 +142,7 @@ def test_a_group_of_near_copies_gives_few_pairs(spark):
     counts = {}
     got = result(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), counts=counts))
     assert {r[2] for r in got} == {0}
-    assert counts["first"] + counts["second"] + counts["rest"] < 20 * len(docs)  # of 44,850 pairs
+    assert counts["led"] + sum(counts["forests"]) + counts["rest"] < 4 * len(docs)  # of 44,850 pairs
 
 
 def test_thresholds_are_exact(spark):
