@@ -1,158 +1,132 @@
-"""Recordings: NPZ and EDF/FIF files as two tables.
+"""Recordings: NPZ, EDF, BDF and FIF files as two tables.
 
 recordings: recording_id, subject_id, session_id, label_namespace,
 cohort_label, source_path, source_format, channel_names, sampling_rate_hz,
 n_samples, duration_seconds, provenance and metadata (maps), message (why a
 file couldn't be read, else null). Made from the headers of the files alone.
 signals: recording_id, channel_idx, channel, chunk_id, samples.
+
+Files are read by the data source of ``recording_source``, in ranges. Only two
+kinds are still read whole, one file a row of 2 GB at most: FIF (by ``mne``), and
+files in a store that Spark alone can open.
 """
 
 from __future__ import annotations
 
-import io
+import json
 import os
 import tempfile
-import zipfile
-from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import null_nan
-from ..operators.epochs import CHUNK
-
-RECORDING = (
-    "recording_id string, subject_id string, session_id string, label_namespace string, cohort_label string, source_path string, source_format string, "
-    "channel_names array<string>, sampling_rate_hz double, n_samples long, duration_seconds double, provenance map<string,string>, metadata map<string,string>, message string"
-)
-SIGNAL = "recording_id string, channel_idx int, channel string, chunk_id long, samples array<float>"
-
-
-class RecordingError(ValueError):
-    """A recording file that can't be used."""
-
-
-def slug(text: str, default: str) -> str:
-    """Lower-case letters and digits joined by underscores."""
-    parts = "".join(c.lower() if c.isalnum() else " " for c in text).split()
-    return "_".join(parts) or default
-
-
-def _one(held, name: str) -> str:
-    return str(np.asarray(held[name]).ravel()[0]).strip() if name in held else ""
-
-
-def _npz_shape(content: bytes, name: str) -> tuple[int, ...]:
-    """The shape of a member, from its header alone."""
-    with zipfile.ZipFile(io.BytesIO(content)) as held, held.open(f"{name}.npy") as f:
-        version = np.lib.format.read_magic(f)
-        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-        return read(f)[0]
-
-
-def _npz_header(path: str, content: bytes) -> tuple[dict, bool]:
-    """(fields of the recordings table, whether data lies samples first)."""
-    with np.load(io.BytesIO(content), allow_pickle=False) as held:
-        missing = [k for k in ("data", "channel_names", "sampling_rate_hz") if k not in held]
-        if missing:
-            raise RecordingError(f"missing members: {', '.join(missing)}")
-        names = [str(c) for c in np.asarray(held["channel_names"]).ravel()]
-        rate = float(np.asarray(held["sampling_rate_hz"]).ravel()[0])
-        ids = {k: _one(held, k) for k in ("subject_id", "session_id", "label_namespace", "cohort_label")}
-        ids["cohort_label"] = ids["cohort_label"] or _one(held, "cohort")
-    shape = _npz_shape(content, "data")
-    if len(shape) != 2 or len(names) not in shape:
-        raise RecordingError(f"data of shape {shape} doesn't fit {len(names)} channels")
-    if rate <= 0:
-        raise RecordingError("sampling rate must be positive")
-    turned = shape[0] != len(names)  # the first axis counts, so a square stays as it is
-    n = shape[0] if turned else shape[1]
-    return _fields(path, ids, names, rate, n, {"loader_id": "npz", "transposed_on_load": str(turned).lower()}, {}), turned
-
-
-def _fields(path: str, ids: dict, names: list[str], rate: float, n: int, provenance: dict, metadata: dict) -> dict:
-    stem, kind = os.path.splitext(os.path.basename(path))
-    return {k: "" for k in ("subject_id", "session_id", "label_namespace", "cohort_label")} | ids | {
-        "recording_id": slug(stem, "recording"), "source_path": path, "source_format": kind.lower().lstrip("."), "channel_names": names, "sampling_rate_hz": rate,
-        "n_samples": n, "duration_seconds": n / rate, "provenance": provenance, "metadata": metadata, "message": None,
-    }
+from .files import is_folder
+from .recording_source import CHUNK, RANGE_BYTES, RECORDING, SIGNAL, Range, Reader, RecordingError, RecordingSource, reachable, recording_id_of, slug
 
-
-def _npz_data(content: bytes, turned: bool) -> np.ndarray:
-    with np.load(io.BytesIO(content), allow_pickle=False) as held:
-        data = np.asarray(held["data"], np.float32)
-    return data.T if turned else data
+__all__ = ["CHUNK", "RECORDING", "SIGNAL", "RecordingError", "named", "read_recordings", "read_signals", "recording_id_of", "slug"]
 
 
 def _mne(path: str, content: bytes, whole: bool) -> tuple[dict, np.ndarray | None]:
-    """EDF, BDF and FIF, if ``mne`` is installed on the executors; without
-    ``whole`` only the header is read."""
+    """A FIF file, if ``mne`` is installed on the executors; without ``whole``
+    only the header is read."""
     try:
         import mne
     except ImportError as missing:
-        raise RecordingError("reading EDF, BDF and FIF needs the optional package mne") from missing
+        raise RecordingError("reading FIF needs the optional package mne") from missing
     with tempfile.TemporaryDirectory() as folder:  # the reader wants a file; it is gone with the call
         local = os.path.join(folder, os.path.basename(path))
         with open(local, "wb") as f:
             f.write(content)
-        raw = (mne.io.read_raw_fif if local.endswith(".fif") else mne.io.read_raw_edf)(local, preload=whole, verbose="ERROR")
+        raw = mne.io.read_raw_fif(local, preload=whole, verbose="ERROR")
         try:
             data = raw.get_data().astype(np.float32) if whole else None
-            fields = _fields(path, {}, list(raw.ch_names), float(raw.info["sfreq"]), int(raw.n_times), {"loader_id": "mne"}, {"measurement_date": str(raw.info.get("meas_date") or "")})
+            rate, n = float(raw.info["sfreq"]), int(raw.n_times)
+            fields = {"channel_names": list(raw.ch_names), "sampling_rate_hz": rate, "n_samples": n, "duration_seconds": n / rate, "metadata": {"measurement_date": str(raw.info.get("meas_date") or "")}}
         finally:
             raw.close()
     return fields, data
 
 
-def decode(path: str, content: bytes, whole: bool = True) -> tuple[dict, np.ndarray | None]:
-    """(fields of the recordings table, data [channels, samples] if ``whole``);
-    a file that can't be used gives a message and no data."""
-    kind = os.path.splitext(path)[1].lower()
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _fif_row(p: Range, content: bytes, reader: Reader) -> tuple:
+    row = dict(zip(_names(RECORDING), reader.row(p, pa.BufferReader(b""))))
     try:
-        if kind == ".npz":
-            fields, turned = _npz_header(path, content)
-            return fields, _npz_data(content, turned) if whole else None
-        if kind in (".edf", ".bdf", ".fif"):
-            return _mne(path, content, whole)
-        raise RecordingError(f"unknown recording format: {kind}")
-    except (RecordingError, ValueError, OSError, KeyError, zipfile.BadZipFile) as fault:
-        return _fields(path, {}, [], 1.0, 0, {}, {}) | {"sampling_rate_hz": None, "duration_seconds": None, "message": str(fault)}, None
+        found, _ = _mne(p.path, content, False)
+    except (RecordingError, ValueError, OSError) as fault:
+        return tuple((row | {"message": str(fault)}).values())
+    return tuple((row | found | {"message": None, "provenance": row["provenance"] | {"loader_id": "mne"}}).values())
 
 
-def read_recordings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """The recordings table of files or folders; a bad file is a row with a message."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length", "content")
+def _fif_rows(p: Range, content: bytes, chunk: int):
+    try:
+        found, data = _mne(p.path, content, True)
+    except (RecordingError, ValueError, OSError):
+        return
+    for k, name in enumerate(found["channel_names"]):
+        for at in range(0, max(1, data.shape[1]), chunk):
+            yield recording_id_of(p.path), k, name, at // chunk, data[k, at : at + chunk]
+
+
+def _whole(spark: SparkSession, paths: list[str], table: str, chunk: int, only: str | None = None) -> DataFrame:
+    """Files read by Spark as a whole; only: a pattern of their names."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", only or "*").load(paths).select("path", "modificationTime", "length", "content")
+    schema = RECORDING if table == "recordings" else SIGNAL
+    names = _names(schema)
 
     def run(batches):
+        reader = Reader({"paths": "[]", "chunk": str(chunk)})
         for b in batches:
-            rows = []
-            for p, at, size, c in zip(b["path"], b["modificationTime"], b["length"], b["content"]):
-                fields, _ = decode(p, c, whole=False)
-                fields["provenance"] = fields["provenance"] | {"size_bytes": str(size), "modified_time_utc": datetime.fromtimestamp(at.timestamp(), timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}
-                rows.append(fields)
-            yield pd.DataFrame(rows)
+            for path, at, size, content in zip(b["path"], b["modificationTime"], b["length"], b["content"]):
+                p, fif = Range(path, size, at.timestamp()), path.lower().endswith(".fif")
+                if table == "recordings":
+                    yield pd.DataFrame([_fif_row(p, content, reader) if fif else reader.row(p, pa.BufferReader(content))], columns=names)
+                elif fif:
+                    for row in _fif_rows(p, content, chunk):
+                        yield pd.DataFrame([row], columns=names)
+                else:
+                    for batch in reader.signals(p, pa.BufferReader(content)):
+                        yield batch.to_pandas()
+
+    out = raw.mapInPandas(run, schema)
+    return out.withColumn("samples", null_nan("samples")) if table == "signals" else out
+
+
+def _read(spark: SparkSession, paths: list[str] | str, table: str, chunk: int = CHUNK, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not all(map(reachable, paths)):
+        return _whole(spark, paths, table, chunk)
+    whole = [p for p in paths if p.lower().endswith(".fif")]
+    ranged = [p for p in paths if p not in whole]
+    folders = [p for p in ranged if is_folder(spark, p)]
+    parts = []
+    if ranged:
+        spark.dataSource.register(RecordingSource)
+        push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+        options = {"paths": json.dumps(ranged), "table": table, "chunk": str(chunk), "range_bytes": str(range_bytes), "pushdown": push}
+        parts.append(spark.read.format("recordings").options(**options).load())
+    if whole or folders:
+        parts.append(_whole(spark, whole + folders, table, chunk, "*.[fF][iI][fF]"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    return raw.mapInPandas(run, RECORDING)
 
+def read_recordings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """The recordings table of files or folders; a bad file is a row with a message."""
+    return _read(spark, paths, "recordings")
 
-def read_signals(spark: SparkSession, paths: list[str] | str, chunk: int = CHUNK) -> DataFrame:
-    """The signals table: channels in chunks, so that no row grows with the
-    length of a recording."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-    def run(batches):
-        for b in batches:
-            for p, c in zip(b["path"], b["content"]):
-                fields, data = decode(p, c)
-                if data is None:
-                    continue
-                for k, name in enumerate(fields["channel_names"]):
-                    parts = [(i // chunk, data[k, i : i + chunk]) for i in range(0, max(1, data.shape[1]), chunk)]
-                    yield pd.DataFrame({"recording_id": fields["recording_id"], "channel_idx": k, "channel": name, "chunk_id": [i for i, _ in parts], "samples": [x for _, x in parts]})
-
-    return raw.mapInPandas(run, SIGNAL).withColumn("samples", null_nan("samples"))
+def read_signals(spark: SparkSession, paths: list[str] | str, chunk: int = CHUNK, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The signals table: channels in chunks, so that no row grows with the
+    length of a recording. A file is read by as many tasks as it has ranges.
+    Where the session pushes filters to Python sources, those on recording_id,
+    channel and channel_idx choose what is read."""
+    return _read(spark, paths, "signals", chunk, range_bytes)
 
 
 def named(recordings: DataFrame, **given: str) -> DataFrame:
