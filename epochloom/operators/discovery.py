@@ -120,7 +120,7 @@ def control_scores(subject_bands: DataFrame) -> DataFrame:
     strongest_label, margin (between labels on raw powers, on the axes that
     both have)."""
     keys = [*GROUP, "subject_id"]
-    inside, across = (similarity.unit_sums(similarity.unit_vectors(vectors(subject_bands, keys, logged), GROUP, "subject_id", "x"), GROUP) for logged in (True, False))
+    inside, across = (similarity.pair_totals(vectors(subject_bands, keys, logged), GROUP, "subject_id", "x") for logged in (True, False))
     within = similarity.within(inside, GROUP).withColumnRenamed("n", "n_subjects")
     return similarity.control_margin(within, similarity.between(across, CONTEXT, "target_label"), CONTEXT, "target_label")
 

@@ -1,75 +1,223 @@
 """Similarity of vectors within and between groups.
 
-Sums of unit vectors give mean correlations in one pass: the mean over pairs of
-a group of n is (|S|^2 - Q) / (n (n - 1)), that between two groups
-S_a . S_b / (n_a n_b), S being the sum of the group's centred unit vectors and Q
-the sum of their squared norms. Nothing is paired.
+Sums of unit vectors give mean correlations in one pass: the sum over the pairs
+of two groups is S_a . S_b, S being the sum of a group's centred unit vectors;
+within a group the vectors' own products Q are taken off. Nothing is paired.
 
 A correlation skips the positions where either side is NaN. Vectors are
-therefore told apart by their mask (the positions they lack): for every mask of
-its context a vector is centred and scaled on what both have, and S is kept for
-each (own mask, other mask). S of (a, b) times S of (b, a) is then the sum over
-all pairs of a vector of mask a and one of mask b, exactly. Without NaN there is
-one mask; otherwise there are as many as montages.
+therefore told apart by their mask (the positions they have). The few most
+frequent masks of a context are taken by sums: for each of them a vector is
+centred and scaled on what both have, and S is kept for each (own mask, other
+mask); S of (a, b) times S of (b, a) is the sum over all pairs of a vector of
+mask a and one of mask b, exactly. Vectors of other masks meet all others in
+tiles, where matrix products give the correlations, and only their sums leave
+the tile: rows never multiply by masks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import centred_unit, lost, safe_corr
+from ..functions.expr import safe_corr
+from ..functions.matrix import codes, correlations, lists, matrix, runs, starts, unit_rows
 
+#: The most masks of a context that are taken by sums.
+FREQUENT = 8
+#: The most items on either side of a tile of sums, and of a tile of pairs.
+SUM_TILE, TILE = 2048, 512
+#: The most rows of a table of contexts that is broadcast.
+CONTEXTS = 100_000
 
-def unit_vectors(df: DataFrame, group: list[str], item: str, vector: str, context: list[str] | None = None) -> DataFrame:
-    """group, item, mask, other, u: a row for each mask of the context (the
-    group without its last column, if not given), u the centred unit vector
-    on the positions that both masks have."""
-    context = group[:-1] if context is None else context
-    x = df.select(*group, item, F.col(vector).alias("_x"), lost(vector).alias("mask"))
-    masks = x.groupBy(*context).agg(F.collect_set("mask").alias("_masks"))  # a row for each context
-    met = x.join(masks, context) if context else x.withColumn("_all", F.lit(0)).join(masks.withColumn("_all", F.lit(0)), "_all")
-    each = met.select(*group, item, "_x", "mask", F.explode("_masks").alias("other"))
-    return each.select(*group, item, "mask", "other", centred_unit("_x", F.array_union("mask", "other")).alias("u"))
+
+def _masks(x: np.ndarray) -> list[bytes]:
+    """Which positions each row has, as bits without the last zeros."""
+    return [b.tobytes().rstrip(b"\0") for b in np.packbits(~np.isnan(x), axis=1)]
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table of contexts, broadcast if it is small."""
+    return F.broadcast(df) if df.limit(CONTEXTS + 1).count() <= CONTEXTS else df.hint("merge")
+
+
+def _mask_counts(rows: DataFrame, context: list[str]) -> DataFrame:
+    """context, mask, n of the distinct masks (counted in the tasks first)."""
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column("x"))
+            mask = pa.array(_masks(x), pa.binary())
+            code, first = codes([*[batch.column(c) for c in context], mask])
+            if len(first):
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(first)) for c in context], mask.take(pa.array(first)), pa.array(np.bincount(code))], [*context, "mask", "n"])
+
+    found = rows.select(*context, "x").mapInArrow(run, _types(rows, context) + "mask binary, n long")
+    return found.groupBy(*context, "mask").agg(F.sum("n").alias("n"))
+
+
+def _mask_sums(rows: DataFrame, keys: list[str], often: DataFrame | None, context: list[str]) -> DataFrame:
+    """keys, i, j, n, q, s: of the vectors of frequent mask i, centred on what
+    mask j has too, their number, squared norms and sum, task by task; summed
+    position by position. often: context, masks (None: one mask everywhere)."""
+    plain = often is None
+    met = rows if plain else rows.join(_few(often), context)
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column("x"))
+            if plain:
+                code, first = codes([batch.column(c) for c in keys])
+                own, known = np.zeros(len(x), np.int64), [[None]] * len(first)
+            else:
+                masks = _masks(x)
+                known_of = [m.as_py() for m in batch.column("masks")]
+                own = np.array([k.index(m) if m in k else -1 for m, k in zip(masks, known_of)], np.int64)
+                code, first = codes([batch.column(c) for c in keys])
+                known = [known_of[f] for f in first]
+            out = []
+            for c in range(len(first)):
+                for i in np.unique(own[(code == c) & (own >= 0)]).tolist():
+                    part = x[(code == c) & (own == i)]
+                    for j, other in enumerate(known[c]):
+                        valid = ~np.isnan(part)
+                        if other is not None:
+                            has = np.unpackbits(np.frombuffer(other, np.uint8), count=8 * len(other)).astype(bool)
+                            valid &= np.pad(has, (0, max(0, valid.shape[1] - len(has))))[: valid.shape[1]]
+                        u = unit_rows(part, valid)
+                        out.append((first[c], i, j, len(u), float((u * u).sum()), u.sum(axis=0)))
+            if out:
+                at = pa.array([o[0] for o in out])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(at) for k in keys], *[pa.array([o[k] for o in out], pa.int32()) for k in (1, 2)], pa.array([o[3] for o in out], pa.int64()), pa.array([o[4] for o in out]), lists(np.stack([o[5] for o in out]))],
+                    [*keys, "i", "j", "n", "q", "s"],
+                )
+
+    parts = met.mapInArrow(run, _types(rows, keys) + "i int, j int, n long, q double, s array<double>")
+    by = [*keys, "i", "j"]
+    # a row for each task, group and pair of masks: the vectors themselves aren't shuffled
+    at = parts.select(*by, "n", "q", F.posexplode("s").alias("pos", "v")).groupBy(*by, "pos").agg(F.sum("v").alias("v"), F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("n"), F.sum(F.when(F.col("pos") == 0, F.col("q"))).alias("q"))
+    held = at.groupBy(*by).agg(F.max("n").alias("n"), F.max("q").alias("q"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
+    return held.select(*by, "n", "q", F.transform("s", lambda p: p["v"]).alias("s"))
 
 
-def unit_sums(units: DataFrame, group: list[str]) -> DataFrame:
-    """group, mask, other, n, q, s: the sum vector S in order, aggregated
-    position by position so that a large group is no single task's work. Counts
-    and squared norms come out of the same pass."""
-    keys = [*group, "mask", "other"]
-    at = units.select(*keys, F.posexplode("u").alias("pos", "v"))
-    sums = at.groupBy(*keys, "pos").agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("w"), F.count("*").alias("n"))
-    # as many rows for a group as the vector is long
-    held = sums.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("w").alias("q"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    return held.select(*keys, "n", "q", F.transform("s", lambda p: p["v"]).alias("s"))
+def _tile_sums(rows: DataFrame, rare: DataFrame, context: list[str], label: str, item: str, tile: int) -> DataFrame:
+    """context, a, b, total, among: over the rare vectors of label a and all
+    vectors of label b the sum of correlations, their own left out, and the part
+    of it with vectors that aren't rare."""
+    count = lambda df, name: df.groupBy(*context).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    sizes = _few(count(rare, "_p").join(count(rows, "_q"), context))
+    place = lambda n: F.pmod(F.xxhash64(label, item, "x"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [*context, F.col(label).alias("label"), "x"]
+    one = rare.join(sizes, context).select(*columns, place("_p").alias("p"), every("_q").alias("q"), F.lit(True).alias("side"), F.lit(True).alias("rare"))
+    all_ = rows.join(sizes, context).select(*columns, every("_p").alias("p"), place("_q").alias("q"), F.lit(False).alias("side"), F.col("rare"))
+    by = [*context, "p", "q"]
+    tiles = one.unionByName(all_).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
 
+    def run(batches):
+        yield from runs(batches, by, 4 * tile, body)
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    def body(table):
+        at = np.append(starts(table, by), table.num_rows)
+        for low, high in zip(at[:-1], at[1:]):
+            t = table.slice(low, high - low).combine_chunks()
+            x = matrix(t.column("x"))
+            side, rare = (t.column(c).to_numpy().astype(bool) for c in ("side", "rare"))
+            code, first = codes([t.column("label")])
+            mine, others = np.flatnonzero(side), np.flatnonzero(~side)
+            if not len(mine) or not len(others):
+                continue
+            total, among = np.zeros((len(first),) * 2), np.zeros((len(first),) * 2)
+            hot = np.eye(len(first))[code[others]]
+            for k in range(0, len(mine), 256):
+                part = mine[k : k + 256]
+                c = correlations(x[part], x[others])
+                np.add.at(total, code[part], c @ hot)
+                np.add.at(among, code[part], c @ (hot * ~rare[others][:, None]))
+            a, b = np.nonzero(np.ones_like(total))
+            label = t.column("label").take(pa.array(first)).combine_chunks()
+            head = [pa.concat_arrays([t.column(c).combine_chunks().slice(0, 1)] * len(a)) for c in context]
+            yield pa.RecordBatch.from_arrays([*head, label.take(pa.array(a)), label.take(pa.array(b)), pa.array(total[a, b]), pa.array(among[a, b])], [*context, "a", "b", "total", "among"])
 
+    kind = rows.schema[label].dataType.simpleString()
+    met = tiles.mapInArrow(run, _types(rows, context) + f"a {kind}, b {kind}, total double, among double")
 
-def _turned(sums: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """The partners of ``sums``: their masks the other way round."""
-    return sums.select(*keys, F.col("mask").alias("other"), F.col("other").alias("mask"), F.col("n").alias("m"), F.col("s").alias("t"), *more)
+    def selves(batches):
+        for batch in batches:
+            x = matrix(batch.column("x"))
+            u = unit_rows(x, ~np.isnan(x))
+            own = -(u * u).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in context], batch.column(label), batch.column(label), pa.array(own), pa.array(own * 0)], [*context, "a", "b", "total", "among"])
 
+    own = rare.select(*context, label, "x").mapInArrow(selves, _types(rows, context) + f"a {kind}, b {kind}, total double, among double")
+    return met.unionByName(own).groupBy(*context, "a", "b").agg(F.sum("total").alias("total"), F.sum("among").alias("among"))
 
-def within(sums: DataFrame, group: list[str]) -> DataFrame:
+
+def pair_totals(df: DataFrame, group: list[str], item: str, vector: str, context: list[str] | None = None, frequent: int = FREQUENT, tile: int = SUM_TILE) -> DataFrame:
+    """context, label, other_label, n, m, total: for any two labels of a context
+    (also a label with itself) how many vectors they have, and the sum of
+    correlations over all ordered pairs, a vector's own left out. The group's
+    last column is the label; context: the columns before it, if not given.
+
+    The masks are counted first: without lost values there is one, and sums are
+    all there is to make.
+    """
+    label = group[-1]
+    context = group[:-1] if context is None else context
+    fixed = not context
+    rows = df.select(*group, item, F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    if fixed:
+        context, rows = ["_all"], rows.withColumn("_all", F.lit(0))
+    keys = [*context, label]
+    masks = _mask_counts(rows, context)
+    many = masks.groupBy(*context).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if many <= 1:
+        often = None
+    else:
+        place = F.row_number().over(Window.partitionBy(*context).orderBy(F.desc("n"), "mask"))
+        often = masks.withColumn("_place", place).filter(F.col("_place") <= frequent).groupBy(*context).agg(F.collect_list("mask").alias("masks"))
+    sums = _mask_sums(rows, keys, often, context)
+    turned = sums.select(*context, F.col(label).alias("other_label"), F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("t"))
+    own = F.when((F.col(label) == F.col("other_label")) & (F.col("i") == F.col("j")), F.col("q")).otherwise(0.0)
+    total = sums.join(turned, [*context, "i", "j"]).groupBy(*context, label, "other_label").agg(F.sum(_dot("s", "t") - own).alias("total"))
+    if many > frequent:
+        def told(batches):
+            for batch in batches:
+                known = [m.as_py() for m in batch.column("masks")]
+                rare = [m not in k for m, k in zip(_masks(matrix(batch.column("x"))), known)]
+                names = [*keys, item, "x"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(rare)], [*names, "rare"])
+
+        seen = rows.join(_few(often), context).mapInArrow(told, _types(rows, [*keys, item]) + "x array<double>, rare boolean")
+        tiles = _tile_sums(seen, seen.filter("rare"), context, label, item, tile)
+        across = tiles.select(*context, F.col("b").alias(label), F.col("a").alias("other_label"), F.col("among").alias("total"))
+        parts = total.unionByName(tiles.select(*context, F.col("a").alias(label), F.col("b").alias("other_label"), "total")).unionByName(across)
+        total = parts.groupBy(*context, label, "other_label").agg(F.sum("total").alias("total"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    other = counts.select(*context, F.col(label).alias("other_label"), F.col("n").alias("m"))
+    out = counts.join(other, context).join(total, [*context, label, "other_label"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    return out.select(*([] if fixed else context), label, "other_label", "n", "m", "total")
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+
+
+def within(totals: DataFrame, group: list[str]) -> DataFrame:
     """group, n, within: mean over pairs, null with fewer than two items."""
-    same = F.col("mask") == F.col("other")
-    pairs = sums.join(_turned(sums, group), [*group, "mask", "other"])
-    total = pairs.groupBy(*group).agg(
-        F.sum(F.when(same, F.col("n"))).alias("n"), F.sum(_dot(F.col("s"), F.col("t")) - F.when(same, F.col("q")).otherwise(F.lit(0.0))).alias("_sum")
-    )
-    return total.select(*group, "n", F.when(F.col("n") >= 2, F.col("_sum") / (F.col("n") * (F.col("n") - 1))).alias("within"))
+    same = totals.filter(F.col(group[-1]).eqNullSafe(F.col("other_label")))
+    return same.select(*group, "n", F.when(F.col("n") >= 2, F.col("total") / (F.col("n") * (F.col("n") - 1))).alias("within"))
 
 
-def between(sums: DataFrame, context: list[str], label: str) -> DataFrame:
-    """context, label, other_label, similarity: mean over cross pairs. A join of
-    groups, of which there are as many as labels."""
-    pairs = sums.join(_turned(sums, context, F.col(label).alias("other_label")), [*context, "mask", "other"]).filter(F.col(label) != F.col("other_label"))
-    mean = F.sum(_dot(F.col("s"), F.col("t"))) / F.sum(F.col("n") * F.col("m"))
-    return pairs.groupBy(*context, label, "other_label").agg(mean.alias("similarity"))
+def between(totals: DataFrame, context: list[str], label: str) -> DataFrame:
+    """context, label, other_label, similarity: mean over cross pairs."""
+    return totals.filter(F.col(label) != F.col("other_label")).select(*context, label, "other_label", (F.col("total") / (F.col("n") * F.col("m"))).alias("similarity"))
 
 
 def control_margin(within_: DataFrame, between_: DataFrame, context: list[str], label: str) -> DataFrame:
@@ -82,28 +230,47 @@ def control_margin(within_: DataFrame, between_: DataFrame, context: list[str],
     return within_.join(rest, [*context, label], "left").withColumn("margin", F.col("within") - F.col("rest"))
 
 
-#: The most items of a group on either side of a tile of pairs.
-TILE = 1024
-
-
 def pairwise(df: DataFrame, group: list[str], item: str, vector: str, tile: int = TILE) -> DataFrame:
     """group, a, b, similarity of all pairs a < b of a group, with NaN-aware
     correlation. Grows with the square of a group, so it is for groups of
-    bounded size (subjects of a label). The pairs of a large group are dealt
-    to tiles, so that no key holds them all."""
-    tiles = df.groupBy(*group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
-    dealt = df.select(*group, F.col(item).alias("_i"), F.col(vector).alias("_v")).join(tiles, group).withColumn("_at", F.pmod(F.xxhash64("_i"), F.col("_tiles")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    left = dealt.select(*group, F.col("_i").alias("a"), F.col("_v").alias("_x"), F.col("_at").alias("_p"), every.alias("_q"))
-    right = dealt.select(*group, F.col("_i").alias("b"), F.col("_v").alias("_y"), every.alias("_p"), F.col("_at").alias("_q"))
-    return left.join(right, [*group, "_p", "_q"]).filter("a < b").select(*group, "a", "b", safe_corr("_x", "_y").alias("similarity"))
+    bounded size (subjects of a label). The pairs are dealt to tiles, each one
+    product of matrices in one task, however the table came."""
+    rows = df.select(*group, F.col(item).alias("_i"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    tiles = rows.groupBy(*group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    dealt = rows.join(_few(tiles), group) if group else rows.withColumn("_tiles", F.lit(tiles.first()[0]))
+    dealt = dealt.withColumn("_at", F.pmod(F.xxhash64("_i"), F.col("_tiles")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    by = [*group, "_p", "_q"]
+    dealt = dealt.select(*group, F.least("_at", "_o").alias("_p"), F.greatest("_at", "_o").alias("_q"), "_at", "_i", "x")
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, "_i")
+
+    def run(batches):
+        yield from runs(batches, by, 4 * tile, body)
+
+    def body(table):
+        at = np.append(starts(table, by), table.num_rows)
+        for low, high in zip(at[:-1], at[1:]):
+            t = table.slice(low, high - low).combine_chunks()
+            x, side = matrix(t.column("x")), t.column("_at").to_numpy()
+            place = np.cumsum(np.isin(np.arange(t.num_rows), starts(t, ["_i"])))  # equal items are no pair
+            cross = t.column("_p")[0] != t.column("_q")[0]
+            for k in range(0, t.num_rows, 256):
+                c = correlations(x[k : k + 256], x[k:])
+                i, j = np.nonzero((place[k : k + 256, None] < place[None, k:]) & (~cross | (side[k : k + 256, None] != side[None, k:])))
+                if not len(i):
+                    continue
+                i_, j_ = pa.array(i + k), pa.array(j + k)
+                columns = [*[t.column(c_).take(i_).combine_chunks() for c_ in (*group, "_i")], t.column("_i").take(j_).combine_chunks(), pa.array(c[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, [*group, "a", "b", "similarity"])
+
+    kind = rows.schema["_i"].dataType.simpleString()
+    return dealt.mapInArrow(run, _types(rows, group) + f"a {kind}, b {kind}, similarity double")
 
 
 def similarity_matrix(pairs: DataFrame, items: DataFrame, group: list[str], item: str) -> DataFrame:
     """Both triangles and the unit diagonal, as rows."""
-    mirrored = pairs.select(*group, F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
+    both = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     diagonal = items.select(*group, F.col(item).alias("a"), F.col(item).alias("b"), F.lit(1.0).alias("similarity")).distinct()
-    return pairs.select(*group, "a", "b", "similarity").unionByName(mirrored).unionByName(diagonal)
+    return pairs.select(*group, F.inline(both), "similarity").unionByName(diagonal.select(*group, "a", "b", "similarity"), allowMissingColumns=False)
 
 
 def centroids(df: DataFrame, group: list[str], vector: str, at: str = "pos", weight: Column | None = None) -> DataFrame:
