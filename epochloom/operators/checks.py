@@ -211,41 +211,72 @@ def rate_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
 
 
+def signal_items(signals: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """A row for each item (keys): channels, shortest and longest signal, lowest
+    and highest rate, rows. All that is said of the item's signals comes of it."""
+    size = F.size("samples")
+    return signals.groupBy(*keys).agg(
+        F.count_distinct("channel").alias("_n"), F.min(size).alias("_least"), F.max(size).alias("_most"), F.min("sampling_rate_hz").alias("_low"), F.max("sampling_rate_hz").alias("_high"), F.count("*").alias("_rows"), *more
+    )
+
+
+def _contract(items: DataFrame, unit: list[str], item: list[str], code: str, n_channels: Column | None, rate: Column | None) -> DataFrame:
+    # the rate that most items of a unit have, so that one that is off doesn't speak for the others
+    first = items.groupBy(*unit).agg(F.max("_n").alias("_channels"), F.mode("_low", True).alias("_rate"))
+    met = items.join(first, unit).withColumn("_want", F.col("_channels") if n_channels is None else n_channels).withColumn("_rate", F.col("_rate") if rate is None else rate)
+    off = F.when(~rate_close(F.col("_low"), F.col("_rate")), F.col("_low")).when(~rate_close(F.col("_high"), F.col("_rate")), F.col("_high"))
+    rules = [
+        ("error", F.col("_n") != F.col("_want"), F.concat(F.lit("channels: "), F.col("_n"), F.lit(" of "), F.col("_want"))),
+        ("error", off.isNotNull(), F.concat(F.lit("sampling rate "), off, F.lit(" against "), F.col("_rate"))),
+        ("error", F.col("_least") != F.col("_most"), F.lit("channels of different lengths")),
+        ("warning", F.col("_most") <= 0, F.lit("no samples")),
+    ]
+    return _told(met, [(level, code, rule, F.concat_ws("/", *[F.col(c).cast("string") for c in (*unit, *item)]), text) for level, rule, text in rules])
+
+
+def _told(df: DataFrame, rules: list[tuple[str, str, Column, Column, Column]]) -> DataFrame:
+    """Findings of all rules (level, code, what is wrong, location, message) in
+    one pass over the rows."""
+    each = [F.when(wrong, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), where.cast("string").alias("location"), text.cast("string").alias("message"))) for level, code, wrong, where, text in rules]
+    return df.select(F.inline(F.filter(F.array(*each), lambda f: f.isNotNull())))
+
+
 def signal_findings(signals: DataFrame, unit: list[str], item: list[str], code: str, n_channels: Column | None = None, rate: Column | None = None) -> DataFrame:
     """Signals against their contract. signals: a row for each channel, with
     unit and item columns (an item, such as an event's phase, belongs to a
     unit, such as a collection), channel, samples and sampling_rate_hz. An
     error where an item has not all channels of its unit (``n_channels``, or as
-    many as the unit has), or another rate than the unit's; a warning where
+    many as its fullest item), or where one of its channels has another rate
+    than the unit's (``rate``, or the one most items have); a warning where
     there are no samples."""
-    first = signals.groupBy(*unit).agg(F.count_distinct("channel").alias("_channels"), F.min("sampling_rate_hz").alias("_rate"))
-    each = signals.groupBy(*unit, *item).agg(F.count_distinct("channel").alias("_n"), F.min(F.size("samples")).alias("_least"), F.max(F.size("samples")).alias("_most"), F.min("sampling_rate_hz").alias("_r"))
-    met = each.join(first, unit).withColumn("_want", F.col("_channels") if n_channels is None else n_channels).withColumn("_rate", F.col("_rate") if rate is None else rate)
-    where = F.concat_ws("/", *[F.col(c).cast("string") for c in (*unit, *item)])
-    return _all([
-        met.filter("_n <> _want").select(*finding("error", code, where, F.concat(F.lit("channels: "), F.col("_n"), F.lit(" of "), F.col("_want")))),
-        met.filter(~rate_close(F.col("_r"), F.col("_rate"))).select(*finding("error", code, where, F.concat(F.lit("sampling rate "), F.col("_r"), F.lit(" against "), F.col("_rate")))),
-        met.filter("_least <> _most").select(*finding("error", code, where, F.lit("channels of different lengths"))),
-        met.filter("_most <= 0").select(*finding("warning", code, where, F.lit("no samples"))),
-    ])
+    return _contract(signal_items(signals, [*unit, *item]), unit, item, code, n_channels, rate)
 
 
 def collection_report(epochs: DataFrame, recordings: DataFrame, events: DataFrame, collection_id: str) -> DataFrame:
     """Findings of one branch of a collection. epochs: its rows, one for each
-    event, phase and channel; events: those it was made of."""
+    event, phase and channel; events: those it was made of. The epochs are read
+    once: every rule is told from one table of their items."""
     key = ["recording_id", "event_id"]
-    ids = epochs.select(*key).distinct()
-    channels = epochs.groupBy("recording_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    shape = F.max((F.size("samples") != F.col("derived_samples")).cast("int")).alias("_shape")
+    no_rate = F.max((~F.coalesce(F.col("sampling_rate_hz") > 0, F.lit(False))).cast("int")).alias("_no_rate")
+    items = signal_items(epochs, [*key, "phase"], shape, no_rate, F.collect_set("channel").alias("_names"))  # an item's channels
     where = F.concat_ws("/", *key)
+    repeated = F.col("_rows") > F.col("_n")
+    ids = items.groupBy(*key).agg(F.max("_no_rate").alias("_no_rate"), F.max(repeated.cast("int")).alias("_repeated"))
+    known = recordings.select("recording_id", F.lit(True).alias("_known")).distinct()
+    told = _told(ids.join(known, "recording_id", "left"), [
+        ("error", "epochs.invalid", F.col("_no_rate") == 1, where, F.lit("sampling_rate_hz is not above 0")),
+        ("error", "epochs.duplicate_event", F.col("_repeated") == 1, F.col("event_id"), F.lit("event comes more than once")),
+        ("error", "epochs.recording_mismatch", F.col("_known").isNull(), F.col("event_id"), F.concat(F.lit("no recording "), F.col("recording_id"))),
+    ])
+    shapes = _told(items, [("error", "epochs.phase_shape", F.col("_shape") == 1, where, F.concat(F.col("phase"), F.lit(" has another number of samples than its range")))])
+    channels = items.select("recording_id", F.explode("_names").alias("channel")).groupBy("recording_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
     return _all([
-        epochs.agg(F.count("*").alias("n")).filter("n = 0").select(*finding("error", "epochs.empty", F.lit(collection_id), F.lit("no epochs"))),
-        epochs.filter(~F.coalesce(F.col("sampling_rate_hz") > 0, F.lit(False))).select(*key).distinct().select(*finding("error", "epochs.invalid", where, F.lit("sampling_rate_hz is not above 0"))),
+        items.agg(F.count("*").alias("n")).filter("n = 0").select(*finding("error", "epochs.empty", F.lit(collection_id), F.lit("no epochs"))),
+        told, shapes,
         _channel_findings(channels, "recording_id", "channels", "epochs.channels"),
-        duplicates(epochs, [*key, "phase", "channel"]).select(*key).distinct().select(*finding("error", "epochs.duplicate_event", F.col("event_id"), F.lit("event comes more than once"))),
         events.select(*key).distinct().join(ids, key, "left_anti").select(*finding("error", "epochs.missing_signal", where, F.lit("event without epochs"))),
-        ids.join(recordings.select("recording_id").distinct(), "recording_id", "left_anti").select(*finding("error", "epochs.recording_mismatch", F.col("event_id"), F.concat(F.lit("no recording "), F.col("recording_id")))),
-        epochs.filter(F.size("samples") != F.col("derived_samples")).select(*finding("error", "epochs.phase_shape", where, F.concat(F.col("phase"), F.lit(" has another number of samples than its range")))),
-        signal_findings(epochs, ["recording_id"], ["event_id", "phase"], "epochs.signal_contract"),
+        _contract(items, ["recording_id"], ["event_id", "phase"], "epochs.signal_contract", None, None),
     ])
 
 

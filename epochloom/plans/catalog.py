@@ -8,14 +8,19 @@ channel are the baseline phase, the other twelve the onset phase.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions, expr, paths
 from ..operators import backbone, checks, discovery, epochs, preprocess, reliability, similarity, spectral
 from ..sources import events as event_source
+from ..sources import recording_files, recordings
+from ..sources.files import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,6 +184,31 @@ def epoch_slices(spark, sf_dir):
     return out.select(F.col("recording_id").alias("event_id"), "phase", F.size("samples").cast("long").alias("n"), F.round(expr.array_sum(F.transform("samples", lambda s: s.cast("double"))), 5).alias("total"))
 
 
+@query(
+    """WITH x AS (SELECT vec_id // 256 AS block, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
+    SELECT 'block_' || block AS recording_id, 'd' || k AS channel, CAST(count(*) AS BIGINT) AS n, CAST((count(*) + 99) // 100 AS BIGINT) AS chunks,
+    round(sum(CASE WHEN block % 2 = 0 THEN CAST(round((greatest(-1.0, least(1.0, CAST(v AS DOUBLE))) + 1) / 2 * 65534 - 32767) / 32767 AS DOUBLE) ELSE v END), 3) AS total FROM x GROUP BY block, k"""
+)
+def recording_scan(spark, sf_dir):
+    """Vectors as files of 256 samples, EDF and NPZ in turn, read again in ranges."""
+    at = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+
+    def write(key, rows):
+        rows = rows.sort_values("vec_id")
+        data = np.stack(rows["embedding"].tolist()).T.astype(np.float32)
+        names = [f"d{k}" for k in range(len(data))]
+        edf = key[0] % 2 == 0
+        content = recording_files.edf_bytes(names, RATE, data) if edf else recording_files.npz_bytes(names, RATE, data)
+        recording_files.write_bytes(f"{at}/block_{key[0]}.{'edf' if edf else 'npz'}", content)
+        return pd.DataFrame({"n": [data.shape[1]]})
+
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("vec_id div 256").alias("block"))
+    v.groupBy("block").applyInPandas(write, "n int").agg(F.sum("n")).collect()  # 256 ids a group
+    signals = recordings.read_signals(spark, at, chunk=100, range_bytes=16384)
+    total = expr.array_sum(F.transform("samples", lambda x: x.cast("double")))
+    return signals.groupBy("recording_id", "channel").agg(F.sum(F.size("samples")).cast("long").alias("n"), F.count("*").alias("chunks"), F.round(F.sum(total), 3).alias("total"))
+
+
 # -- preprocessing
 
 
@@ -388,7 +418,7 @@ def similarity_matrix(spark, sf_dir):
 
 
 def _sums(spark, sf_dir):
-    return similarity.unit_sums(similarity.unit_vectors(_vectors(spark, sf_dir), ["label"], "id", "x"), ["label"])
+    return similarity.pair_totals(_vectors(spark, sf_dir), ["label"], "id", "x")
 
 
 @query(f"WITH {_SUMS} SELECT label, n, round(within, 6) AS within FROM wi")
@@ -434,7 +464,7 @@ def control_margin_lost_values(spark, sf_dir):
     """Some labels lack two positions, some vectors another one."""
     gone = lambda i: ((F.col("label") % 3 == 0) & i.isin(3, 7)) | ((F.col("id") % 50 == 7) & (i == 10))
     v = _vectors(spark, sf_dir).withColumn("x", F.transform("x", lambda e, i: F.when(gone(i), F.lit(float("nan"))).otherwise(e)))
-    s = similarity.unit_sums(similarity.unit_vectors(v, ["label"], "id", "x"), ["label"])
+    s = similarity.pair_totals(v, ["label"], "id", "x")
     m = similarity.control_margin(similarity.within(s, ["label"]), similarity.between(s, [], "label"), [], "label")
     return m.select("label", *[r6(c, c) for c in ("within", "rest", "margin")])
 
@@ -586,7 +616,7 @@ def branch_agreement(spark, sf_dir):
 
 def _agreement(spark, sf_dir):
     v = _branch_vectors(spark, sf_dir)
-    sums = similarity.unit_sums(similarity.unit_vectors(v, ["branch", "label"], "id", "x"), ["branch", "label"])
+    sums = similarity.pair_totals(v, ["branch", "label"], "id", "x")
     margins = similarity.control_margin(similarity.within(sums, ["branch", "label"]), similarity.between(sums, ["branch"], "label"), ["branch"], "label")
     profiles = similarity.centroids(v, ["branch", "label"], "x").join(margins.select("branch", "label", "margin"), ["branch", "label"])
     return discovery.branch_agreement(profiles, ["label"], "branch", "centroid")
@@ -635,7 +665,7 @@ def _evidence(spark, sf_dir):
     pool = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: expr.array_sum(F.slice("x", k * 8 + 1, 8)) / 8)
     made = F.inline(F.array(F.struct(F.lit("pool").alias("model"), pool.alias("y")), F.struct(F.lit("head").alias("model"), F.slice("x", 1, 32).alias("y"))))
     em = v.select("label", "id", made).withColumnRenamed("y", "x")
-    sums = similarity.unit_sums(similarity.unit_vectors(em, ["model", "label"], "id", "x"), ["model", "label"])
+    sums = similarity.pair_totals(em, ["model", "label"], "id", "x")
     return similarity.control_margin(similarity.within(sums, ["model", "label"]), similarity.between(sums, ["model"], "label"), ["model"], "label").select("label", "model", "margin")
 
 
@@ -766,20 +796,23 @@ _STUDY = (
     "SELECT 'warning', 'study.subject_leakage_risk', count(*) FROM (SELECT DISTINCT a.label FROM (SELECT DISTINCT label, subject FROM sb) a JOIN (SELECT DISTINCT label, subject FROM sb) b ON a.subject = b.subject AND a.label < b.label) "
 )
 def study_validation_report(spark, sf_dir):
+    found = checks.study_report(_study(spark, sf_dir), min_subjects=10)
+    codes = spark.createDataFrame([("error" if c in ("empty", "recording_collision", "sample_rate_mismatch", "too_few_subjects") else "warning", f"study.{c}") for c in STUDY_CODES], "level string, code string")
+    counts = found.groupBy("level", "code").agg(F.count("*").alias("n"))
+    return F.broadcast(codes).join(counts, ["level", "code"], "left").select("level", "code", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def _study(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     u, i = F.col("user_id"), F.col("event_id")
     tag = lambda p, k: F.concat(F.lit(p), u % k)
     alone = u % 37 == 0
     label = F.when(alone, "only").when(i % 499 == 0, F.concat(F.lit("single"), i)).when(i % 50 == 1, "rare").otherwise(F.col("event_type"))
-    ob = e.select(
+    return e.select(
         tag("col_", 36).alias("collection_id"), tag("r", 40).alias("recording_id"), F.when(u % 3 == 0, "").otherwise(tag("s", 20)).alias("subject_id"), F.lit("ns").alias("label_namespace"),
         F.when(alone, "alone").otherwise(F.concat(F.lit("f"), i % 2)).alias("event_family"), label.alias("target_label"), tag("b", 2).alias("branch_name"), "event_id", (F.lit(100.0) + F.when(u % 13 == 0, 10).otherwise(0)).alias("sampling_rate_hz"),
         tag("p", 80).alias("source_path"), F.when(u % 5 == 0, F.array(F.lit("c0"), F.lit("c1"))).otherwise(F.array(F.lit("c0"))).alias("channels"),
     )
-    found = checks.study_report(ob, min_subjects=10)
-    codes = spark.createDataFrame([("error" if c in ("empty", "recording_collision", "sample_rate_mismatch", "too_few_subjects") else "warning", f"study.{c}") for c in STUDY_CODES], "level string, code string")
-    counts = found.groupBy("level", "code").agg(F.count("*").alias("n"))
-    return F.broadcast(codes).join(counts, ["level", "code"], "left").select("level", "code", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 STUDY_CODES = ("empty", "duplicate_collection_id", "recording_collision", "sample_rate_mismatch", "too_few_subjects", "too_few_trials", "weak_controls", "montage_inconsistent", "class_imbalance", "subject_leakage_risk")
@@ -798,19 +831,96 @@ def event_faults(spark, sf_dir):
 
 
 @query(
-    f"WITH {_EPOCHS}, lo AS (SELECT event_id, phase, channel, CASE WHEN event_id % 11 = 0 AND phase = 'onset' THEN 0 ELSE len(samples) END AS n, CASE WHEN event_id % 13 = 0 THEN 100.5 ELSE 100.0 END AS rate FROM ep WHERE NOT (event_id % 7 = 0 AND channel_idx = 3)), "
-    "it AS (SELECT event_id, phase, count(DISTINCT channel) AS c, max(n) AS most, min(rate) AS rate FROM lo GROUP BY ALL) "
-    "SELECT 'error' AS level, 'channels' AS what, count(*) AS n FROM it WHERE c <> 4 UNION ALL SELECT 'error', 'sampling', count(*) FROM it WHERE rate <> 100.0 UNION ALL SELECT 'warning', 'no', count(*) FROM it WHERE most <= 0"
+    f"WITH {_EPOCHS}, lo AS (SELECT event_id, phase, channel, CASE WHEN event_id % 11 = 0 AND phase = 'onset' THEN 0 ELSE len(samples) END AS n, CASE WHEN event_id % 13 = 0 THEN 100.5 WHEN event_id % 17 = 0 AND channel_idx = 2 THEN 250.0 ELSE 100.0 END AS rate FROM ep WHERE NOT (event_id % 7 = 0 AND channel_idx = 3)), "
+    "it AS (SELECT event_id, phase, count(DISTINCT channel) AS c, max(n) AS most, min(rate) AS low, max(rate) AS high FROM lo GROUP BY ALL) "
+    "SELECT 'error' AS level, 'channels' AS what, count(*) AS n FROM it WHERE c <> 4 UNION ALL SELECT 'error', 'sampling', count(*) FROM it WHERE low <> 100.0 OR high <> 100.0 UNION ALL SELECT 'warning', 'no', count(*) FROM it WHERE most <= 0"
 )
 def signal_contract(spark, sf_dir):
-    """Epochs with lost channels, another rate, and without samples."""
+    """Epochs with lost channels, another rate (of all channels or of one), and
+    without samples; what a unit has is told by its other items."""
     ep = _epochs(spark, sf_dir).filter(~((F.col("event_id") % 7 == 0) & (F.col("channel_idx") == 3)))
     ep = ep.withColumn("samples", F.when((F.col("event_id") % 11 == 0) & (F.col("phase") == "onset"), F.array().cast("array<float>")).otherwise(F.col("samples")))
-    ep = ep.withColumn("sampling_rate_hz", F.when(F.col("event_id") % 13 == 0, 100.5).otherwise(RATE)).withColumn("unit", F.lit("c"))
-    found = checks.signal_findings(ep, ["unit"], ["event_id", "phase"], "epochs.signal_contract", F.lit(4), F.lit(RATE))
+    ep = ep.withColumn("sampling_rate_hz", F.when(F.col("event_id") % 13 == 0, 100.5).when((F.col("event_id") % 17 == 0) & (F.col("channel_idx") == 2), 250.0).otherwise(RATE)).withColumn("unit", F.lit("c"))
+    found = checks.signal_findings(ep, ["unit"], ["event_id", "phase"], "epochs.signal_contract")
     return found.groupBy("level", F.regexp_extract("message", "^[a-z]+", 0).alias("what")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH {_STUDY}, lb AS (SELECT DISTINCT label, subject FROM sb) "
+    "SELECT 'study.duplicate_collection_id' AS code, collection_id AS location, 'collection id comes more than once' AS message FROM (SELECT DISTINCT collection_id, recording_id, branch FROM ob) GROUP BY collection_id HAVING count(*) > 1 UNION ALL "
+    "SELECT 'study.recording_collision', recording_id, 'several source files have this id' FROM ob GROUP BY recording_id HAVING count(DISTINCT path) > 1 UNION ALL "
+    "SELECT 'study.sample_rate_mismatch', concat_ws('/', 'ns', fam, label, branch), 'mixed sampling rates' FROM ob GROUP BY fam, label, branch HAVING count(DISTINCT rate) > 1 UNION ALL "
+    "SELECT 'study.too_few_subjects', concat_ws('/', 'ns', fam, label, branch), 'subjects: ' || count(DISTINCT subject) FROM sb GROUP BY fam, label, branch HAVING count(DISTINCT subject) < 10 UNION ALL "
+    "SELECT 'study.too_few_trials', concat_ws('/', 'ns', fam, label, branch), 'trials: ' || count(*) FROM ob GROUP BY fam, label, branch HAVING count(*) < 2 UNION ALL "
+    "SELECT 'study.weak_controls', concat_ws('/', 'ns', fam, branch), 'fewer than two labels' FROM ob GROUP BY fam, branch HAVING count(DISTINCT label) < 2 UNION ALL "
+    "SELECT 'study.montage_inconsistent', branch, 'channels differ across collections' FROM (SELECT branch, collection_id, bool_or(wide) AS w FROM ob GROUP BY ALL) GROUP BY branch HAVING bool_or(w) AND NOT bool_and(w) UNION ALL "
+    "SELECT 'study.class_imbalance', '', 'label counts differ by a factor of 3 or more' FROM (SELECT count(*) AS n FROM ob GROUP BY fam, label, branch) HAVING max(n) >= 3 * min(n) UNION ALL "
+    "SELECT 'study.subject_leakage_risk', a.label, 'shares subjects with ' || min(b.label) FROM lb a JOIN lb b ON a.subject = b.subject AND a.label < b.label GROUP BY a.label"
+)
+def study_findings(spark, sf_dir):
+    """The findings themselves, each with its place and message."""
+    return checks.study_report(_study(spark, sf_dir), min_subjects=10).select("code", "location", "message")
+
+
+@query(
+    """WITH e AS (SELECT 'e' || event_id % 4900 AS event_id, 'r' || user_id AS recording_id, value AS onset, CASE WHEN event_id % 90 = 7 THEN -1.0 WHEN event_id % 40 = 3 THEN 4000.0 ELSE 0.01 END AS dur, CASE WHEN event_id % 77 = 5 THEN '' ELSE event_type END AS label, user_id % 5 = 0 AS lax FROM events),
+    k AS (SELECT 'r' || c_custkey AS recording_id, 500.0 + c_custkey % 7 * 500 AS seconds FROM customer WHERE c_custkey % 11 <> 0),
+    o AS (SELECT recording_id, event_id, onset + dur AS stop, lax, lead(event_id) OVER w AS nxt, lead(onset) OVER w AS nxt_onset, lead(lax) OVER w AS nxt_lax FROM e WINDOW w AS (PARTITION BY recording_id ORDER BY onset, onset + dur, event_id))
+    SELECT code, level, CAST(count(*) AS BIGINT) AS n, min(location) AS first_location, max(location) AS last_location, max(message) AS last_message FROM (
+    SELECT 'events.duplicate_id' AS code, 'error' AS level, event_id AS location, 'event id comes ' || count(*) || ' times' AS message FROM e GROUP BY recording_id, event_id HAVING count(*) > 1 UNION ALL
+    SELECT 'events.invalid', 'error', event_id, 'no target_label' FROM e WHERE label = '' UNION ALL SELECT 'events.invalid', 'error', event_id, 'duration_seconds is negative' FROM e WHERE dur < 0 UNION ALL
+    SELECT 'events.overlap', 'error', recording_id, nxt || ' overlaps ' || event_id FROM o WHERE nxt IS NOT NULL AND nxt_onset < stop AND NOT lax AND NOT nxt_lax UNION ALL
+    SELECT 'events.class_imbalance', 'warning', '', 'label counts differ by a factor of 3 or more' FROM (SELECT count(*) AS n FROM e GROUP BY label) HAVING max(n) >= 3 * min(n) UNION ALL
+    SELECT 'events.out_of_bounds', 'error', event_id, 'ends after its recording' FROM e JOIN k USING (recording_id) WHERE onset + dur > seconds UNION ALL
+    SELECT 'events.recording_mismatch', 'error', event_id, 'no recording ' || recording_id FROM e WHERE recording_id NOT IN (SELECT recording_id FROM k)) GROUP BY code, level"""
+)
+def event_report(spark, sf_dir):
+    """Every rule of event tables: repeated ids, unusable rows, overlaps, labels
+    out of balance, events beyond their recording or without one."""
+    i, u = F.col("event_id"), F.col("user_id")
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), i % 4900).alias("event_id"), F.concat(F.lit("r"), u).alias("recording_id"), F.col("value").alias("onset_seconds"), F.when(i % 90 == 7, -1.0).when(i % 40 == 3, 4000.0).otherwise(0.01).alias("duration_seconds"),
+        F.lit("f").alias("event_family"), F.when(i % 77 == 5, "").otherwise(F.col("event_type")).alias("target_label"), F.lit("").alias("event_subtype"), F.lit("ns").alias("label_namespace"),
+        F.create_map(F.lit("allow_overlap"), F.when(u % 5 == 0, "True").otherwise("0")).alias("metadata"),
+    )
+    k = F.col("c_custkey")
+    seconds = table(spark, sf_dir, "customer").filter(k % 11 != 0).select(F.concat(F.lit("r"), k).alias("recording_id"), (F.lit(500.0) + k % 7 * 500).alias("seconds"))
+    return _summary(checks.event_report(e, seconds))
+
+
+def _summary(found: DataFrame) -> DataFrame:
+    return found.groupBy("code", "level").agg(F.count("*").alias("n"), F.min("location").alias("first_location"), F.max("location").alias("last_location"), F.max("message").alias("last_message"))
+
+
+@query(
+    f"""WITH {_EPOCHS}, e0 AS (SELECT 'r' || event_id % 9 AS recording_id, 'e' || event_id AS event_id, phase, channel, CASE WHEN event_id % 11 = 0 AND phase = 'onset' THEN 0 ELSE len(samples) END AS n, len(samples) AS want,
+        CASE WHEN event_id % 53 = 2 THEN 0.0 WHEN event_id % 17 = 0 AND channel_idx = 2 THEN 250.0 ELSE 100.0 END AS rate, event_id AS k FROM ep WHERE NOT (event_id % 7 = 0 AND channel_idx = 3) AND event_id % 29 <> 4),
+    ob AS (SELECT * FROM e0 UNION ALL SELECT * FROM e0 WHERE k % 31 = 0 AND channel = 'c1'),
+    it AS (SELECT recording_id, event_id, phase, count(DISTINCT channel) AS c, count(*) AS rows_, min(n) AS least, max(n) AS most, min(rate) AS low, max(rate) AS high, max(CASE WHEN n <> want THEN 1 ELSE 0 END) AS shape FROM ob GROUP BY ALL),
+    id AS (SELECT recording_id, event_id, min(low) AS low, max(CASE WHEN rows_ > c THEN 1 ELSE 0 END) AS rep FROM it GROUP BY ALL)
+    SELECT code, level, CAST(count(*) AS BIGINT) AS n, min(location) AS first_location, max(location) AS last_location, max(message) AS last_message FROM (
+    SELECT 'epochs.invalid' AS code, 'error' AS level, recording_id || '/' || event_id AS location, 'sampling_rate_hz is not above 0' AS message FROM id WHERE low <= 0 UNION ALL
+    SELECT 'epochs.duplicate_event', 'error', event_id, 'event comes more than once' FROM id WHERE rep = 1 UNION ALL
+    SELECT 'epochs.recording_mismatch', 'error', event_id, 'no recording ' || recording_id FROM id WHERE recording_id = 'r8' UNION ALL
+    SELECT 'epochs.phase_shape', 'error', recording_id || '/' || event_id, phase || ' has another number of samples than its range' FROM it WHERE shape = 1 UNION ALL
+    SELECT 'epochs.missing_signal', 'error', 'r' || vec_id % 9 || '/e' || vec_id, 'event without epochs' FROM embeddings WHERE vec_id % 29 = 4 UNION ALL
+    SELECT 'epochs.signal_contract', 'error', recording_id || '/' || event_id || '/' || phase, 'channels: ' || c || ' of 4' FROM it WHERE c <> 4 UNION ALL
+    SELECT 'epochs.signal_contract', 'error', recording_id || '/' || event_id || '/' || phase, 'sampling rate ' || CAST(CASE WHEN low <> 100.0 THEN low ELSE high END AS DOUBLE) || ' against 100.0' FROM it WHERE low <> 100.0 OR high <> 100.0 UNION ALL
+    SELECT 'epochs.signal_contract', 'warning', recording_id || '/' || event_id || '/' || phase, 'no samples' FROM it WHERE most <= 0) GROUP BY code, level"""
+)
+def collection_report(spark, sf_dir):
+    """Every rule of a collection's epochs, from one pass over them."""
+    k = F.col("event_id")
+    ep = _epochs(spark, sf_dir).filter(~((k % 7 == 0) & (F.col("channel_idx") == 3)) & (k % 29 != 4)).withColumn("derived_samples", F.size("samples"))
+    ep = ep.withColumn("samples", F.when((k % 11 == 0) & (F.col("phase") == "onset"), F.array().cast("array<float>")).otherwise(F.col("samples")))
+    ep = ep.withColumn("sampling_rate_hz", F.when(k % 53 == 2, 0.0).when((k % 17 == 0) & (F.col("channel_idx") == 2), 250.0).otherwise(RATE))
+    ep = ep.unionByName(ep.filter((k % 31 == 0) & (F.col("channel") == "c1")))
+    name = lambda c: [F.concat(F.lit("r"), c % 9).alias("recording_id"), F.concat(F.lit("e"), c).alias("event_id")]
+    ep = ep.select(*name(k), "phase", "channel", "samples", "derived_samples", "sampling_rate_hz")
+    events = table(spark, sf_dir, "embeddings").select(*name(F.col("vec_id")))
+    return _summary(checks.collection_report(ep, events.select("recording_id").filter("recording_id <> 'r8'"), events, "c"))
+
+
 @query(
     "WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE 'r' || s_suppkey END AS id, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 10 END AS n, s_suppkey % 4 AS c, s_suppkey % 6 = 0 AS bare FROM supplier) "
     "SELECT level, code, count(*) AS n FROM (SELECT 'error' AS level, 'recording.invalid' AS code FROM r WHERE trim(id) = '' UNION ALL SELECT 'error', 'recording.invalid' FROM r WHERE n = 0 UNION ALL SELECT 'error', 'recording.channels' FROM r WHERE c = 0 UNION ALL "

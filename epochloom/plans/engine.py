@@ -24,7 +24,7 @@ from ..functions import decisions, paths
 from ..functions.expr import slugify
 from ..operators import backbone, checks, discovery, epochs, preprocess, similarity
 from ..sources import events as event_source
-from ..sources import files, recordings
+from ..sources import files, recording_source, recordings
 from . import packages
 from .models import ModelLoadError, Registry
 
@@ -293,7 +293,7 @@ class Engine:
             states = states.unionByName(state)
             by = [*discovery.CONTEXT, "model_id"]
             x = done.join(state.filter("status = 'used'").select(*group, "model_id"), [*group, "model_id"])
-            sums = similarity.unit_sums(similarity.unit_vectors(x, [*by, "target_label"], "subject_id", "x"), [*by, "target_label"])
+            sums = similarity.pair_totals(x, [*by, "target_label"], "subject_id", "x")
             scores = similarity.control_margin(similarity.within(sums, [*by, "target_label"]), similarity.between(sums, by, "target_label"), by, "target_label")
             scores = scores.select(*group, "model_id", F.col("n").alias("n_subjects"), "within", "rest", "strongest", "strongest_label", "margin")
         if scores is None:
@@ -404,10 +404,16 @@ class Engine:
         """Fields, channels, source files and the files beside them."""
         rec = self.table("recordings")
         rec = rec.filter(F.col("ingest_id") == ingest_id) if ingest_id else rec
-        folders = [r[0] for r in rec.select(F.regexp_replace("source_path", "/[^/]*$", "")).distinct().collect()]  # folders of recordings
-        there = [f for f in folders if files.exists(self.spark, f)]
-        beside = self.spark.createDataFrame([(f"{f}/{name}",) for f in there for name in files.listed(self.spark, f)], "path string")
-        return checks.recording_report(rec, beside)
+        stores = [r[0] for r in rec.select(F.regexp_extract("source_path", "^([A-Za-z][A-Za-z0-9+.-]*:/*[^/]*)/", 1)).distinct().collect()]  # a row for each store
+        if all(recording_source.reachable(f"{s}/") for s in stores):
+            path = F.col("source_path")
+            beside = F.when(checks.bids_path(path), checks.bids_sidecars(path)).otherwise(F.array().cast("array<string>"))
+            there = recording_source.existing(rec.select(F.explode(F.array_union(F.array(path), beside)).alias("path")))
+        else:  # a store that Spark alone opens: its folders, without what is in the files
+            folders = [r[0] for r in rec.select(F.regexp_replace("source_path", "/[^/]*$", "")).distinct().collect()]
+            held = [f for f in folders if files.exists(self.spark, f)]
+            there = self.spark.read.format("binaryFile").load(held).select("path") if held else self.spark.createDataFrame([], "path string")
+        return checks.recording_report(rec, there)
 
     def validate_collection(self, collection_id: str, branch: str = SOURCE_BRANCH) -> DataFrame:
         """The epochs of a collection (of one branch), their signals, events

@@ -81,8 +81,15 @@ class Adapter:
 _WEIGHTS = "pretrained_weights/pretrained_weights.pth"
 #: Model ids with what they take, their variants and files as their makers name them.
 ADAPTERS = (
-    Adapter("biot", ("torch", "numpy", "linear_attention_transformer", "einops"), {f"{k}": (f"pretrained-models/EEG-{v}.ckpt",) for k, v in (("prest_16ch", "PREST-16-channels"), ("shhs_prest_18ch", "SHHS+PREST-18-channels"), ("six_datasets_18ch", "six-datasets-18-channels"))}, "six_datasets_18ch", "N x 18 x 2000", "N x 256", "BIOT", input="biot"),
-    Adapter("brainomni", ("torch", "einops", "einx", "vector_quantize_pytorch", "deepspeed"), {k: (f"ckpt_collection/{k}/BrainOmni.pt", f"ckpt_collection/{k}/model_cfg.json") for k in ("tiny", "base")}, "tiny", "N x C x T with sensor positions", "token embeddings", "BrainOmni", ("ckpt_collection/braintokenizer/BrainTokenizer.pt", "ckpt_collection/braintokenizer/model_cfg.json"), input="brainomni"),
+    Adapter("biot", ("torch", "numpy", "linear_attention_transformer", "einops"), {
+        "prest_16ch": ("pretrained-models/EEG-PREST-16-channels.ckpt",),
+        "shhs_prest_18ch": ("pretrained-models/EEG-SHHS+PREST-18-channels.ckpt",),
+        "six_datasets_18ch": ("pretrained-models/EEG-six-datasets-18-channels.ckpt",),
+    }, "six_datasets_18ch", "N x 18 x 2000", "N x 256", "BIOT", input="biot"),
+    Adapter("brainomni", ("torch", "einops", "einx", "vector_quantize_pytorch", "deepspeed"), {
+        "tiny": ("ckpt_collection/tiny/BrainOmni.pt", "ckpt_collection/tiny/model_cfg.json"),
+        "base": ("ckpt_collection/base/BrainOmni.pt", "ckpt_collection/base/model_cfg.json"),
+    }, "tiny", "N x C x T with sensor positions", "token embeddings", "BrainOmni", ("ckpt_collection/braintokenizer/BrainTokenizer.pt", "ckpt_collection/braintokenizer/model_cfg.json"), input="brainomni"),
     Adapter("cbramod", ("torch", "einops"), {"foundation": (_WEIGHTS,)}, "foundation", "N x C x 10 x 200", "patch embeddings", "CBraMod", input="cbramod"),
     Adapter("eegmamba", ("torch", "einops", "mamba_ssm"), {"foundation": (_WEIGHTS,)}, "foundation", "N x C x patches x 200", "patch embeddings", "EEGMamba", input="cbramod"),
     Adapter("eegpt", ("torch", "numpy"), {"large_mixed_58ch_4s": ("checkpoint/eegpt_mcae_58chs_4s_large4E.ckpt",)}, "large_mixed_58ch_4s", "N x 58 x 512, named montage", "token embeddings", "EEGPT", imports="downstream", input="eegpt"),
