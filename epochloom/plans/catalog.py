@@ -8,6 +8,7 @@ channel are the baseline phase, the other twelve the onset phase.
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +22,7 @@ from ..operators import backbone, checks, discovery, epochs, preprocess, reliabi
 from ..sources import events as event_source
 from ..sources import recording_files, recordings
 from ..sources.files import shared_dir
+from . import models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -697,6 +699,32 @@ def _pooled(x):
     return np.concatenate([x.mean(axis=-1), x.std(axis=-1)], axis=-1)
 
 
+def _weighted(root: str, variant: str, device: str):
+    """A model of the query below: its weights are a file beside it."""
+    weights = np.load(f"{root}/{variant}.npy").astype(np.float64)
+    return lambda x: np.stack((x.reshape(len(x), -1) @ weights, x.reshape(len(x), -1) @ weights[::-1]), axis=1)
+
+
+@query(
+    """WITH e AS (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), w AS (SELECT pos, avg(CAST(v AS DOUBLE)) AS w FROM e GROUP BY pos), m AS (SELECT max(pos) + 1 AS k FROM e)
+    SELECT e.vec_id AS id, round(sum(v * a.w), 5) AS ahead, round(sum(v * b.w), 5) AS back FROM e JOIN w a ON a.pos = e.pos, m, w b WHERE b.pos = k - e.pos GROUP BY e.vec_id"""
+)
+def model_handle(spark, sf_dir):
+    """Embeddings of a model that the workers load: its weights, the mean
+    vector, are a file in the shared folder."""
+    at = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    v = _vectors(spark, sf_dir)
+    means = v.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("v")).orderBy("pos")
+    held = io.BytesIO()
+    np.save(held, np.array([r["v"] for r in means.collect()]))  # a vector's length
+    recording_files.write_bytes(f"{at}/mean/base.npy", held.getvalue())
+    model = models.Adapter("mean", variants={"base": ("base.npy",)}, make=_weighted).load(spark, at)
+    rows = v.select("id", F.transform("x", lambda e: e.cast("float")).alias("x"))
+    data = rows.select("id", F.array("x").alias("data"), F.lit(RATE).alias("rate"), F.array(F.lit("c")).alias("channels"))
+    x, _ = backbone.embeddings(data, [model], ["id"])
+    return x.select("id", F.round(F.col("x")[0], 5).alias("ahead"), F.round(F.col("x")[1], 5).alias("back"))
+
+
 @query(
     "WITH m AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings) "
     "SELECT id, CAST(c AS INT) AS channel, round(list_avg(x[c * 16 + 1 : c * 16 + 16]), 5) + 0.0::DOUBLE AS mean, round(list_aggregate(x[c * 16 + 1 : c * 16 + 16], 'stddev_pop'), 5) + 0.0::DOUBLE AS std FROM m, (SELECT unnest(range(4)) AS c)"

@@ -1,11 +1,19 @@
 """Registry of model adapters: what each needs, whether it can run here, and
-loading it."""
+loading it.
+
+A model goes to the executors as a handle: where its files are, which variant
+and device, and a stamp of the files. A worker process makes the model when it
+first calls the handle and keeps it; weights are never part of a task.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import importlib.util
+import os
 import sys
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,12 +21,69 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.backbone import Model
 from ..sources import files
+from ..sources.recording_source import opened
 
 
 class ModelLoadError(RuntimeError):
     """A model that can't be loaded here."""
 
 
+#: Models that this process has made, by handle.
+_MADE: dict[Handle, Callable] = {}
+#: Folders that this process has fetched, by folder and stamp.
+_FETCHED: dict[tuple[str, str], str] = {}
+
+
+@dataclass(frozen=True)
+class Handle:
+    """A model to be made where it is called. names: its files below ``root``;
+    stamp: of their sizes and times, so that changed files make a new model."""
+
+    model_id: str
+    make: Callable | str = field(compare=False)  # another object after each task's unpickling
+    root: str
+    names: tuple[str, ...]
+    variant: str
+    device: str
+    imports: str
+    stamp: str
+
+    def folder(self) -> str:
+        """The files' folder on this machine: as it is if it can be opened here,
+        else fetched once by the process."""
+        system, at = opened(self.root)
+        if os.path.isdir(at) and type(system).__name__ == "LocalFileSystem":
+            return at
+        if (self.root, self.stamp) not in _FETCHED:
+            place = tempfile.mkdtemp(prefix="epochloom-model-")  # this process's own copy of small and large weights alike
+            for name in self.names:
+                os.makedirs(os.path.dirname(f"{place}/{name}"), exist_ok=True)
+                with system.open_input_stream(f"{at}/{name}") as source, open(f"{place}/{name}", "wb") as target:
+                    while piece := source.read(16 << 20):
+                        target.write(piece)
+            _FETCHED[self.root, self.stamp] = place
+        return _FETCHED[self.root, self.stamp]
+
+    def made(self) -> Callable:
+        if self not in _MADE:
+            folder, make = self.folder(), self.make
+            if isinstance(make, str):
+                module, name = make.split(":")
+                place = f"{folder}/{self.imports}".rstrip("/")
+                sys.path.insert(0, place)
+                try:
+                    make = getattr(importlib.import_module(module), name)
+                except (ImportError, AttributeError) as fault:
+                    raise ModelLoadError(f"{self.model_id}: {fault}") from fault
+                finally:
+                    sys.path.remove(place)
+            _MADE[self] = make(folder, self.variant, self.device)
+        return _MADE[self]
+
+    def __call__(self, *args):
+        return self.made()(*args)
+
+
 @dataclass(frozen=True)
 class Adapter:
     """A model family: its packages and weight files, its variants and contracts.
@@ -27,7 +92,7 @@ class Adapter:
     variants need; variants: their own files; input: the known input it takes.
     make(root, variant, device) gives the function that embeds; it is a callable
     or the name "module:function" of one that is imported from ``imports``
-    (below the folder) or the installed packages.
+    (below the folder) or the installed packages. It is called by workers.
     """
 
     model_id: str
@@ -53,8 +118,8 @@ class Adapter:
         return [a for a in (*self.common, *self.variants.get(variant or self.default, ())) if not files.exists(spark, f"{self.at(root)}/{a}")]
 
     def load(self, spark: SparkSession, root: str, variant: str = "", device: str = "cpu") -> Model:
-        """The model, ready to embed; its function is made on the driver and
-        goes to the executors as it is."""
+        """The model as a handle that workers make the function of. One task
+        makes it first, so that a model that can't be made is known here."""
         variant = variant or self.default
         if self.variants and variant not in self.variants:
             raise ModelLoadError(f"{self.model_id} has no variant {variant!r}, but {', '.join(self.variants)}")
@@ -64,18 +129,22 @@ class Adapter:
             raise ModelLoadError(f"{self.model_id} ({variant}) needs the files {', '.join(f'{self.at(root)}/{a}' for a in lost)}")
         if self.make is None:
             raise ModelLoadError(f"{self.model_id} has no function that makes it; give its adapter one (make)")
-        make = self.make
-        if isinstance(make, str):
-            module, name = make.split(":")
-            folder = f"{self.at(root)}/{self.imports}".rstrip("/")
-            sys.path.insert(0, folder)
-            try:
-                make = getattr(importlib.import_module(module), name)
-            except (ImportError, AttributeError) as fault:
-                raise ModelLoadError(f"{self.model_id}: {fault}") from fault
-            finally:
-                sys.path.remove(folder)
-        return Model(self.model_id, make(self.at(root), variant, device), batched=self.batched, input=self.input)
+        names = (*self.common, *self.variants.get(variant, ()))
+        stamp = hashlib.sha256(repr([files.stamp(spark, f"{self.at(root)}/{n}") for n in names]).encode()).hexdigest()
+        handle = Handle(self.model_id, self.make, self.at(root), names, variant, device, self.imports, stamp)
+
+        def attempt(batches):
+            for batch in batches:
+                said = batch[["id"]].astype({"id": "string"}).assign(id=None)
+                try:
+                    handle.made()
+                except Exception as fault:  # whatever the model's own code raises
+                    said["id"] = f"{type(fault).__name__}: {fault}"
+                yield said
+
+        if fault := spark.range(1, numPartitions=1).mapInPandas(attempt, "id string").first()[0]:
+            raise ModelLoadError(f"{self.model_id} ({variant}): {fault}")
+        return Model(self.model_id, handle, batched=self.batched, input=self.input)
 
 
 _WEIGHTS = "pretrained_weights/pretrained_weights.pth"

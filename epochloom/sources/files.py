@@ -9,10 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``);
-    only where that is unset (tests, one machine) a local one is made."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    Where that is unset a local one is made, but only if the whole session runs
+    on one machine; on a cluster it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="epochloom-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,6 +31,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and time of change of a file."""
+    fs, p = _fs(spark, path)
+    found = fs.getFileStatus(p)
+    return found.getLen(), found.getModificationTime()
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
