@@ -20,10 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a local folder is made.
+    Where that is unset a local folder is made, but only if the whole session
+    runs on one machine; on a cluster it must be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="epochloom-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
