@@ -57,6 +57,7 @@ BROADCAST_ROWS = 500_000
 #: Entries of a sample for frequent shingles, and about as many in a fragment.
 SAMPLE = 5_000_000
 ENTRIES = 2_000_000
+FRAGMENTS_AT_LEAST = 16
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,7 +140,7 @@ def shared_shingles(sets: DataFrame, lists: bool, block: int = 1 << 13) -> DataF
     often, about = _frequent(sets, total)
     shared = spark.sparkContext.broadcast((often, np.minimum(about, TOP).astype(np.int32)))
     tasks = partitions(spark)
-    n_fragments = max(4 * tasks, total // ENTRIES)
+    n_fragments = max(FRAGMENTS_AT_LEAST, total // ENTRIES)  # by the data alone: a class has a row for each
 
     def deal(batches):
         often, _ = shared.value
@@ -432,8 +433,8 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return new
 
 
-def links_of(segs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, tile: int = TILE, counts: dict | None = None) -> DataFrame:
-    """a, b: links that connect all classes of a similarity high enough.
+def groups_of(segs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, tile: int = TILE, counts: dict | None = None) -> DataFrame:
+    """c, label: the classes of each component of the links, by its smallest.
     counts: how many rows and pairs each step has is written to it."""
     prefix = materialise(_prefixes(segs, percent), "prefixes")
     own = segs.filter("bits IS NOT NULL").select("c", "bits")
@@ -442,22 +443,32 @@ def links_of(segs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS
     led = links.select(F.col("b").alias("c"), F.col("a").alias("lead"))
     labels = materialise(own.join(led.hint("merge"), "c", "left").select("c", F.coalesce("lead", "c").alias("label"), "bits"), "labels")
     said = {"classes": own.count(), "prefixes": prefix.count(), "led": links.count(), "forests": [], "rest": 0} if counts is not None else None
-    for round_ in range(ROUNDS + 1):
-        forest = round_ < ROUNDS
-        pairs = materialise(_tile_pairs(_tiles(prefix, labels, tile), fragments, percent, forest), "tile-pairs")
+    closed, forest = False, 0
+    while True:
+        pairs = materialise(_tile_pairs(_tiles(prefix, labels, tile), fragments, percent, forest < ROUNDS), "tile-pairs")
         if not pairs.take(1):
             break
         got = materialise(linked(pairs, segs, percent), "links")
-        links = links.unionByName(got)
         if said:
-            said |= {"forests": [*said["forests"], pairs.count()]} if forest else {"rest": pairs.count()}
-        if not forest:
+            said |= {"forests": [*said["forests"], pairs.count()]} if forest < ROUNDS else {"rest": pairs.count()}
+        last, found = forest >= ROUNDS, bool(got.take(1))
+        if found:
+            links = links.unionByName(got)
+            labels, closed = _closed(labels, links), True
+        if last:
             break
-        labels = labels.drop("label").join(components(links).withColumnsRenamed({"node": "c", "root": "label"}).hint("merge"), "c", "left")
-        labels = materialise(labels.select("c", F.coalesce("label", "c").alias("label"), "bits"), "labels")
+        forest = forest + 1 if found else ROUNDS  # nothing new: what is left is counted in full
+    if not closed:
+        labels = _closed(labels, links)
     if counts is not None:
         counts |= said
-    return links
+    return labels.select("c", "label")
+
+
+def _closed(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels by components of all links."""
+    roots = components(links).withColumnsRenamed({"node": "c", "root": "label"})
+    return materialise(labels.drop("label").join(roots.hint("merge"), "c", "left").select("c", F.coalesce("label", "c").alias("label"), "bits"), "labels")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS, counts: dict | None = None) -> DataFrame:
@@ -474,10 +485,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     partners = materialise(_with_partners(base, percent), "partners")
     sets = materialise(_whole_sets(docs, partners, id_col, text_col, width, broadcast_rows), "whole-sets")
     segs = materialise(segments(sets, percent, fragments), "segments")
-    roots = components(links_of(segs, percent, fragments, tile, counts))
+    groups = groups_of(segs, percent, fragments, tile, counts)
     held = base.filter("key IS NOT NULL")
     first = materialise(held.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
-    joined = sets.select("c", "key").join(roots.withColumnRenamed("node", "c").hint("merge"), "c", "left").select("key", F.coalesce("root", "c").alias("root"))
+    joined = sets.select("c", "key").join(groups.withColumnRenamed("label", "root").hint("merge"), "c").select("key", "root")
     joined = materialise(joined.join(first.select("key", "first").hint("merge"), "key"), "linked-classes")
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     named = spread_join(joined, least, "root", joined.count()).select("key", "component_id")
