@@ -326,7 +326,8 @@ def _tiles(prefix: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
     lists dealt to pairs (i, j) of tiles. labels: c, label, bits."""
     rows = prefix.join(labels.select("c", "label").hint("merge"), "c")
     lists = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h", "n")
-    met = spread_join(rows, lists, "h", rows.count()).join(labels.select("c", "bits").hint("merge"), "c").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    met = materialise(spread_join(rows, lists, "h", rows.count()), "mixed-lists")  # the bitmaps come to these rows only
+    met = met.join(labels.select("c", "bits").hint("merge"), "c").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     met = met.withColumn("side", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return met.select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "size", "shared", "sizes", "pos", "label", "bits")
 
