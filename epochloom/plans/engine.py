@@ -63,18 +63,27 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def _write(self, df: DataFrame, table: str, key: dict[str, str], overwrite: bool) -> str:
-        """One partition of a table; it must be new unless overwritten."""
+    def _write(self, df: DataFrame, table: str, key: dict[str, str], overwrite: bool, within: tuple[str, ...] = ()) -> str:
+        """One partition of a table; it must be new unless overwritten. within:
+        columns that partition it further."""
         path = self.path(table) + "".join(f"/{k}={v}" for k, v in key.items())
         if not overwrite and files.exists(self.spark, path):
             raise EngineError(f"{path} exists")
-        df.drop(*key).write.mode("overwrite").parquet(path)
+        df.drop(*key).write.mode("overwrite").partitionBy(*within).parquet(path)
         return path
 
     def _log(self, run: str, stage: str, message: str, level: str = "info", **context) -> None:
-        """A line of the run's log."""
+        """A line of the run's log: a file of its own in the log's folder, which
+        sorts by time. Nothing is read or written anew, so lines cost the same
+        however long the log, and writers at the same time lose none."""
+        at = datetime.now(timezone.utc)
         line = {"timestamp_utc": _now(), "level": level, "stage": stage, "message": message, "context": context}
-        files.append_text(self.spark, f"{self.root}/runs/{run}/log.jsonl", json.dumps(line, sort_keys=True, default=str) + "\n")
+        files.write_text(self.spark, f"{self.root}/runs/{run}/log.jsonl/{at:%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex}.json", json.dumps(line, sort_keys=True, default=str) + "\n")
+
+    def log_lines(self, run: str) -> DataFrame:
+        """The lines of a run's log in order: at, line (JSON)."""
+        lines = self.spark.read.text(f"{self.root}/runs/{run}/log.jsonl").select(F.col("value").alias("line"), F.regexp_extract("_metadata.file_name", "^([0-9T.]+)", 1).alias("at"), F.col("_metadata.file_name").alias("_name"))
+        return lines.orderBy("at", "_name").select("at", "line")
 
     def _faults(self, run: str, stage: str, found: DataFrame) -> str:
         """All findings (level, code, location, message) of a step as a table
@@ -152,7 +161,7 @@ class Engine:
         ev = ev.drop("ingest_id", "metadata").join(info, "recording_id").withColumn("label_namespace", F.coalesce(F.nullif("label_namespace", F.lit("")), "_ns")).drop("_ns")
         ranges = epochs.sample_range(epochs.phase_requests(ev, windows), F.col("sampling_rate_hz"), F.col("n_samples")).withColumn("collection_id", F.lit(collection)).drop("n_samples")
         out = epochs.epochs(sig.drop("ingest_id"), ranges).withColumn("branch_name", F.lit(SOURCE_BRANCH))
-        made = self._write(out, "epochs", {"branch_name": SOURCE_BRANCH, "collection_id": collection}, overwrite)
+        made = self._write(out, "epochs", {"branch_name": SOURCE_BRANCH, "collection_id": collection}, overwrite, ("phase",))
         said = self.spark.read.parquet(made).filter("warning <> ''").groupBy("recording_id", "event_id", "warning").agg(F.lit(1))
         at = self._faults(collection, "epoch", said.select(*checks.finding("warning", "epochs.clipped", F.concat_ws("/", "recording_id", "event_id"), F.col("warning"))))
         self._bundle(collection, "epoch", {"ingest_id": ingest_id, "windows": asdict(windows)}, [(made, [self.path(t) for t in ("recordings", "signals", "events")])], at)
@@ -171,7 +180,7 @@ class Engine:
             raise EngineError(f"no collection {collection_id}")
         src = self.table("epochs").filter((F.col("branch_name") == SOURCE_BRANCH) & (F.col("collection_id") == collection_id))
         out = preprocess.preprocess(src, branch, _EPOCH, carried=_RANGE).withColumn("derived_samples", F.size("samples").cast("long"))
-        made = self._write(out, "epochs", {"branch_name": branch.name, "collection_id": collection_id}, overwrite)
+        made = self._write(out, "epochs", {"branch_name": branch.name, "collection_id": collection_id}, overwrite, ("phase",))
         log = [{"name": n, "parameters": p} for n, p in branch.transforms()]
         run = f"{collection_id}_{branch.name}"
         held = src.groupBy("recording_id").agg(F.array_sort(F.collect_set("channel")).alias("_c"))

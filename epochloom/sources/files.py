@@ -79,7 +79,3 @@ def read_text(spark: SparkSession, path: str) -> str:
     """A small file as a whole."""
     return spark.read.text(path, wholetext=True).first()[0]
 
-
-def append_text(spark: SparkSession, path: str, text: str) -> None:
-    """Text after what a small file holds; written anew, as stores of objects can't append."""
-    write_text(spark, path, (read_text(spark, path) if exists(spark, path) else "") + text)

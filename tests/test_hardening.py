@@ -96,7 +96,7 @@ def test_partial_run_names_the_collection(store):
     manifest = json.loads((root / "store/runs/d/manifest.json").read_text())
     assert manifest["status"] == "partial"
     assert engine.table("issues").filter("run_id = 'd' AND code = 'discovery.collection_unreadable'").first().location == "none"
-    log = [json.loads(line) for line in (root / "store/runs/d/log.jsonl").read_text().splitlines()]
+    log = [json.loads(r["line"]) for r in engine.log_lines("d").collect()]
     assert [x["message"] for x in log] == ["starting", "completed"] and log[0]["stage"] == "discovery"
     made = {g["path"].split("/")[-2]: g["parents"] for g in json.loads((root / "store/runs/d/lineage.json").read_text())["generated"]}
     assert any(p.endswith("topography/run_id=d") for p in [g["path"] for g in json.loads((root / "store/runs/d/lineage.json").read_text())["generated"]]) and all("difference" in p for p in made["topography"])
