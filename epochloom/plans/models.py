@@ -17,6 +17,7 @@ import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.backbone import Model
@@ -142,7 +143,11 @@ class Adapter:
                     said["id"] = f"{type(fault).__name__}: {fault}"
                 yield said
 
-        if fault := spark.range(1, numPartitions=1).mapInPandas(attempt, "id string").first()[0]:
+        try:
+            fault = spark.range(1, numPartitions=1).mapInPandas(attempt, "id string").first()[0]
+        except PythonException as lost:  # the function itself can't be had by workers
+            raise ModelLoadError(f"{self.model_id} ({variant}): {str(lost).strip().splitlines()[-1]}") from lost
+        if fault:
             raise ModelLoadError(f"{self.model_id} ({variant}): {fault}")
         return Model(self.model_id, handle, batched=self.batched, input=self.input)
 

@@ -2,9 +2,11 @@
 models that aren't there, and every finding once."""
 
 import json
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from epochloom import cli
 from epochloom.operators import checks, discovery
@@ -27,6 +29,7 @@ def pooling(root, variant, device):
     return embed
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
 REGISTRY = Registry((Adapter("mock", make=pooling), Adapter("lost", ("no_such_package",), make=pooling), Adapter("fileless", (), {"a": ("x.bin",)}, "a", make=pooling), Adapter("bare")))
 
 
