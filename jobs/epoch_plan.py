@@ -95,8 +95,8 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
         # each event has one onset row: that partition alone has all earlier keys
         plan_so_far = parquet_if_any(session, f"{out}/plan", PLAN) if number else session.createDataFrame([], PLAN)
         earlier = plan_so_far.filter((F.col("phase") == "onset") & (F.col("batch") < number)).select(*KEY)
-        verdict = f"{out}/_judged/batch={number}"
-        judged(rows, earlier).write.mode("overwrite").parquet(verdict)  # read twice below; overwritten if the batch runs again
+        verdict = f"{out}/_judged"
+        judged(rows, earlier).write.mode("overwrite").parquet(verdict)  # of this batch alone: read twice below, then overwritten by the next
         held = session.read.parquet(verdict)
         whole = {"partitionOverwriteMode": "dynamic"}
         plan = planned(held.filter("message IS NULL"), config).observe(kept, F.count("*").alias("n"))
