@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Observation
 
 from epochloom.functions.expr import text_or
+from epochloom.functions.matrix import lists
 from epochloom.operators import reliability, similarity
 from epochloom.plans import catalog
 from epochloom.sources.files import shared_dir
@@ -31,15 +34,38 @@ from .common import log, main, packaged
 CONFIG = "language_profiles.json"
 
 
-def shares(text: Column, letters: str) -> Column:
-    """Share of each letter among a text's letters, either case; null without any."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in letters])
-    return F.element_at(F.transform(F.array(found), lambda n: _divided(n, F.aggregate(n, F.lit(0.0), lambda s, v: s + v))), 1)
+#: The most bytes of a text that are counted at a time.
+CHUNK = 1 << 20
 
 
-def _divided(n: Column, total: Column) -> Column:
-    return F.element_at(F.transform(F.array(total), lambda t: F.when(t > 0, F.transform(n, lambda v: v / t))), 1)
+def letter_counts(text: bytes, letters: list[bytes]) -> list[int]:
+    """How often each letter is in a text whose A-Z count as a-z; one pass for
+    those of ASCII, whatever their number."""
+    of = np.zeros(256, np.int64)
+    held = np.frombuffer(text, np.uint8)
+    for k in range(0, len(held), CHUNK):
+        of += np.bincount(held[k : k + CHUNK], minlength=256)
+    of[97:123] += of[65:91]
+    of[65:91] = 0
+    return [of[c[0]] if len(c) == 1 else text.count(c) for c in letters]  # no letter of UTF-8 begins inside another
+
+
+def shares(rows: DataFrame, letters: str) -> DataFrame:
+    """The other columns and x, the share of each letter among a text's letters,
+    either case; rows without any are left out."""
+    others = [c for c in rows.columns if c != "text"]
+    each = [c.encode() for c in letters]
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([letter_counts(t or b"", each) for t in batch.column("text").to_pylist()], float).reshape(-1, len(each))
+            total = found.sum(axis=1)
+            at = np.flatnonzero(total)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in others], lists(found[at] / total[at, None])], [*others, "x"])
+
+    kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
+    return rows.mapInArrow(run, kept + "x array<double>")
 
 
 def vectors(documents: DataFrame, config: dict) -> DataFrame:
@@ -48,9 +74,9 @@ def vectors(documents: DataFrame, config: dict) -> DataFrame:
     name = F.lit(config["unknown"])
     rows = documents.select(
         text_or(f"`{config['label']}`", name).alias("label"), text_or(f"`{config['subject']}`", name).alias("subject"),
-        shares(F.col(f"`{config['text']}`"), config["letters"]).alias("x"),
+        F.col(f"`{config['text']}`").cast("string").cast("binary").alias("text"),
     )
-    return rows.filter("x IS NOT NULL").withColumn("id", F.lit(0))  # no step tells rows of a label apart
+    return shares(rows, config["letters"]).withColumn("id", F.lit(0))  # no step tells rows of a label apart
 
 
 def report(rows: DataFrame) -> DataFrame:
