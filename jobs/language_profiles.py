@@ -58,7 +58,7 @@ def shares(rows: DataFrame, letters: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = np.array([letter_counts(t or b"", each) for t in batch.column("text").to_pylist()], float).reshape(-1, len(each))
+            found = np.array([letter_counts(t or b"", each) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(each))
             total = found.sum(axis=1)
             at = np.flatnonzero(total)
             if len(at):
