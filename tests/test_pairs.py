@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from epochloom.operators import similarity
+from epochloom.plans import catalog
 
 
 def frame(spark, n, width=4):
@@ -56,3 +57,36 @@ def test_parts_of_wide_vectors_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PART_MB", 0)
     monkeypatch.setattr(similarity, "BLOCK", 20)  # 15 parts, more than PARTS
     check(spark, 300)
+
+
+@pytest.mark.parametrize(("pool", "least"), [(10**9, 1), (3000, 1), (3000, 2500)])  # a task's at once, few tiles at a time, the last ones as they come
+def test_ordered_pairs_are_the_same(spark, monkeypatch, pool, least):
+    monkeypatch.setattr(similarity, "POOL", pool)
+    monkeypatch.setattr(similarity, "LEAST", least)
+    monkeypatch.setattr(similarity, "BLOCK", 50)
+    x = np.random.default_rng(5).normal(size=(700, 6))
+    x[::9, 2] = np.nan
+    df = spark.createDataFrame([(f"g{i % 3}", f"i{i:03}", x[i].tolist()) for i in range(700)], "label string, id string, x array<double>")
+    plain = similarity.pairwise(df, ["label"], "id", "x", tile=20)
+    rows = similarity.pairwise(df, ["label"], "id", "x", tile=20, ordered=True)
+    assert sorted(rows.collect()) == sorted(plain.collect())
+    if pool > 3000:
+        assert all(t == sorted(t) for t in rows.select("similarity").rdd.map(lambda r: r[0]).glom().collect())
+
+
+def test_files_of_pairs(spark, tmp_path):
+    """Bytes a pair: 8 for each similarity, unless equal ones lie together."""
+    n = 3000
+    x = np.random.default_rng(2).normal(size=(n, 64)).astype(np.float32)
+    spark.createDataFrame([(i, x[i].tolist(), 0) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        catalog.QUERIES["safe_corr_pairs"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = spark.read.parquet(str(tmp_path / "out")).toArrow()
+    a, b, r = (got.column(c).to_numpy() for c in ("a", "b", "similarity"))
+    assert len(a) == n * (n - 1) // 2 == len(np.unique(a * n + b)) and (a < b).all()
+    assert np.abs(np.corrcoef(x.astype(float))[a, b] - r).max() < 1e-6
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6 * len(a)
