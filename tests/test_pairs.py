@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from epochloom.functions.matrix import correlations
 from epochloom.operators import similarity
 from epochloom.plans import catalog
 
@@ -90,3 +91,63 @@ def test_files_of_pairs(spark, tmp_path):
     assert len(a) == n * (n - 1) // 2 == len(np.unique(a * n + b)) and (a < b).all()
     assert np.abs(np.corrcoef(x.astype(float))[a, b] - r).max() < 1e-6
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6 * len(a)
+
+
+@pytest.mark.parametrize("tile", [10_000, 20])
+@pytest.mark.parametrize("both", [False, True])
+def test_equal_vectors(spark, monkeypatch, tile, both):
+    """Up to 17 copies of a vector (more than are dealt as one row) and single ones
+    in blocks of either kind, lost values, constant vectors, an item twice."""
+    monkeypatch.setattr(similarity, "COPIES", 5)
+    monkeypatch.setattr(similarity, "STRIPE", 4)
+    monkeypatch.setattr(similarity, "BLOCK", 12)
+    x = np.random.default_rng(8).normal(size=(40, 6))
+    x[::7, 2], x[3], x[10:12, :5] = np.nan, 1.0, np.nan
+    times = [17, 2, 6, 3, 9] + [4] * 15 + [1] * 20
+    rows = [(f"g{i % 2}", f"i{(k * 40 + i) * 389 % 1009:04}", x[i].tolist()) for i in range(40) for k in range(times[i])]
+    rows.append(rows[0])
+    want = {(g, a, b): [] for g, a, _ in rows for h, b, _ in rows if g == h and (a != b if both else a < b)}
+    assert len({a for _, a, _ in rows}) == len(rows) - 1
+    for g, a, v in rows:
+        for h, b, w in rows:
+            if (g, a, b) in want and g == h:
+                want[g, a, b].append(float(correlations(np.array([v]), np.array([w]))[0, 0]))
+    df = spark.createDataFrame(rows, "label string, id string, x array<double>")
+    for ordered in (False, True):
+        monkeypatch.setattr(similarity, "LEAST", 1)
+        got = {}
+        for r in similarity.pairwise(df, ["label"], "id", "x", tile=tile, ordered=ordered, both=both).collect():
+            got.setdefault((r.label, r.a, r.b), []).append(r.similarity)
+        assert got.keys() == want.keys()
+        assert all(len(got[k]) == len(want[k]) and np.abs(np.array(got[k]) - want[k]).max() < 1e-12 for k in want)
+
+
+def test_items_that_are_null_or_of_other_kinds(spark):
+    rows = [(0, i if i else None, [float(i % 3), 1.0, 2.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "label int, id int, x array<double>")
+    for kind in ("int", "double", "decimal(9,2)", "date", "binary"):
+        cast = {"date": "date_add(date'2020-01-01', id)", "binary": "cast(cast(id as string) as binary)"}.get(kind, f"cast(id as {kind})")
+        for vector, n in (("x", 36), ("array(double(coalesce(id, 0)), 1d, 7d)", 36)):  # copies, and none
+            got = similarity.pairwise(df.selectExpr("label", f"{cast} AS id", f"{vector} AS x"), ["label"], "id", "x").collect()
+            assert len(got) == n and all(r.a is None or r.a < r.b for r in got) and not any(r.b is None for r in got)
+
+
+@pytest.mark.parametrize(("query", "most"), [("similarity_matrix", 1.2)])
+def test_files_of_equal_vectors(spark, tmp_path, query, most):
+    """Copies with shifted keys: bytes a row, and every row."""
+    n, k = 400, 6
+    x = np.random.default_rng(4).normal(size=(n, 64)).astype(np.float32)
+    spark.createDataFrame([(i + n * c, x[i].tolist(), 0) for c in range(k) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        catalog.QUERIES[query](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = spark.read.parquet(str(tmp_path / "out")).toArrow()
+    a, b, r = (got.column(c).to_numpy() for c in ("a", "b", "similarity"))
+    n *= k
+    assert len(a) == (n * n if query == "similarity_matrix" else n * (n - 1) // 2) == len(np.unique(a * n + b))
+    assert query == "similarity_matrix" or (a < b).all()
+    assert np.abs(np.corrcoef(x.astype(float))[a % 400, b % 400] - r).max() < 1e-6
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < most * len(a)
