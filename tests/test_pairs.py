@@ -132,7 +132,7 @@ def test_items_that_are_null_or_of_other_kinds(spark):
             assert len(got) == n and all(r.a is None or r.a < r.b for r in got) and not any(r.b is None for r in got)
 
 
-@pytest.mark.parametrize(("query", "most"), [("similarity_matrix", 1.2)])
+@pytest.mark.parametrize(("query", "most"), [("similarity_matrix", 1.2), ("safe_corr_pairs", 2.2)])
 def test_files_of_equal_vectors(spark, tmp_path, query, most):
     """Copies with shifted keys: bytes a row, and every row."""
     n, k = 400, 6
